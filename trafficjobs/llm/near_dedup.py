@@ -1,11 +1,15 @@
 """Near-duplicate detection by banded HyperMinHash registers, confirmed on full shingle sets.
 
-Each text's distinct five-word shingles are hashed to 64 bits. Seven bits choose one of 128 buckets; a bucket's register
-keeps the leading-zero count (6 bits) and the next bits (10) of its smallest hash. Four registers make one band of 64 bits,
-so the 32 bands are the compressed registers themselves. Texts of equal sets are collapsed first; in every band bucket each
-text is compared with one centre, chosen by hash, which links a large group of copies without forming its pairs; what then
-still lies in one bucket but in different components is compared pair by pair, estimated inside the join. Pairs whose
-collision-corrected Jaccard estimate is not more than five deviations under the threshold are verified on the full sets.
+Each text's distinct five-word shingles are hashed to 64 bits. A sketch has 128 registers; a register keeps the leading-zero
+count (6 bits) and the next bits (10) of its smallest hash. In large sets seven bits of the hash choose the register of an
+element. In small sets, which would leave most of those registers empty and bands that hang on one shared line, every
+element is hashed anew for each register. Sets of middle size have both sketches, so that similar sets share a kind.
+
+Four registers make one band of 64 bits, so the bands are the compressed registers themselves. Texts of equal sets are
+collapsed first; in every band bucket each text is compared with one centre, chosen by hash, which links a large group of
+copies without forming its pairs; what then still lies in one bucket but in different components is compared pair by pair,
+estimated inside the join. Pairs whose collision-corrected Jaccard estimate is not more than five deviations under the
+threshold are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -23,31 +27,60 @@ from trafficjobs.llm.shingles import shingle_sets
 BUCKET_BITS, MANTISSA_BITS, PER_BAND = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 EMPTY = 0xFFFF
+#: Sets below FEW have the sketch for small sets, sets from LARGE on the other; 3/4 of FEW is LARGE, so any two similar sets share one.
+FEW, LARGE = 1024, 768
 #: Accidental equality of two registers of like sets, as a share of 2**-MANTISSA_BITS (HyperMinHash paper).
 COLLISION = 0.169919487159739
 #: Links hold from this similarity on, as a ratio of whole numbers.
 AT_LEAST = (75, 100)
 DEVIATIONS = 5.0
+#: Edges that one task handles.
+PART = 250_000
 
 
-def registers(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rows of BUCKETS registers; hashes are sorted in each row, so the first of a bucket is its smallest."""
+def _code(smallest: np.ndarray) -> np.ndarray:
+    """Leading zeros and mantissa of 64-bit values."""
+    bits = (smallest | np.uint64(1)).astype(np.float64).view(np.uint64) >> np.uint64(52 - MANTISSA_BITS)
+    exponent = (bits >> np.uint64(MANTISSA_BITS)) - np.uint64(1023)
+    zeros = (np.uint64(64) - exponent).clip(0, 63)
+    return np.minimum((zeros << np.uint64(MANTISSA_BITS)) | (bits & np.uint64((1 << MANTISSA_BITS) - 1)), EMPTY - 1)
+
+
+def bucketed(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sketch of large sets, a row each; hashes are sorted in each row, so the first of a register is its smallest."""
     counts = np.diff(ends)
     row = np.repeat(np.arange(len(counts)), counts)
-    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    cell = row * BUCKETS + bucket
+    cell = row * BUCKETS + (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.ones(len(cell), dtype=bool)
     first[1:] = cell[1:] != cell[:-1]
-    rest = ((hashes[first] << np.uint64(BUCKET_BITS)) | np.uint64(1)).astype(np.float64)
-    bits = rest.view(np.uint64) >> np.uint64(52 - MANTISSA_BITS)
-    exponent = (bits >> np.uint64(MANTISSA_BITS)) - np.uint64(1023)
-    zeros = np.uint64(64) - exponent
-    code = (zeros.clip(0, 63) << np.uint64(MANTISSA_BITS)) | (bits & np.uint64((1 << MANTISSA_BITS) - 1))
     out = np.full(len(counts) * BUCKETS, EMPTY, dtype=np.uint16)
-    out[cell[first]] = np.minimum(code, EMPTY - 1)
+    out[cell[first]] = _code(hashes[first] << np.uint64(BUCKET_BITS))
     return out.reshape(len(counts), BUCKETS)
 
 
+_SALTS = mix(np.arange(1, 2 * BUCKETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, BUCKETS)
+_SALTS[1] |= np.uint64(1)
+
+
+def rehashed(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sketch of small sets, none of them empty: every element competes for every register."""
+    out = np.empty((len(ends) - 1, BUCKETS), dtype=np.uint16)
+    if len(hashes):
+        for j in range(BUCKETS):
+            out[:, j] = _code(np.minimum.reduceat((hashes ^ _SALTS[0, j]) * _SALTS[1, j], ends[:-1]))
+    return out
+
+
+def _some(hashes: np.ndarray, ends: np.ndarray, rows: np.ndarray, sketch) -> pa.Array:
+    """Bands of the chosen rows by that sketch, null for the others."""
+    counts = np.diff(ends)
+    taken = hashes[np.repeat(rows, counts)]
+    bands = sketch(taken, np.concatenate(([0], np.cumsum(counts[rows])))).view(np.int64).ravel()
+    width = BUCKETS // PER_BAND
+    lists = _lists(bands, np.arange(rows.sum() + 1) * width)
+    return lists.take(pa.array(np.where(rows, np.cumsum(rows) - 1, 0), mask=~rows))
+
+
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -59,11 +92,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, ends = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sums = [np.concatenate(([0], np.cumsum(mix(hashes ^ np.uint64(salt))))).astype(np.uint64) for salt in (0x51ED, 0xA5A5F00D)]
             s1, s2 = (x[ends[1:]] - x[ends[:-1]] for x in sums)
-            bands = registers(hashes, ends).view(np.int64).ravel()
-            width = BUCKETS // PER_BAND
+            n = np.diff(ends)
+            small_ones, large_ones = _some(hashes, ends, (n > 0) & (n < FEW), rehashed), _some(hashes, ends, n >= LARGE, bucketed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], pa.array(np.diff(ends)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _lists(bands, np.arange(hi - lo + 1) * width)],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands"],
+                [batch.column(0)[lo:hi], pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), small_ones, large_ones],
+                names=["doc_id", "n_shingles", "s1", "s2", "bands", "wide"],
             )
 
 
@@ -90,8 +123,12 @@ def estimate(x: Column, y: Column) -> Column:
     return F.struct(used.alias("occupied"), ((same / F.greatest(used, F.lit(1)) - F.lit(chance)) / F.lit(1 - chance)).alias("jaccard"))
 
 
-def plausible(x: Column, y: Column) -> Column:
-    """Whether the estimate allows the threshold, within DEVIATIONS standard deviations."""
+def plausible(x: str, y: str) -> Column:
+    """Whether the estimate of a sketch that both have allows the threshold, within DEVIATIONS standard deviations."""
+    return F.coalesce(*(_allows(F.col(f"{k}_{x}"), F.col(f"{k}_{y}")) for k in ("bands", "wide")), F.lit(False))
+
+
+def _allows(x: Column, y: Column) -> Column:
     e, t = estimate(x, y), AT_LEAST[0] / AT_LEAST[1]
     return e["jaccard"] >= F.lit(t) - F.lit(DEVIATIONS) * F.sqrt(F.lit(t * (1 - t)) / F.greatest(e["occupied"], F.lit(1)))
 
@@ -103,18 +140,22 @@ def components(edges: DataFrame) -> DataFrame:
     pre-aggregated and the joins can be split, so a hub with most of the edges is no single task.
     """
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
+    hooks, n = [], edges.count()
+    while n:
+        parts = -(-n // PART)  # few edges need few tasks
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")), "hook")
-        labels = hook.withColumnRenamed("to", "label") if labels is None else labels.join(hook, labels.label == hook.node, "left").select(labels.node, F.coalesce("to", "label").alias("label"))
-        labels = materialize(labels, "labels")
-        edges = (
-            edges.join(hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        )
-        edges = materialize(edges, "edges")
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
+        hooks.append(materialize(hook.coalesce(parts), "hook"))
+        left = edges.join(hooks[-1].select(F.col("node").alias("a"), F.col("to").alias("x")), "a").coalesce(parts)
+        left = left.join(hooks[-1].select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y").coalesce(parts)
+        edges = materialize(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().coalesce(parts), "edges")
+        n = edges.count()
+    if not hooks:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = hooks[-1].select("node", F.col("to").alias("label"))
+    for hook in reversed(hooks[:-1]):
+        labels = hook.join(labels.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("label", "to").alias("label"))
+    return labels if len(hooks) == 1 else materialize(labels, "labels")
 
 
 class _Sets:
@@ -141,39 +182,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null doc_id gets a null component and is kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signed, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
+    signed = materialize(docs.mapInArrow(_signed, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, wide array<long>"), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     kinds = ["s1", "s2", "n_shingles"]
     groups = materialize(real.groupBy(*kinds).agg(F.min("doc_id").alias("rep")), "groups")
     # texts of equal sets share all registers: one of them stands for all
-    reps = materialize(real.join(groups, kinds).where("doc_id = rep").groupBy("doc_id").agg(F.first("bands").alias("bands")), "reps")
+    reps = real.join(groups, kinds).where("doc_id = rep").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("wide").alias("wide"))
+    reps = materialize(reps, "reps")
 
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).where("key <> -1")
+    none = F.array_repeat(F.lit(-1).cast("long"), BUCKETS // PER_BAND)
+    banded = reps.select("doc_id", F.posexplode(F.concat(F.coalesce("bands", none), F.coalesce("wide", none))).alias("band", "key")).where("key <> -1")
     banded = banded.select("doc_id", F.xxhash64("band", "key").alias("k"))
     buckets = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "k")).alias("centre")).where("n > 1").drop("n")
     spots = materialize(banded.join(buckets, "k"), "spots")
 
-    signs = lambda k: reps.select(F.col("doc_id").alias(k), F.col("bands").alias(f"bands_{k}"))
+    signs = lambda k, as_: reps.select(F.col("doc_id").alias(k), F.col("bands").alias(f"bands_{as_}"), F.col("wide").alias(f"wide_{as_}"))
     full = _Sets(docs)
     star = spots.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    star = star.join(signs("a"), "a").join(signs("b"), "b").where(plausible(F.col("bands_a"), F.col("bands_b"))).select("a", "b")
-    links = full.links(materialize(star, "star"))
-    labels = components(links)
+    star = star.join(signs("a", "a"), "a").join(signs("b", "b"), "b").where(plausible("a", "b")).select("a", "b")
+    labels = components(full.links(materialize(star, "star")))
 
     # pairs of one bucket that no centre has joined
-    placed = spots.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    placed = spots.where("doc_id <> centre").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     placed = placed.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre"))
-    placed = materialize(placed.where("doc_id <> centre"), "placed")
-    stray = placed.where("label <> main").join(signs("doc_id").withColumnRenamed("bands_doc_id", "bands_x"), "doc_id").select("k", F.col("doc_id").alias("x"), F.col("label").alias("label_x"), "bands_x")
-    held = placed.join(stray.select("k").distinct(), "k", "left_semi").join(signs("doc_id").withColumnRenamed("bands_doc_id", "bands_y"), "doc_id").select("k", F.col("doc_id").alias("y"), F.col("label").alias("label_y"), "main", "bands_y")
-    fits = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("x") < F.col("y"))) & plausible(F.col("bands_x"), F.col("bands_y"))
+    placed = materialize(placed, "placed")
+    apart = placed.where("label <> main")
+    stray = apart.join(signs("doc_id", "x"), "doc_id").select("k", F.col("doc_id").alias("x"), F.col("label").alias("label_x"), "bands_x", "wide_x")
+    held = placed.join(apart.select("k").distinct(), "k", "left_semi").join(signs("doc_id", "y"), "doc_id").select("k", F.col("doc_id").alias("y"), F.col("label").alias("label_y"), "main", "bands_y", "wide_y")
+    fits = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("x") < F.col("y"))) & plausible("x", "y")
     rest = stray.join(held, (stray.k == held.k) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(full.links(rest)))
-
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(groups, kinds, "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
+    more = full.links(materialize(rest, "rest"))
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+    more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = components(more).select(F.col("node").alias("rep"), F.col("label").alias("last"))
+
+    labels = labels.withColumnRenamed("node", "rep")
+    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(groups, kinds, "left").join(labels, "rep", "left")
+    out = out.withColumn("rep", F.coalesce("label", "rep")).join(joined, "rep", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("last", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
