@@ -63,7 +63,8 @@ def ids_events(spark: SparkSession, path: str) -> DataFrame:
 def alert_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Objects (raw) of files that are one JSON document or JSON lines, unwrapped from alerts, events, items or data; and one row with the number of invalid lines."""
     files = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_name").alias("source"))
-    whole = F.try_parse_json("value").isNotNull()
+    # a first line that is an object by itself means lines; parsing alone would take it for the document
+    whole = ~F.regexp_like(F.ltrim("value"), F.lit(r"^\{[^\n]*\}[ \t\r]*(\n|$)")) & F.try_parse_json("value").isNotNull()
     lines = files.select("source", F.explode(F.when(whole, F.array("value")).otherwise(F.split("value", "\n"))).alias("raw")).where(F.trim("raw") != "")
     lines = lines.withColumn("ok", F.try_parse_json("raw").isNotNull())
     inner = F.coalesce(*(F.from_json(F.get_json_object("raw", f"$.{k}"), "array<string>") for k in WRAPPERS), F.when(F.ltrim("raw").startswith("["), F.from_json("raw", "array<string>")), F.array("raw"))
