@@ -8,8 +8,8 @@ element is hashed anew for each register. Sets of middle size have both sketches
 Four registers make one band of 64 bits, so the bands are the compressed registers themselves. Texts of equal sets are
 collapsed first; in every band bucket each text is compared with one centre, chosen by hash, which links a large group of
 copies without forming its pairs; what then still lies in one bucket but in different components is compared pair by pair,
-estimated inside the join. Pairs whose collision-corrected Jaccard estimate is not more than five deviations under the
-threshold are verified on the full sets.
+estimated inside the join by a finer sketch too. Pairs whose collision-corrected Jaccard estimate is not more than five
+deviations under the threshold are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ COLLISION = 0.169919487159739
 #: Links hold from this similarity on, as a ratio of whole numbers.
 AT_LEAST = (75, 100)
 DEVIATIONS = 5.0
+#: Registers of the sketch that decides which pairs of a bucket are verified, and hashes of each element for it.
+FINE, FINE_ROUNDS = 1024, 16
+#: Bytes of text that a worker sketches at once.
+PIECE = 400_000
 #: Edges that one task handles.
 PART = 250_000
 
@@ -88,7 +92,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = strings(batch.column(1))
-        for lo, hi in cuts(offsets):
+        for lo, hi in cuts(offsets, PIECE):
             hashes, ends = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             sums = [np.concatenate(([0], np.cumsum(mix(hashes ^ np.uint64(salt))))).astype(np.uint64) for salt in (0x51ED, 0xA5A5F00D)]
             s1, s2 = (x[ends[1:]] - x[ends[:-1]] for x in sums)
@@ -103,34 +107,60 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = strings(batch.column(1))
-        for lo, hi in cuts(offsets):
+        for lo, hi in cuts(offsets, PIECE):
             hashes, ends = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _lists(hashes, ends)], names=["doc_id", "grams"])
 
 
-def estimate(x: Column, y: Column) -> Column:
-    """struct(occupied, jaccard): registers that either has, and the collision-corrected share of them that agree."""
-    lanes = range(0, 64, 16)
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of FINE registers of one byte for the pairs that the bands leave: FINE_ROUNDS hashes of each element, eight bits of each smallest."""
+    shift = np.uint64(64 - FINE.bit_length() + 1)
+    for batch in batches:
+        raw, offsets = strings(batch.column(1))
+        for lo, hi in cuts(offsets, PIECE):
+            hashes, ends = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            cell = np.repeat(np.arange(hi - lo) * FINE, np.diff(ends))
+            least = np.full((hi - lo) * FINE, np.iinfo(np.uint64).max)
+            for j in range(FINE_ROUNDS):
+                x = mix(hashes ^ _SALTS[0, j])
+                np.minimum.at(least, cell + (x >> shift).astype(np.int64), x * _SALTS[1, j])
+            code = (mix(least) >> np.uint64(56)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _lists(code.view(np.int64), np.arange(hi - lo + 1) * (FINE // 8))], names=["doc_id", "fine"])
+
+
+def _unequal(x: Column, y: Column, width: int) -> Column:
+    """Number of lanes of that many bits in which two arrays of longs differ: each lane's bits are gathered in its lowest."""
 
-    def both(p: Column, q: Column) -> Column:
-        lane = [(F.shiftrightunsigned(p, s).bitwiseAND(F.lit(EMPTY)), F.shiftrightunsigned(q, s).bitwiseAND(F.lit(EMPTY))) for s in lanes]
-        used = [F.when((a != EMPTY) | (b != EMPTY), F.when(a == b, F.lit(1001)).otherwise(F.lit(1))).otherwise(F.lit(0)) for a, b in lane]
-        return used[0] + used[1] + used[2] + used[3]
+    def lanes(p: Column, q: Column) -> Column:
+        d, step = p.bitwiseXOR(q), width // 2
+        while step:
+            d, step = d.bitwiseOR(F.shiftrightunsigned(d, step)), step // 2
+        return F.bit_count(d.bitwiseAND(F.lit(sum(1 << k for k in range(0, 64, width))).cast("long")))
 
-    total = F.aggregate(F.zip_with(x, y, both), F.lit(0), lambda acc, v: acc + v)
-    chance = COLLISION / 2**MANTISSA_BITS
-    used, same = total % F.lit(1000), F.floor(total / F.lit(1000))
-    return F.struct(used.alias("occupied"), ((same / F.greatest(used, F.lit(1)) - F.lit(chance)) / F.lit(1 - chance)).alias("jaccard"))
+    return F.aggregate(F.zip_with(x, y, lanes), F.lit(0), lambda acc, v: acc + v)
+
+
+def _allows(x: Column, y: Column, n: int, width: int, chance: float) -> Column:
+    """Whether the collision-corrected estimate from n registers allows the threshold within DEVIATIONS standard deviations; null without sketches.
+
+    Registers that are empty in both sets count as equal, which only makes the test milder.
+    """
+    t = AT_LEAST[0] / AT_LEAST[1]
+    least = t - DEVIATIONS * (t * (1 - t) / n) ** 0.5
+    return _unequal(x, y, width) <= F.lit(int(n * (1 - chance) * (1 - least)) + 1)
 
 
 def plausible(x: str, y: str) -> Column:
-    """Whether the estimate of a sketch that both have allows the threshold, within DEVIATIONS standard deviations."""
-    return F.coalesce(*(_allows(F.col(f"{k}_{x}"), F.col(f"{k}_{y}")) for k in ("bands", "wide")), F.lit(False))
+    """The test by a banded sketch that both have; sets without one are too unlike in size."""
+    pairs = ((F.col(f"{k}_{x}"), F.col(f"{k}_{y}")) for k in ("bands", "wide"))
+    return F.coalesce(*(_allows(p, q, BUCKETS, 16, COLLISION / 2**MANTISSA_BITS) for p, q in pairs), F.lit(False))
 
 
-def _allows(x: Column, y: Column) -> Column:
-    e, t = estimate(x, y), AT_LEAST[0] / AT_LEAST[1]
-    return e["jaccard"] >= F.lit(t) - F.lit(DEVIATIONS) * F.sqrt(F.lit(t * (1 - t)) / F.greatest(e["occupied"], F.lit(1)))
+def first_shared(x: str, y: str) -> Column:
+    """The first band in which both agree, the wide bands after the others; 0 if none."""
+    at = lambda k: F.coalesce(F.array_position(F.zip_with(f"{k}_{x}", f"{k}_{y}", lambda p, q: (p == q) & (p != -1)), True), F.lit(0).cast("long"))
+    narrow, wide = at("bands"), at("wide")
+    return F.when(narrow > 0, narrow).when(wide > 0, wide + BUCKETS // PER_BAND).otherwise(0)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,15 +176,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
         hooks.append(materialize(hook.coalesce(parts), "hook"))
-        left = edges.join(hooks[-1].select(F.col("node").alias("a"), F.col("to").alias("x")), "a").coalesce(parts)
-        left = left.join(hooks[-1].select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x <> y").coalesce(parts)
-        edges = materialize(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().coalesce(parts), "edges")
+        to = small(hooks[-1])
+        left = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        left = left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = materialize(left.coalesce(parts), "edges")
         n = edges.count()
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = hooks[-1].select("node", F.col("to").alias("label"))
     for hook in reversed(hooks[:-1]):
-        labels = hook.join(labels.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("label", "to").alias("label"))
+        labels = hook.join(small(labels).withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("label", "to").alias("label"))
     return labels if len(hooks) == 1 else materialize(labels, "labels")
 
 
@@ -164,10 +195,13 @@ class _Sets:
     def __init__(self, docs: DataFrame):
         self.docs = docs
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """The documents of these ids."""
+        return self.docs.join(small(materialize(ids.distinct(), "ids")), "doc_id", "left_semi")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold."""
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        texts = self.docs.join(small(ids), "doc_id", "left_semi")
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
         sets = materialize(texts.mapInArrow(_sets, "doc_id long, grams array<long>"), "sets")
         left, right = (sets.select(F.col("doc_id").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
         both = pairs.join(right, "b").join(left, "a")
@@ -192,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     none = F.array_repeat(F.lit(-1).cast("long"), BUCKETS // PER_BAND)
     banded = reps.select("doc_id", F.posexplode(F.concat(F.coalesce("bands", none), F.coalesce("wide", none))).alias("band", "key")).where("key <> -1")
-    banded = banded.select("doc_id", F.xxhash64("band", "key").alias("k"))
+    banded = banded.select("doc_id", "band", F.xxhash64("band", "key").alias("k"))
     buckets = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "k")).alias("centre")).where("n > 1").drop("n")
     spots = materialize(banded.join(buckets, "k"), "spots")
 
@@ -207,9 +241,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = placed.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre"))
     placed = materialize(placed, "placed")
     apart = placed.where("label <> main")
-    stray = apart.join(signs("doc_id", "x"), "doc_id").select("k", F.col("doc_id").alias("x"), F.col("label").alias("label_x"), "bands_x", "wide_x")
-    held = placed.join(apart.select("k").distinct(), "k", "left_semi").join(signs("doc_id", "y"), "doc_id").select("k", F.col("doc_id").alias("y"), F.col("label").alias("label_y"), "main", "bands_y", "wide_y")
-    fits = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("x") < F.col("y"))) & plausible("x", "y")
+    open_ = materialize(placed.join(apart.groupBy("k").agg(F.count(F.lit(1)).alias("strays")), "k"), "open")
+    fine = materialize(full.texts(open_.select("doc_id")).mapInArrow(_fine, "doc_id long, fine array<long>").groupBy("doc_id").agg(F.first("fine").alias("fine")), "fine")
+    told = open_.join(signs("doc_id", "x"), "doc_id").join(fine, "doc_id")
+    stray = told.where("label <> main").select("k", "band", F.col("doc_id").alias("x"), F.col("label").alias("label_x"), "bands_x", "wide_x", F.col("fine").alias("fine_x"))
+    held = told.select("k", F.col("doc_id").alias("y"), F.col("label").alias("label_y"), "main", F.col("bands_x").alias("bands_y"), F.col("wide_x").alias("wide_y"), F.col("fine").alias("fine_y"))
+    fits = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("x") < F.col("y")))
+    # a pair counts in the first bucket it shares; if one of the two is the centre there, they have been compared
+    fits &= (first_shared("x", "y") == F.col("band") + 1) & plausible("x", "y") & _allows(F.col("fine_x"), F.col("fine_y"), FINE, 8, 1 / 256)
     rest = stray.join(held, (stray.k == held.k) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = full.links(materialize(rest, "rest"))
     of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
