@@ -44,7 +44,7 @@ class Tree:
 
     def count(self, texts: list[str]) -> list[int]:
         self.encoded += sum(map(len, texts))
-        return [len(e) for e in self.own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(self.own.encode(t)) for t in texts]
 
     def build(self, leaves: list[str], tokens: list[int]) -> None:
         self.leaves, self.width = leaves, 1
@@ -141,7 +141,7 @@ def count_tokens(docs: DataFrame, path: str, edits: str = "edits") -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))))
             for lo, hi in cuts(ends):
                 leaves = [split_leaves(t) for t in texts[lo:hi].to_pylist()]
-                counts = iter([len(e) for e in own.tokenizer.encode_batch_fast([x for row in leaves for x in row], add_special_tokens=False)])
+                counts = iter([len(own.encode(x)) for row in leaves for x in row])
                 rows = []
                 for row, log in zip(leaves, logs[lo:hi].to_pylist()):
                     tree = Tree(own, row, [next(counts) for _ in row])
