@@ -151,7 +151,7 @@ def test_disclosing_terms(spark):
     # "zorblax" only ever stands beside one address, "the" everywhere; copies of one text prove nothing
     docs = [(i, f"the {w} met zorblax at jo@ex.org in the {v} hall") for i, (w, v) in enumerate([("cat", "red"), ("dog", "big"), ("owl", "old"), ("fox", "dim")])]
     docs += [(10 + i, "the quiet copy of kilt@ex.org here") for i in range(20)] + [(100 + i, f"the plain row the mail m{i}@ex.org") for i in range(100)]
-    docs += [(60, None), (61, ""), (62, "Zorblax alone")]
+    docs += [(60, None), (61, ""), (62, "Zorblax alone")] + [(300 + i, f"met at in hall {i}") for i in range(10)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.term for r in pii.disclosing_terms(frame).collect()} == {"zorblax"}
     rows = {r.doc_id: r for r in pii.summary(pii.find_spans(frame)).collect()}
@@ -163,7 +163,7 @@ def test_disclosing_terms(spark):
 
 
 def test_terms_too_many_to_broadcast(spark, monkeypatch):
-    docs = [(i, f"the {w} met zorblax at jo@ex.org {w}") for i, w in enumerate(["cat", "dog", "owl", "fox"])] + [(9, "Zorblax"), (10, None)]
+    docs = [(i, f"the {w} met zorblax at jo@ex.org {w}") for i, w in enumerate(["cat", "dog", "owl", "fox"])] + [(9, "Zorblax"), (10, None)] + [(100 + i, f"the plain row the mail m{i}@ex.org") for i in range(100)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     want = sorted((r.doc_id, str(r.spans)) for r in pii.find_spans(frame).collect())
     monkeypatch.setattr(pii, "MOST_TERMS", 0)

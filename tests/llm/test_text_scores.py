@@ -67,7 +67,7 @@ def test_toxicity_edges(spark):
 
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = language.predict(docs, language.fit(docs)).where(language.held_out() & docs.lang.isNotNull()).collect()
+    rows = language.predict(docs, language.fit(docs)).where(language.held_out()).where("lang is not null").collect()
     right = Counter(r.lang == r.lang_pred for r in rows)
     assert right[True] >= 0.97 * len(rows) and all(0 <= r.lang_score <= 1 for r in rows)
 
