@@ -25,8 +25,8 @@ from trafficjobs.llm.common import code_points, cuts, materialize
 
 #: Labelled rows that the model is fitted on at most: those of the smallest hashes of doc_id.
 FIT_ROWS = 8_000
-#: Lexicon size, least toxic texts of a term, least log-odds ratio, shortest stem and word.
-TERMS, LEAST_TEXTS, LEAST_ODDS, STEM, WORD = 48, 6, 3.0, 5, 4
+#: Lexicon size, least toxic texts of a term, least log-odds ratio and one that is strong evidence, shortest stem and word.
+TERMS, LEAST_TEXTS, LEAST_ODDS, STRONG_ODDS, STEM, WORD = 48, 6, 3.0, 5.0, 5, 4
 CONTEXT, FUZZY, FUZZY_FROM = 60, 0.6, 5
 REJECT = 0.7
 # Marks and words that tell quotation and address.
@@ -202,19 +202,24 @@ def _odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
 
 
 def _chosen(rows: list, n_toxic: int, n_clean: int) -> list[tuple[str, float]]:
-    """Greedy cover: again and again the term of most evidence among the toxic texts without a chosen term."""
-    texts = {1: [set(r.terms) for r in rows if r.toxic == 1], 0: [set(r.terms) for r in rows if r.toxic == 0]}
-    clean, all_toxic = Counter(t for s in texts[0] for t in s), Counter(t for s in texts[1] for t in s)
+    """Greedy cover: again and again the term of most evidence among the toxic texts without a chosen term; then the others of
+    strong evidence that neither begin a chosen term nor are begun by one. Whole words go before stems."""
+    texts = {k: [set(r.terms) for r in rows if r.toxic == k] for k in (0, 1)}
+    clean, toxic = (Counter(t for s in texts[k] for t in s) for k in (0, 1))
+    odds = {t: _odds(toxic[t], clean[t], n_toxic, n_clean) for t in toxic}
+    order = lambda counts: sorted(counts, key=lambda t: (-odds[t] * math.sqrt(counts[t]), t.endswith("*"), -len(t), t))
     left, out = texts[1], []
     while len(out) < TERMS:
-        toxic = Counter(t for s in left for t in s if t not in {x for x, _ in out})
-        rank = {t: _odds(all_toxic[t], clean[t], n_toxic, n_clean) * math.sqrt(n) for t, n in toxic.items() if n >= LEAST_TEXTS / 2}
-        if not rank:
+        counts = {t: n for t, n in Counter(t for s in left for t in s).items() if n >= LEAST_TEXTS / 2}
+        if not counts:
             break
-        best = max(sorted(rank), key=lambda t: (rank[t], len(t)))
-        out.append((best, _odds(all_toxic[best], clean[best], n_toxic, n_clean)))
-        left = [s for s in left if best not in s] if best.endswith("*") else [s for s in left if best not in s or len(s & {x for x, _ in out}) < 2]
-    return out
+        out.append(order(counts)[0])
+        left = [s for s in left if out[-1] not in s]
+    for term in order({t: n for t, n in toxic.items() if n >= 2 * LEAST_TEXTS and odds[t] >= STRONG_ODDS}):
+        own = term.rstrip("*")
+        if len(out) < TERMS and not any(own.startswith(x.rstrip("*")) or x.startswith(own) for x in out):
+            out.append(term)
+    return [(t, odds[t]) for t in out]
 
 
 def _featured(model: Model):
