@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from trafficjobs.operators.correlate import CASE_STATES
 
@@ -90,7 +89,3 @@ def overview(alerts: DataFrame, newest: int = 8) -> DataFrame:
     """The newest alerts, each with the number of all; tie by alert_id."""
     n = alerts.agg(F.count(F.lit(1)).alias("matched"))
     return alerts.orderBy(F.desc("start_us"), "alert_id").limit(newest).join(F.broadcast(n))
-
-
-def running_counts(rows: DataFrame, per: str, order: Sequence[str]) -> DataFrame:
-    return rows.withColumn("so_far", F.count(F.lit(1)).over(Window.partitionBy(per).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from trafficjobs.functions.features import to_ppi
 
@@ -49,7 +48,3 @@ def assemble_experiment(local: DataFrame, malware: DataFrame, names: list[str],
 
 def labelled_union(malicious: DataFrame, benign: DataFrame) -> DataFrame:
     return malicious.withColumn("label", F.lit(1)).unionByName(benign.withColumn("label", F.lit(0)))
-
-
-def newest_first(rows: DataFrame, per: str, order: str, n: int) -> DataFrame:
-    return rows.withColumn("_no", F.row_number().over(Window.partitionBy(per).orderBy(F.desc(order)))).where(F.col("_no") <= n).drop("_no")
