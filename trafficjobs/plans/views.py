@@ -60,16 +60,16 @@ _DIALECTS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view, or the table of that name."""
+def view(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The view, or the table of that name. Given tables, streams too, take the place of those in the folder."""
     if name not in _TEXTS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return tables[name] if name in (tables or {}) else spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needs, text = _TEXTS[name]
     for need in needs:
         text = text.replace(f"from {need}", f"from {{{need}}}").replace(f"join {need} ", f"join {{{need}}} ")
     for token, value in _DIALECTS["spark"].items():
         text = text.replace(f"{{{token}}}", value)
-    return spark.sql(text, **{need: view(spark, sf_dir, need) for need in needs})
+    return spark.sql(text, **{need: view(spark, sf_dir, need, tables) for need in needs})
 
 
 def duck(*names: str) -> str:

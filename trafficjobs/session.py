@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,12 @@ def build(app: str = "trafficjobs", master: str | None = None, **conf: str) -> S
     for name, value in {**settings, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; a local folder is made only where that is unset, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path}/{label}-{uuid.uuid4().hex}"
