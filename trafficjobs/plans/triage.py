@@ -325,11 +325,11 @@ qw AS (SELECT qid, q.term, q.tf * (ln((1.0 + n) / (1 + coalesce(df, 0) + 1)) + 1
 bw AS (SELECT id, b.term, b.tf, df FROM b JOIN f ON b.term = f.term), base AS (SELECT id, sum(pow(tf * (ln((1.0 + n) / (1 + df)) + 1), 2)) AS sq FROM bw, n GROUP BY 1),
 x AS (SELECT qid, id, sum(w * tf * (ln((1.0 + n) / (2 + df)) + 1)) AS dot, sum(pow(tf * (ln((1.0 + n) / (2 + df)) + 1), 2) - pow(tf * (ln((1.0 + n) / (1 + df)) + 1), 2)) AS more FROM qw JOIN bw ON qw.term = bw.term, n GROUP BY 1, 2),
 sc AS (SELECT x.qid AS query_id, x.id AS base_id, round(dot / (nq * sqrt(sq + more)), 6) AS score FROM x JOIN qn ON x.qid = qn.qid JOIN base ON x.id = base.id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS rank FROM sc)
-SELECT query_id, CAST(rank AS INT) AS rank, base_id, round(score, 5) AS score FROM r WHERE rank <= 1""".replace(r"\b\w+\b", r"[\p{L}\p{N}_]+"))
+SELECT query_id, CAST(rank AS INT) AS rank, base_id, CAST(round(score * 1000000) AS BIGINT) AS score FROM r WHERE rank <= 1""".replace(r"\b\w+\b", r"[\p{L}\p{N}_]+"))
 def tfidf_top(spark, d):
     q = view(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
     out = retrieval.tfidf_top(q, view(spark, d, "benchmark").select(F.col("item_id").alias("base_id"), "text"), 1)
-    return out.withColumn("score", F.round("score", 5))
+    return out.withColumn("score", F.round(F.col("score") * 1_000_000).cast("long"))  # in millionths
 
 
 @query(duck("alerts") + f"""z AS (SELECT *, CASE WHEN prob >= 0.9 THEN 'high' WHEN prob >= 0.7 THEN 'medium' WHEN prob >= 0.5 THEN 'low' ELSE 'informational' END AS risk FROM alerts)
