@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from trafficjobs.plans import detect, prepare, streams, triage  # noqa: F401  they register themselves
+    from trafficjobs.plans import detect, files, prepare, streams, triage  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

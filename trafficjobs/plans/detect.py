@@ -200,7 +200,10 @@ def alert_event_ids(spark, d):
     return a.select("alert_id", own.alias("event_id"), events.evidence_id(F.col("alert_id")).alias("snapshot_id"))
 
 
-@query()
+BUILT_SQL = """, m AS (SELECT src_ip, src_port, dst_ip, dst_port, started_us AS start_us, ended_us, len(sizes) AS packet_count, CAST(CAST(list_sum([abs(x) FOR x IN sizes]) AS BIGINT) % 1000 AS DOUBLE) / 1000.0 AS prob, 's1' AS sensor_id FROM flow)"""
+
+
+@query(duck("packets") + FLOWS_SQL + BUILT_SQL + f" SELECT {ID_SQL} AS event_id, sensor_id, src_ip, ended_us AS observed_us, 1 AS prediction, prob AS malware_probability, {RISK_SQL} AS risk_level, packet_count FROM m WHERE prob >= 0.5")
 def build_alerts(spark, d):
     flows_ = flows.summarize(_segments(spark, d)).withColumn("close_reason", F.lit("idle_timeout"))
     flows_ = flows_.withColumn("probability", closed_form_score(flows_))

@@ -302,7 +302,8 @@ def latency_p95(spark, d):
 @query()
 def hash_embeddings(spark, d):
     kb = view(spark, d, "benchmark")
-    return kb.select("item_id", F.transform(retrieval.l2_normalize(retrieval.hash_embed(F.col("text"))), lambda x: F.round(x, 6)).alias("vector"))
+    raw = kb.select("item_id", retrieval.hash_embed(F.col("text")).alias("raw"))
+    return raw.select("item_id", F.transform(retrieval.l2_normalize(F.col("raw")), lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 4) > 0 AS some, CAST(1.0 AS DOUBLE) AS norm FROM embeddings")
