@@ -35,7 +35,7 @@ COLLISION = 0.169919487159739
 AT_LEAST = (75, 100)
 DEVIATIONS = 5.0
 #: Registers of the sketch that decides which pairs of a bucket are verified, and hashes of each element for it.
-FINE, FINE_ROUNDS = 1024, 16
+FINE, FINE_ROUNDS = 1024, 64
 #: Bytes of text that a worker sketches at once.
 PIECE = 400_000
 #: Edges that one task handles.
