@@ -51,24 +51,32 @@ class Codec:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self.library = path, None
+        library = self._library()
         alphabet, self.pieces = byte_alphabet(), []
-        special = {k for k, v in self.tokenizer.get_added_tokens_decoder().items()}
-        for i in range(self.tokenizer.get_vocab_size()):
-            token = self.tokenizer.id_to_token(i) or ""
+        special = set(library.get_added_tokens_decoder())
+        for i in range(library.get_vocab_size()):
+            token = library.id_to_token(i) or ""
             self.pieces.append(token.encode() if i in special else bytes(alphabet[c] for c in token))
         self.starts = np.array([safe_start("a", chr(p[0])) if p else False for p in self.pieces])
         self.solid = np.array([safe_start(chr(p[-1]), " ") if p else False for p in self.pieces])
         self.fast = self._ranked(path, special)
+        if self.fast is not None:
+            self.library = None  # loaded again only if it is needed; a worker holds one of the two
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
         self.held = 0
 
+    def _library(self):
+        if self.library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library
+
     def _ranked(self, path: str, special: set[int]):
         import tiktoken
 
@@ -92,7 +100,7 @@ class Codec:
             except Exception as e:  # its pattern engine gives up on very long runs
                 if "StackOverflow" not in str(e) and "backtrack" not in str(e).lower():
                     raise
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(self._library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
