@@ -33,8 +33,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, packed as little-endian unsigned 32-bit integers, their number, and whether decoding gives the text back."""
-    path = tokenizer_path()
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.encode(docs, tokenizer_path(), decoded="decoded")
     return coded.select(*docs.columns, bpe.n_tokens().alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 

@@ -23,7 +23,7 @@ from trafficjobs.llm.common import cuts, mix, strings
 
 WINDOW, CUT_BITS = 16, 10
 #: Bytes of chunk text that a worker's cache may hold, in either of its two generations.
-CACHE_BYTES = 24_000_000
+CACHE_BYTES = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -195,11 +195,12 @@ def _blobs(parts: list[bytes], kind: pa.DataType) -> pa.Array:
     return pa.Array.from_buffers(kind, len(parts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with a binary column ids: the token ids of each whole text as little-endian unsigned 32-bit integers.
 
     Equal to what the tokenizers library gives for the file at path without special tokens added. A null or empty text gives
-    no ids. The path must hold the file on every machine. Other columns stay, but one named ids is replaced.
+    no ids. The path must hold the file on every machine. Other columns stay, but one named ids is replaced. With a name for
+    decoded the ids are decoded again in the same pass, so that a task needs one Python worker and not two.
     """
     spare = "_ids_of_text"
 
@@ -210,10 +211,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             for lo, hi in cuts(offsets):
                 rows = own.encode_rows(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 columns = [*batch.slice(lo, hi - lo).columns[:-1], _blobs([x.tobytes() for x in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids])
+                if decoded:
+                    columns.append(_blobs([own.text(x).encode() for x in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
 
-    kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(b"").alias(ids)).schema
+    added = [ids, decoded] if decoded else [ids]
+    kept = [c for c in docs.columns if c not in added]
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(b"").alias(ids), *([F.lit("").alias(decoded)] if decoded else [])).schema
     return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias(spare)).mapInArrow(run, schema)
 
 

@@ -156,64 +156,74 @@ def _marked(text: str, revealing) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _spans(terms):
-    """The last column is the text; terms is a broadcast, or None if the column before it has each text's own terms."""
+#: Rows of a batch that are plain Python texts at a time.
+ROWS = 500
+
+
+def _replaced(text: str | None, spans: list[dict]) -> str | None:
+    if not spans:
+        return text
+    parts, done = [], 0
+    for s in spans:
+        if s["start"] >= done:
+            parts += [text[done : s["start"]], f"[{s['kind'].upper()}]"]
+        done = max(done, s["end"])
+    return "".join([*parts, text[done:]])
+
+
+def _spans(terms, redacted: bool = False):
+    """The last column is the text; terms is a broadcast, or None if the column before it has each text's own terms. Adds the spans, or replaces the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         revealing = frozenset(terms.value) if terms is not None else None
         more = 1 if terms is not None else 2
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            own = [revealing] * len(texts) if terms is not None else batch.column(batch.num_columns - 2).to_pylist()
-            out = [_marked(t or "", set(r or ()) if terms is None else r) for t, r in zip(texts, own)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-more], pa.array(out, _SPANS)], names=[*batch.schema.names[:-more], "spans"])
+        for whole in batches:
+            for lo in range(0, len(whole), ROWS):
+                batch = whole.slice(lo, ROWS)
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                own = [revealing] * len(texts) if terms is not None else [set(r or ()) for r in batch.column(batch.num_columns - 2).to_pylist()]
+                out = [_marked(t or "", r) for t, r in zip(texts, own)]
+                names, columns = batch.schema.names[:-more], batch.columns[:-more]
+                if redacted:
+                    changed = pa.array([_replaced(t, s) for t, s in zip(texts, out)], pa.string())
+                    yield pa.RecordBatch.from_arrays([changed if n == "text" else c for n, c in zip(names, columns)], names=names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _SPANS)], names=[*names, "spans"])
 
     return run
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """docs with a column spans: array of (kind, start, end) in code points, ordered by start and kind; one named spans before is replaced.
-
-    Null texts are empty. An empty table gives an empty result. Extra columns stay.
-    """
+def _searched(docs: DataFrame, redacted: bool) -> DataFrame:
     terms = materialize(disclosing_terms(docs).select("term").distinct(), "terms")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
-    schema = docs.select(*kept, F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("spans")).schema
+    kept = [F.col("text").cast("string").alias("text") if redacted and c == "text" else F.col(f"`{c}`") for c in docs.columns if redacted or c != "spans"]
+    added = [] if redacted else [F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("spans")]
+    schema = docs.select(*kept, *added).schema
     rows = docs.select(*kept, F.col("text").cast("string").alias("_text_to_search"))
     if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        return rows.mapInArrow(_spans(docs.sparkSession.sparkContext.broadcast([r.term for r in terms.collect()])), schema)
+        return rows.mapInArrow(_spans(docs.sparkSession.sparkContext.broadcast([r.term for r in terms.collect()]), redacted), schema)
     # too many to broadcast: each text is joined with its own disclosing terms
     row = F.xxhash64("_text_to_search")
     own = rows.select(row.alias("_row"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text_to_search"), F.lit(r"(?U)([^\W\d_]+)")))).alias("term")).distinct()
     own = own.join(terms, "term").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
     both = rows.withColumn("_row", row).join(own, "_row", "left").drop("_row")
     both = both.select(*(F.col(f"`{c}`") for c in rows.columns[:-1]), "_terms", "_text_to_search")
-    return both.mapInArrow(_spans(None), schema)
+    return both.mapInArrow(_spans(None, redacted), schema)
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """docs with a column spans: array of (kind, start, end) in code points, ordered by start and kind; one named spans before is replaced.
+
+    Null texts are empty. An empty table gives an empty result. Extra columns stay.
+    """
+    return _searched(docs, False)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets, terms by [TERM]; overlapping spans become one, named after the first. Columns stay."""
-    found = find_spans(docs)
+    """docs with every span replaced by its kind in brackets, terms by [TERM]; overlapping spans become one, named after the first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            texts, out = batch.column(names.index("text")).to_pylist(), []
-            for text, spans in zip(texts, batch.column(names.index("spans")).to_pylist()):
-                if spans:
-                    parts, done = [], 0
-                    for s in spans:
-                        if s["start"] >= done:
-                            parts += [text[done : s["start"]], f"[{s['kind'].upper()}]"]
-                        done = max(done, s["end"])
-                    text = "".join([*parts, text[done:]])
-                out.append(text)
-            columns = [pa.array(out, pa.string()) if n == "text" else c for n, c in zip(names, batch.columns) if n != "spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "spans"])
-
-    kept = [c for c in docs.columns if c != "spans"]
-    schema = docs.withColumn("text", F.col("text").cast("string")).select(*(F.col(f"`{c}`") for c in kept)).schema
-    return found.mapInArrow(run, schema)
+    Columns stay, and null texts. One pass finds and replaces, so that a task needs one Python worker and not two.
+    """
+    return _searched(docs, True)
 
 
 def digest(spans: str = "spans"):
