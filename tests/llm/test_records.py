@@ -168,3 +168,14 @@ def test_terms_too_many_to_broadcast(spark, monkeypatch):
     want = sorted((r.doc_id, str(r.spans)) for r in pii.find_spans(frame).collect())
     monkeypatch.setattr(pii, "MOST_TERMS", 0)
     assert sorted((r.doc_id, str(r.spans)) for r in pii.find_spans(frame).collect()) == want and "term" in str(want)
+
+
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    # four contexts of one address; copies of a text, beside the address or not, must not lower the certainty
+    docs = [(i, f"the {w} met zorblax at jo@ex.org in the {v} hall") for i, (w, v) in enumerate([("cat", "red"), ("dog", "big"), ("owl", "old"), ("fox", "dim")])]
+    docs += [(10 + i, docs[0][1]) for i in range(50)] + [(80 + i, "Zorblax alone") for i in range(50)]
+    docs += [(200 + i, f"the plain row the mail m{i}@ex.org") for i in range(100)] + [(400 + i, f"met at in hall {i}") for i in range(10)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    (row,) = pii.disclosing_terms(frame).collect()
+    assert (row.term, row.entity, row.joint, row.occurrences, row.certainty) == ("zorblax", "email:jo@ex.org", 4, 5, 0.8)
+    assert pii.redact(frame).where("text like '%orblax%'").count() == 0

@@ -1,16 +1,21 @@
 """Personal data: four base patterns, and terms of the corpus that give protected entities away.
 
-Base spans are found by fixed patterns. The words within CONTEXT words of a base span are its context. Over the whole
-corpus it is counted in how many distinct contexts of one entity (equal contexts count once, so that copies prove nothing)
-a term stands, and how often the term occurs at all. With n(t, e) such contexts, n(t) occurrences, n(e) contexts of the
-entity and N entity contexts, a term discloses e if n(t, e) is at least SUPPORT, P(e | t) = n(t, e) / n(t) at least CERTAINTY
-and the pointwise mutual information log2(n(t, e) N / (n(t) n(e))) at least BITS. Its occurrences are spans of kind term.
+Base spans are found by fixed patterns. The words within CONTEXT words of a base span are its context. Equal contexts count
+once, on either side of each ratio, so that copies neither prove nor disprove anything: over the whole corpus it is counted
+in how many distinct contexts of an entity a term stands, and in how many distinct windows (the term's word and CONTEXT words
+on either side) it stands at all and near the entity. With w(t) windows of the term, w(t, e) of them near the entity, n(e)
+contexts of the entity and N entity contexts, a term discloses e if it stands in at least SUPPORT contexts of e,
+P(e | t) = w(t, e) / w(t) is at least CERTAINTY and the pointwise mutual information log2(P(e | t) N / n(e)) at least BITS.
+Its occurrences are spans of kind term.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +24,10 @@ from pyspark.sql import functions as F
 from trafficjobs.llm.common import materialize
 
 CONTEXT, SUPPORT, CERTAINTY, BITS = 4, 3, 0.5, 4.0
-#: Disclosing terms that are broadcast; more of them reach the texts by a join.
+#: Terms that are broadcast at once; more candidates are counted in parts, more disclosing terms reach the texts by a join.
 MOST_TERMS = 200_000
+#: Windows that a task holds at a time.
+HELD = 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 
 _EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,6 +38,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -71,73 +79,111 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _near(text: str, start: int, end: int) -> list[str]:
-    """Lower-cased terms among the CONTEXT white-space words on either side, which are looked for in as much text as they need."""
-    left, reach = [], 32 * CONTEXT
-    while True:
-        lo = max(0, start - reach)
-        words = text[lo:start].split()
-        if lo == 0 or len(words) > CONTEXT:
-            left = words[-CONTEXT:]
-            break
-        reach *= 2
-    right, reach = [], 32 * CONTEXT
-    while True:
-        words = text[end : end + reach].split()
-        if end + reach >= len(text) or len(words) > CONTEXT:
-            right = words[:CONTEXT]
-            break
-        reach *= 2
-    return [t for w in (*left, *right) for t in TERM.findall(w.lower())]
+def _window(words: list[str], i: int) -> int:
+    """Hash of word i and CONTEXT words on either side, lower-cased."""
+    return int.from_bytes(blake2b(" ".join(words[max(0, i - CONTEXT) : i + CONTEXT + 1]).lower().encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _mentions(text: str) -> Iterator[tuple[str, str, list[tuple[str, int]]]]:
+    """Of each base span the entity, the terms among the CONTEXT white-space words on either side, and the windows of those terms."""
+    spans = base_spans(text)
+    if not spans:
+        return
+    starts, ends = array("q"), array("q")
+    for m in _WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    for start, kind, end in spans:
+        before, after = bisect_left(starts, start), bisect_right(ends, end)
+        near = [(i, text[starts[i] : min(ends[i], start)]) for i in range(max(0, before - CONTEXT), before)]
+        near += [(i, text[max(starts[i], end) : ends[i]]) for i in range(after, min(len(starts), after + CONTEXT))]
+        terms, windows = set(), set()
+        for i, part in near:
+            found = set(TERM.findall(part.lower()))
+            terms |= found
+            if len(part) < ends[i] - starts[i]:  # what the span cuts off a longer term is none of the text's terms
+                found &= set(TERM.findall(text[starts[i] : ends[i]].lower()))
+            if found:
+                lo = max(0, i - CONTEXT)
+                window = _window([text[starts[j] : ends[j]] for j in range(lo, min(len(starts), i + CONTEXT + 1))], i - lo)
+                windows |= {(t, window) for t in found}
+        yield f"{KINDS[kind]}:{text[start:end].lower()}", " ".join(sorted(terms)), sorted(windows)
+
+
+_WINDOWS = pa.list_(pa.struct([("term", pa.string()), ("window", pa.int64())]))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            for start, kind, end in base_spans(text or ""):
-                terms = sorted(set(_near(text, start, end)))
-                rows.append((f"{KINDS[kind]}:{text[start:end].lower()}", " ".join(terms), terms))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["entity", "context", "terms"])
+        rows = [m for text in batch.column(0).to_pylist() for m in _mentions(text or "")]
+        windows = [[{"term": t, "window": w} for t, w in r[2]] for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(windows, _WINDOWS)], names=["entity", "context", "windows"])
 
 
 def _occurrences(wanted):
-    """Counts, within a task, of the wanted terms in whole texts."""
+    """Distinct windows, within a task, of the wanted terms in whole texts.
+
+    wanted is a broadcast of terms and the most windows that a term may have and still disclose. A term with more of them in
+    one task is settled, what else there is of it cannot change the result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = wanted.value
-        counts = dict.fromkeys(terms, 0)
-        look = re.compile(r"[^\W\d_]+")
+        most = wanted.value
+        live, held, n = set(most), {}, 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t for t, ws in held.items() for _ in ws], pa.string()), pa.array([w for ws in held.values() for w in ws], pa.int64())], names=["term", "window"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    for t in look.findall(text.lower()):
-                        if t in counts:
-                            counts[t] += 1
-        found = [(t, n) for t, n in counts.items() if n]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["term", "n"])
+                if not text or live.isdisjoint(TERM.findall(text.lower())):
+                    continue
+                words = text.split()
+                for i, word in enumerate(words):
+                    low, window = word.lower(), None
+                    for t in (low,) if low in live else TERM.findall(low):
+                        if t in live:
+                            window = _window(words, i) if window is None else window
+                            own = held.setdefault(t, set())
+                            n -= len(own)
+                            own.add(window)
+                            n += len(own)
+                            if len(own) > most[t]:
+                                live.discard(t)
+                if n > HELD:
+                    yield rows()
+                    held, n = {}, 0
+        yield rows()
 
     return run
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """term, entity, joint, occurrences, certainty, bits of the terms beyond the thresholds, one row for each entity they disclose."""
-    contexts = materialize(docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_contexts, "entity string, context string, terms array<string>").distinct(), "contexts")
-    per_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = contexts.count()
-    joint = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT)
-    joint = materialize(joint, "joint")
-    wanted = joint.select("term").distinct()
-    words = docs.select(F.lower(F.col("text").cast("string")).alias("text"))
-    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        terms = docs.sparkSession.sparkContext.broadcast([r.term for r in wanted.collect()])
-        counts = words.mapInArrow(_occurrences(terms), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")) if terms.value else wanted.select("term", F.lit(0).cast("long").alias("n_t"))
-    else:
-        split = words.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)([^\W\d_]+)"))).alias("term"))
-        counts = split.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
+    """term, entity, joint, occurrences, certainty, bits of the terms beyond the thresholds, one row for each entity they disclose.
+
+    joint counts the entity's distinct contexts with the term, occurrences the term's distinct windows.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    contexts = materialize(texts.mapInArrow(_contexts, "entity string, context string, windows array<struct<term:string,window:bigint>>").distinct(), "contexts")
+    distinct = contexts.select("entity", "context").distinct()
+    per_entity = distinct.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    total = distinct.count()
+    pairs = contexts.select("entity", "context", F.explode("windows").alias("w")).select("entity", "context", "w.term", "w.window")
+    support = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= SUPPORT)
+    near = pairs.select("entity", "term", "window").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("near"))
+    joint = materialize(support.join(near, ["entity", "term"]), "joint")
+    wanted = joint.groupBy("term").agg(F.floor(F.max("near") / CERTAINTY).alias("most"))
+    # by the same words for any number of candidates: more than MOST_TERMS take a pass for each part of them
+    parts = -(-wanted.count() // max(1, MOST_TERMS)) or 1
+    windows = None
+    for k in range(parts):
+        part = {r.term: r.most for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()}
+        if part or k == 0:
+            found = texts.mapInArrow(_occurrences(docs.sparkSession.sparkContext.broadcast(part)), "term string, window long")
+            windows = found if windows is None else windows.unionByName(found)
+    counts = windows.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     out = joint.join(counts, "term").join(per_entity, "entity")
-    certainty = F.col("joint") / F.greatest("n_t", "joint")
-    out = out.withColumns({"certainty": certainty, "bits": F.log2(F.col("joint") * F.lit(float(max(total, 1))) / (F.greatest("n_t", "joint") * F.col("n_e")))})
+    out = out.withColumn("certainty", F.col("near") / F.col("n_t")).withColumn("bits", F.log2(F.col("certainty") * F.lit(float(max(total, 1))) / F.col("n_e")))
     return out.where((F.col("certainty") >= CERTAINTY) & (F.col("bits") >= BITS)).select("term", "entity", "joint", F.col("n_t").alias("occurrences"), "certainty", "bits")
 
 
