@@ -65,6 +65,24 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_lexicon_is_bounded_by_evidence_alone(spark):
+    rng = random.Random(7)
+    terms = sorted({"".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n)) for n in [3] * 5 + [7] * 65})
+    plain = ["alpha", "house", "river", "green", "table", "stone"]
+    docs = [(f"{t} {rng.choice(plain)} {rng.choice(plain)} {k}", 1) for t in terms for k in range(30)]
+    docs += [(" ".join(rng.choice(plain) for _ in range(4)) + f" {k}", 0) for k in range(2500)]
+    frame = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(docs)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert {t for t, _ in model.terms} >= set(terms) and len(terms) > 60
+
+
+def test_stems_of_the_fitted_model_get_one_edit():
+    scorer = toxicity.Scorer(toxicity.Model([("réeux", True), ("idiot", False)], [5.0, 5.0], loose_stems=True))
+    for word, edits in [("réeuxant", 0), ("rééuxant", 1), ("réuxant", 1), ("réeeuxant", 1), ("rééuuxant", None), ("rant", None), ("idiots", 1), ("idioting", None)]:
+        hits = scorer.features([word])[1][0]
+        assert [h[3] for h in hits] == ([] if edits is None else [edits]), word
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language.predict(docs, language.fit(docs)).where(language.held_out()).where("lang is not null").collect()

@@ -1,7 +1,7 @@
 """Toxicity: a Levenshtein automaton intersected with a trie of learned terms, and context windows around what it finds.
 
 The lexicon holds whole words and word stems whose document frequencies differ between toxic and clean labelled texts. Its
-trie is intersected once with the automaton that allows one edit in whole words (stems match exactly) and made
+trie is intersected once with the automaton that allows one edit in terms of FUZZY_FROM letters and more, and made
 deterministic; the table then runs over all words of a batch at once. Around each hit a window of CONTEXT code points tells
 quotation (quote marks on both sides, a reporting verb) from address (second person), and a logistic model over sums per
 document gives the score.
@@ -9,9 +9,10 @@ document gives the score.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +26,8 @@ from trafficjobs.llm.common import code_points, cuts, materialize
 
 #: Labelled rows that the model is fitted on at most: those of the smallest hashes of doc_id.
 FIT_ROWS = 8_000
-#: Lexicon size, least toxic texts of a term, least log-odds ratio and one that is strong evidence, shortest stem and word.
-TERMS, LEAST_TEXTS, LEAST_ODDS, STRONG_ODDS, STEM, WORD = 48, 6, 3.0, 5.0, 5, 4
+#: Least toxic texts of a term, least log-odds ratio and one that is strong evidence, shortest stem. They alone bound the lexicon.
+LEAST_TEXTS, LEAST_ODDS, STRONG_ODDS, STEM = 6, 3.0, 5.0, 5
 CONTEXT, FUZZY, FUZZY_FROM = 60, 0.6, 5
 REJECT = 0.7
 # Marks and words that tell quotation and address.
@@ -37,37 +38,37 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 class Automaton:
-    """Deterministic table of the trie of terms intersected with at most one edit for whole words; terms are (text, is_stem)."""
+    """Deterministic table of the trie of terms intersected with at most one edit; terms are (text, is_stem), stems get an edit if loose_stems."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], loose_stems: bool = False):
         self.terms = terms
         letters = sorted({c for t, _ in terms for c in t})
         self.classes = {c: k + 1 for k, c in enumerate(letters)}
         self.reach = max((len(t) + 2 for t, _ in terms), default=0)
         children: list[dict[str, int]] = [{}]
         ends: list[list[int]] = [[]]
-        loose = [False]  # nodes on the way to a whole word of at least FUZZY_FROM letters
+        loose = [False]  # nodes on the way to a term that gets an edit
+        fuzzy = [len(text) >= FUZZY_FROM and (loose_stems or not stem) for text, stem in terms]
         for k, (text, stem) in enumerate(terms):
             node = 0
             for c in text:
-                loose[node] |= not stem and len(text) >= FUZZY_FROM
+                loose[node] |= fuzzy[k]
                 if c not in children[node]:
                     children[node][c] = len(children)
                     children.append({})
                     ends.append([])
                     loose.append(False)
                 node = children[node][c]
-            loose[node] |= not stem and len(text) >= FUZZY_FROM
+            loose[node] |= fuzzy[k]
             ends[node].append(k)
         stems = {k for k, (_, stem) in enumerate(terms) if stem}
 
         def closed(states: set) -> frozenset:
             out = set(states)
             for node, e in states:
-                if e == 0 and node >= 0:
-                    if loose[node]:
-                        out |= {(n, 1) for n in children[node].values() if loose[n]}
-                    out |= {(-1 - k, 0) for k in ends[node] if k in stems}
+                if e == 0 and node >= 0 and loose[node]:
+                    out |= {(n, 1) for n in children[node].values() if loose[n]}
+            out |= {(-1 - k, e) for node, e in out if node >= 0 for k in ends[node] if k in stems and (e == 0 or fuzzy[k])}
             return frozenset(out)
 
         def step(states: frozenset, c: str) -> frozenset:
@@ -84,21 +85,24 @@ class Automaton:
             return closed(out)
 
         start = closed({(0, 0)})
-        number, queue, rows = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)]
+        number, queue, rows = {frozenset(): 0, start: 1}, [start], [np.zeros(len(letters) + 1, dtype=np.int32)]
         for states in queue:
-            row = []
-            for c in ["\0", *letters]:
+            row = None
+            for c in ["\0", *sorted({c for node, _ in states if node >= 0 for c in children[node]})]:  # all other letters lead where none of them does
                 after = step(states, c)
                 if after not in number:
                     number[after] = len(number)
                     queue.append(after)
-                row.append(number[after])
+                if row is None:
+                    row = np.full(len(letters) + 1, number[after], dtype=np.int32)
+                else:
+                    row[self.classes[c]] = number[after]
             rows.append(row)
-        self.table = np.array(rows, dtype=np.int32)
+        self.table = np.array(rows)
         # what a word means that ends in a state: term and edits, or -1
         self.term, self.edits = np.full(len(number), -1), np.zeros(len(number), dtype=np.int64)
         for states, n in number.items():
-            found = [(e, k) for node, e in states for k in (ends[node] if node >= 0 else [-1 - node]) if node < 0 or (k not in stems and (e == 0 or len(terms[k][0]) >= FUZZY_FROM))]
+            found = [(e, k) for node, e in states for k in (ends[node] if node >= 0 else [-1 - node]) if node < 0 or (k not in stems and (e == 0 or fuzzy[k]))]
             if found:
                 self.edits[n], self.term[n] = min(found)
 
@@ -109,13 +113,14 @@ class Model:
     odds: list[float] = field(default_factory=list)
     harmless: frozenset = frozenset()
     weights: list[float] = field(default_factory=lambda: [-3.0] + [0.0] * 7)
+    loose_stems: bool = False
 
 
 class Scorer:
     """Runs a model over texts; built once in each task."""
 
     def __init__(self, model: Model):
-        self.model, self.automaton = model, Automaton(model.terms)
+        self.model, self.automaton = model, Automaton(model.terms, model.loose_stems)
         self.odds = np.array(model.odds or [0.0])
         points = [chr(i) for i in range(0x10000)]
         self.letter = np.fromiter((c.isalpha() for c in points), bool, 0x10000)
@@ -173,7 +178,7 @@ class Scorer:
 
 def _candidates(text: str) -> set[str]:
     """Whole words, and as stems, marked by a star, their beginnings."""
-    words = {w for w in _WORDS.findall(text.lower()) if len(w) >= WORD}
+    words = set(_WORDS.findall(text.lower()))
     return words | {w[:n] + "*" for w in words for n in range(STEM, min(len(w), STEM + 5))}
 
 
@@ -207,18 +212,33 @@ def _chosen(rows: list, n_toxic: int, n_clean: int) -> list[tuple[str, float]]:
     texts = {k: [set(r.terms) for r in rows if r.toxic == k] for k in (0, 1)}
     clean, toxic = (Counter(t for s in texts[k] for t in s) for k in (0, 1))
     odds = {t: _odds(toxic[t], clean[t], n_toxic, n_clean) for t in toxic}
-    order = lambda counts: sorted(counts, key=lambda t: (-odds[t] * math.sqrt(counts[t]), t.endswith("*"), -len(t), t))
-    left, out = texts[1], []
-    while len(out) < TERMS:
-        counts = {t: n for t, n in Counter(t for s in left for t in s).items() if n >= LEAST_TEXTS / 2}
-        if not counts:
-            break
-        out.append(order(counts)[0])
-        left = [s for s in left if out[-1] not in s]
-    for term in order({t: n for t, n in toxic.items() if n >= 2 * LEAST_TEXTS and odds[t] >= STRONG_ODDS}):
+    order = lambda t, n: (-odds[t] * math.sqrt(n), t.endswith("*"), -len(t), t)
+    left, counts, out = texts[1], Counter(toxic), []
+    heap = [(order(t, n), n, t) for t, n in counts.items()]
+    heapq.heapify(heap)
+    where = defaultdict(list)
+    for k, own in enumerate(left):
+        for t in own:
+            where[t].append(k)
+    while heap:
+        _, n, term = heapq.heappop(heap)
+        if counts[term] < LEAST_TEXTS / 2:
+            continue
+        if n != counts[term]:  # counts only fall, so the term comes up again where it now belongs
+            heapq.heappush(heap, (order(term, counts[term]), counts[term], term))
+            continue
+        out.append(term)
+        for k in where[term]:
+            counts.subtract(left[k])
+            left[k] = set()
+    taken = {t.rstrip("*") for t in out}
+    begun = {t[:n] for t in taken for n in range(1, len(t) + 1)}
+    for term in sorted((t for t, n in toxic.items() if n >= 2 * LEAST_TEXTS and odds[t] >= STRONG_ODDS), key=lambda t: order(t, toxic[t])):
         own = term.rstrip("*")
-        if len(out) < TERMS and not any(own.startswith(x.rstrip("*")) or x.startswith(own) for x in out):
+        if own not in begun and not any(own[:n] in taken for n in range(1, len(own))):
             out.append(term)
+            taken.add(own)
+            begun |= {own[:n] for n in range(1, len(own) + 1)}
     return [(t, odds[t]) for t in out]
 
 
@@ -264,15 +284,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         return Model()
     terms = sample.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(n_toxic) - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (F.lit(n_clean) - F.col("clean") + 0.5))
-    best = terms.where(F.col("toxic") >= min(LEAST_TEXTS, max(2, n_toxic // 4))).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(2_000)
+    best = terms.where(F.col("toxic") >= min(LEAST_TEXTS, max(2, n_toxic // 4))).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     names = frozenset(r.term for r in best.collect())
     presence = sample.mapInArrow(_presence(names), "toxic int, terms array<string>").collect()
     chosen = _chosen(presence, n_toxic, n_clean)
-    model = Model([(t.rstrip("*"), t.endswith("*")) for t, _ in chosen], [o for _, o in chosen])
+    model = Model([(t.rstrip("*"), t.endswith("*")) for t, _ in chosen], [o for _, o in chosen], loose_stems=True)
     seen = sample.mapInArrow(_featured(model), "toxic int, x array<double>, forms array<string>")
     # misspelt forms that clean texts use as well are words of their own
     forms = seen.select("toxic", F.explode("forms").alias("form")).groupBy("form").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    model.harmless = frozenset(r.form for r in forms.where((F.col("n") - F.col("toxic") >= 2) & (F.col("toxic") < 3 * (F.col("n") - F.col("toxic")))).orderBy(F.desc("n"), "form").limit(5_000).collect())
+    model.harmless = frozenset(r.form for r in forms.where((F.col("n") - F.col("toxic") >= 2) & (F.col("toxic") < 3 * (F.col("n") - F.col("toxic")))).collect())
     seen = sample.mapInArrow(_featured(model), "toxic int, x array<double>, forms array<string>").select("toxic", "x").collect()
     model.weights = _logistic(np.array([r.x for r in seen]), np.array([r.toxic for r in seen], dtype=float))
     return model
