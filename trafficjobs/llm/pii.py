@@ -79,6 +79,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _plain(text: str, low: str) -> bool:
+    """Whether lower-casing the whole text lower-cases each term alike and leaves it where it is."""
+    return len(low) == len(text) and "Σ" not in text
+
+
+def cut(text: str) -> list[str]:
+    """The lower-cased terms of a text, cut alike wherever terms are counted or marked."""
+    low = text.lower()
+    return TERM.findall(low) if _plain(text, low) else [t.lower() for t in TERM.findall(text)]
+
+
 def _window(words: list[str], i: int) -> int:
     """Hash of word i and CONTEXT words on either side, lower-cased."""
     return int.from_bytes(blake2b(" ".join(words[max(0, i - CONTEXT) : i + CONTEXT + 1]).lower().encode(), digest_size=8).digest(), "little", signed=True)
@@ -99,10 +110,10 @@ def _mentions(text: str) -> Iterator[tuple[str, str, list[tuple[str, int]]]]:
         near += [(i, text[max(starts[i], end) : ends[i]]) for i in range(after, min(len(starts), after + CONTEXT))]
         terms, windows = set(), set()
         for i, part in near:
-            found = set(TERM.findall(part.lower()))
+            found = set(cut(part))
             terms |= found
             if len(part) < ends[i] - starts[i]:  # what the span cuts off a longer term is none of the text's terms
-                found &= set(TERM.findall(text[starts[i] : ends[i]].lower()))
+                found &= set(cut(text[starts[i] : ends[i]]))
             if found:
                 lo = max(0, i - CONTEXT)
                 window = _window([text[starts[j] : ends[j]] for j in range(lo, min(len(starts), i + CONTEXT + 1))], i - lo)
@@ -136,12 +147,12 @@ def _occurrences(wanted):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not text or live.isdisjoint(TERM.findall(text.lower())):
+                if not text or live.isdisjoint(cut(text)):
                     continue
                 words = text.split()
                 for i, word in enumerate(words):
-                    low, window = word.lower(), None
-                    for t in (low,) if low in live else TERM.findall(low):
+                    window = None
+                    for t in cut(word):
                         if t in live:
                             window = _window(words, i) if window is None else window
                             own = held.setdefault(t, set())
@@ -191,9 +202,9 @@ def _marked(text: str, revealing) -> list[dict]:
     spans = base_spans(text)
     if revealing:
         low = text.lower()
-        if len(low) == len(text):
+        if _plain(text, low):
             terms = [(m.start(), 4, m.end()) for m in TERM.finditer(low) if m[0] in revealing]
-        else:  # lower-casing shifts the positions
+        else:
             terms = [(m.start(), 4, m.end()) for m in TERM.finditer(text) if m[0].lower() in revealing]
         spans = sorted(spans + terms)
     return [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
@@ -239,6 +250,15 @@ def _spans(terms, redacted: bool = False):
     return run
 
 
+def _own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text's number and distinct term."""
+    for whole in batches:
+        for lo in range(0, len(whole), ROWS):
+            batch = whole.slice(lo, ROWS)
+            found = [(n, t) for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in set(cut(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["_row", "term"])
+
+
 def _searched(docs: DataFrame, redacted: bool) -> DataFrame:
     terms = materialize(disclosing_terms(docs).select("term").distinct(), "terms")
     kept = [F.col("text").cast("string").alias("text") if redacted and c == "text" else F.col(f"`{c}`") for c in docs.columns if redacted or c != "spans"]
@@ -249,7 +269,7 @@ def _searched(docs: DataFrame, redacted: bool) -> DataFrame:
         return rows.mapInArrow(_spans(docs.sparkSession.sparkContext.broadcast([r.term for r in terms.collect()]), redacted), schema)
     # too many to broadcast: each text is joined with its own disclosing terms
     row = F.xxhash64("_text_to_search")
-    own = rows.select(row.alias("_row"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text_to_search"), F.lit(r"(?U)([^\W\d_]+)")))).alias("term")).distinct()
+    own = rows.where("_text_to_search is not null").select(row.alias("_row"), "_text_to_search").mapInArrow(_own_terms, "_row long, term string").distinct()
     own = own.join(terms, "term").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
     both = rows.withColumn("_row", row).join(own, "_row", "left").drop("_row")
     both = both.select(*(F.col(f"`{c}`") for c in rows.columns[:-1]), "_terms", "_text_to_search")
