@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficjobs.llm.common import cuts, mix, strings
+from trafficjobs.llm.common import cuts, in_arrow, mix, named, strings
 
 WINDOW, CUT_BITS = 16, 10
-#: Bytes of chunk text that a worker's cache may hold, in either of its two generations.
-CACHE_BYTES = 8_000_000
+#: Bytes of chunk text that a worker's cache may hold, in either of its two generations, and of texts encoded at once.
+CACHE_BYTES, PIECE = 8_000_000, 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -47,25 +47,31 @@ class Codec:
     """A tokenizer file, the bytes of its tokens, and a cache of encoded chunks.
 
     If the file is plain byte-level BPE whose ids follow its merges, tiktoken encodes with the same vocabulary, which is
-    several times as fast; the tokenizers library does it otherwise, and where tiktoken's pattern matching gives up.
+    several times as fast and small; the tokenizers library is loaded only otherwise, and where tiktoken's pattern matching
+    gives up.
     """
 
     def __init__(self, path: str):
-        self.path, self.library = path, None
-        library = self._library()
-        alphabet, self.pieces = byte_alphabet(), []
-        special = set(library.get_added_tokens_decoder())
-        for i in range(library.get_vocab_size()):
-            token = library.id_to_token(i) or ""
-            self.pieces.append(token.encode() if i in special else bytes(alphabet[c] for c in token))
+        self.path, self.library, self.fast = path, None, None
+        parts = json.loads(Path(path).read_text(encoding="utf-8"))
+        added = {t["content"]: t["id"] for t in parts["added_tokens"]}
+        ranks = self._ranks(parts, added)
+        if ranks is not None:
+            import tiktoken
+
+            special = {i: t.encode() for t, i in added.items()}
+            pieces = {i: p for p, i in ranks.items()} | special
+            self.pieces = [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        else:
+            library, alphabet, special = self._library(), byte_alphabet(), set(added.values())
+            tokens = ((i, library.id_to_token(i) or "") for i in range(library.get_vocab_size()))
+            self.pieces = [t.encode() if i in special else bytes(alphabet[c] for c in t) for i, t in tokens]
         self.starts = np.array([safe_start("a", chr(p[0])) if p else False for p in self.pieces])
         self.solid = np.array([safe_start(chr(p[-1]), " ") if p else False for p in self.pieces])
-        self.fast = self._ranked(path, special)
-        if self.fast is not None:
-            self.library = None  # loaded again only if it is needed; a worker holds one of the two
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
-        self.held = 0
+        self.held = self.asked = self.met = 0
 
     def _library(self):
         if self.library is None:
@@ -77,29 +83,26 @@ class Codec:
             self.library.no_padding()
         return self.library
 
-    def _ranked(self, path: str, special: set[int]):
-        import tiktoken
-
-        parts = json.loads(Path(path).read_text(encoding="utf-8"))
+    @staticmethod
+    def _ranks(parts: dict, added: dict[str, int]) -> dict[bytes, int] | None:
+        """The bytes of each token and its id, if tiktoken gives the same ids as the file's own rules; else None."""
         model, split = parts["model"], parts["pre_tokenizer"] or {}
         plain = model["type"] == "BPE" and not parts["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", [])]
-        if not plain or [model["vocab"].get(m.replace(" ", "")) for m in merges] != list(range(256, 256 + len(merges))):
+        merges = (m if isinstance(m, str) else " ".join(m) for m in model.get("merges", []))
+        if not plain or any(model["vocab"].get(m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)):
             return None
-        added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"]):
             return None
-        ranks = {p: i for i, p in enumerate(self.pieces) if i not in special}
-        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        alphabet, special = byte_alphabet(), set(added.values())
+        return {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if i not in special}
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:
             try:
                 return self.fast.encode_to_numpy(text, allowed_special="all")
-            except Exception as e:  # its pattern engine gives up on very long runs
-                if "StackOverflow" not in str(e) and "backtrack" not in str(e).lower():
-                    raise
+            except ValueError:  # its pattern engine gives up on very long runs
+                pass
         return np.array(self._library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def text(self, ids: np.ndarray) -> str:
@@ -108,6 +111,7 @@ class Codec:
     def learn(self, chunks: set[str]) -> dict[str, np.ndarray]:
         """The ids of all these chunks; those not in the cache are encoded."""
         known = {c: x for c in chunks if (x := self.young.get(c, self.old.get(c))) is not None}
+        self.asked, self.met = self.asked + len(chunks), self.met + len(known)
         fresh = [c for c in chunks if c not in known]
         for c in fresh:
             known[c] = self.encode(c)
@@ -208,7 +212,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
         own = codec(path)
         for batch in batches:
             raw, offsets = strings(batch.column(batch.num_columns - 1))
-            for lo, hi in cuts(offsets):
+            for lo, hi in cuts(offsets, PIECE):
                 rows = own.encode_rows(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 columns = [*batch.slice(lo, hi - lo).columns[:-1], _blobs([x.tobytes() for x in rows], pa.binary())]
                 if decoded:
@@ -216,9 +220,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
 
     added = [ids, decoded] if decoded else [ids]
-    kept = [c for c in docs.columns if c not in added]
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(b"").alias(ids), *([F.lit("").alias(decoded)] if decoded else [])).schema
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias(spare)).mapInArrow(run, schema)
+    columns = named(docs, *added)
+    kept = docs.select(*columns).columns
+    schema = docs.select(*columns, F.lit(b"").alias(ids), *([F.lit("").alias(decoded)] if decoded else [])).schema
+    return in_arrow(docs.select(*columns, F.col(text).cast("string").alias(spare)), run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -234,11 +239,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
                 texts = [own.text(np.frombuffer(x, np.uint32)).encode() if x else b"" for x in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, size).columns[:-1], _blobs(texts, pa.string())], names=[*kept, text])
 
-    kept = [c for c in encoded.columns if c != text]
-    schema = encoded.select(*(F.col(f"`{c}`") for c in kept), F.lit("").alias(text)).schema
-    return encoded.select(*(F.col(f"`{c}`") for c in kept), F.col(ids).alias("_ids_to_decode")).mapInArrow(run, schema)
+    columns = named(encoded, text)
+    kept = encoded.select(*columns).columns
+    schema = encoded.select(*columns, F.lit("").alias(text)).schema
+    return in_arrow(encoded.select(*columns, F.col(ids).alias("_ids_to_decode")), run, schema)
 
 
 def n_tokens(ids: str = "ids"):
-    """Number of ids in a packed column."""
+    """Number of ids in a packed column; 0 for null."""
     return (F.coalesce(F.octet_length(F.col(ids)), F.lit(0)) / 4).cast("long")

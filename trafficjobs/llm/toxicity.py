@@ -3,8 +3,8 @@
 The lexicon holds whole words and word stems whose document frequencies differ between toxic and clean labelled texts. Its
 trie is intersected once with the automaton that allows one edit in terms of FUZZY_FROM letters and more, and made
 deterministic; the table then runs over all words of a batch at once. Around each hit a window of CONTEXT code points tells
-quotation (quote marks on both sides, a reporting verb) from address (second person), and a logistic model over sums per
-document gives the score.
+quotation (a quote mark that opens before it and closes after it, a reporting verb) from address (second person), and a
+logistic model over sums per document gives the score.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import heapq
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficjobs.llm.common import code_points, cuts, materialize
+from trafficjobs.llm.common import code_points, cuts, fresh, in_arrow, materialize, named
 
 #: Labelled rows that the model is fitted on at most: those of the smallest hashes of doc_id.
 FIT_ROWS = 8_000
@@ -30,11 +30,26 @@ FIT_ROWS = 8_000
 LEAST_TEXTS, LEAST_ODDS, STRONG_ODDS, STEM = 6, 3.0, 5.0, 5
 CONTEXT, FUZZY, FUZZY_FROM = 60, 0.6, 5
 REJECT = 0.7
-# Marks and words that tell quotation and address.
-QUOTES = frozenset("\"“”„«»‹›‘’")
+#: Different names that a task counts before it hands its counts on.
+NAMES = 100_000
+# Opening quote marks with what closes them, and words that tell quotation and address.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’", "‚": "‘’"}
 REPORTING = frozenset("said says wrote writes quoted quote called reported dit écrit sagte schrieb zitiert dijo escribió".split())
 ADDRESS = frozenset("you your yours youre du dich dein tu te toi vous usted ti".split())
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Quote marks, but for those between letters, which are apostrophes.
+_MARKS = re.compile(r"[\"“”„«»‹›‘‚]|(?<![^\W\d_])’|’(?![^\W\d_])")
+
+
+def quoted(before: str, after: str) -> bool:
+    """Whether a quote mark is open at the end of before that is closed in after."""
+    opened = ""
+    for mark in _MARKS.findall(before):
+        if opened:
+            opened = "" if mark in QUOTES[opened] else opened
+        else:
+            opened = mark if mark in QUOTES else ""
+    return bool(opened) and any(mark in QUOTES[opened] for mark in _MARKS.findall(after))
 
 
 class Automaton:
@@ -158,8 +173,7 @@ class Scorer:
                 continue
             before, after = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
             near = {w.lower() for w in _WORDS.findall(before[-30:] + " " + after[:30])}
-            quoted = (any(c in QUOTES for c in before) and any(c in QUOTES for c in after)) + bool(near & REPORTING)
-            found[row].append((a, b, k, e, int(quoted), int(bool(near & ADDRESS))))
+            found[row].append((a, b, k, e, quoted(before, after) + bool(near & REPORTING), int(bool(near & ADDRESS))))
         for row, hits in enumerate(found):
             if hits:
                 strength = [self.odds[k] * FUZZY**e for _, _, k, e, _, _ in hits]
@@ -184,13 +198,19 @@ def _candidates(text: str) -> set[str]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = Counter(), Counter()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for k in (0, 1):
+            of = [pa.array(list(counts[k].values()), pa.int64()), pa.array([0] * len(counts[k]), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts[k]), pa.string()), of[1 - k], of[k]], names=["term", "toxic", "clean"])
+            counts[k].clear()
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[toxic].update(_candidates(text))
-    names = list(counts[0].keys() | counts[1].keys())
-    for lo in range(0, len(names), 50_000):
-        part = names[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[k][n] for n in part], pa.int64()) for k in (1, 0))], names=["term", "toxic", "clean"])
+            if len(counts[0]) + len(counts[1]) > NAMES:
+                yield from rows()
+    yield from rows()
 
 
 def _presence(names: frozenset):
@@ -282,30 +302,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model()
-    terms = sample.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    terms = in_arrow(sample, _counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(n_toxic) - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (F.lit(n_clean) - F.col("clean") + 0.5))
     best = terms.where(F.col("toxic") >= min(LEAST_TEXTS, max(2, n_toxic // 4))).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     names = frozenset(r.term for r in best.collect())
-    presence = sample.mapInArrow(_presence(names), "toxic int, terms array<string>").collect()
+    presence = in_arrow(sample, _presence(names), "toxic int, terms array<string>").collect()
     chosen = _chosen(presence, n_toxic, n_clean)
     model = Model([(t.rstrip("*"), t.endswith("*")) for t, _ in chosen], [o for _, o in chosen], loose_stems=True)
-    seen = sample.mapInArrow(_featured(model), "toxic int, x array<double>, forms array<string>")
+    seen = in_arrow(sample, _featured(model), "toxic int, x array<double>, forms array<string>")
     # misspelt forms that clean texts use as well are words of their own
     forms = seen.select("toxic", F.explode("forms").alias("form")).groupBy("form").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
     model.harmless = frozenset(r.form for r in forms.where((F.col("n") - F.col("toxic") >= 2) & (F.col("toxic") < 3 * (F.col("n") - F.col("toxic")))).collect())
-    seen = sample.mapInArrow(_featured(model), "toxic int, x array<double>, forms array<string>").select("toxic", "x").collect()
+    seen = in_arrow(sample, _featured(model), "toxic int, x array<double>, forms array<string>").select("toxic", "x").collect()
     model.weights = _logistic(np.array([r.x for r in seen]), np.array([r.toxic for r in seen], dtype=float))
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, added: Sequence[str] = ("toxic_score", "n_hits", "n_quoted")) -> DataFrame:
     """docs with toxic_score (0 to 1), n_hits and n_quoted; columns of these names are replaced, the others stay.
 
     Null and empty texts have no hits and the score of a text without hits.
     """
-    added = ["toxic_score", "n_hits", "n_quoted"]
-    kept = [c for c in docs.columns if c not in added]
-    columns = [F.col(f"`{c}`") for c in kept]
+    columns = named(docs, *added)
+    kept = docs.select(*columns).columns
     schema = docs.select(*columns, F.lit(0.0).alias(added[0]), F.lit(0).cast("long").alias(added[1]), F.lit(0).cast("long").alias(added[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,9 +337,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [*batch.slice(lo, hi - lo).columns[:-1], pa.array(scorer.score(rows)), pa.array([len(h) for h in found], pa.int64()), pa.array([sum(x[4] > 0 for x in h) for h in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
 
-    return docs.select(*columns, F.col("text").cast("string").alias("_text_to_score")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*columns, F.col("text").cast("string").alias("_text_to_score")), run, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, least: float = REJECT) -> DataFrame:
-    """docs without those of toxic_score >= least; columns stay."""
-    return score(docs, fit(docs, labels)).where(F.col("toxic_score") < least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without those of toxic_score >= least; columns stay, also ones of the names that score adds. Rows are judged one by one,
+    repeated ones alike; null and empty texts have no hits. An empty table gives an empty result."""
+    names = fresh(docs, "toxic_score", "n_hits", "n_quoted")
+    return score(docs, fit(docs, labels), names).where(F.col(names[0]) < least).select(*named(docs))
