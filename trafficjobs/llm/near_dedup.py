@@ -5,11 +5,12 @@ count (6 bits) and the next bits (10) of its smallest hash. In large sets seven
 element. In small sets, which would leave most of those registers empty and bands that hang on one shared line, every
 element is hashed anew for each register. Sets of middle size have both sketches, so that similar sets share a kind.
 
-Four registers make one band of 64 bits, so the bands are the compressed registers themselves. Texts of equal sets are
-collapsed first; in every band bucket each text is compared with one centre, chosen by hash, which links a large group of
-copies without forming its pairs; what then still lies in one bucket but in different components is compared pair by pair,
-estimated inside the join by a finer sketch too. Pairs whose collision-corrected Jaccard estimate is not more than five
-deviations under the threshold are verified on the full sets.
+Four registers make one band of 64 bits, so the bands are the compressed registers themselves. Equal sets are one node of the
+graph, whatever ids their rows have. In every band bucket each node is compared with one centre, chosen by hash, which links
+a large group of copies without forming its pairs; what then still lies in one bucket but in different components is compared
+pair by pair, estimated inside the join by a finer sketch too, and buckets with many such pairs are dealt to several tasks.
+Pairs whose collision-corrected Jaccard estimate is not more than five deviations under the threshold are verified on the
+full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficjobs.llm.common import cuts, materialize, mix, small, strings
+from trafficjobs.llm.common import cuts, in_arrow, materialize, mix, named, small, strings
 from trafficjobs.llm.shingles import shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS, PER_BAND = 7, 10, 4
@@ -38,8 +39,8 @@ DEVIATIONS = 5.0
 FINE, FINE_ROUNDS = 1024, 64
 #: Bytes of text that a worker sketches at once.
 PIECE = 400_000
-#: Edges that one task handles.
-PART = 250_000
+#: Edges that one task handles, and pairs of one bucket.
+PART, PAIRS = 250_000, 1_000_000
 
 
 def _code(smallest: np.ndarray) -> np.ndarray:
@@ -89,43 +90,44 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prints(hashes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two sums of 64 bits over each set, which with its size tell sets apart."""
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(salt)), dtype=np.uint64))) for salt in (0x51ED, 0xA5A5F00D)]
+    return [(x[ends[1:]] - x[ends[:-1]]).view(np.int64) for x in sums]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]):
+    """Ids, shingle hashes and their offsets, piece by piece."""
     for batch in batches:
         raw, offsets = strings(batch.column(1))
         for lo, hi in cuts(offsets, PIECE):
-            hashes, ends = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            sums = [np.concatenate(([0], np.cumsum(mix(hashes ^ np.uint64(salt))))).astype(np.uint64) for salt in (0x51ED, 0xA5A5F00D)]
-            s1, s2 = (x[ends[1:]] - x[ends[:-1]] for x in sums)
-            n = np.diff(ends)
-            small_ones, large_ones = _some(hashes, ends, (n > 0) & (n < FEW), rehashed), _some(hashes, ends, n >= LARGE, bucketed)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[lo:hi], pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), small_ones, large_ones],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands", "wide"],
-            )
+            yield batch.column(0)[lo:hi], *shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, hashes, ends in _pieces(batches):
+        n = np.diff(ends)
+        small_ones, large_ones = _some(hashes, ends, (n > 0) & (n < FEW), rehashed), _some(hashes, ends, n >= LARGE, bucketed)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), *map(pa.array, prints(hashes, ends)), small_ones, large_ones], names=["doc_id", "n_shingles", "s1", "s2", "bands", "wide"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = strings(batch.column(1))
-        for lo, hi in cuts(offsets, PIECE):
-            hashes, ends = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _lists(hashes, ends)], names=["doc_id", "grams"])
+    for ids, hashes, ends in _pieces(batches):
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends)), *map(pa.array, prints(hashes, ends)), _lists(hashes, ends)], names=["doc_id", "n_shingles", "s1", "s2", "grams"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sketches of FINE registers of one byte for the pairs that the bands leave: FINE_ROUNDS hashes of each element, eight bits of each smallest."""
     shift = np.uint64(64 - FINE.bit_length() + 1)
-    for batch in batches:
-        raw, offsets = strings(batch.column(1))
-        for lo, hi in cuts(offsets, PIECE):
-            hashes, ends = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            cell = np.repeat(np.arange(hi - lo) * FINE, np.diff(ends))
-            least = np.full((hi - lo) * FINE, np.iinfo(np.uint64).max)
-            for j in range(FINE_ROUNDS):
-                x = mix(hashes ^ _SALTS[0, j])
-                np.minimum.at(least, cell + (x >> shift).astype(np.int64), x * _SALTS[1, j])
-            code = (mix(least) >> np.uint64(56)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _lists(code.view(np.int64), np.arange(hi - lo + 1) * (FINE // 8))], names=["doc_id", "fine"])
+    for ids, hashes, ends in _pieces(batches):
+        rows = len(ends) - 1
+        cell = np.repeat(np.arange(rows) * FINE, np.diff(ends))
+        least = np.full(rows * FINE, np.iinfo(np.uint64).max)
+        for j in range(FINE_ROUNDS):
+            x = mix(hashes ^ _SALTS[0, j])
+            np.minimum.at(least, cell + (x >> shift).astype(np.int64), x * _SALTS[1, j])
+        code = (mix(least) >> np.uint64(56)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends)), *map(pa.array, prints(hashes, ends)), _lists(code.view(np.int64), np.arange(rows + 1) * (FINE // 8))], names=["doc_id", "n_shingles", "s1", "s2", "fine"])
 
 
 def _unequal(x: Column, y: Column, width: int) -> Column:
@@ -189,81 +191,108 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if len(hooks) == 1 else materialize(labels, "labels")
 
 
-class _Sets:
-    """Full shingle sets of the texts that candidate pairs name."""
+KEY = ["s1", "s2", "n_shingles"]
+
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
+class _Texts:
+    """What is computed again from the texts of chosen nodes. nodes has node, doc_id and KEY of each set."""
 
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """The documents of these ids."""
-        return self.docs.join(small(materialize(ids.distinct(), "ids")), "doc_id", "left_semi")
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self.docs, self.nodes = docs, nodes
+
+    def of(self, chosen: DataFrame, function, column: str) -> DataFrame:
+        """node and what the function gives as that column for the distinct nodes of chosen."""
+        wanted = materialize(self.nodes.join(small(materialize(chosen.distinct(), "chosen")), "node", "left_semi").select("node", "doc_id", *KEY), "wanted")
+        # a doc_id may have rows of several texts, and several rows of one text
+        texts = self.docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+        made = in_arrow(texts, function, f"doc_id long, n_shingles long, s1 long, s2 long, {column} array<long>")
+        made = materialize(made.join(small(wanted), ["doc_id", *KEY]).select("node", column), column)
+        if made.count() > wanted.count():  # only then are there repeated rows
+            made = materialize(made.groupBy("node").agg(F.first(column).alias(column)), column)
+        return made
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold."""
-        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-        sets = materialize(texts.mapInArrow(_sets, "doc_id long, grams array<long>"), "sets")
-        left, right = (sets.select(F.col("doc_id").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
+        sets = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")), _sets, "grams")
+        left, right = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
         both = pairs.join(right, "b").join(left, "a")
         common, total = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
         return both.select("a", "b", common.alias("n"), total.alias("m")).where(F.col("n") * AT_LEAST[1] >= (F.col("m") - F.col("n")) * AT_LEAST[0]).select("a", "b").distinct()
 
 
+def _of_one_id(real: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between the sets of rows that share a doc_id."""
+    ends = [f(k).alias(f"{name}_{k}") for k in ("s1", "s2") for name, f in (("lo", F.min), ("hi", F.max))]
+    several = real.groupBy("doc_id").agg(*ends).where("lo_s1 <> hi_s1 or lo_s2 <> hi_s2").select("doc_id")
+    held = real.join(small(materialize(several, "several")), "doc_id", "left_semi").select("doc_id", *KEY).distinct().join(nodes.select("node", *KEY), KEY)
+    held = materialize(held.select("doc_id", "node"), "held")
+    return held.join(held.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
-    Null and empty texts and texts without words have the empty set and no link. Rows that repeat a doc_id are one node.
-    A null doc_id gets a null component and is kept. An empty table gives an empty result.
+    Null and empty texts and texts without words have the empty set and no link. Rows that repeat a doc_id are one document:
+    each of its texts links it. A null doc_id gets a null component, is kept and links nothing. An empty table gives an
+    empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signed, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, wide array<long>"), "signed")
+    signed = materialize(in_arrow(docs, _signed, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, wide array<long>"), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    kinds = ["s1", "s2", "n_shingles"]
-    groups = materialize(real.groupBy(*kinds).agg(F.min("doc_id").alias("rep")), "groups")
-    # texts of equal sets share all registers: one of them stands for all
-    reps = real.join(groups, kinds).where("doc_id = rep").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("wide").alias("wide"))
-    reps = materialize(reps, "reps")
+    # equal sets share all registers; the numbers of nodes are fixed once they are written
+    groups = real.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("wide").alias("wide"))
+    nodes = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     none = F.array_repeat(F.lit(-1).cast("long"), BUCKETS // PER_BAND)
-    banded = reps.select("doc_id", F.posexplode(F.concat(F.coalesce("bands", none), F.coalesce("wide", none))).alias("band", "key")).where("key <> -1")
-    banded = banded.select("doc_id", "band", F.xxhash64("band", "key").alias("k"))
-    buckets = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "k")).alias("centre")).where("n > 1").drop("n")
+    banded = nodes.select("node", F.posexplode(F.concat(F.coalesce("bands", none), F.coalesce("wide", none))).alias("band", "key")).where("key <> -1")
+    banded = banded.select("node", "band", F.xxhash64("band", "key").alias("k"))
+    buckets = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "k")).alias("centre")).where("n > 1")
     spots = materialize(banded.join(buckets, "k"), "spots")
 
-    signs = lambda k, as_: reps.select(F.col("doc_id").alias(k), F.col("bands").alias(f"bands_{as_}"), F.col("wide").alias(f"wide_{as_}"))
-    full = _Sets(docs)
-    star = spots.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    signs = lambda k, as_: nodes.select(F.col("node").alias(k), F.col("bands").alias(f"bands_{as_}"), F.col("wide").alias(f"wide_{as_}"))
+    texts = _Texts(docs, nodes)
+    star = spots.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     star = star.join(signs("a", "a"), "a").join(signs("b", "b"), "b").where(plausible("a", "b")).select("a", "b")
-    labels = components(full.links(materialize(star, "star")))
+    labels = components(texts.links(materialize(star, "star")).unionByName(_of_one_id(real, nodes)))
 
     # pairs of one bucket that no centre has joined
-    placed = spots.where("doc_id <> centre").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    placed = spots.where("node <> centre").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = placed.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre"))
     placed = materialize(placed, "placed")
-    apart = placed.where("label <> main")
-    open_ = materialize(placed.join(apart.groupBy("k").agg(F.count(F.lit(1)).alias("strays")), "k"), "open")
-    fine = materialize(full.texts(open_.select("doc_id")).mapInArrow(_fine, "doc_id long, fine array<long>").groupBy("doc_id").agg(F.first("fine").alias("fine")), "fine")
-    told = open_.join(signs("doc_id", "x"), "doc_id").join(fine, "doc_id")
-    stray = told.where("label <> main").select("k", "band", F.col("doc_id").alias("x"), F.col("label").alias("label_x"), "bands_x", "wide_x", F.col("fine").alias("fine_x"))
-    held = told.select("k", F.col("doc_id").alias("y"), F.col("label").alias("label_y"), "main", F.col("bands_x").alias("bands_y"), F.col("wide_x").alias("wide_y"), F.col("fine").alias("fine_y"))
+    apart = placed.where("label <> main").groupBy("k").agg(F.count(F.lit(1)).alias("strays"))
+    open_ = materialize(placed.join(apart, "k").withColumn("parts", F.ceil(F.col("strays") * F.col("n") / PAIRS).cast("int")), "open")
+    fine = texts.of(open_.select("node"), _fine, "fine")
+    told = open_.join(signs("node", "x"), "node").join(fine, "node")
+    # the strays of a bucket with many pairs are dealt to parts, each of which meets the whole bucket
+    stray = told.where("label <> main").select("k", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "band", F.col("node").alias("x"), F.col("label").alias("label_x"), "bands_x", "wide_x", F.col("fine").alias("fine_x"))
+    held = told.select(
+        F.col("k").alias("k_y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_y"), F.col("node").alias("y"), F.col("label").alias("label_y"), "main",
+        F.col("bands_x").alias("bands_y"), F.col("wide_x").alias("wide_y"), F.col("fine").alias("fine_y"),
+    )
     fits = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("x") < F.col("y")))
     # a pair counts in the first bucket it shares; if one of the two is the centre there, they have been compared
     fits &= (first_shared("x", "y") == F.col("band") + 1) & plausible("x", "y") & _allows(F.col("fine_x"), F.col("fine_y"), FINE, 8, 1 / 256)
-    rest = stray.join(held, (stray.k == held.k) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = full.links(materialize(rest, "rest"))
+    rest = stray.join(held, (F.col("k") == F.col("k_y")) & (F.col("part") == F.col("part_y")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = texts.links(materialize(rest, "rest"))
     of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
     more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-    joined = components(more).select(F.col("node").alias("rep"), F.col("label").alias("last"))
-
-    labels = labels.withColumnRenamed("node", "rep")
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(groups, kinds, "left").join(labels, "rep", "left")
-    out = out.withColumn("rep", F.coalesce("label", "rep")).join(joined, "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("last", "rep", "doc_id").alias("component_id"))
+    joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("last"))
+
+    # each set gets its component, then the rows of sets that are not alone get their set's
+    labels = labels.join(small(joined), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    told = materialize(nodes.select("node", "doc_id", "rows", *KEY).join(small(materialize(labels, "labelled")), "node", "left"), "told")
+    least = materialize(told.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
+    told = told.join(small(least), "label", "left").where("label is not null or rows > 1").select(*KEY, F.coalesce("least", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", *KEY).join(small(materialize(told, "components")), KEY, "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows of near-duplicate groups but each group's smallest doc_id; columns and order of columns stay."""
+    """docs without the rows of near-duplicate groups but each group's smallest doc_id; columns and order of columns stay.
+
+    Rows that repeat the kept doc_id all stay, as do rows without words or with a null doc_id.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     gone = materialize(gone, "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*named(docs))
