@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficjobs.llm.common import materialize, small
+from trafficjobs.llm.common import materialize, named, small
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers; at it two fingerprints differ in 11 bits on average, with a deviation of 3.
@@ -93,13 +93,15 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # starts of windows with enough places hit: from any `need` neighbouring hits that lie in one window
     hits = hits.withColumns({"w": F.least("m", "n")}).withColumn("need", F.ceil((F.col("m") + F.col("w")) * F.lit(AT_LEAST[0]) / F.lit(AT_LEAST[0] + AT_LEAST[1])).cast("int")).where(F.size("at") >= F.col("need"))
     run = F.filter(F.sequence(F.lit(1), F.size("at") - F.col("need") + 1), lambda i: F.element_at("at", i + F.col("need") - 1) - F.element_at("at", i) < F.col("w"))
-    starts = F.transform(run, lambda i: F.sequence(F.greatest(F.lit(0), F.element_at("at", i + F.col("need") - 1) - F.col("w") + 1), F.least(F.element_at("at", i), F.col("n") - F.col("w"))))
-    dense = hits.select("doc_id", "t", "m", "w", F.array_distinct(F.flatten(starts)).alias("starts")).where(F.size("starts") > 0)
-    dense = materialize(dense, "dense")
+    # the starts that cover each run of hits; both ends only grow, so what an interval shares with the one before is left out of it
+    spans = F.transform(run, lambda i: F.struct(F.greatest(F.lit(0), F.element_at("at", i + F.col("need") - 1) - F.col("w") + 1).alias("lo"), F.least(F.element_at("at", i), F.col("n") - F.col("w")).alias("hi")))
+    own = F.transform(F.array(spans), lambda all_: F.transform(all_, lambda s, k: F.struct(F.when(k > 0, F.greatest(s["lo"], F.get(all_, k - 1)["hi"] + 1)).otherwise(s["lo"]).alias("lo"), s["hi"].alias("hi"))))
+    dense = hits.select("doc_id", "t", "m", "w", F.explode(F.flatten(own)).alias("s")).where("s.lo <= s.hi")
+    dense = materialize(dense.select("doc_id", "t", "m", "w", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi")), "dense")
 
     held = texts.withColumn("t", F.xxhash64("text")).join(small(dense.select("doc_id", "t").distinct()), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
     held = materialize(held.select("doc_id", "t", shingles(F.col("text")).alias("grams")), "held")
-    windows = dense.join(held, ["doc_id", "t"]).select("doc_id", "t", "m", "w", "grams", F.explode("starts").alias("start"))
+    windows = dense.join(held, ["doc_id", "t"]).select("doc_id", "t", "m", "w", "grams", F.explode(F.sequence("lo", "hi")).alias("start"))
     windows = windows.select("doc_id", "t", "m", "start", F.slice(F.col("grams"), F.col("start") + 1, F.col("w")).alias("window"))
     # the print of equal windows, as copies have them, is computed once
     distinct = materialize(windows.withColumn("key", F.xxhash64("window")), "windows")
@@ -120,4 +122,4 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold an item; columns stay, and rows with a null doc_id."""
     gone = materialize(find(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.join(small(gone), "doc_id", "left_anti").select(*named(docs))
