@@ -1,9 +1,9 @@
 """Language identification by nearest centroid.
 
 Letter n-grams of one to three code points, with word edges, are hashed to DIMENSIONS columns; document frequencies are
-counted over all texts with a language to learn from. Texts become normalised TF-IDF vectors. Each language has up to
-CENTROIDS centroids from spherical k-means over a bounded sample. A text gets the language of the centroid of greatest
-cosine; it is rejected where that cosine is under what nearly all sample texts of the language reach.
+counted over all texts with a language to learn from. Texts become normalised TF-IDF vectors. Every value of lang has up to
+CENTROIDS centroids from spherical k-means over a bounded sample, fitted in one task for each. A text gets the language of
+the centroid of greatest cosine; it is rejected where that cosine is under what nearly all sample texts of the language reach.
 """
 
 from __future__ import annotations
@@ -12,16 +12,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from trafficjobs.llm.common import code_points, cuts, materialize, mix
+from trafficjobs.llm.common import code_points, cuts, in_arrow, materialize, mix, named, small
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 3, 12
-#: Sample texts of each language at most, of the smallest hashes, for the centroids; and languages at most.
-FIT_ROWS, LANGUAGES = 400, 200
+#: Sample texts of each language at most, of the smallest hashes, for the centroids.
+FIT_ROWS = 400
 #: Share of a language's sample texts that may lie beyond its rejection distance, and how much further it is set.
 OUTSIDE, SLACK = 0.01, 0.8
 
@@ -127,33 +129,35 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """Learn from text and lang of the rows not held out; None if there are none. Frequencies are of all those rows, centroids of a sample."""
+    """Learn every language from text and lang of the rows not held out; None if there are none.
+
+    Frequencies are of all those rows, repeated ones too; centroids are of a sample of each language, in which equal texts
+    count once. Null texts and languages teach nothing.
+    """
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id").where("lang is not null and text is not null").where(~held_out())
-    found = {r.gram: r.n for r in known.select("text").mapInArrow(_frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not found or not sizes:
+    found = {r.gram: r.n for r in in_arrow(known.select("text"), _frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    if not found:
         return None
     idf = np.log((1 + found[-1]) / (1 + np.array([found.get(g, 0) for g in range(DIMENSIONS)]))) + 1
-    # a share by hash that gives somewhat more than the bound, which is then cut to it
-    share = F.create_map(*(F.lit(v) for r in sizes for v in (r.lang, min(1.0, 1.3 * rows / r["count"] + 20 / r["count"]))))
-    spot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    sample = known.where(spot < share[F.col("lang")]).select("lang", "text")
-    sample = materialize(sample.mapInArrow(_counted, "lang string, counts binary"), "lang-sample").distinct()
-    names, centroids, least = [], [], []
-    model = Model(idf, names, np.zeros((0, DIMENSIONS)), np.zeros(0))
-    for r in sizes:
-        got = sample.where(F.col("lang") == r.lang).orderBy(F.xxhash64("counts")).limit(rows).collect()
-        if not got:
-            continue
-        x = model.vectors(np.stack([np.frombuffer(g["counts"], np.float32) for g in got]).astype(np.float64))
+    # the rows of the smallest hashes; texts follow only for them
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.select("lang", "doc_id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows).select("lang", "doc_id").distinct()
+    sample = known.join(small(materialize(chosen, "lang-rows")), ["lang", "doc_id"], "left_semi").select("lang", "text")
+    sample = materialize(in_arrow(sample, _counted, "lang string, counts binary").distinct(), "lang-sample")
+    model = Model(idf, [], np.zeros((0, DIMENSIONS)), np.zeros(0))
+
+    def centred(group: pd.DataFrame) -> pd.DataFrame:
+        x = model.vectors(np.stack([np.frombuffer(c, np.float32) for c in sorted(group["counts"])]).astype(np.float64))
         centres = _clusters(x, CENTROIDS)
         bound = SLACK * float(np.quantile((x @ centres.T).max(axis=1), OUTSIDE))
-        names += [r.lang] * len(centres)
-        centroids.append(centres)
-        least += [bound] * len(centres)
-    if not names:
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "least": bound, "at": range(len(centres))})
+
+    centres = sample.groupBy("lang").applyInPandas(centred, "lang string, centre binary, least double, at int")
+    ranks = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = centres.join(ranks, "lang").orderBy(F.desc("n"), "lang", "at").collect()
+    if not found:
         return None
-    return Model(idf, names, np.concatenate(centroids), np.array(least))
+    return Model(idf, [r.lang for r in found], np.stack([np.frombuffer(r.centre) for r in found]), np.array([r.least for r in found]))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -163,8 +167,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     the language with more texts. Columns of these names are replaced, the others stay.
     """
     added = ["lang_pred", "lang_score", "lang_rejected"]
-    kept = [c for c in docs.columns if c not in added]
-    columns = [F.col(f"`{c}`") for c in kept]
+    columns = named(docs, *added)
+    kept = docs.select(*columns).columns
     schema = docs.select(*columns, F.lit("").alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(False).alias(added[2])).schema
     if model is not None:
         languages = list(dict.fromkeys(model.names))
@@ -192,4 +196,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = batch.slice(at, len(texts)).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, *added])
 
-    return docs.select(*columns, F.col("text").cast("string").alias("_text_to_place")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*columns, F.col("text").cast("string").alias("_text_to_place")), run, schema)
