@@ -6,35 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficjobs.llm import bpe, decontaminate, near_dedup, pii, toxicity
-from trafficjobs.llm.common import materialize
+from trafficjobs.llm.common import fresh, materialize, named
 from trafficjobs.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is at least the rejection threshold go."""
+    """Documents whose toxicity score is at least the rejection threshold go. Null and empty texts stay, columns too, whatever their names."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
+    """One document of each near-duplicate group stays, that of the smallest doc_id. Texts without words and rows without doc_id stay."""
     return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts and rows without doc_id stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and terms that disclose it are replaced by their kind; n_chars follows the text."""
+    """Personal data and terms that disclose it are replaced by their kind; n_chars follows the text. No row goes, null texts stay null."""
     out = pii.redact(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else q for c, q in zip(out.columns, named(out))))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, packed as little-endian unsigned 32-bit integers, their number, and whether decoding gives the text back."""
-    coded = bpe.encode(docs, tokenizer_path(), decoded="decoded")
-    return coded.select(*docs.columns, bpe.n_tokens().alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    """Token ids of each text, packed as little-endian unsigned 32-bit integers, their number, and whether decoding gives the text back.
+
+    They are called ids, n_tokens and exact and replace columns of these names; the other columns stay. A null text has no
+    ids and is exact.
+    """
+    docs = docs.select(*named(docs, "ids", "n_tokens", "exact"))
+    (decoded,) = fresh(docs, "decoded")
+    coded = bpe.encode(docs, tokenizer_path(), decoded=decoded)
+    return coded.select(*named(docs), bpe.n_tokens().alias("n_tokens"), "ids", (F.col(decoded) == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
 STAGES = [
@@ -50,6 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Every stage takes empty tables, extra columns, repeated rows and very long texts as its docstring says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
