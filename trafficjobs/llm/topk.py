@@ -1,10 +1,14 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists, block by block.
 
 A block of base vectors has one list for each dimension, sorted by component. A query reads its lists from the top where its
-own component is positive and from the bottom where it is negative, all to the same depth. What it has read bounds every
-vector: the lower bound takes the list's other end for what is unread, the upper bound the list's frontier. When k lower
-bounds reach the upper bound of every other vector, reading ends, and the scores of what can still be among the first k are
-resolved. Many queries read at once: masked components times queries are matrix products.
+own component is positive and from the bottom where it is negative, round by round to a greater depth. The component of a
+vector in a list that has not come to it is at most the list's frontier, which gives its upper bound: the product with the
+components clamped to the frontiers. The leading vectors get lower bounds from what was read of them: what is unread is at
+least the list's other end, and at least minus the product of the unread norms. Once the k-th best lower bound, or the k-th
+score that earlier blocks are known to give, leaves few vectors whose upper bound reaches it, reading ends and the scores of
+these are resolved. Queries read in batches, so that a round is one matrix product.
+
+The first block of all gives each query a k-th score, with which it comes to the other blocks.
 """
 
 from __future__ import annotations
@@ -17,118 +21,151 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trafficjobs.llm.common import materialize
+from trafficjobs.llm.common import in_arrow, materialize, small
 
 K, SCALE, EVERY = 5, 256, 50
-BASE_BLOCK, QUERY_BLOCK = 8192, 512
-#: Shares of a list that are read until a round of bounds.
-DEPTHS = (0.08, 0.25, 0.5, 1.0)
+BASE_BLOCK, QUERY_BLOCK = 4096, 512
+#: Shares of a list that are read by the end of each round.
+DEPTHS = (0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 1.0)
+#: Reading ends when at most this share of a block can still qualify.
+FEW = 1 / 8
 
 
-def _pairs(ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
     order = np.lexsort((ids, -scores))[:k]
-    return list(zip(ids[order].tolist(), scores[order].tolist()))
+    return [(int(i), int(s)) for i, s in zip(ids[order], scores[order])]
 
 
-def search(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K) -> list[list[tuple[int, int]]]:
-    """For each query the k best (id, score) of the block but itself, ties to the smaller id. base and queries are integers."""
-    n, _ = base.shape
-    biggest = float(np.abs(base).max(initial=0)) * float(np.abs(queries).max(initial=0)) * base.shape[1]
+def _lower(rows: np.ndarray, q: np.ndarray, top: np.ndarray, bottom: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Lower bounds of some vectors for each query: of each component only what lies beyond the frontier of its list is known."""
+    q = q[:, None, :]
+    known = np.where(q > 0, rows >= top, rows <= bottom) | (q == 0)
+    seen = (np.where(known, rows, 0) * q).sum(axis=2)
+    ends = np.where(known, 0, np.where(q > 0, low, high) * q).sum(axis=2)
+    norms = (np.where(known, 0, rows) ** 2).sum(axis=2) * (np.where(known, 0, q) ** 2).sum(axis=2)
+    return np.maximum(seen + ends, seen - np.sqrt(norms.astype(np.float64)) * (1 + 1e-9)) - np.abs(seen) * 1e-12
+
+
+def search(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, floors: np.ndarray | None = None) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+    """For each query the k best (id, score) of the block but itself, ties to the smaller id, and the entries read of its lists.
+
+    base and queries are integers. What scores less than a query's floor may be left out.
+    """
+    n, d = base.shape
+    biggest = float(np.abs(base).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d
     kind = np.float64 if biggest < 2**52 else object  # whole numbers stay exact
     base, queries = base.astype(kind), queries.astype(kind)
-    order = np.argsort(base, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    low, high = np.take_along_axis(base, order[:1], 0)[0], np.take_along_axis(base, order[-1:], 0)[0]
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    lists = np.sort(base, axis=0)
+    signed = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1)
+    bound = np.full(len(queries), -np.inf) if floors is None else floors.astype(np.float64)
     found: list = [None] * len(queries)
+    read, leaders = np.zeros(len(queries), dtype=np.int64), min(n, 4 * k + 1)
     active = np.arange(len(queries))
     for share in DEPTHS:
-        depth = min(n, max(k + 1, int(np.ceil(share * n))))
-        top, bottom = rank >= n - depth, rank < depth
-        q_up, q_down = up[active], down[active]
-        # what is read, and for what is not: the frontier above, the other end below
-        seen = (base * top) @ q_up.T + (base * bottom) @ q_down.T
-        frontier_up, frontier_down = base[order[n - depth], np.arange(base.shape[1])], base[order[depth - 1], np.arange(base.shape[1])]
-        unread_up, unread_down = (~top).astype(kind), (~bottom).astype(kind)
-        upper = seen + unread_up @ (q_up * frontier_up).T + unread_down @ (q_down * frontier_down).T
-        lower = seen + unread_up @ (q_up * low).T + unread_down @ (q_down * high).T
+        depth = min(n, max(1, int(np.ceil(share * n))))
+        top, bottom = lists[n - depth], lists[depth - 1]
+        # the upper bounds; at the full depth they are the scores
+        upper = signed[active] @ np.concatenate((np.maximum(base, top), np.minimum(base, bottom)), axis=1).T
+        if depth < n:
+            lead = np.argpartition(-upper, leaders - 1, axis=1)[:, :leaders]
+            lower = _lower(base[lead], queries[active], top, bottom, lists[0], lists[-1])
+            lower[ids[lead] == query_ids[active][:, None]] = -np.inf
+            if leaders >= k:
+                bound[active] = np.maximum(bound[active], np.partition(lower, leaders - k, axis=1)[:, leaders - k])
         still = []
         for j, q in enumerate(active.tolist()):
-            other = np.flatnonzero(ids != query_ids[q])
-            if len(other) <= k or depth == n:
-                can = other
-            else:
-                bound = np.partition(lower[other, j], len(other) - k)[len(other) - k]
-                can = other[upper[other, j] >= bound]
-                if len(can) > max(4 * k, n // 16):
-                    still.append(q)
-                    continue
-            # resolve; candidates with a higher bound equal to the k-th score stay in for the tie on id
-            scores = upper[can, j] if depth == n else base[can] @ queries[q]
-            found[q] = _pairs(ids[can], scores, k)
+            can = np.flatnonzero(upper[j] >= bound[q])
+            if depth < n and len(can) > max(4 * k, FEW * n):
+                still.append(q)
+                continue
+            can = can[ids[can] != query_ids[q]]
+            read[q] = depth * np.count_nonzero(queries[q])
+            found[q] = _best(ids[can], upper[j, can] if depth == n else base[can] @ queries[q], k)
         active = np.array(still, dtype=np.int64)
         if not len(active):
             break
-    return [[(i, int(s)) for i, s in f] for f in found]
+    return found, read
 
 
 def _searched(k: int):
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        return column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                ids, base, query_ids, queries = (batch.column(c).slice(row, 1).flatten() for c in range(4))
-                base_ids, query_ids = ids.to_numpy(zero_copy_only=False), query_ids.to_numpy(zero_copy_only=False)
-                base = base.flatten().to_numpy(zero_copy_only=False).reshape(len(base_ids), -1)
-                queries = queries.flatten().to_numpy(zero_copy_only=False).reshape(len(query_ids), -1)
-                found = search(base_ids, base, query_ids, queries, k)
-                flat = [(q, i, s) for q, f in zip(query_ids.tolist(), found) for i, s in f]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+            for at in range(len(batch)):
+                row = batch.slice(at, 1)
+                ids, query_ids, floors = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 2, 4))
+                base, queries = matrix(row.column(1), len(ids)), matrix(row.column(3), len(query_ids))
+                found, read = search(ids, base, query_ids, queries, k, floors)
+                flat = [(q, i, s, None, None) for q, f in zip(query_ids.tolist(), found) for i, s in f]
+                flat += [(q, None, None, r, base.size) for q, r in zip(query_ids.tolist(), read.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["query_id", "vec_id", "score", "read", "of"])
 
     return run
 
 
-def _blocks(rows: DataFrame, size: int, n: int, names: tuple[str, str, str]) -> DataFrame:
-    """Rows of at most about size vectors; equal ids are dealt by their hash."""
-    count = max(1, -(-n // size))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    return rows.groupBy(block.alias(names[0])).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows")).select(names[0], F.col("rows.vec_id").alias(names[1]), F.col("rows.v").alias(names[2]))
+def _blocks(rows: DataFrame, size: int, name: str, columns: list[str]) -> DataFrame:
+    """w and rows of at most about size vectors of that length, numbered from 0; equal ids are dealt by their hash."""
+    counts = materialize(rows.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")), "widths")
+    dealt = rows.join(small(counts), "w").withColumn(name, F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    return dealt.groupBy("w", name, "blocks").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+
+
+def _scored(vectors: DataFrame, k: int, every: int, scale: int) -> DataFrame:
+    """query_id, vec_id, score of what may be among the best, and a row without vec_id for what each query read of each block."""
+    numbers = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
+    finite = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.where(F.col("vec_id").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("v"))
+    rows = materialize(rows.distinct().withColumn("w", F.size("v")), "vectors")
+    base = materialize(_blocks(rows, BASE_BLOCK, "base_block", ["vec_id", "v"]), "base-blocks")
+    tasks = max(1, base.count())
+
+    def against(asked: DataFrame, blocks: DataFrame, which) -> DataFrame:
+        """Query rows with a floor against the blocks of their length of these numbers, the queries being sent to the blocks."""
+        asked = _blocks(asked, QUERY_BLOCK, "query_block", ["vec_id", "v", "floor"]).withColumnRenamed("blocks", "_own")
+        asked = asked.join(blocks.select("w", "blocks").distinct(), "w").withColumn("base_block", F.explode(which(F.col("blocks"))))
+        left = blocks.select("w", "base_block", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("base")).repartition(tasks, "w", "base_block")
+        right = asked.select("w", "base_block", F.col("rows.vec_id").alias("query_ids"), F.col("rows.v").alias("queries"), F.col("rows.floor").alias("floors")).repartition(tasks, "w", "base_block")
+        pairs = left.join(right, ["w", "base_block"]).select("ids", "base", "query_ids", "queries", "floors")
+        return in_arrow(pairs, _searched(k), "query_id long, vec_id long, score long, read long, of long")
+
+    asked = rows.where(F.col("vec_id") % every == 0)
+    none = F.lit(float("-inf"))
+    first = materialize(against(asked.withColumn("floor", none), base.where("base_block = 0"), lambda n: F.array(F.lit(0))), "first")
+    kth = first.where("vec_id is not null").groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k)
+    kth = materialize(kth.select(F.col("query_id").alias("vec_id"), F.element_at("s", k).cast("double").alias("floor")), "floors")
+    asked = asked.join(small(kth), "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    more = base.where("blocks > 1")
+    return first.unionByName(against(asked, more, lambda n: F.sequence(F.lit(1), n - 1)))
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the rows of vec_id divisible by every, against all other rows.
 
-    Components become floor(scale * x). Vectors that are null, empty, of another length than most, or hold a null or
-    non-finite component take no part, nor does a null vec_id. Rows that repeat a vec_id and a vector count once.
+    Components become floor(scale * x). Vectors that are null, empty or hold a null or non-finite component take no part, nor
+    does a null vec_id. Vectors meet those of their own length. Rows that repeat a vec_id and a vector count once; rows of
+    one vec_id and several vectors are several candidates, and no candidates of each other. Ties go to the smaller vec_id.
     """
-    numbers = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
-    finite = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = materialize(vectors.where(F.col("vec_id").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("v")).distinct(), "vectors")
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if width is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    rows = rows.where(F.size("v") == width.w)
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n, m = rows.count(), asked.count()
-    base = _blocks(rows, BASE_BLOCK, n, ("base_block", "ids", "base"))
-    queries = _blocks(asked, QUERY_BLOCK, m, ("query_block", "query_ids", "queries"))
-    blocks = max(1, -(-n // BASE_BLOCK))
-    # the smaller side, the blocks of queries, is sent to each block of the base
-    queries = queries.withColumn("base_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = queries.join(base, "base_block").select("ids", "base", "query_ids", "queries")
-    found = pairs.mapInArrow(_searched(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = _scored(vectors, k, every, scale).where("vec_id is not null")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def read_shares(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
+    """query_id, read_share: the share of all list entries that each query read before reading ended."""
+    found = _scored(vectors, k, every, scale).where("vec_id is null")
+    return found.groupBy("query_id").agg((F.sum("read") / F.sum("of")).alias("read_share"))
+
+
 #: DuckDB SQL of top_k() with its defaults.
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id),
+  FROM v q JOIN v b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id AND len(q.v) = len(b.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
