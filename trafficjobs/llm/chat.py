@@ -1,8 +1,9 @@
 """Chat formatting from event logs, in DataFrame functions only.
 
-An event log has conv_id, turn, seq, op, role and text. Sorted by seq, the events of a turn fold into messages: `message`
-opens one, `delta` adds to it, `edit` replaces its text, `regenerate` empties it for the deltas that follow. A delta, edit
-or regeneration without a message opens one. Messages are rendered as
+An event log has conv_id, turn, seq, op, role and text. A log is partitioned by conversation and sorted by seq; the events of
+a turn then fold into messages: `message` opens one, `delta` adds to it, `edit` replaces its text, `regenerate` empties it for
+the deltas that follow and takes back all that later turns had said until then. A delta, edit or regeneration without a
+message opens one. Messages are rendered as
 
     <|im_start|>ROLE<|im_sep|>TEXT<|im_end|>\\n
 
@@ -34,11 +35,17 @@ def fold(events: DataFrame) -> DataFrame:
     """conv_id, turn, part, role, text: the final messages; part numbers the messages of one turn.
 
     Events are sorted by seq, then op, role and text, so that ties give one result; null seq comes first, null roles and
-    texts are empty, an unknown or null op counts as message. Each turn is a group of its own, however long the conversation.
+    texts are empty, an unknown or null op counts as message. Turns without a number come before the others. A turn of
+    which nothing is left gives no row, nor does an empty log; repeated events count as often as they occur.
     """
     op = F.when(F.col("op").isin("delta", "edit", "regenerate"), F.col("op")).otherwise(F.lit("message"))
-    event = F.struct(F.col("seq").alias("seq"), op.alias("op"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    logs = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(event)).alias("log"))
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63)).cast("long"))
+    event = F.struct(seq.alias("seq"), op.alias("op"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    logs = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(event)).alias("log"), F.max(F.when(op == "regenerate", seq)).alias("redone"))
+    # what stands at or before the last regeneration of an earlier turn is taken back
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    logs = logs.withColumn("since", F.max("redone").over(earlier))
+    logs = logs.withColumn("log", F.when(F.col("since").isNull(), F.col("log")).otherwise(F.filter("log", lambda e: e["seq"] > F.col("since"))))
 
     def step(done: Column, e: Column) -> Column:
         last = F.element_at(done, -1)
@@ -48,16 +55,15 @@ def fold(events: DataFrame) -> DataFrame:
         opens = (e["op"] == "message") | (F.size(done) == 0)
         return F.when(opens, F.concat(done, fresh)).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(role.alias("role"), text.alias("text")))))
 
-    # most turns are one message, which needs no fold
-    one = F.array(F.struct(F.col("log")[0]["role"].alias("role"), F.col("log")[0]["text"].alias("text")))
-    folded = F.when((F.size("log") == 1) & (F.col("log")[0]["op"] != "regenerate"), one).otherwise(F.aggregate("log", F.array().cast(_FOLDED), step))
+    folded = F.aggregate("log", F.array().cast(_FOLDED), step)
     return logs.select("conv_id", "turn", F.posexplode(folded).alias("part", "m")).select("conv_id", "turn", "part", "m.role", "m.text")
 
 
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans: the text of each conversation, and where assistant texts stand in it (start, end in code points).
 
-    Each message is rendered before the shuffle by conversation; positions and the text share its partitioning.
+    Positions and the text share the partitioning by conversation. Messages with a null role or text must be folded first;
+    a conversation without messages has no row.
     """
     role, text = escape(F.col("role")), escape(F.col("text"))
     head = F.concat(F.lit(START), role, F.lit(SEP))
@@ -82,14 +88,37 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumns({"turns": turns, "loss_texts": under})
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """The table conv_id, turn, role, text as an event log of one message for each row."""
-    return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
+def as_log(conversations: DataFrame) -> DataFrame:
+    """A streamed log that folds to the table conv_id, turn, role, text: conv_id, turn, seq, op, role, text.
+
+    A row's hash chooses its history. Every row comes as a message that deltas at two places of the text complete. Some rows
+    had a draft before, which an edit or a regeneration replaced; where it was a regeneration the next turn had begun
+    already, and is taken back. Rows of one turn are ordered by role and text, equal rows stay as many.
+    """
+    said = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long") * 10
+    mark = F.xxhash64("conv_id", "turn", "role", "text")
+    rows = said.select("*", at.alias("at"), F.pmod(mark, F.lit(4)).alias("kind"), F.char_length("text").alias("n"), F.pmod(F.shiftright(mark, 8), F.lit(1000)).alias("x"), F.pmod(F.shiftright(mark, 24), F.lit(1000)).alias("y"))
+    rows = rows.withColumns({"p": (F.least("x", "y") * F.col("n") / 1000).cast("int"), "q": (F.greatest("x", "y") * F.col("n") / 1000).cast("int")})
+    head, middle, tail = (F.substring("text", F.lit(1), F.col("p")), F.substring("text", F.col("p") + 1, F.col("q") - F.col("p")), F.substring("text", F.col("q") + 1, F.col("n") - F.col("q")))
+    event = lambda k, op, text, turn=F.col("turn"), role=F.col("role"): F.struct(turn.alias("turn"), (F.col("at") + k).alias("seq"), F.lit(op).alias("op"), role.alias("role"), text.alias("text"))
+    draft, none = F.concat(F.lit("draft "), tail), F.lit("")
+    plain = F.array(event(4, "message", head), event(5, "delta", middle, role=none), event(6, "delta", tail, role=none))
+    edited = F.array(event(0, "message", draft), event(4, "edit", head, role=none), event(5, "delta", middle, role=none), event(6, "delta", tail, role=none))
+    follow = F.when(F.col("turn").isNotNull(), F.array(event(1, "message", draft, F.try_add(F.col("turn"), F.lit(1).cast(conversations.schema["turn"].dataType)))))
+    again = F.array(event(0, "message", draft), event(2, "regenerate", none, role=none), event(5, "delta", F.concat(head, middle), role=none), event(6, "delta", tail, role=none))
+    again = F.concat(again, F.coalesce(F.filter(follow, lambda e: e["turn"].isNotNull()), F.array().cast(rows.select(plain).schema[0].dataType)))
+    history = F.when(F.col("kind") == 0, edited).when(F.col("kind") == 1, again).otherwise(plain)
+    return rows.select("conv_id", F.explode(history).alias("e")).select("conv_id", "e.turn", "e.seq", "e.op", "e.role", "e.text")
 
 
 def summary(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the rendered text."""
-    read = read_back(render(fold(as_events(conversations))))
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from what the table's log renders to.
+
+    Null roles and texts are empty, a null turn comes first, a null conv_id is a conversation of its own. An empty table gives
+    an empty result; extra columns are ignored.
+    """
+    read = read_back(render(fold(as_log(conversations))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return read.select(
