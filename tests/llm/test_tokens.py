@@ -71,7 +71,29 @@ def test_derived_edits_over_the_table(spark):
     rows = token_counts.count_tokens(docs, PATH).collect()
     sizes = dict(zip(logs, (len(e.ids) for e in library.encode_batch(list(logs.values()), add_special_tokens=False))))
     assert {r.doc_id: r.n_after for r in rows} == sizes
-    assert sum(r.n_reencoded for r in rows) < 1.5 * sum(r.n_chars_after for r in rows)
+    # three edits of at most 40 characters touch two leaves and one beside them each
+    assert all(r.n_reencoded <= 3 * min(r.n_chars_after + 150, 3 * (token_counts.LEAF + 50)) for r in rows) and max(r.n_chars_after for r in rows) > 20_000
+
+
+def test_kept_trees_take_later_edits_without_encoding_the_text(spark):
+    library, rng = Tokenizer.from_file(PATH), random.Random(3)
+    texts = ["plain words here " * 2000, "漢字の文。" * 3000, "ab。 " * 2000, "", None, "<|endoftext|> x" * 300]
+    log = lambda n: [(rng.randint(0, n), rng.choice([0, 5]), rng.choice(["", "new。", " y", "é"])) for _ in range(4)]
+    rows = [(i, t, log(len(t or "")), "kept", 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, edits {token_counts.EDITS}, _leaf_chars string, n_after int")
+    first = {r.doc_id: r for r in token_counts.count_tokens(docs, PATH, keep=True).collect()}
+    now = {i: apply(t or "", e) for i, t, e, _, _ in rows}
+    assert {i: r.text for i, r in first.items()} == now and first[0]._leaf_chars == "kept"
+    later = spark.createDataFrame([(i, r.text, r.leaf_chars, r.leaf_tokens, log(len(r.text))) for i, r in first.items()], f"doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>, edits {token_counts.EDITS}")
+    logs = {r.doc_id: [tuple(e) for e in r.edits] for r in later.collect()}
+    for r in token_counts.count_tokens(later, PATH, keep=True).collect():
+        text = apply(now[r.doc_id], logs[r.doc_id])
+        assert r.text == text and r.n_after == len(library.encode(text, add_special_tokens=False).ids) and sum(r.leaf_tokens) == r.n_after
+        assert r.n_before == first[r.doc_id].n_after and r.n_reencoded <= 4 * 3 * (token_counts.LEAF + 50)
+    # counts that are handed in are used as they are, which shows that nothing else is encoded
+    odd = later.where("doc_id = 0").selectExpr("doc_id", "text", "leaf_chars", "transform(leaf_tokens, x -> 1000) leaf_tokens", "edits")
+    (r,) = token_counts.count_tokens(odd, PATH).collect()
+    assert r.n_before == 1000 * len(first[0].leaf_chars)
 
 
 def test_edit_log_join(spark):
