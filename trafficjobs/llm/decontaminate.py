@@ -123,3 +123,25 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold an item; columns stay, and rows with a null doc_id."""
     gone = materialize(find(docs, benchmark).select("doc_id").distinct(), "leaks")
     return docs.join(small(gone), "doc_id", "left_anti").select(*named(docs))
+
+
+#: DuckDB SQL of find() over the tables, by every window; the fingerprints have no part in it.
+FIND_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, [x FOR x IN regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, [x FOR x IN regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') IF x <> ''] FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+grams AS (
+  SELECT DISTINCT kind, id, CASE WHEN len(w) >= 5 THEN [array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)] ELSE [len(w) || ' words: ' || array_to_string(w, ' ')] END AS g
+  FROM words WHERE len(w) > 0),
+places AS (SELECT kind, id, len(g) AS n, unnest(g) AS s, unnest(range(0, len(g))) AS pos FROM grams),
+items AS (SELECT id AS item_id, n AS m, s, count(*) AS times FROM places WHERE kind = 'i' GROUP BY ALL),
+hits AS (SELECT p.id AS doc_id, p.n, p.s, p.pos, i.item_id, i.m, i.times, least(i.m, p.n) AS w FROM places p JOIN items i ON p.kind = 'd' AND p.s = i.s),
+enough AS (SELECT * FROM hits QUALIFY count(*) OVER (PARTITION BY doc_id, n, item_id) * 7 >= 3 * (m + w)),
+starts AS (SELECT DISTINCT doc_id, n, item_id, m, w, unnest(range(greatest(0, pos - w + 1), least(pos, n - w) + 1)) AS start FROM enough),
+shared AS (
+  SELECT t.doc_id, t.n, t.item_id, t.m, t.w, t.start, e.s, least(count(*), any_value(e.times)) AS k
+  FROM starts t JOIN enough e ON e.doc_id = t.doc_id AND e.n = t.n AND e.item_id = t.item_id AND e.pos BETWEEN t.start AND t.start + t.w - 1 GROUP BY ALL),
+windows AS (SELECT doc_id, item_id, m, w, start, sum(k) AS common, m + w - sum(k) AS total FROM shared GROUP BY doc_id, n, item_id, m, w, start),
+best AS (SELECT * FROM windows WHERE common * 4 >= total * 3 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / total DESC, start) = 1)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, CAST(w + 4 AS INTEGER) AS n_words, CAST(common AS INTEGER) AS common, CAST(total AS INTEGER) AS total FROM best
+"""

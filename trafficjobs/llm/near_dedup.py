@@ -296,3 +296,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     gone = materialize(gone, "gone")
     return docs.join(small(gone), "doc_id", "left_anti").select(*named(docs))
+
+
+#: DuckDB SQL of near_duplicates() over documents of different doc_id, by all pairs that share a shingle.
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 75 * (na + nb - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least_of AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.c, s.doc_id) AS component_id, coalesce(l.c, s.doc_id) = s.doc_id AS kept FROM sets s LEFT JOIN least_of l ON l.a = s.doc_id
+"""

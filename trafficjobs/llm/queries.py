@@ -82,4 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the result; the other operators have brute-force tests in tests/llm."""
-    return {"op5_chat_formatting": chat.SUMMARY_SQL, "op9_exact_top_k": topk.TOP_K_SQL}
+    return {
+        "op2_decontamination": decontaminate.FIND_SQL, "op5_chat_formatting": chat.SUMMARY_SQL,
+        "op6_near_duplicates": near_dedup.NEAR_SQL, "op9_exact_top_k": topk.TOP_K_SQL,
+    }
