@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficjobs.functions import features
 from trafficjobs.operators import flows
-from trafficjobs.operators._flow_kernel import Walker
+from trafficjobs.streaming.jobs import OpenFlow
 from trafficjobs.operators.flows import Limits
 
 C, S = ("10.0.0.2", 51000), ("203.0.113.10", 443)
@@ -19,9 +19,16 @@ def packet(t, src, dst, length, flags):
 
 
 def walk(packets, most, least, idle, active, end=None):
-    w = Walker(Limits(most, least, round(idle * US), round(active * US)))
-    out = [f for p in packets for f in w.add(*p)]
-    return out + (w.expire(round(end * US)) if end else []), w
+    """The packets of one connection one by one through the state that streams keep; rows of the flows, and the state."""
+    lo, hi = sorted([packets[0][1:3], packets[0][3:5]])
+    w = OpenFlow(Limits(most, least, round(idle * US), round(active * US)), (*lo, *hi, "tcp"))
+    out = []
+    for p in packets:
+        w = OpenFlow(w.limits, w.key, w.saved())
+        out.append(w.add([(p[0], p[1:3] == lo, p[5], p[6])]))
+    if end and w.due() and w.due()[0] <= round(end * US):
+        out.append(w.end(w.due()[1]))
+    return [tuple(x.tolist() if hasattr(x, "tolist") else x for x in f) for frame in out for f in frame.itertuples(index=False, name=None)], w
 
 
 CASES = {
@@ -44,10 +51,51 @@ def test_literal_cases(name):
 
 def test_key_reuse_and_restore():
     _, w = walk([packet(*p) for p in [*CASES["tail"][0][:3], (1.3, C, S, 9, 17), (2.0, C, S, 60, 2)]], 3, 3, 30, 120)
-    assert w.flow and w.flow["start"] == 2 * US
+    assert w.open and w.rows[0][0] == 2 * US
     _, w = walk([packet(*p) for p in CASES["fin"][0][:2]], 20, 3, 30, 120)
-    again = Walker(w.limits, w.saved())
-    assert again.add(*packet(1.2, C, S, 52, 17))[0][7] == [60, -60, 52] and again.flow is None
+    again = OpenFlow(w.limits, w.key, w.saved())
+    out = again.add([(round(1.2 * US), True, 52, 17)])
+    assert out.sizes[0].tolist() == [60, -60, 52] and again.due() is None and again.saved() is None
+
+
+class Plain:
+    """The rules packet by packet: idle, open and quiet, each with its two deadlines."""
+
+    def __init__(self, limits):
+        self.limits, self.flow, self.quiet, self.out = limits, None, None, []
+
+    def stop(self, reason):
+        f, self.flow = self.flow, None
+        if len(f["sizes"]) >= self.limits.min_packets:
+            self.out.append((*f["a"], *f["b"], "tcp", f["start"], f["last"], f["sizes"], f["offsets"], reason))
+
+    def add(self, ts, src_ip, src_port, dst_ip, dst_port, length, flags):
+        held = self.flow or self.quiet
+        if held and ts >= min(held["last"] + self.limits.idle_us, held["start"] + self.limits.active_us):
+            if self.flow:
+                self.stop("idle_timeout" if held["last"] + self.limits.idle_us <= held["start"] + self.limits.active_us else "active_timeout")
+            self.quiet = None
+        src, dst, syn, ack, close = (src_ip, src_port), (dst_ip, dst_port), flags & 2, flags & 16, flags & 5
+        if self.quiet and not (syn and not ack):
+            self.quiet = None if close else self.quiet | {"last": ts}
+            return
+        self.quiet = None
+        if not self.flow:
+            a, b = (dst, src) if syn and ack else (src, dst)
+            self.flow = {"a": a, "b": b, "start": ts, "sizes": [], "offsets": [], "sure": syn}
+        f = self.flow
+        if syn and not ack and not f["sure"]:
+            if src != f["a"]:
+                f |= {"a": f["b"], "b": f["a"], "sizes": [-x for x in f["sizes"]]}
+            f["sure"] = True
+        f["sizes"].append(length if src == f["a"] else -length)
+        f["offsets"].append(ts - f["start"])
+        f["last"] = ts
+        if len(f["sizes"]) == self.limits.max_packets:
+            self.quiet = None if close else {"start": f["start"], "last": ts}
+            self.stop("max_packets")
+        elif close:
+            self.stop("tcp_close")
 
 
 def test_offsets_and_limits():
@@ -77,12 +125,34 @@ def test_assembly_is_the_walk_of_each_key_under_any_partitioning(spark):
             keys.setdefault(tuple(sorted([r[2:4], r[4:6]])), []).append((r[1], *r[2:6], *r[7:9]))
     want = []
     for packets in keys.values():
-        w = Walker(limits)
-        want += [f for p in packets for f in w.add(*p)] + w.finish("replay_end")
+        w = Plain(limits)
+        for p in packets:
+            w.add(*p)
+        if w.flow:
+            w.stop("replay_end")
+        want += w.out
     want = sorted(map(str, want))
     for df in (frame, frame.repartition(7).orderBy(F.rand(1))):
         assert sorted(str(tuple(r)) for r in flows.assemble_flows(df, limits, ("i",)).collect()) == want
     assert {r[9] for r in [eval(x) for x in want]} == {"max_packets", "tcp_close", "idle_timeout", "active_timeout", "replay_end"}
+    # small batches cut segments anywhere
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(str(tuple(r)) for r in flows.assemble_flows(frame, limits, ("i",)).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_busy_key_goes_to_many_tasks(spark):
+    rows = [(i, (i // 5) * 40 * US + i, *C, *S, "tcp", 60, 16) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "i int, ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, ip_length int, tcp_flags int")
+    got = flows.assemble_flows(frame, Limits(5, 2, 30 * US, 120 * US), ("i",)).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = got.agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert r.n == 400 and r.tasks >= 4
 
 
 def test_encoding(spark):

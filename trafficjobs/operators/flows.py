@@ -9,19 +9,19 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from trafficjobs.operators._flow_kernel import Walker
+from trafficjobs.operators._flow_kernel import ACK, CLOSING, SYN, Packets, Rest
 
 FLOW_SCHEMA = (
     "src_ip string, src_port int, dst_ip string, dst_port int, protocol string, started_us long, ended_us long, "
     "sizes array<int>, offsets_us array<long>, close_reason string"
 )
-# TCP flag bits.
-SYN, ACK, CLOSING = 0x02, 0x10, 0x05
 
 
 @dataclass(frozen=True)
@@ -60,11 +60,25 @@ def with_key(packets: DataFrame) -> DataFrame:
 KEY = ("lo_ip", "lo_port", "hi_ip", "hi_port", "proto")
 
 
-def idle_segments(keyed: DataFrame, order: Sequence[str] = (), idle_us: int = 30_000_000) -> DataFrame:
-    """Adds segment: it grows by one where a key was silent for idle_us or longer."""
-    w = Window.partitionBy(*KEY).orderBy("ts_us", *order)
-    gap = F.col("ts_us") - F.lag("ts_us").over(w)
-    return keyed.withColumn("_new", F.when(gap >= idle_us, 1).otherwise(0)).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def _with_segments(keyed: DataFrame, idle_us: int) -> DataFrame:
+    """Adds segment, and final where it is the key's last.
+
+    Time is cut into buckets of idle_us, in which no silence fits. Each key's buckets are aggregated first, and only they are
+    put in order; packets take their bucket's segment by a join. So a busy key is no single task.
+    """
+    bucket = F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(idle_us))
+    dealt = keyed.withColumn("_bucket", bucket)
+    met = dealt.groupBy(*KEY, "_bucket").agg(F.min("ts_us").alias("_first"), F.max("ts_us").alias("_last"))
+    w = Window.partitionBy(*KEY).orderBy("_bucket")
+    met = met.withColumn("_new", F.when(F.col("_first") - F.lag("_last").over(w) >= idle_us, 1).otherwise(0))
+    met = met.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumn("final", F.col("segment") == F.max("segment").over(Window.partitionBy(*KEY)))
+    return dealt.join(met.select(*KEY, "_bucket", "segment", "final"), [*KEY, "_bucket"]).drop("_bucket")
+
+
+def idle_segments(keyed: DataFrame, idle_us: int = 30_000_000) -> DataFrame:
+    """Adds segment: it grows by one where a key was silent for idle_us or longer. Packets without a time have none and are left out."""
+    return _with_segments(keyed, idle_us).drop("final")
 
 
 def first_packets(segmented: DataFrame, n: int = 20, order: Sequence[str] = ()) -> DataFrame:
@@ -95,35 +109,69 @@ def segment_sequences(segmented: DataFrame, n: int = 20, min_packets: int = 3, o
     )
 
 
-def _walked(limits: Limits, end_reason: str):
-    columns = ["ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "ip_length", "tcp_flags"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        walker, key, out = None, None, []
-        for frame in frames:
-            for own, packet in zip(zip(*(frame[k] for k in KEY)), zip(*(frame[c] for c in columns))):
-                if own != key:  # rows of a key follow one another, across the batches too
-                    if walker is not None:
-                        out += walker.finish(end_reason)
-                    walker, key = Walker(limits), own
-                out += walker.add(*packet)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
-            out = []
-        if walker is not None:
-            yield pd.DataFrame(walker.finish(end_reason), columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
+GROUP = ("lo_ip", "lo_port", "hi_ip", "hi_port", "segment")
+
+
+def flow_batch(batch: pa.RecordBatch | pa.Table, packets: Packets, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    """The flows as a batch of FLOW_SCHEMA; batch has the endpoints of each packet's key."""
+    c = packets.columns(found)
+    lo, first = pa.array(c["begun_by_lo"].astype(bool)), pa.array(c["first"])
+    end = {k: batch.column(k).take(first) for k in GROUP[:4]}
+    end = {k: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for k, v in end.items()}
+    lists = [pa.ListArray.from_arrays(pa.array(c["ends"].astype(np.int32)), pa.array(c[k].astype(kind))) for k, kind in (("sizes", np.int32), ("offsets_us", np.int64))]
+    return pa.RecordBatch.from_arrays([
+        pc.if_else(lo, end["lo_ip"], end["hi_ip"]), pc.if_else(lo, end["lo_port"], end["hi_port"]), pc.if_else(lo, end["hi_ip"], end["lo_ip"]), pc.if_else(lo, end["hi_port"], end["lo_port"]),
+        pa.array(["tcp"] * len(first), pa.string()), pa.array(c["started_us"]), pa.array(c["ended_us"]), *lists, pa.array(c["close_reason"], pa.string()),
+    ], names=[f.split()[0] for f in FLOW_SCHEMA.split(", ")])
+
+
+def _assembled(limits: Limits, end_reason: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last segment that later batches may go on with
+        rest, met = Rest(), 0  # what it left open, and how many of the held rows have been dealt with
+
+        def step(table: pa.Table, done: bool) -> pa.RecordBatch:
+            nonlocal held, rest, met
+            n = len(table)
+            number = lambda k: table.column(k).to_numpy()
+            packets = Packets(number("ts_us"), number("by_lo"), number("ip_length").astype(np.int64), number("tcp_flags").astype(np.int64), number("own"), limits)
+            other = np.zeros(n - 1, dtype=bool)
+            for k in GROUP:
+                column = table.column(k).combine_chunks()
+                other |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.flatnonzero(other) + 1)).tolist()
+            final, found = table.column("final"), []
+            for k, (at, end) in enumerate(zip(starts, [*starts[1:], n])):
+                own, left = packets.cut(at + (met if k == 0 else 0), end, rest if k == 0 else Rest())
+                found += own
+                if left.first is not None and (end < n or done):
+                    found.append((left.first, end, end_reason if final[end - 1].as_py() else packets.due(packets.times[left.first], packets.times[end - 1])[1]))
+            out = flow_batch(table, packets, found)
+            at = n - 1 if left.first is None else left.first
+            held, rest, met = table.slice(at).to_batches(), Rest(since=left.since), int(left.first is None)
+            return out
+
+        for batch in batches:
+            if len(batch):
+                yield step(pa.Table.from_batches([*held, batch]), False)
+        if held:
+            yield step(pa.Table.from_batches(held), True)
 
     return run
 
 
 def assemble_flows(packets: DataFrame, limits: Limits = Limits(), order: Sequence[str] = (), end_reason: str = "replay_end") -> DataFrame:
-    """Complete flows by the full automaton: one shuffle on the key, then an ordered walk over each partition's Arrow batches.
+    """Complete flows of TCP packets. Silences part a key's packets first, so that its segments go to different tasks; each
+    task cuts ordered Arrow batches into flows. A key that is never silent is one segment and one task.
 
     A flow ends by max_packets, tcp_close, idle_timeout, active_timeout or at the end of the data; flows of fewer than
     min_packets are dropped. Of two deadlines that have passed the earlier counts, idle in a tie.
     """
-    needed = ["ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "ip_length", "tcp_flags"]
-    keyed = with_key(tcp_only(packets)).select(*KEY, *needed, *order)
-    return keyed.repartition(*(F.col(k) for k in KEY)).sortWithinPartitions(*KEY, "ts_us", *order).mapInPandas(_walked(limits, end_reason), FLOW_SCHEMA)
+    by_lo = (F.col("src_ip") == F.col("lo_ip")) & (F.col("src_port") == F.col("lo_port"))
+    own = (F.col("lo_ip") == F.col("hi_ip")) & (F.col("lo_port") == F.col("hi_port"))
+    keyed = with_key(tcp_only(packets)).select(*KEY, by_lo.alias("by_lo"), own.alias("own"), "ts_us", "ip_length", "tcp_flags", *order)
+    segments = _with_segments(keyed, limits.idle_us).select(*GROUP, "final", "by_lo", "own", "ts_us", "ip_length", "tcp_flags", *order)
+    return segments.repartition(*GROUP).sortWithinPartitions(*GROUP, "ts_us", *order).mapInArrow(_assembled(limits, end_reason), FLOW_SCHEMA)
 
 
 def summarize(flows: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def _packets(spark, d):
 
 
 def _segments(spark, d):
-    return flows.segment_sequences(flows.idle_segments(flows.with_key(_packets(spark, d)), ORDER), order=ORDER)
+    return flows.segment_sequences(flows.idle_segments(flows.with_key(_packets(spark, d))), order=ORDER)
 
 
 def closed_form_score(df):
@@ -48,13 +48,13 @@ def flow_keys(spark, d):
 
 @query(duck("packets") + KEYED_SQL + " SELECT lo_ip, lo_port, hi_ip, hi_port, segment, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM s GROUP BY ALL")
 def idle_sessions(spark, d):
-    s = flows.idle_segments(flows.with_key(_packets(spark, d)), ORDER)
+    s = flows.idle_segments(flows.with_key(_packets(spark, d)))
     return s.groupBy("lo_ip", "lo_port", "hi_ip", "hi_port", "segment").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
 
 
 @query(duck("packets") + KEYED_SQL + " SELECT event_id, i, segment, position FROM n WHERE position <= 20")
 def first_packets(spark, d):
-    return flows.first_packets(flows.idle_segments(flows.with_key(_packets(spark, d)), ORDER), 20, ORDER).select("event_id", "i", "segment", "position")
+    return flows.first_packets(flows.idle_segments(flows.with_key(_packets(spark, d))), 20, ORDER).select("event_id", "i", "segment", "position")
 
 
 @query(duck("packets") + FLOWS_SQL + " SELECT src_ip, src_port, dst_ip, dst_port, segment, started_us, ended_us, array_to_string(sizes, ',') AS sizes, array_to_string(offsets_us, ',') AS offsets FROM flow")
@@ -78,13 +78,53 @@ def flow_risk_slice(spark, d):
     return scored.groupBy(scoring.risk_level(closed_form_score(scored)).alias("risk")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Packet by packet in each key: the state after a packet, the flow that its coming ended by a deadline, and the one that it ended itself.
+ASSEMBLED_SQL = duck("packets").replace("WITH ", "WITH RECURSIVE ", 1) + KEYED_SQL.split(",\ng AS")[0] + """,
+p AS (SELECT lo_ip, lo_port, hi_ip, hi_port, ts_us AS ts, (src_ip, src_port) = (lo_ip, lo_port) AS by_lo, ip_length AS size, (tcp_flags & 2) <> 0 AS syn, (tcp_flags & 16) <> 0 AS ack, (tcp_flags & 5) <> 0 AS closing,
+  row_number() OVER w AS no, count(*) OVER (PARTITION BY lo_ip, lo_port, hi_ip, hi_port) AS n FROM k WINDOW w AS (PARTITION BY lo_ip, lo_port, hi_ip, hi_port ORDER BY ts_us, event_id, i)),
+walk AS (
+  SELECT DISTINCT lo_ip, lo_port, hi_ip, hi_port, CAST(0 AS BIGINT) AS no, 0 AS mode, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS last, CAST([] AS INTEGER[]) AS sizes, CAST([] AS BIGINT[]) AS offs, false AS begun, false AS sure,
+    CAST(NULL AS VARCHAR) AS due_why, CAST(NULL AS STRUCT(start BIGINT, last BIGINT, sizes INTEGER[], offs BIGINT[], begun BOOLEAN)) AS due_flow, CAST(NULL AS VARCHAR) AS why FROM p
+  UNION ALL
+  SELECT lo_ip, lo_port, hi_ip, hi_port, no, CASE WHEN skip OR why = 'max_packets' THEN CASE WHEN closing THEN 0 ELSE 2 END WHEN why = 'tcp_close' THEN 0 ELSE 1 END AS mode, start, ts AS last, sizes, offs, begun, sure, due_why, due_flow,
+    CASE WHEN why IS NULL AND NOT skip AND no = n THEN 'replay_end' ELSE why END AS why
+  FROM (
+    SELECT *, CASE WHEN skip THEN NULL WHEN len(sizes) >= 20 THEN 'max_packets' WHEN closing THEN 'tcp_close' END AS why FROM (
+      SELECT lo_ip, lo_port, hi_ip, hi_port, no, n, ts, closing, skip, CASE WHEN fresh THEN ts ELSE start END AS start, CASE WHEN skip THEN CAST([] AS INTEGER[]) WHEN fresh THEN [signed] ELSE list_append(sizes, signed) END AS sizes,
+        CASE WHEN skip THEN CAST([] AS BIGINT[]) WHEN fresh THEN [CAST(0 AS BIGINT)] ELSE list_append(offs, ts - start) END AS offs,
+        CASE WHEN fresh THEN by_lo <> (syn AND ack) WHEN NOT skip AND NOT sure AND syn AND NOT ack THEN by_lo ELSE begun END AS begun, CASE WHEN fresh THEN syn ELSE sure OR (syn AND NOT ack) END AS sure, due_why, due_flow
+      FROM (
+        SELECT *, NOT skip AND still <> 1 AS fresh FROM (
+          SELECT *, still = 2 AND NOT (syn AND NOT ack) AS skip FROM (
+            SELECT w.lo_ip, w.lo_port, w.hi_ip, w.hi_port, p.no, p.n, p.ts, p.by_lo, p.syn, p.ack, p.closing, CASE WHEN p.by_lo THEN p.size ELSE -p.size END AS signed, w.start, w.sizes, w.offs, w.begun, w.sure,
+              CASE WHEN w.mode > 0 AND p.ts >= least(w.last + 30000000, w.start + 120000000) THEN 0 ELSE w.mode END AS still,
+              CASE WHEN w.mode = 1 AND p.ts >= least(w.last + 30000000, w.start + 120000000) THEN CASE WHEN w.last + 30000000 <= w.start + 120000000 THEN 'idle_timeout' ELSE 'active_timeout' END END AS due_why,
+              struct_pack(start := w.start, last := w.last, sizes := w.sizes, offs := w.offs, begun := w.begun) AS due_flow
+            FROM walk w JOIN p ON p.lo_ip = w.lo_ip AND p.lo_port = w.lo_port AND p.hi_ip = w.hi_ip AND p.hi_port = w.hi_port AND p.no = w.no + 1) a) b) c) d) e),
+ended AS (
+  SELECT lo_ip, lo_port, hi_ip, hi_port, due_flow.start AS start, due_flow.last AS last, due_flow.sizes AS s, due_flow.offs AS offs, due_flow.begun AS begun, due_why AS why FROM walk WHERE due_why IS NOT NULL
+  UNION ALL SELECT lo_ip, lo_port, hi_ip, hi_port, start, last, sizes, offs, begun, why FROM walk WHERE why IS NOT NULL),
+flow AS (
+  SELECT CASE WHEN begun THEN lo_ip ELSE hi_ip END AS src_ip, CASE WHEN begun THEN lo_port ELSE hi_port END AS src_port, CASE WHEN begun THEN hi_ip ELSE lo_ip END AS dst_ip, CASE WHEN begun THEN hi_port ELSE lo_port END AS dst_port,
+    start AS started_us, last AS ended_us, [CASE WHEN begun THEN x ELSE -x END FOR x IN s] AS sizes, offs AS offsets_us, why AS close_reason FROM ended WHERE len(s) >= 3)"""
+
+
+@query(ASSEMBLED_SQL + """ SELECT src_ip, src_port, dst_ip, dst_port, started_us, ended_us, close_reason, array_to_string(sizes, ',') AS sizes, array_to_string(offsets_us, ',') AS offsets,
+  len(sizes) AS packet_count, CAST(list_sum([abs(x) FOR x IN sizes]) AS BIGINT) AS absolute_bytes, ended_us - started_us AS duration_us, CAST(list_max([abs(x) FOR x IN sizes]) AS BIGINT) AS max_abs_size FROM flow""")
 def assemble_flows(spark, d):
     out = flows.summarize(flows.assemble_flows(view(spark, d, "packets"), order=ORDER))
-    return out.drop("protocol")
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select(
+        "src_ip", "src_port", "dst_ip", "dst_port", "started_us", "ended_us", "close_reason", text("sizes").alias("sizes"), text("offsets_us").alias("offsets"),
+        "packet_count", "absolute_bytes", "duration_us", "max_abs_size",
+    )
 
 
-@query()
+SCORED_SQL = """, x AS (SELECT *, 1 / (1 + exp(-(-1.0 + 0.002 * list_avg([abs(x) FOR x IN sizes]) - 0.05 * len(sizes) + 0.3 * len([x FOR x IN sizes IF x < 0]) / len(sizes) + 0.8 * ln(1 + offsets_us[len(offsets_us)] / 1000000.0)))) AS p FROM flow)
+SELECT src_ip, src_port, dst_ip, dst_port, started_us, round(p, 6) AS probability, CASE WHEN p >= 0.9 THEN 'high' WHEN p >= 0.7 THEN 'medium' WHEN p >= 0.5 THEN 'low' ELSE 'informational' END AS risk FROM x"""
+
+
+@query(ASSEMBLED_SQL + SCORED_SQL)
 def score_assembled_flows(spark, d):
     scored = scoring.score_flows(features.encode(flows.assemble_flows(view(spark, d, "packets"), order=ORDER)).drop("encoded"))
     return scored.select("src_ip", "src_port", "dst_ip", "dst_port", "started_us", F.round("probability", 6).alias("probability"), scoring.risk_level(F.col("probability")).alias("risk"))

@@ -147,6 +147,6 @@ def alert_rate(spark, d):
 
 @query()
 def augmented_samples(spark, d):
-    segments = flows.segment_sequences(flows.idle_segments(flows.with_key(view(spark, d, "packets")), ("event_id", "i")), order=("event_id", "i"))
+    segments = flows.segment_sequences(flows.idle_segments(flows.with_key(view(spark, d, "packets"))), order=("event_id", "i"))
     encoded = features.encode(segments, 30)
     return encoded.select("src_ip", "src_port", "dst_ip", "segment", F.size("encoded.sizes").alias("n"), F.round(F.aggregate(features.augment(F.col("encoded"), F.concat_ws("|", "src_ip", "segment"))["times"], F.lit(0.0), lambda a, x: a + x), 4).alias("time_sum"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trafficjobs.operators._flow_kernel import Walker
+from trafficjobs.operators._flow_kernel import Packets, Rest
 from trafficjobs.operators.correlate import new_cases
-from trafficjobs.operators.flows import FLOW_SCHEMA, KEY, Limits, tcp_only, with_key
+from trafficjobs.operators.flows import FLOW_SCHEMA, KEY, Limits, flow_batch, tcp_only, with_key
 from trafficjobs.sources.sinks import latest_status
 
 _COLUMNS = ["ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "ip_length", "tcp_flags"]
@@ -23,55 +25,109 @@ def with_event_time(rows: DataFrame, column: str = "ts_us", delay: str = "5 seco
     return rows.withColumn("ts", F.timestamp_micros(column)).withWatermark("ts", delay)
 
 
+class OpenFlow:
+    """The state of one key between batches: the packets of its open flow, or the last packet and where a full flow's tail began."""
+
+    def __init__(self, limits: Limits, key: tuple, text: str | None = None):
+        self.limits, self.key = limits, key
+        held = json.loads(text) if text else {}
+        self.rows, self.since, self.open = held.get("rows", []), held.get("since"), held.get("open", False)
+
+    def saved(self) -> str | None:
+        return json.dumps({"rows": self.rows, "since": self.since, "open": self.open}) if self.open or self.since is not None else None
+
+    def _packets(self, rows: list) -> Packets:
+        ts, lo, length, flags = (np.array([r[k] for r in rows], dtype=kind) for k, kind in enumerate((np.int64, bool, np.int64, np.int64)))
+        return Packets(ts, lo, length, flags, np.full(len(rows), self.key[:2] == self.key[2:4]), self.limits)
+
+    def _out(self, packets: Packets, found: list) -> pd.DataFrame:
+        ends = dict(zip(KEY[:4], self.key))
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32())
+        table = pa.RecordBatch.from_arrays([pa.array([v] * len(packets.ts), kind) for v, kind in zip(ends.values(), kinds)], names=list(ends))
+        return flow_batch(table, packets, found).to_pandas()
+
+    def add(self, rows: list) -> pd.DataFrame:
+        """Flows that ended, after ordered rows of (ts_us, by_lo, ip_length, tcp_flags)."""
+        met = 0 if self.open else len(self.rows)
+        # late packets take their place among those of the open flow
+        rows = self.rows + rows if met else sorted(self.rows + rows, key=lambda r: r[0])
+        packets = self._packets(rows)
+        found, rest = packets.cut(met, len(rows), Rest(since=self.since))
+        self.open, self.since = rest.first is not None, rest.since
+        self.rows = rows[rest.first :] if self.open else rows[-1:]
+        return self._out(packets, found)
+
+    def due(self) -> tuple[int, str] | None:
+        """When the state ends unless a packet comes, and why."""
+        if self.open or self.since is not None:
+            return Packets.due(self, self.rows[0][0] if self.open else self.since, self.rows[-1][0])
+        return None
+
+    def end(self, reason: str) -> pd.DataFrame:
+        """The open flow, if there is one."""
+        packets = self._packets(self.rows)
+        out = self._out(packets, [(0, len(self.rows), reason)] if self.open else [])
+        self.rows, self.since, self.open = [], None, False
+        return out
+
+
 class FlowProcessor(StatefulProcessor):
-    """The batch automaton with its state kept for each key; an event-time timer closes flows that go silent."""
+    """The batch job's cut with what it leaves kept for each key; an event-time timer closes flows that go silent."""
 
     def __init__(self, limits: Limits, order: tuple[str, ...]):
         self.limits, self.order = limits, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("walker", "saved string")
+        self.state = handle.getValueState("open", "saved string")
 
-    def _walker(self) -> Walker:
-        text = json.loads(self.state.get()[0]) if self.state.exists() else None
-        if text and text["flow"]:
-            text["flow"]["src"], text["flow"]["dst"] = tuple(text["flow"]["src"]), tuple(text["flow"]["dst"])
-        return Walker(self.limits, text)
+    def _open(self, key: tuple) -> OpenFlow:
+        return OpenFlow(self.limits, key, self.state.get()[0] if self.state.exists() else None)
 
-    def _keep(self, walker: Walker) -> None:
+    def _keep(self, held: OpenFlow) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if walker.deadline() is None:
+        if held.due() is None:
             self.state.clear()
         else:
-            self.state.update((json.dumps(walker.saved()),))
-            self.handle.registerTimer(-(-walker.deadline() // 1000))
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FLOW_SCHEMA.split(", ")])
+            self.state.update((held.saved(),))
+            self.handle.registerTimer(-(-held.due()[0] // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        walker, out = self._walker(), []
-        for part in [pd.concat(list(rows))]:
-            for packet in part.sort_values(["ts_us", *self.order])[_COLUMNS].itertuples(index=False):
-                out += walker.add(*packet)
-        self._keep(walker)
-        if out:
-            yield self._frame(out)
+        held = self._open(key)
+        part = pd.concat(list(rows)).sort_values(["ts_us", *self.order])
+        lo = (part["src_ip"] == key[0]) & (part["src_port"] == key[1])
+        out = held.add(list(zip(part["ts_us"].tolist(), lo.tolist(), part["ip_length"].tolist(), part["tcp_flags"].tolist())))
+        self._keep(held)
+        if len(out):
+            yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        walker = self._walker()
-        out = walker.expire(expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        self._keep(walker)
-        if out:
-            yield self._frame(out)
+        held = self._open(key)
+        due = held.due()
+        if due and due[0] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            out = held.end(due[1])
+            self._keep(held)
+            if len(out):
+                yield out
 
     def close(self) -> None:
         pass
 
 
+def flush_flows(spark: SparkSession, checkpoint: str, limits: Limits = Limits(), reason: str = "shutdown") -> DataFrame:
+    """The flows that a stopped flow_stream has left open in its state, ended for that reason. checkpoint is its checkpoint folder."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    held = state.select(*(F.col(f"key.{k}").alias(k) for k in KEY), F.col("value.saved").alias("saved"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                yield OpenFlow(limits, tuple(row)[: len(KEY)], row.saved).end(reason)
+
+    return held.mapInPandas(run, FLOW_SCHEMA)
+
+
 def flow_stream(packets: DataFrame, limits: Limits = Limits(), delay: str = "5 seconds", order: tuple[str, ...] = ()) -> DataFrame:
     """Flows of a packet stream. Needs the RocksDB state store; packets later than the watermark are dropped."""
     keyed = with_event_time(with_key(tcp_only(packets)), delay=delay).select("ts", *KEY, *_COLUMNS, *order)
