@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trafficjobs.operators.sampling import portable_hash
+
 MAX_LEN, MAX_SIZE, MAX_TIME = 128, 2000, 10.0
 # Responder ports that are nothing unusual.
 COMMON_PORTS = (22, 25, 53, 80, 110, 143, 389, 443, 445, 993, 995)
@@ -105,7 +107,7 @@ def rule_evidence(sizes: Column, times: Column, responder_port: Column) -> Colum
 
 
 def _uniform(id_: Column, i: Column, salt: str, seed: int) -> Column:
-    return (F.pmod(F.xxhash64(id_, i, F.lit(salt), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return (F.pmod(portable_hash(id_, i, salt, seed), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
 def augment(encoded: Column, id_: Column, seed: int = 42, drop: float = 0.15, deviation: float = 0.005, max_time: float = MAX_TIME) -> Column:

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from trafficjobs.session import materialize, small
+
 SPLITS = ("train", "val", "test")
+BITS = 60
+
+
+def portable_hash(*parts: Column | str | int) -> Column:
+    """A number of BITS bits from the MD5 of the parts' texts, joined by bars: other engines give the same. Null parts are left out."""
+    texts = (F.lit(p).cast("string") if isinstance(p, (str, int)) else p.cast("string") for p in parts)
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, BITS // 4), 16, 10).cast("long")
 
 
 def hash_order(id_: str = "id", seed: int = 42) -> Column:
-    return F.xxhash64(F.col(id_), F.lit(seed))
+    return portable_hash(F.col(id_), seed)
 
 
 def cap_per_source(samples: DataFrame, most: int, id_: str = "id", seed: int = 42) -> DataFrame:
@@ -31,49 +40,49 @@ def stratified_split(samples: DataFrame, test: float = 0.2, val: float = 0.2, id
     if not exact:
         at = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
         return samples.withColumn("split", F.when(at < test, "test").when(at < test + val, "val").otherwise("train"))
-    marked = samples.withColumns({"_h": h, "_b": F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 64 - buckets.bit_length() + 1).cast("int")})
+    marked = samples.withColumns({"_h": h, "_b": F.shiftright(h, BITS - buckets.bit_length() + 1).cast("int")})
     counts = marked.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.select("label", "_b", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("label")).alias("_all"))
     rank = F.row_number().over(Window.partitionBy("label", "_b").orderBy("_h", id_)) + F.col("_before")
     n_test, n_val = F.round(F.col("_all") * test), F.round(F.col("_all") * val)
-    out = marked.join(F.broadcast(counts), ["label", "_b"]).withColumn("_rank", rank)  # labels x buckets rows
+    out = marked.join(small(materialize(counts, "counts")), ["label", "_b"]).withColumn("_rank", rank)
     split = F.when(F.col("_rank") <= n_test, "test").when(F.col("_rank") <= n_test + n_val, "val").otherwise("train")
     return out.withColumn("split", split).drop("_h", "_b", "_before", "_all", "_rank")
 
 
-def _dealt(sizes: list[tuple[str, int]], test: float, val: float) -> dict[str, str]:
-    """Sources, largest first: one to each split, then each to the split that lacks most of its share."""
-    if len(sizes) < 3:
+def split_by_source(samples: DataFrame, test: float = 0.2, val: float = 0.2, seed: int = 42) -> DataFrame:
+    """samples with split, so that a label's source is in one split only.
+
+    The largest three sources go to the splits in turn, each other one to the split that lacks most of its share, by a fold
+    over the label's counts of sources. A label with fewer than three sources is an error. Rows without a label or source go.
+    """
+    counts = samples.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), portable_hash(F.col("source"), seed).alias("h"), F.col("source"))))
+    labels = materialize(counts.groupBy("label").agg(ordered.alias("sources"), F.sum("n").alias("total")), "sources")
+    if labels.where(F.size("sources") < 3).take(1):
         raise ValueError("a split by source needs three sources of each label")
-    total = sum(n for _, n in sizes)
-    want = {"val": max(1, round(total * val)), "test": max(1, round(total * test))}
-    want["train"] = max(1, total - want["val"] - want["test"])
-    have, out = dict.fromkeys(SPLITS, 0), {}
-    for k, (source, n) in enumerate(sizes):
-        split = SPLITS[k] if k < 3 else max(SPLITS, key=lambda s: ((want[s] - have[s]) / want[s], want[s] - have[s], s))
-        out[source] = split
-        have[split] += n
-    return out
+    share = lambda x: F.greatest(F.lit(1), F.bround(F.col("total") * x)).cast("long")
+    labels = labels.withColumns({"want_val": share(val), "want_test": share(test)}).withColumn("want_train", F.greatest(F.lit(1).cast("long"), F.col("total") - F.col("want_val") - F.col("want_test")))
 
+    def step(acc: Column, s: Column) -> Column:
+        lacking = lambda k: F.struct(((F.col(f"want_{k}") - acc[k]) / F.col(f"want_{k}")).alias("share"), (F.col(f"want_{k}") - acc[k]).alias("rows"), F.lit(k).alias("split"))
+        chosen = F.coalesce(F.get(F.array(*map(F.lit, SPLITS)), F.size(acc["splits"])), F.greatest(*map(lacking, SPLITS))["split"])
+        have = (F.when(chosen == k, acc[k] - s["less"]).otherwise(acc[k]).alias(k) for k in SPLITS)
+        return F.struct(*have, F.concat(acc["splits"], F.array(chosen)).alias("splits"))
 
-def split_by_source(samples: DataFrame, test: float = 0.2, val: float = 0.2, seed: int = 42) -> DataFrame:
-    """samples with split, so that a label's source is in one split only. The driver sees the counts of sources, one row for each file."""
-    counts = samples.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n")).orderBy("label", F.desc("n"), F.xxhash64("source", F.lit(seed)), "source").collect()
-    rows = []
-    for label in dict.fromkeys(r.label for r in counts):
-        rows += [(label, s, k) for s, k in _dealt([(r.source, r.n) for r in counts if r.label == label], test, val).items()]
-    kind = samples.schema["label"].dataType.simpleString()
-    plan = samples.sparkSession.createDataFrame(rows, f"label {kind}, source string, split string")
-    return samples.join(plan, ["label", "source"])
+    none = F.struct(*(F.lit(0).cast("long").alias(k) for k in SPLITS), F.array().cast("array<string>").alias("splits"))
+    plan = labels.withColumn("splits", F.aggregate("sources", none, step, lambda acc: acc["splits"]))
+    plan = plan.select("label", F.inline(F.arrays_zip(F.col("sources.source").alias("source"), F.col("splits").alias("split"))))
+    return samples.join(small(materialize(plan, "plan")), ["label", "source"])
 
 
 def balanced_resample(samples: DataFrame, draws: int, id_: str = "id", seed: int = 42) -> DataFrame:
     """About `draws` rows with replacement, each label equally often: every row is repeated by a Poisson number of mean draws / (labels x rows of its label)."""
     counts = samples.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    k = samples.select("label").distinct().count()
+    k = counts.count()
     mean = F.lit(float(draws)) / (F.lit(k) * F.col("_n"))
-    u = (F.pmod(F.xxhash64(F.col(id_), F.lit(seed), F.lit("draw")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (F.pmod(portable_hash(F.col(id_), seed, "draw"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     whole, part = F.floor(mean), mean - F.floor(mean)
     # the whole part always, the rest by the inverse of the Poisson distribution function of a mean under 1
     terms, total, times = F.exp(-part), F.exp(-part), F.lit(0)
@@ -81,7 +90,7 @@ def balanced_resample(samples: DataFrame, draws: int, id_: str = "id", seed: int
         times = times + F.when(u > total, 1).otherwise(0)
         terms = terms * part / i
         total = total + terms
-    return samples.join(F.broadcast(counts), "label").withColumn("_times", (whole + times).cast("int")).where("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n", "_times")
+    return samples.join(small(materialize(counts, "counts")), "label").withColumn("_times", (whole + times).cast("int")).where("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n", "_times")
 
 
 def triplets(samples: DataFrame, id_: str = "id", seed: int = 42) -> DataFrame:
@@ -90,23 +99,23 @@ def triplets(samples: DataFrame, id_: str = "id", seed: int = 42) -> DataFrame:
     Rows of a label are numbered by buckets of the hash, and the drawn number is joined by equality.
     """
     buckets = 256
-    marked = samples.select(F.col(id_).alias("id"), "label").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    counts = marked.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    marked = samples.select(F.col(id_).alias("id"), "label").withColumn("_h", portable_hash(F.col("id"), seed))
+    marked = marked.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
+    counts = materialize(marked.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_n")), "counts")
     before = F.sum("_n").over(Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    offsets = counts.select("label", "_b", before.alias("_before"))
-    numbered = marked.join(F.broadcast(offsets), ["label", "_b"]).withColumn("no", F.row_number().over(Window.partitionBy("label", "_b").orderBy("id")) + F.col("_before"))
+    offsets = materialize(counts.select("label", "_b", before.alias("_before")), "offsets")
+    numbered = marked.join(small(offsets), ["label", "_b"]).withColumn("no", F.row_number().over(Window.partitionBy("label", "_b").orderBy("id")) + F.col("_before"))
+    # the labels in order stand in a row; a draw is a place in the row of all others, found by its count before the own label
     sizes = counts.groupBy("label").agg(F.sum("_n").alias("n"))
-    # a row for each pair of labels: where the other label's numbers begin in the pool of all others
-    pools = sizes.alias("a").join(F.broadcast(sizes).alias("b"), F.col("a.label") != F.col("b.label")).select(F.col("a.label").alias("label"), F.col("b.label").alias("other"), F.col("b.n").alias("n"))
-    pools = pools.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("other", "n"))).alias("others"))
-    total = F.aggregate("others", F.lit(0).cast("long"), lambda a, o: a + o["n"])
-    drawn = marked.select("id", "label").join(F.broadcast(pools), "label", "left").withColumn("pick", F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce(total, F.lit(1).cast("long"))))
-    step = F.aggregate("others", F.struct(F.lit(None).cast(samples.schema["label"].dataType).alias("other"), F.col("pick").alias("left")), lambda a, o: F.when(a["other"].isNotNull(), a).when(a["left"] < o["n"], F.struct(o["other"].alias("other"), a["left"].alias("left"))).otherwise(F.struct(a["other"].alias("other"), (a["left"] - o["n"]).alias("left"))))
-    drawn = drawn.withColumn("_s", step).select("id", "label", F.coalesce(F.col("_s.other"), F.col("label")).alias("negative_label"), F.when(F.col("_s.other").isNotNull(), F.col("_s.left") + 1).alias("no"))
-    alone = drawn.where("no is null").drop("no").join(sizes, "label").withColumn("no", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("n")) + 1).select("id", "label", "negative_label", "no")
-    drawn = drawn.where("no is not null").unionByName(alone)
-    pool = numbered.select(F.col("label").alias("negative_label"), "no", F.col("id").alias("negative_id"))
-    return drawn.join(pool, ["negative_label", "no"]).select("id", "label", "negative_id", "negative_label")
+    w = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, 0)  # a row for each label
+    ranges = materialize(sizes.select("label", "n", (F.sum("n").over(w) - F.col("n")).alias("from"), F.sum("n").over(Window.partitionBy()).alias("all")), "ranges")
+    drawn = marked.join(small(ranges), "label").withColumn("others", F.col("all") - F.col("n"))
+    # within a label's own rows only if there is no other
+    pick = F.pmod("_h", F.greatest(F.col("others"), F.lit(1).cast("long")))
+    place = F.when(F.col("others") == 0, F.pmod("_h", "n")).when(pick < F.col("from"), pick).otherwise(pick + F.col("n"))
+    drawn = drawn.select("id", "label", place.alias("place"))
+    pool = numbered.join(small(ranges), "label").select(F.col("label").alias("negative_label"), (F.col("no") - 1 + F.col("from")).alias("place"), F.col("id").alias("negative_id"))
+    return drawn.join(pool, "place").select("id", "label", "negative_id", "negative_label")
 
 
 def shuffled(samples: DataFrame, id_: str = "id", seed: int = 42) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficjobs.plans.catalog import query
+from trafficjobs.plans.detect import ASSEMBLED_SQL
 from trafficjobs.plans.views import duck, view
-from trafficjobs.session import scratch
+from trafficjobs.session import materialize, scratch
 from trafficjobs.streaming import jobs
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -20,8 +21,8 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return view(spark, d, name, {"events": spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")})
 
 
-def _ended(stream: DataFrame, label: str) -> DataFrame:
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, label)
+def _ended(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    spark, path = stream.sparkSession, path or scratch(stream.sparkSession, label)
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -31,14 +32,32 @@ def _each_batch(stream: DataFrame, write, path: str) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-@query()
+@query(ASSEMBLED_SQL + " SELECT src_ip, src_port, dst_ip, dst_port, started_us, ended_us, array_to_string(sizes, ',') AS sizes, array_to_string(offsets_us, ',') AS offsets FROM flow")
 def flow_stream(spark, d):
-    held = spark.conf.get(PROVIDER)
+    held, path = spark.conf.get(PROVIDER), scratch(spark, "flows")
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        return _ended(jobs.flow_stream(_stream(spark, d, "packets"), order=("event_id", "i")), "flows")
+        out = _ended(jobs.flow_stream(_stream(spark, d, "packets"), order=("event_id", "i")), "flows", path)
+        out = out.unionByName(materialize(jobs.flush_flows(spark, f"{path}/checkpoint"), "flushed"))
     finally:
         spark.conf.set(PROVIDER, held)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("src_ip", "src_port", "dst_ip", "dst_port", "started_us", "ended_us", text("sizes").alias("sizes"), text("offsets_us").alias("offsets"))
+
+
+@query(duck("packets") + """z AS (SELECT max(ts_us) AS newest FROM packets), t AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id, i) AS no FROM packets WHERE i = 0)
+SELECT event_id, ts_us FROM t, z WHERE ts_us >= newest - 86400000000 UNION ALL SELECT event_id, ts_us FROM t, z WHERE ts_us < newest - 86400000000 AND event_id % 2 = 0""")
+def late_data_stream(spark, d):
+    """First packets in two runs of a stream: those of even events, and of odd ones later, when what is a day older than the newest packet is late and dropped."""
+    path = scratch(spark, "late")
+    first = view(spark, d, "packets").where("i = 0").select("event_id", "ts_us")
+    newest = first.join(view(spark, d, "packets").agg(F.max("ts_us").alias("newest")))
+    first.where("event_id % 2 = 0").unionByName(newest.select(F.lit(None).cast("long").alias("event_id"), F.col("newest").alias("ts_us")).limit(1)).write.parquet(f"{path}/in/a")
+    first.where("event_id % 2 = 1").write.parquet(f"{path}/in/b")
+    for part in ("a", "b"):
+        rows = spark.readStream.schema(first.schema).parquet(f"{path}/in/[{part}]")
+        out = _ended(jobs.distinct_events(rows, "ts_us", "1 day", "event_id"), "late", path)
+    return out.where("event_id is not null").select("event_id", "ts_us")
 
 
 @query(duck("alerts") + "z AS (SELECT 1) SELECT alert_id, src_ip FROM alerts")

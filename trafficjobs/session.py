@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build(app: str = "trafficjobs", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,9 +26,23 @@ def build(app: str = "trafficjobs", master: str | None = None, **conf: str) -> S
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a local folder is made only where that is unset, as in tests."""
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset, as in tests, in a new local folder; not on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back. It survives the loss of executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it was counted to have at most that many rows, else df as it is. Give it a materialized df."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
