@@ -12,7 +12,11 @@ from trafficjobs.operators import cases, correlate, events, retrieval, sampling,
 def test_aliases_and_leaves(spark):
     df = spark.createDataFrame([('{"b":{"uid":"x"},"a":1}',), ('{"a":{"z":[{"zeek_uid":7}]},"uid":null}',), ("no json",), (None,), ('[{"uid":"first"},{"uid":"second"}]',)], "j string")
     out = [r.v for r in df.select(search.find_first_alias(F.col("j"), search.ALIASES["uid"]).alias("v")).collect()]
+    assert out == ["x", None, None, None, "first"]  # a null alias ends the search of its object
+    out = [r.v for r in df.select(search.find_first_alias(F.col("j"), search.ALIASES["uid"], empty_goes_on=True).alias("v")).collect()]
     assert out == ["x", "7", None, None, "first"]
+    df2 = spark.createDataFrame([('{"score": null, "x": {"score": 1}}',), ('{"a": {"score": null, "b": {"score": 2}}, "c": {"score": 3}}',)], "j string")
+    assert [r.v for r in df2.select(search.find_first_alias(F.col("j"), ("score",)).alias("v")).collect()] == [None, "3"]
     out = [r.v for r in df.select(search.leaves(F.col("j")).alias("v")).collect()]
     assert list(out[0]) == ["x", "1"] and list(out[4]) == ["first", "second"]
 
@@ -64,6 +68,52 @@ def test_sampling_repeats_under_any_partitioning(spark):
     assert set(sizes) == {"train", "val", "test"} and sizes["train"] > sizes["val"]
 
 
+def test_hashed_embedding_by_the_rule():
+    import hashlib
+    import re
+
+    texts = ["Port 443 beacon 日 beacon", "", None, "a:b/c.d@e_f-g x x x"]
+    want = []
+    for t in texts:
+        row = [0.0] * 384
+        for token in re.findall(retrieval.TOKEN, (t or "").lower()):
+            d = hashlib.blake2b(token.encode(), digest_size=8).digest()
+            row[int.from_bytes(d[:4], "little") % 384] += 1.0 if d[4] % 2 else -1.0
+        want.append(row)
+    assert retrieval.embed_batch(texts).tolist() == want
+
+
+def test_blank_queries_and_own_rows_find_nothing(spark, monkeypatch):
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, [0.9, 0.1])], "base_id long, vector array<float>")
+    queries = base.select(F.col("base_id").alias("query_id"), "vector")
+    for rows in (20_000, 2):
+        monkeypatch.setattr(retrieval, "MATRIX_ROWS", rows)
+        got = sorted((r.query_id, r.rank, r.base_id) for r in retrieval.top_similar(queries, base, 2, exclude_own=True).collect())
+        assert got == [(1, 1, 2), (1, 2, 4), (2, 1, 1), (2, 2, 4), (4, 1, 1), (4, 2, 2)]
+    assert retrieval.top_similar(queries, base.limit(0), 2).count() == 0
+
+
+def test_equal_questions_are_asked_once(spark):
+    base = spark.createDataFrame([(1, "port 443 open"), (2, "port 80")], "base_id long, text string")
+    asked = spark.createDataFrame([(7, "port 443"), (8, "port 443"), (9, None), (10, "none of it")], "query_id long, text string")
+    got = {(r.query_id, r.rank, r.base_id) for r in retrieval.answers(asked, base, 1).collect()}
+    assert got == {(7, 1, 1), (8, 1, 1)}
+
+
+def test_totals_and_ranks_over_buckets(spark):
+    rows = [("a" if i % 3 else None, i, (i * 7919) % 100 / 100 if i % 10 else None, i * 40_000_000_000 if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "sensor_id string, alert_id long, prob double, at long")
+    got = {r.alert_id: r.total_alert_id for r in events.running_totals(df, ["at", "alert_id"], columns=("alert_id",)).collect()}
+    for s in ("a", None):
+        total = 0
+        for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[3] is not None, r[3] or 0, r[1])):
+            total += r[1]
+            assert got[r[1]] == total
+    ends = df.withColumns({k: F.lit("h") for k in ("src_ip", "dst_ip")} | {k: F.lit(1) for k in ("src_port", "dst_port")})
+    want = {r[1]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[1])))}
+    assert {r.alert_id: r.rank for r in cases.compact_events(ends).collect()} == want
+
+
 def test_hashed_embedding_and_block_search(spark, monkeypatch):
     v = retrieval.embed_batch(["Port 443 beacon 日", "", None])
     assert v.shape == (3, 384) and abs(v[0]).sum() == 4 and not v[1:].any()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from trafficjobs.operators.correlate import CASE_STATES, SOURCES
+from trafficjobs.session import materialize, small
 
 # What a complete report mentions.
 CHECKS = {
@@ -50,11 +51,21 @@ def task_lifecycle(events: DataFrame) -> DataFrame:
     return out.select("task_id", "status", (F.col("_r") - F.col("_q")).alias("queued_us"), (F.col("_e") - F.col("_r")).alias("running_us"), "has_report")
 
 
-def compact_events(events: DataFrame, per: Sequence[str] = (), order: Sequence[Column] | None = None) -> DataFrame:
-    """rank from 1, probability of four digits, endpoints as ip:port. Without `per` all events are one list."""
-    w = (Window.partitionBy(*per) if per else Window.partitionBy(F.lit(1))).orderBy(*(order or [F.desc("prob"), F.col("alert_id")]))
+def compact_events(events: DataFrame, per: Sequence[str] = (), ranges: int = 1024) -> DataFrame:
+    """rank from 1 by falling prob, ties by alert_id; probability of four digits, endpoints as ip:port. Without `per` all events are one list.
+
+    Ranks are counts of the higher ranges of prob plus the rank in the own range, so that a long list is no single task.
+    Events without a prob come last.
+    """
+    rows = events.withColumn("_range", F.coalesce(-F.floor(F.col("prob") * ranges), F.lit(1)))
+    counts = rows.groupBy(*per, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    keys = (*per, "_range")
+    counts = materialize(counts.select(*(F.col(c).alias(f"_key_{c}") for c in keys), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")), "range-counts")
+    rows = rows.join(small(counts), [rows[c].eqNullSafe(F.col(f"_key_{c}")) for c in keys])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("prob"), "alert_id")) + F.col("_before")
     end = lambda k: F.concat_ws(":", f"{k}_ip", F.col(f"{k}_port").cast("string")).alias(k)
-    return events.select(*per, "alert_id", F.row_number().over(w).alias("rank"), F.round("prob", 4).alias("probability"), end("src"), end("dst"))
+    return rows.select(*per, "alert_id", rank.cast("int").alias("rank"), F.round("prob", 4).alias("probability"), end("src"), end("dst"))
 
 
 def event_block() -> Column:
@@ -62,10 +73,11 @@ def event_block() -> Column:
     return F.format_string("### Event %d: %s -> %s\n\n- Risk: %s\n- Probability: %.4f\n- Alert: %s", "rank", "src", "dst", "risk", "probability", "alert_id")
 
 
-def rule_report(events: DataFrame, run: str = "run_id", knowledge: DataFrame | None = None) -> DataFrame:
-    """run, markdown: totals, a block for each event in order of rank, knowledge titles, fixed actions and limits."""
-    blocks = events.withColumn("block", event_block()).groupBy(run).agg(
-        F.count(F.lit(1)).alias("n"), F.max("probability").alias("top"), F.count_if(F.col("risk") == "high").alias("n_high"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]).alias("blocks")
+def rule_report(events: DataFrame, run: str = "run_id", knowledge: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """run, markdown: totals of all events, a block for each of the first `most` in order of rank, knowledge titles, fixed actions and limits."""
+    block = F.when(F.col("rank") <= most, F.struct("rank", event_block().alias("block")))
+    blocks = events.groupBy(run).agg(
+        F.count(F.lit(1)).alias("n"), F.max("probability").alias("top"), F.count_if(F.col("risk") == "high").alias("n_high"), F.transform(F.sort_array(F.collect_list(block)), lambda x: x["block"]).alias("blocks")
     )
     if knowledge is not None:
         blocks = blocks.join(knowledge.groupBy(run).agg(F.array_sort(F.collect_set("title")).alias("titles")), run, "left")
@@ -92,6 +104,7 @@ def quality_checks(reports: DataFrame) -> DataFrame:
     return out.withColumn("missing", missing).withColumn("status", F.when(F.size("missing") == 0, "complete").otherwise("incomplete"))
 
 
-def bundle_summary(bundle: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
-    """alert_id with the number of rows of each source and what is missing."""
-    return bundle.select("alert_id", *(F.size(s).alias(f"n_{s}") for s in sources), F.array_compact(F.array(*(F.when(F.size(s) == 0, F.lit(s)) for s in sources))).alias("missing"))
+def bundle_summary(bundle: DataFrame, sources: Sequence[str] = SOURCES, keep: Sequence[Column] = ()) -> DataFrame:
+    """alert_id with the number of rows of each source, what is missing, and as errors the sources that could not be asked: their column is null. keep adds columns."""
+    names = lambda test: F.array_compact(F.array(*(F.when(test(F.col(s)), F.lit(s)) for s in sources)))
+    return bundle.select("alert_id", *keep, *(F.coalesce(F.size(s), F.lit(0)).alias(f"n_{s}") for s in sources), names(lambda c: F.coalesce(F.size(c), F.lit(0)) == 0).alias("missing"), names(lambda c: c.isNull()).alias("errors"))

@@ -24,10 +24,12 @@ def interval_join(alerts: DataFrame, logs: DataFrame, margin_us: int, most: int
     window = window.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width)))).withColumnRenamed("src_ip", "_ip")
     rows = logs.withColumn("_bucket", F.floor(F.col("ts_us") / width)).withColumnRenamed("ip", "_ip")
     pairs = window.join(rows, ["_ip", "_bucket"]).where(F.col("ts_us").between(F.col("_from"), F.col("_to")))
-    pairs = pairs.withColumnRenamed("_ip", "src_ip").drop("_bucket", "_from", "_to")
+    pairs = pairs.withColumnRenamed("_ip", "src_ip").drop("_from", "_to")
     if most is not None:
-        pairs = pairs.withColumn("_no", F.row_number().over(Window.partitionBy(alert_id).orderBy(*order))).where(F.col("_no") <= most).drop("_no")
-    return pairs
+        # the first of each bucket hold the first of all, so a busy host's buckets are cut before they meet
+        for part in (("_bucket",), ()):
+            pairs = pairs.withColumn("_no", F.row_number().over(Window.partitionBy(alert_id, *part).orderBy(*order))).where(F.col("_no") <= most).drop("_no")
+    return pairs.drop("_bucket")
 
 
 def connections_by_ip(conn: DataFrame) -> DataFrame:
@@ -44,19 +46,26 @@ def alert_ids(alerts: DataFrame, ids: DataFrame, margin_us: int = 30_000_000, mo
     return interval_join(alerts, rows, margin_us, most, order=("ts_us", "ids_id"))
 
 
-def evidence_bundle(alerts: DataFrame, sources: dict[str, tuple[DataFrame, Column, Sequence[str], int]], alert_id: str = "alert_id") -> DataFrame:
+def gathered(pairs: DataFrame, name: str, columns: Sequence[str], order: Sequence[str], most: int, alert_id: str = "alert_id") -> DataFrame:
+    """alert_id with an array of its first `most` rows in that order."""
+    w = Window.partitionBy(alert_id).orderBy(*order)
+    kept = pairs.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= most)
+    return kept.groupBy(alert_id).agg(F.transform(F.sort_array(F.collect_list(F.struct("_no", F.struct(*columns).alias("r")))), lambda x: x["r"]).alias(name))
+
+
+def evidence_bundle(alerts: DataFrame, sources: dict[str, tuple[DataFrame, Sequence[str], Sequence[str], int]], snapshots: dict[str, str] | None = None, alert_id: str = "alert_id") -> DataFrame:
     """alerts with an array column for each source.
 
-    A source is (rows, condition on both sides that holds an equality, order, most rows). Each is ranked and cut before it is
-    gathered, and joined back on the alert alone.
+    A source is (rows that hold the alert's id, columns, order, most rows): pairs of interval_join, or rows joined by id. Each
+    is cut before it is gathered, and joined back on the alert alone. snapshots names for a source the array of records in
+    the rows of the source `snapshots` that are added to it, each record once.
     """
     out = alerts
-    for name, (rows, on, order, most) in sources.items():
-        pairs = alerts.join(rows, on).select(alert_id, *(rows[c].alias(f"_{c}") for c in rows.columns))
-        w = Window.partitionBy(alert_id).orderBy(*(f"_{c}" for c in order))
-        kept = pairs.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= most)
-        gathered = kept.groupBy(alert_id).agg(F.transform(F.sort_array(F.collect_list(F.struct("_no", F.struct(*(F.col(f"_{c}").alias(c) for c in rows.columns)).alias("r")))), lambda x: x["r"]).alias(name))
-        out = out.join(gathered, alert_id, "left").withColumn(name, F.coalesce(name, F.array()))
+    for name, (pairs, columns, order, most) in sources.items():
+        own = [c for c in pairs.columns if c != alert_id]
+        out = out.join(gathered(pairs.select(alert_id, *own), name, columns, order, most, alert_id), alert_id, "left").withColumn(name, F.coalesce(name, F.array()))
+    for name, records in (snapshots or {}).items():
+        out = out.withColumn(name, F.array_union(name, F.flatten(F.transform("snapshots", lambda r: r[records]))))
     return out
 
 

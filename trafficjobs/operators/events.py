@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from trafficjobs.session import materialize, small
+
 from trafficjobs.functions.scoring import predicted, risk_level
 
 # Keys that evidence must not carry.
@@ -128,10 +130,20 @@ def validate(events: DataFrame, want: str, sensors: Sequence[str]) -> tuple[Data
     return events.where(ok), events.where(~ok)
 
 
-def running_totals(captures: DataFrame, order: Sequence[str], per: Sequence[str] = ("sensor_id",), columns: Sequence[str] = ("flows", "alerts")) -> DataFrame:
-    """Cumulative sums in each sensor's order of captures."""
-    w = Window.partitionBy(*per).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return captures.withColumns({f"total_{c}": F.sum(c).over(w) for c in columns})
+def running_totals(captures: DataFrame, order: Sequence[str], per: Sequence[str] = ("sensor_id",), columns: Sequence[str] = ("flows", "alerts"), bucket_us: int = 86_400_000_000) -> DataFrame:
+    """Cumulative sums in each sensor's order of captures, whose first column is a time in microseconds.
+
+    Sums of whole buckets of time are put in order first, and rows only within their bucket, so a long history is no single
+    task. Rows without a time come first.
+    """
+    rows = captures.withColumn("_bucket", F.coalesce(F.floor(F.col(order[0]) / bucket_us), F.lit(-(2**62))))
+    w = Window.partitionBy(*per).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*per, "_bucket").agg(*(F.sum(c).alias(f"_sum_{c}") for c in columns))
+    sums = materialize(sums.select(*per, "_bucket", *(F.coalesce(F.sum(f"_sum_{c}").over(w), F.lit(0)).alias(f"_before_{c}") for c in columns)), "bucket-sums")
+    inner = Window.partitionBy(*per, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    on = [rows[c].eqNullSafe(F.col(f"_key_{c}")) for c in (*per, "_bucket")]
+    both = rows.join(small(sums.select(*(F.col(c).alias(f"_key_{c}") for c in (*per, "_bucket")), *(f"_before_{c}" for c in columns))), on)
+    return both.withColumns({f"total_{c}": F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"_before_{c}") for c in columns}).select(*captures.columns, *(f"total_{c}" for c in columns))
 
 
 def siem_rules(spark) -> DataFrame:

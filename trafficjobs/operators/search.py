@@ -24,15 +24,17 @@ ALIASES = {
 STALE_US = 45_000_000
 
 
-def _find(value, names: frozenset):
-    """Depth first; a key of the object itself goes before anything inside it."""
+def _find(value, names: frozenset, empty_goes_on: bool):
+    """Depth first; a key of the object itself goes before anything inside it, which then is not looked at. Null counts as nothing found there."""
     pending = [value]
     while pending:
         value = pending.pop()
         if isinstance(value, dict):
-            own = next((k for k in value if k in names), None)
-            if own is not None and value[own] is not None:
-                return value[own]
+            own = [k for k in value if k in names and not (empty_goes_on and value[k] in (None, "", [], {}))][:1]
+            if own:
+                if value[own[0]] is not None:
+                    return value[own[0]]
+                continue
         if isinstance(value, (dict, list)):
             pending += reversed(list(value.values()) if isinstance(value, dict) else value)
     return None
@@ -49,14 +51,18 @@ def _as_text(value):
     return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def find_first_alias(json_text: Column, names: Sequence[str]) -> Column:
-    """The value, as text, of the first key in document order that is one of the names, on each level before deeper ones."""
+def find_first_alias(json_text: Column, names: Sequence[str], empty_goes_on: bool = False) -> Column:
+    """The value, as text, of the first key in document order that is one of the names, on each level before deeper ones.
+
+    An object whose first such key is null gives nothing, and what is inside it is not searched. With empty_goes_on null and
+    empty values count as absent.
+    """
     wanted = frozenset(names)
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda t: _as_text(_find(_parsed(t), wanted)))
+            yield pd.Series([_as_text(_find(_parsed(t), wanted, empty_goes_on)) for t in part.tolist()], index=part.index)
 
     return run(json_text)
 
@@ -189,3 +195,13 @@ def sensor_health(beats: DataFrame, sensors: Sequence[str], now_us: int, stale_u
 def recent(rows: DataFrame, order: Sequence[Column], limit: int = 20) -> DataFrame:
     """The newest rows; the limit lies between 1 and 100."""
     return rows.orderBy(*order).limit(max(1, min(limit, 100)))
+
+
+def recent_tasks(tasks: DataFrame, limit: int = 20) -> DataFrame:
+    """The tasks created last."""
+    return recent(tasks, [F.desc_nulls_last("created_us"), F.col("task_id")], limit)
+
+
+def recent_reports(tasks: DataFrame, limit: int = 20) -> DataFrame:
+    """The tasks with a report, the last finished first, then the last created. A finished task has finished_us."""
+    return recent(tasks.where("finished_us is not null"), [F.desc("finished_us"), F.desc_nulls_last("created_us"), F.col("task_id")], limit)

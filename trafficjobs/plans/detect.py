@@ -148,6 +148,12 @@ def pad_mask(spark, d):
     return p.select("src_ip", "src_port", "dst_port", "segment", F.size(F.filter("p.mask", lambda x: x)).alias("n_real"), F.size("p.times").alias("n_all"), total.alias("token_sum"))
 
 
+@query(duck("packets") + FLOWS_SQL + """ SELECT dst_port, count(*) FILTER (len(sizes) >= 5) AS by_whole, count(*) FILTER (least(len(sizes), 6) >= 5) AS by_cut, count(*) FILTER (least(len(sizes), 4) >= 5) AS by_short_cut FROM flow GROUP BY 1""")
+def packet_minimum(spark, d):
+    enough = lambda rule, most: F.count_if(features.long_enough(F.col("sizes"), F.col("offsets_us"), 5, rule, most))
+    return _segments(spark, d).groupBy("dst_port").agg(enough("before_cut", 4).alias("by_whole"), enough("after_cut", 6).alias("by_cut"), enough("after_cut", 4).alias("by_short_cut"))
+
+
 STATS_SQL = """, st AS (SELECT *, [o / 1000000.0 FOR o IN offsets_us] AS t FROM flow),
 sm AS (SELECT *, list_min(t) AS t_min, list_max(t) AS t_max, list_avg(t) AS t_mean, list_median(t) AS t_median FROM st)"""
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from trafficjobs.operators import flows, retrieval
 from trafficjobs.plans.catalog import query
 from trafficjobs.plans.detect import FLOWS_SQL, ORDER
+from trafficjobs.plans.triage import REPORT_SQL, report_of_sensors
 from trafficjobs.plans.views import duck, view
 from trafficjobs.session import scratch
-from trafficjobs.sources import readers, sinks
+from trafficjobs.sources import captures, readers, sinks
 
 
 def _written(lines, label: str) -> str:
@@ -88,3 +89,56 @@ def knowledge_index(spark, d):
 def read_knowledge(spark, d):
     line = F.to_json(F.struct(F.concat(F.lit("T"), F.col("item_id").cast("string")).alias("title"), F.col("text").alias("content"), F.array(F.lit("a")).alias("tags")))
     return readers.knowledge(spark, _written(view(spark, d, "benchmark").select(line), "knowledge")).select("title", "content", "recommendation", F.size("tags").alias("n_tags"))
+
+
+@query(duck("beats") + "z AS (SELECT 1) SELECT sensor_id, received % 7 AS level, count(*) AS n FROM beats GROUP BY 1, 2")
+def read_siem_alerts(spark, d):
+    rule = F.struct(F.col("event_id").cast("string").alias("id"), (F.col("received") % 7).alias("level"))
+    line = F.to_json(F.struct(F.col("observed_us").cast("string").alias("@timestamp"), rule.alias("rule"), F.struct(F.col("sensor_id").alias("uid")).alias("data")))
+    rows = readers.json_lines(spark, _written(view(spark, d, "beats").select(F.explode(F.array(line, F.lit("{broken"), F.lit("")))), "siem"))
+    field = lambda p: F.get_json_object("raw", p)
+    return rows.groupBy(field("$.data.uid").alias("sensor_id"), field("$.rule.level").cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _captures(spark, d):
+    """The packets view as pcap files in big-endian order, one for a hundred events: path, content."""
+    number = lambda c, width: F.lpad(F.hex(c), width, "0")
+    address = lambda c: F.array_join(F.transform(F.split(c, r"\."), lambda p: number(p.cast("int"), 2)), "")
+    zeros = lambda n: F.lit("0" * n)
+    ip = F.concat(F.lit("4500"), number(F.col("ip_length") - captures.HEADERS + 40, 4), F.lit("00000000400600" + "00"), address("src_ip"), address("dst_ip"))
+    tcp = F.concat(number(F.col("src_port"), 4), number(F.col("dst_port"), 4), zeros(16), F.lit("50"), number(F.col("tcp_flags"), 2), zeros(12))
+    frame = F.concat(zeros(24), F.lit("0800"), ip, tcp)
+    record = F.concat(number(F.expr("ts_us div 1000000"), 8), number(F.col("ts_us") % 1_000_000, 8), number(F.lit(54), 8), number(F.col("ip_length") + 14, 8), frame)
+    rows = view(spark, d, "packets").select(F.concat(F.lit("c"), F.expr("cast(event_id div 100 as string)")).alias("path"), F.struct("ts_us", "event_id", "i", record.alias("hex")).alias("r"))
+    files = rows.groupBy("path").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    head = F.lit("A1B2C3D4" + "00020004" + "0" * 16 + "0000FFFF" + "00000001")
+    return files.select("path", F.unhex(F.concat(head, F.array_join(F.transform("rs", lambda r: r["hex"]), ""))).alias("content"))
+
+
+CAPTURED_SQL = duck("packets") + "c AS (SELECT *, 'c' || (event_id // 100) AS path FROM packets), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts_us, event_id, i) - 1 AS packet FROM c)"
+
+
+@query(CAPTURED_SQL + " SELECT path, packet, ts_us, src_ip, src_port, dst_ip, dst_port, ip_length, tcp_flags FROM n")
+def read_captures(spark, d):
+    return captures.packets_of(_captures(spark, d)).drop("protocol")
+
+
+@query(CAPTURED_SQL + " SELECT path, count(*) AS total_packets, count(*) AS tcp_packets, CAST(0 AS BIGINT) AS skipped_packets, min(ts_us) AS first_us, max(ts_us) AS last_us, 'unknown' AS drop_status FROM n GROUP BY path")
+def capture_stats(spark, d):
+    return captures.stats_of(_captures(spark, d)).drop("received", "dropped", "error")
+
+
+@query("SELECT count(DISTINCT user_id % 9) AS rested, count(DISTINCT user_id % 9) - 1 AS still_written FROM events")
+def closed_captures(spark, d):
+    """Files of a folder long after they were written, when all have rested, and at once, when the newest may still grow."""
+    path = scratch(spark, "spool")
+    view(spark, d, "events").select(F.expr("user_id % 9").alias("part"), "event_id").repartition("part").write.partitionBy("part").json(path)
+    count = lambda now, name: readers.closed_captures(spark, path, 5, now).agg(F.count(F.lit(1)).alias(name))
+    return count(2**62, "rested").join(F.broadcast(count(0, "still_written")))
+
+
+@query(REPORT_SQL)
+def write_reports(spark, d):
+    path = scratch(spark, "reports")
+    sinks.write_reports(report_of_sensors(spark, d), path)
+    return spark.read.schema("run_id string, markdown string").json(path)

@@ -10,6 +10,20 @@ from trafficjobs.operators import correlate, metrics, retrieval, search
 from trafficjobs.plans.catalog import query
 from trafficjobs.plans.views import duck, view
 
+TERMS = r"[\p{L}\p{N}_]+"
+
+
+def _tfidf_sql(asked: str, base: str, k: int) -> str:
+    """retrieval.tfidf_top in DuckDB as CTEs up to `answers`, for asked (qid, text) and base (id, text)."""
+    return rf"""bt AS (SELECT id, unnest(regexp_extract_all(lower(text), '{TERMS}')) AS term FROM {base}), qt AS (SELECT qid, unnest(regexp_extract_all(lower(text), '{TERMS}')) AS term FROM {asked}),
+b AS (SELECT id, term, count(*) AS tf FROM bt GROUP BY ALL), q AS (SELECT qid, term, count(*) AS tf FROM qt GROUP BY ALL), n AS (SELECT count(*) + 1 AS n FROM {base}), f AS (SELECT term, count(*) AS df FROM b GROUP BY 1),
+qw AS (SELECT qid, q.term, q.tf * (ln((1.0 + n) / (1 + coalesce(df, 0) + 1)) + 1) AS w FROM q LEFT JOIN f ON q.term = f.term, n), qn AS (SELECT qid, sqrt(sum(w * w)) AS nq FROM qw GROUP BY 1),
+bw AS (SELECT id, b.term, b.tf, df FROM b JOIN f ON b.term = f.term), whole AS (SELECT id, sum(pow(tf * (ln((1.0 + n) / (1 + df)) + 1), 2)) AS sq FROM bw, n GROUP BY 1),
+x AS (SELECT qid, id, sum(w * tf * (ln((1.0 + n) / (2 + df)) + 1)) AS dot, sum(pow(tf * (ln((1.0 + n) / (2 + df)) + 1), 2) - pow(tf * (ln((1.0 + n) / (1 + df)) + 1), 2)) AS more FROM qw JOIN bw ON qw.term = bw.term, n GROUP BY 1, 2),
+sc AS (SELECT x.qid AS query_id, x.id AS base_id, round(dot / (nq * sqrt(sq + more)), 6) AS score FROM x JOIN qn ON x.qid = qn.qid JOIN whole ON x.id = whole.id),
+answers AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS INT) AS rank, base_id, CAST(round(score * 1000000) AS BIGINT) AS score FROM sc QUALIFY rank <= {k})"""
+
+
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 T0, T1 = 1_704_067_200_000_000 + 5 * DAY, 1_704_067_200_000_000 + 20 * DAY
 
@@ -99,6 +113,14 @@ def recent_cases(spark, d):
     return search.recent(view(spark, d, "cases"), [F.desc("created_us"), F.desc("case_id")], 500).select("case_id", "alert_key")
 
 
+@query("""WITH t AS (SELECT conv_id AS task_id, count(*) AS n, max(CASE WHEN role = 'assistant' THEN turn END) AS finished, min(turn) AS created FROM conversations GROUP BY 1),
+a AS (SELECT task_id, 'task' AS list FROM t ORDER BY n DESC, task_id LIMIT 20), b AS (SELECT task_id, 'report' AS list FROM t WHERE finished IS NOT NULL ORDER BY finished DESC, n DESC, task_id LIMIT 20) SELECT * FROM a UNION ALL SELECT * FROM b""")
+def recent_tasks_and_reports(spark, d):
+    t = view(spark, d, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(F.count(F.lit(1)).alias("created_us"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("finished_us"))
+    tasks, reports = search.recent_tasks(t), search.recent_reports(t)
+    return tasks.select("task_id", F.lit("task").alias("list")).unionByName(reports.select("task_id", F.lit("report").alias("list")))
+
+
 def _near(logs, on, extra, margin, most, order):
     return f"j AS (SELECT a.alert_id, {extra}, row_number() OVER (PARTITION BY a.alert_id ORDER BY {order}) AS no FROM alerts a JOIN {logs} l ON {on} AND l.ts_us BETWEEN a.start_us - {margin} AND a.end_us + {margin}) SELECT * EXCLUDE (no) FROM j WHERE no <= {most}"
 
@@ -119,34 +141,44 @@ def alert_ids(spark, d):
 
 
 def _bundle(spark, d):
-    a = view(spark, d, "alerts").where("prob >= 0.5")
-    conn = correlate.connections_by_ip(view(spark, d, "conn")).select("ip", "uid", "ts_us")
-    ids = view(spark, d, "ids").select("src_ip", "event_id", "signature", F.col("ts_us").alias("ids_us"))
-    siem = view(spark, d, "beats").select(F.col("sensor_id").alias("siem_sensor"), F.col("event_id").alias("siem_id"), "observed_us")
-    snapshots = view(spark, d, "alerts").where("event_id % 2 = 0").select(F.col("alert_id").alias("of_alert"), F.col("event_id").alias("snapshot_id"))
-    kb = view(spark, d, "benchmark").select("item_id").where("item_id < 10").withColumn("kb_key", F.col("item_id"))
+    a = view(spark, d, "alerts")
+    conn = correlate.alert_connections(a.select("alert_id", "src_ip", "start_us", "end_us"), view(spark, d, "conn").select("uid", "orig_h", "resp_h", "ts_us"), 6 * HOUR, 50)
+    ids = correlate.alert_ids(a.select("alert_id", "src_ip", "start_us", "end_us"), view(spark, d, "ids"), 12 * HOUR, 50)
+    of_sensor = a.select("alert_id", F.col("sensor_id").alias("src_ip"), "start_us", F.col("start_us").alias("end_us"))
+    siem = correlate.interval_join(of_sensor, view(spark, d, "beats").select(F.col("sensor_id").alias("ip"), F.col("event_id").alias("siem_id"), F.col("observed_us").alias("ts_us")), HOUR, 20, order=("ts_us", "siem_id"))
+    # every alert has a snapshot, which holds a connection and, for some, an IDS alert of its own
+    uid, number = F.col("uid").alias("conn_uid"), F.col("event_id").alias("ids_id")
+    snapshots = a.select("alert_id", F.col("event_id").alias("snapshot_id"), F.array(F.struct(uid, F.col("start_us").alias("ts_us"))).alias("conn"), F.when(F.col("event_id") % 3 == 0, F.array(F.struct(number, F.lit("Policy").alias("signature")))).otherwise(F.array()).alias("ids"))
+    known = view(spark, d, "benchmark").select(F.col("item_id").alias("base_id"), F.concat("text", F.lit(" port "), F.element_at(F.array(*(F.lit(p) for p in ("443", "80", "22", "4444"))), (F.col("item_id") % 4 + 1).cast("int"))).alias("text"))
+    asked = a.select(F.col("event_id").alias("query_id"), F.concat_ws(" ", F.lit("malware port"), F.col("dst_port").cast("string")).alias("text"))
+    knowledge = retrieval.answers(asked, known, 4).join(a.select("alert_id", F.col("event_id").alias("query_id")), "query_id").select("alert_id", "rank", "base_id")
     return correlate.evidence_bundle(a, {
-        "conn": (conn, (a.src_ip == conn.ip) & (conn.ts_us >= a.start_us), ["ts_us", "uid"], 50),
-        "ids": (ids, (a.src_ip == ids.src_ip) & (ids.ids_us >= a.start_us), ["ids_us", "event_id"], 50),
-        "siem": (siem, (a.sensor_id == siem.siem_sensor) & siem.observed_us.between(a.start_us - HOUR, a.start_us), ["observed_us", "siem_id"], 20),
-        "snapshots": (snapshots, a.alert_id == snapshots.of_alert, ["snapshot_id"], 20),
-        "knowledge": (kb, a.event_id % 20 == kb.kb_key, ["item_id"], 4),
-    })
-
-
-BUNDLE_SQL = duck("alerts", "conn", "ids", "beats") + f"""a AS (SELECT * FROM alerts WHERE prob >= 0.5),
-b AS (SELECT a.*, least(50, (SELECT count(*) FROM conn c WHERE (c.orig_h = a.src_ip OR c.resp_h = a.src_ip) AND c.ts_us >= a.start_us)) AS n_conn,
-  least(50, (SELECT count(*) FROM ids i WHERE i.src_ip = a.src_ip AND i.ts_us >= a.start_us)) AS n_ids,
-  least(20, (SELECT count(*) FROM beats h WHERE h.sensor_id = a.sensor_id AND h.observed_us BETWEEN a.start_us - {HOUR} AND a.start_us)) AS n_siem,
-  CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS n_snapshots, CASE WHEN event_id % 20 < 10 THEN 1 ELSE 0 END AS n_knowledge FROM a),
-m AS (SELECT *, array_to_string([s.n FOR s IN [{{'n': 'siem', 'c': n_siem}}, {{'n': 'conn', 'c': n_conn}}, {{'n': 'ids', 'c': n_ids}}, {{'n': 'snapshots', 'c': n_snapshots}}, {{'n': 'knowledge', 'c': n_knowledge}}] IF s.c = 0], ',') AS missing FROM b)
+        "conn": (conn, ["conn_uid", "ts_us"], ["ts_us", "conn_uid"], 50),
+        "ids": (ids.select("alert_id", "ts_us", "ids_id", "signature"), ["ids_id", "signature"], ["ts_us", "ids_id"], 50),
+        "siem": (siem, ["siem_id", "ts_us"], ["ts_us", "siem_id"], 20),
+        "snapshots": (snapshots, ["snapshot_id", "conn", "ids"], ["snapshot_id"], 20),
+        "knowledge": (knowledge, ["base_id"], ["rank"], 4),
+    }, {"conn": "conn", "ids": "ids"})
+
+
+BUNDLE_SQL = duck("alerts", "conn", "ids", "beats") + """known AS (SELECT item_id AS id, text || ' port ' || CASE item_id % 4 WHEN 0 THEN '443' WHEN 1 THEN '80' WHEN 2 THEN '22' ELSE '4444' END AS text FROM benchmark),
+asked AS (SELECT event_id AS qid, 'malware port ' || dst_port AS text FROM alerts),
+""" + _tfidf_sql("asked", "known", 4) + f""",
+ka AS (SELECT query_id, count(*) AS n, min(base_id) AS least FROM answers GROUP BY 1),
+c1 AS (SELECT DISTINCT a.alert_id, c.uid, c.ts_us FROM alerts a JOIN conn c ON (c.orig_h = a.src_ip OR c.resp_h = a.src_ip) AND c.ts_us BETWEEN a.start_us - {6 * HOUR} AND a.end_us + {6 * HOUR}),
+i1 AS (SELECT DISTINCT a.alert_id, i.event_id FROM alerts a JOIN ids i ON (i.src_ip = a.src_ip OR i.dest_ip = a.src_ip) AND i.ts_us BETWEEN a.start_us - {12 * HOUR} AND a.end_us + {12 * HOUR}),
+nc AS (SELECT alert_id, least(50, count(*)) AS n FROM c1 GROUP BY 1), ni AS (SELECT alert_id, least(50, count(*)) AS n FROM i1 GROUP BY 1),
+nh AS (SELECT a.alert_id, least(20, count(*)) AS n FROM alerts a JOIN beats h ON h.sensor_id = a.sensor_id AND h.observed_us BETWEEN a.start_us - {HOUR} AND a.start_us + {HOUR} GROUP BY 1),
+bu AS (SELECT a.*, coalesce(nc.n, 0) + 1 AS n_conn, coalesce(ni.n, 0) + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS n_ids, coalesce(nh.n, 0) AS n_siem, 1 AS n_snapshots, coalesce(ka.n, 0) AS n_knowledge, ka.least AS least_knowledge
+  FROM alerts a LEFT JOIN nc USING (alert_id) LEFT JOIN ni USING (alert_id) LEFT JOIN nh USING (alert_id) LEFT JOIN ka ON ka.query_id = a.event_id),
+m AS (SELECT *, array_to_string([s.n FOR s IN [{{'n': 'siem', 'c': n_siem}}, {{'n': 'conn', 'c': n_conn}}, {{'n': 'ids', 'c': n_ids}}, {{'n': 'snapshots', 'c': n_snapshots}}, {{'n': 'knowledge', 'c': n_knowledge}}] IF s.c = 0], ',') AS missing FROM bu)
 """
 
 
-@query(BUNDLE_SQL + "SELECT alert_id, n_siem, n_conn, n_ids, n_snapshots, n_knowledge, missing FROM m")
+@query(BUNDLE_SQL + "SELECT alert_id, n_siem, n_conn, n_ids, n_snapshots, n_knowledge, least_knowledge, missing, '' AS errors FROM m")
 def evidence_bundle(spark, d):
-    out = case_ops.bundle_summary(_bundle(spark, d))
-    return out.select("alert_id", *(F.col(f"n_{s}").cast("long").alias(f"n_{s}") for s in correlate.SOURCES), F.array_join("missing", ",").alias("missing"))
+    out = case_ops.bundle_summary(_bundle(spark, d), keep=[F.array_min(F.col("knowledge.base_id")).alias("least_knowledge")])
+    return out.select("alert_id", *(F.col(f"n_{s}").cast("long").alias(f"n_{s}") for s in correlate.SOURCES), "least_knowledge", F.array_join("missing", ",").alias("missing"), F.array_join("errors", ",").alias("errors"))
 
 
 @query(BUNDLE_SQL + "SELECT alert_id, 5 - len([x FOR x IN string_split(missing, ',') IF x <> '']) AS ready FROM m")
@@ -230,23 +262,26 @@ def task_lifecycle(spark, d):
     return case_ops.task_lifecycle(e.select(F.col("user_id").alias("task_id"), F.col("e_us").alias("at_us"), status.alias("status"), F.when(F.col("event_type") == "purchase", "r").alias("report")))
 
 
-@query(duck("alerts") + """z AS (SELECT sensor_id, alert_id, row_number() OVER (PARTITION BY sensor_id ORDER BY prob DESC, alert_id) AS rank, round(prob, 4) AS probability, src_ip || ':' || src_port AS src, dst_ip || ':' || dst_port AS dst FROM alerts WHERE prob >= 0.7) SELECT * FROM z""")
+@query(duck("alerts") + """z AS (SELECT sensor_id, alert_id, row_number() OVER (PARTITION BY sensor_id ORDER BY prob DESC, alert_id) AS rank, round(prob, 4) AS probability, src_ip || ':' || src_port AS src, dst_ip || ':' || dst_port AS dst FROM alerts) SELECT * FROM z""")
 def compact_events(spark, d):
-    return case_ops.compact_events(view(spark, d, "alerts").where("prob >= 0.7"), ("sensor_id",))
+    return case_ops.compact_events(view(spark, d, "alerts"), ("sensor_id",))
 
 
-def _report(spark, d):
+def report_of_sensors(spark, d):
     a = view(spark, d, "alerts").where("prob >= 0.9").withColumn("risk", risk_level(F.col("prob")))
     c = case_ops.compact_events(a, ("sensor_id",)).join(a.select("alert_id", "risk"), "alert_id")
     return case_ops.rule_report(c.withColumnRenamed("sensor_id", "run_id"))
 
 
-@query(duck("alerts") + r"""z AS (SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY prob DESC, alert_id) AS rank, round(prob, 4) AS p, src_ip || ':' || src_port AS src, dst_ip || ':' || dst_port AS dst, alert_id FROM alerts WHERE prob >= 0.9),
-b AS (SELECT sensor_id AS run_id, count(*) AS n, max(p) AS top, string_agg(printf(E'### Event %d: %s -> %s\n\n- Risk: high\n- Probability: %.4f\n- Alert: %s', rank, src, dst, p, alert_id), E'\n\n' ORDER BY rank) AS blocks FROM z GROUP BY 1)
+REPORT_SQL = duck("alerts") + r"""z AS (SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY prob DESC, alert_id) AS rank, round(prob, 4) AS p, src_ip || ':' || src_port AS src, dst_ip || ':' || dst_port AS dst, alert_id FROM alerts WHERE prob >= 0.9),
+b AS (SELECT sensor_id AS run_id, count(*) AS n, max(p) AS top, string_agg(printf(E'### Event %d: %s -> %s\n\n- Risk: high\n- Probability: %.4f\n- Alert: %s', rank, src, dst, p, alert_id), E'\n\n' ORDER BY rank) FILTER (rank <= 50) AS blocks FROM z GROUP BY 1)
 SELECT run_id, printf(E'# Traffic triage report\n\n%d candidates, %d of high risk, highest probability %.4f.\n\n## Candidates\n\n', n, n, top) || blocks || E'\n\n## Knowledge\n\n' ||
-E'\n\n## Actions\n\n- Review neighbouring connections of both hosts in the time window.\n- Check who owns the destination.\n\n## Limits\n\nA probability is a lead, no verdict; 误报 need manual review.\n' AS markdown FROM b""")
+E'\n\n## Actions\n\n- Review neighbouring connections of both hosts in the time window.\n- Check who owns the destination.\n\n## Limits\n\nA probability is a lead, no verdict; 误报 need manual review.\n' AS markdown FROM b"""
+
+
+@query(REPORT_SQL)
 def rule_report(spark, d):
-    return _report(spark, d)
+    return report_of_sensors(spark, d)
 
 
 @query("""WITH r AS (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY 1), l AS (SELECT conv_id, lower(t) AS t, n % 2 AS a, n % 3 AS c FROM r),
@@ -306,30 +341,24 @@ def hash_embeddings(spark, d):
     return raw.select("item_id", F.transform(retrieval.l2_normalize(F.col("raw")), lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 4) > 0 AS some, CAST(1.0 AS DOUBLE) AS norm FROM embeddings")
+@query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])) AS norm FROM embeddings)
+SELECT vec_id, array_to_string([CAST(round(CAST(CAST(CAST(x AS DOUBLE) / greatest(norm, 1e-12) AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) FOR x IN embedding], ',') AS thousandths FROM n""")
 def l2_normalize(spark, d):
     v = view(spark, d, "embeddings").withColumn("n", retrieval.l2_normalize(F.col("embedding")))
-    size = F.sqrt(F.aggregate("n", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return v.select("vec_id", (size > 0).alias("some"), F.round(size, 4).alias("norm"))
+    return v.select("vec_id", F.array_join(F.transform("n", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",").alias("thousandths"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings b ON q.vec_id % 25 = 0 AND b.vec_id % 25 <> 0),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS rank FROM s) SELECT query_id, CAST(rank AS INT) AS rank, base_id, score FROM r WHERE rank <= 4""")
 def top_similar(spark, d):
     v = view(spark, d, "embeddings")
-    return retrieval.top_similar(v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("vector")))
+    return retrieval.top_similar(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("vector")), exclude_own=True)
 
 
-@query(r"""WITH bt AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '\b\w+\b')) AS term FROM benchmark), qt AS (SELECT c.conv_id AS qid, unnest(regexp_extract_all(lower(text), '\b\w+\b')) AS term FROM conversations c WHERE turn = 0),
-b AS (SELECT id, term, count(*) AS tf FROM bt GROUP BY ALL), q AS (SELECT qid, term, count(*) AS tf FROM qt GROUP BY ALL), n AS (SELECT count(*) + 1 AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM b GROUP BY 1),
-qw AS (SELECT qid, q.term, q.tf * (ln((1.0 + n) / (1 + coalesce(df, 0) + 1)) + 1) AS w FROM q LEFT JOIN f ON q.term = f.term, n), qn AS (SELECT qid, sqrt(sum(w * w)) AS nq FROM qw GROUP BY 1),
-bw AS (SELECT id, b.term, b.tf, df FROM b JOIN f ON b.term = f.term), base AS (SELECT id, sum(pow(tf * (ln((1.0 + n) / (1 + df)) + 1), 2)) AS sq FROM bw, n GROUP BY 1),
-x AS (SELECT qid, id, sum(w * tf * (ln((1.0 + n) / (2 + df)) + 1)) AS dot, sum(pow(tf * (ln((1.0 + n) / (2 + df)) + 1), 2) - pow(tf * (ln((1.0 + n) / (1 + df)) + 1), 2)) AS more FROM qw JOIN bw ON qw.term = bw.term, n GROUP BY 1, 2),
-sc AS (SELECT x.qid AS query_id, x.id AS base_id, round(dot / (nq * sqrt(sq + more)), 6) AS score FROM x JOIN qn ON x.qid = qn.qid JOIN base ON x.id = base.id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS rank FROM sc)
-SELECT query_id, CAST(rank AS INT) AS rank, base_id, CAST(round(score * 1000000) AS BIGINT) AS score FROM r WHERE rank <= 1""".replace(r"\b\w+\b", r"[\p{L}\p{N}_]+"))
+@query("WITH asked AS (SELECT doc_id AS qid, text FROM documents WHERE doc_id % 100 = 0), known AS (SELECT item_id AS id, text FROM benchmark),\n" + _tfidf_sql("asked", "known", 4) + " SELECT * FROM answers")
 def tfidf_top(spark, d):
-    q = view(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
-    out = retrieval.tfidf_top(q, view(spark, d, "benchmark").select(F.col("item_id").alias("base_id"), "text"), 1)
+    q = view(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    out = retrieval.tfidf_top(q, view(spark, d, "benchmark").select(F.col("item_id").alias("base_id"), "text"), 4)
     return out.withColumn("score", F.round(F.col("score") * 1_000_000).cast("long"))  # in millionths
 
 

@@ -154,12 +154,22 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def packets_of(files: DataFrame) -> DataFrame:
+    """Packets of capture files (path, content)."""
+    return files.select("path", "content").mapInPandas(_of(0, PACKETS), PACKETS)
+
+
+def stats_of(files: DataFrame) -> DataFrame:
+    """Counters of capture files (path, content)."""
+    return files.select("path", "content").mapInPandas(_of(1, STATS), STATS)
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path).mapInPandas(_of(0, PACKETS), PACKETS)
+    return packets_of(_files(spark, path))
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path).mapInPandas(_of(1, STATS), STATS)
+    return stats_of(_files(spark, path))
 
 
 def file_signatures(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficjobs.functions import features
 from trafficjobs.operators.flows import parse_vector
+from trafficjobs.session import materialize, small
 
 # Columns of a connection log without a header.
 CONN_COLUMNS = (
@@ -42,10 +45,10 @@ def ppi(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
 def conn_logs(spark: SparkSession, path: str) -> DataFrame:
     """Connection logs as maps of texts, by each file's #fields line or the default columns; short rows are filled with empty texts."""
     lines = _lines(spark, path)
-    heads = lines.where(F.col("value").startswith("#fields")).groupBy("_path").agg(F.first(F.slice(F.split("value", "\t"), 2, 10_000)).alias("names"))
+    heads = lines.where(F.col("value").startswith("#fields")).groupBy("_path").agg(F.first(F.filter(F.split("value", "\t"), lambda _, i: i > 0)).alias("names"))
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     default = F.array(*(F.lit(c) for c in CONN_COLUMNS))
-    out = rows.join(F.broadcast(heads), "_path", "left").withColumn("names", F.coalesce("names", default)).withColumn("f", F.split("value", "\t"))  # a row for each file
+    out = rows.join(small(materialize(heads, "heads")), "_path", "left").withColumn("names", F.coalesce("names", default)).withColumn("f", F.split("value", "\t"))
     short = F.greatest(F.lit(0), F.size("names") - F.size("f"))
     return out.select(F.map_from_arrays("names", F.slice(F.concat("f", F.array_repeat(F.lit(""), short)), F.lit(1), F.size("names"))).alias("fields"), "source")
 
@@ -72,9 +75,9 @@ def alert_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return objects, lines.agg(F.count_if(~F.col("ok")).alias("invalid"))
 
 
-def unwrap_sensor_event(raw: Column) -> Column:
-    """The record itself, its data or its data.sensor, whichever first has an event_type."""
-    inner = [raw, F.get_json_object(raw, "$.data"), F.get_json_object(raw, "$.data.sensor")]
+def unwrap_sensor_event(raw: Column, paths: Sequence[str] = ("$.data", "$.data.sensor")) -> Column:
+    """The record itself or what is at the first of the paths in it, whichever first has an event_type."""
+    inner = [raw, *(F.get_json_object(raw, p) for p in paths)]
     return F.coalesce(*(F.when(F.get_json_object(x, "$.event_type").isNotNull(), x) for x in inner))
 
 
