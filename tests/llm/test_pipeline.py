@@ -48,3 +48,22 @@ def test_run_and_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    odd = ["n_tokens", "IDS", "exact", "decoded", "spans", "toxic_score", "kept", "bands", "t", "x.y", "_terms", "node"]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "plain text of some words here"), (1, "plain text of some words here"), (2, None), (None, "no id here at all my friend"), (3, ""), (4, long), (5, long + " end"), (6, "me@ex.org wrote")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, *range(len(odd))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in odd))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    table = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / f"out-{name}"))
+        table = spark.read.parquet(str(tmp_path / f"out-{name}"))
+    kept = {(r.doc_id, (r.text or "")[:20]): r for r in table.collect()}
+    assert set(kept) == {(1, "plain text of some w"), (2, ""), (None, "no id here at all my"), (3, ""), (4, long[:20]), (6, "[EMAIL] wrote")}
+    assert all(r.exact and r["x.y"] == odd.index("x.y") and r.decoded == odd.index("decoded") for r in kept.values()) and table.columns.count("n_tokens") == 1

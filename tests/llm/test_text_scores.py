@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -39,6 +41,58 @@ def test_context_tells_quotation():
     assert hits[0][0][4] == 2 and hits[1][0][4:] == (0, 1) and hits[2] == []
 
 
+def test_contractions_and_closed_quotes_are_no_quotation():
+    scorer = toxicity.Scorer(toxicity.Model([("idiot", False)], [5.0]))
+    told = {
+        "I don’t care, you idiot, and I won’t stop": 0, "l’ami, idiot, n’est pas là": 0, 'a "word" then idiot and "more"': 0, "‘what an idiot’ it was": 1, "„so ein idiot“ war es": 1,
+        "«un idiot» disait": 1, "»ein idiot« war": 1, "“closed” idiot “open": 0, '"opened idiot': 0, "the boys’ idiot and the girls’ one": 0,
+    }
+    for text, want in told.items():
+        assert scorer.features([text])[1][0][0][4] == want, text
+
+
+def plain_score(text, model):
+    """The score of a text word by word, by edit distances."""
+    hits, low = [], text.lower()
+    for m in re.finditer(r"[^\W\d_]+", low):
+        word, best = m[0], None
+        for k, (term, stem) in enumerate(model.terms):
+            most = 1 if len(term) >= toxicity.FUZZY_FROM and (model.loose_stems or not stem) else 0
+            beginnings = [word[:n] for n in range(len(word) + 1)] if stem else [word]
+            e = min(distance(w, term) for w in beginnings)
+            if e <= most and (best is None or (e, k) < best):
+                best = e, k
+        if best and not (best[0] and word in model.harmless):
+            before, after = text[max(0, m.start() - toxicity.CONTEXT) : m.start()], text[m.end() : m.end() + toxicity.CONTEXT]
+            near = {w.lower() for w in re.findall(r"[^\W\d_]+", before[-30:] + " " + after[:30])}
+            hits.append((*best, toxicity.quoted(before, after) or bool(near & toxicity.REPORTING), bool(near & toxicity.ADDRESS)))
+    if not hits:
+        return 1 / (1 + math.exp(-model.weights[0]))
+    strength = [model.odds[k] * toxicity.FUZZY**e for e, k, _, _ in hits]
+    abuse = [s for s, h in zip(strength, hits) if not h[2]]
+    x = [
+        math.log1p(sum(abuse)), math.log1p(sum(strength) - sum(abuse)), max(abuse, default=0.0) / 4, len({h[1] for h in hits if not h[2]}) ** 0.5,
+        math.log1p(100 * sum(abuse) / (1 + text.count(" "))), math.log1p(sum(h[0] for h in hits)), math.log1p(sum(h[3] for h in hits)),
+    ]
+    return 1 / (1 + math.exp(-max(-30, min(30, model.weights[0] + sum(w * v for w, v in zip(model.weights[1:], x))))))
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [r for r in toxicity.score(docs, model).collect() if len(r.text or "") < 6000][:60]
+    assert labels.count() and any(r.n_hits for r in rows) and model.terms
+    for r in rows:
+        assert abs(plain_score(r.text or "", model) - r.toxic_score) < 1e-9, r.doc_id
+
+
+def test_toxicity_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "calm words", 5, "a"), (2, None, 6, "b")], "doc_id long, text string, Toxic_Score int, `n.hits` string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    kept = toxicity.reject(docs, none)
+    assert kept.columns == docs.columns and sorted(r[2] for r in kept.collect()) == [5, 6]
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit(docs, labels)
@@ -99,6 +153,41 @@ def test_language_edges(spark):
     assert [r.lang_pred for r in language.predict(docs, None).collect()] == ["und"] * 8
 
 
+def test_predictions_equal_a_plain_nearest_centroid(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    vectors, got = language.Vectors(), {r.doc_id: r for r in language.predict(docs.where("doc_id % 7 = 0"), model).collect()}
+    for i, r in got.items():
+        counts = vectors.counts([r.text or ""])[0]
+        x = [math.log1p(c) * w for c, w in zip(counts, model.idf)]
+        size = math.sqrt(sum(v * v for v in x))
+        best = {}
+        for name, centre in zip(model.names, model.centroids):
+            cosine = sum(v * c for v, c in zip(x, centre)) / size if size else 0
+            best[name] = max(best.get(name, -1), cosine)
+        name = max(best, key=lambda n: best[n]) if size else "und"
+        assert r.lang_pred == name or abs(best[r.lang_pred] - best[name]) < 1e-9, i
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(230):  # more languages than any bound, each of letters of its own
+        letters = [chr(0x4E00 + 20 * k + j) for j in range(8)]
+        rows += [(len(rows) + j, " ".join("".join(rng.choices(letters, k=4)) for _ in range(12)), f"x{k}") for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(set(model.names)) == 230
+    out = language.predict(docs, model)
+    assert out.where("lang = lang_pred").count() > 0.8 * len(rows)
+
+
+def test_language_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", 4), (2, "más años", "es", 5)], "doc_id long, text string, lang string, LANG_PRED int")
+    out = language.predict(docs, language.fit(docs))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "lang_score", "lang_rejected"] and out.count() == 2
+
+
 @pytest.mark.parametrize("texts", [["a"], ["", "ab cd"], ["héé", "zz zz", "ß"]])
 def test_ngram_counts(texts):
     counts = language.Vectors().counts(texts)

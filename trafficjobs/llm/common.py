@@ -1,44 +1,24 @@
-"""Helpers shared by the training-data operators: scratch tables, size-checked broadcasts, Arrow text access."""
+"""Helpers shared by the training-data operators: small Arrow tasks, column names, text access."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most rows a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+from trafficjobs.session import materialize, small  # noqa: F401  for the operators
+
 #: Code units handled at once inside a task, which bounds its memory.
 CHUNK = 1_000_000
 #: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000.
 ARROW_ROWS = 1_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where that is unset, as in tests, a new local one; not on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back. It survives the loss of executors."""
-    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _give_back() -> None:
     """Freed memory goes back to the system, so that a Python worker that Spark keeps for later stages is small."""
     gc.collect()
@@ -49,8 +29,10 @@ def _give_back() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow for texts: small batches, and nothing held by the worker after the task."""
+    """mapInArrow for texts: small batches, and nothing held by the worker after the task. run takes columns by place, not by name."""
     conf = df.sparkSession.conf
+    if any("." in c or "`" in c for c in df.columns):  # mapInArrow itself does not quote them
+        df = df.toDF(*(f"_{k}" for k in range(len(df.columns))))
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -79,15 +61,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most that many rows, else df as it is. Give it a materialized df."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of an Arrow string column; null counts as empty."""
     if column.null_count:

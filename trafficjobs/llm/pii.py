@@ -305,8 +305,8 @@ def _replaced(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*parts, text[done:]])
 
 
-def _spans(terms, redacted: bool = False):
-    """The last column is the text; terms is a broadcast, or None if the column before it has each text's own terms. Adds the spans, or replaces the text."""
+def _spans(terms, names: list[str], redacted: bool = False):
+    """names are those of the result. The last column is the text; terms is a broadcast, or None if the column before it has each text's own terms. Adds the spans, or replaces the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = 1 if terms is not None else 2
@@ -320,12 +320,12 @@ def _spans(terms, redacted: bool = False):
                 else:
                     own = [{r["term"]: r["secret"] for r in rows or ()} for rows in batch.column(batch.num_columns - 2).to_pylist()]
                     out = [_marked(t or "", r.keys(), {k for k, secret in r.items() if secret}) for t, r in zip(texts, own)]
-                names, columns = batch.schema.names[:-more], batch.columns[:-more]
+                columns = batch.columns[:-more]
                 if redacted:
                     changed = pa.array([_replaced(t, s) for t, s in zip(texts, out)], pa.string())
                     yield pa.RecordBatch.from_arrays([changed if n == "text" else c for n, c in zip(names, columns)], names=names)
                 else:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _SPANS)], names=[*names, "spans"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _SPANS)], names=names)
 
     return run
 
@@ -347,14 +347,14 @@ def _searched(docs: DataFrame, redacted: bool) -> DataFrame:
     own_text, row, own_terms = fresh(docs, "_text_to_search", "_row", "_terms")
     rows = docs.select(*kept, F.col("text").cast("string").alias(own_text))
     if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        return in_arrow(rows, _spans(docs.sparkSession.sparkContext.broadcast({r.term: r.secret for r in terms.collect()}), redacted), schema)
+        return in_arrow(rows, _spans(docs.sparkSession.sparkContext.broadcast({r.term: r.secret for r in terms.collect()}), schema.names, redacted), schema)
     # too many to broadcast: each text is joined with its own disclosing terms
     number = F.xxhash64(own_text)
     own = in_arrow(rows.where(F.col(own_text).isNotNull()).select(number.alias("_row"), own_text), _own_terms, "_row long, term string").distinct()
     own = own.join(terms, "term").groupBy(F.col("_row").alias(row)).agg(F.collect_set(F.struct("term", "secret")).alias(own_terms))
     both = rows.withColumn(row, number).join(own, row, "left")
     both = both.select(*named(rows, own_text), own_terms, own_text)
-    return in_arrow(both, _spans(None, redacted), schema)
+    return in_arrow(both, _spans(None, schema.names, redacted), schema)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
