@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trafficjobs.functions import features, scoring
 from trafficjobs.operators import events, flows, search
 from trafficjobs.plans.catalog import query
-from trafficjobs.plans.views import duck, view
+from trafficjobs.plans.views import duck, portable_hash, view
 
 ORDER = ("event_id", "i")
 SENSORS = [f"s{i}" for i in range(4)]
@@ -196,10 +196,19 @@ def parse_vector(spark, d):
     return text.select("src_ip", "src_port", "dst_port", "segment", F.array_join(F.col("v").cast("array<string>"), ",").alias("sizes"), F.size("v").cast("long").alias("n"))
 
 
-@query()
+def _uniform(salt: str) -> str:
+    parts = ("src_ip || '|' || src_port || '|' || dst_ip || '|' || segment", "i - 1", f"'{salt}'", "42")
+    return f"(({portable_hash(*parts)} % 1099511627776 + 0.5) / 1099511627776.0)"
+
+
+@query(duck("packets") + FLOWS_SQL + f""", t AS (SELECT *, {_uniform("drop")} < 0.15 AS gone, sqrt(-2 * ln({_uniform("r")})) * cos(2 * pi() * {_uniform("a")}) * 0.005 AS noise, sizes[i] AS x, least(greatest(offsets_us[i] / 1000000.0, 0.0), 10.0) AS t
+  FROM (SELECT *, unnest(range(1, least(len(sizes), 128) + 1)) AS i FROM (SELECT *, row_number() OVER () AS f FROM flow)) u)
+SELECT src_ip, src_port, dst_ip, segment, string_agg(CASE WHEN gone THEN 0 ELSE least(abs(x), 2000) + 1 END, ',' ORDER BY i) AS sizes, string_agg(CASE WHEN gone OR x = 0 THEN 0 WHEN x > 0 THEN 1 ELSE 2 END, ',' ORDER BY i) AS dirs,
+  string_agg(CAST(round(least(greatest(t + noise, 0.0), 10.0) * 1000000) AS BIGINT), ',' ORDER BY i) AS micros FROM t GROUP BY f, src_ip, src_port, dst_ip, segment""")
 def augment(spark, d):
     e = features.encode(_segments(spark, d)).withColumn("a", features.augment(F.col("encoded"), F.concat_ws("|", "src_ip", "src_port", "dst_ip", "segment")))
-    return e.select("src_ip", "src_port", "dst_ip", "segment", "a.sizes", "a.dirs", F.transform("a.times", lambda x: F.round(x, 6)).alias("times"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return e.select("src_ip", "src_port", "dst_ip", "segment", text(F.col("a.sizes")).alias("sizes"), text(F.col("a.dirs")).alias("dirs"), text(F.transform("a.times", lambda x: F.round(x * 1_000_000).cast("long"))).alias("micros"))
 
 
 RISK_SQL = "CASE WHEN prob >= 0.9 THEN 'high' WHEN prob >= 0.7 THEN 'medium' WHEN prob >= 0.5 THEN 'low' ELSE 'informational' END"

@@ -8,7 +8,7 @@ from trafficjobs.functions import features
 from trafficjobs.operators import flows, metrics, sampling
 from trafficjobs.plans.catalog import query
 from trafficjobs.plans.detect import FLOWS_SQL
-from trafficjobs.plans.views import duck, view
+from trafficjobs.plans.views import duck, portable_hash, view
 from trafficjobs.sources import sinks
 
 
@@ -17,12 +17,7 @@ def cap_per_source_counts(spark, d):
     return sampling.cap_per_source(view(spark, d, "samples"), 3).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _hash(*parts: str) -> str:
-    """sampling.portable_hash in DuckDB."""
-    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
-
-
-@query(duck("samples") + f"z AS (SELECT *, row_number() OVER (PARTITION BY label, source ORDER BY {_hash('id', '42')}, id) AS no FROM samples) SELECT * EXCLUDE (no) FROM z WHERE no <= 3")
+@query(duck("samples") + f"z AS (SELECT *, row_number() OVER (PARTITION BY label, source ORDER BY {portable_hash('id', '42')}, id) AS no FROM samples) SELECT * EXCLUDE (no) FROM z WHERE no <= 3")
 def cap_per_source(spark, d):
     return sampling.cap_per_source(view(spark, d, "samples"), 3)
 
@@ -35,13 +30,13 @@ def stratified_split_counts(spark, d):
     return sampling.stratified_split(view(spark, d, "samples")).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(duck("samples") + f"""z AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_hash('id', '42')}, id) AS no, round(count(*) OVER (PARTITION BY label) * 0.2) AS share FROM samples)
+@query(duck("samples") + f"""z AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {portable_hash('id', '42')}, id) AS no, round(count(*) OVER (PARTITION BY label) * 0.2) AS share FROM samples)
 SELECT id, label, CASE WHEN no <= share THEN 'test' WHEN no <= 2 * share THEN 'val' ELSE 'train' END AS split FROM z""")
 def stratified_split(spark, d):
     return sampling.stratified_split(view(spark, d, "samples")).select("id", "label", "split")
 
 
-@query(duck("samples") + f"z AS (SELECT *, {_hash('id', '42')} % 1073741824 / 1073741824.0 AS at FROM samples) SELECT id, label, CASE WHEN \"at\" < 0.2 THEN 'test' WHEN \"at\" < 0.4 THEN 'val' ELSE 'train' END AS split FROM z")
+@query(duck("samples") + f"z AS (SELECT *, {portable_hash('id', '42')} % 1073741824 / 1073741824.0 AS at FROM samples) SELECT id, label, CASE WHEN \"at\" < 0.2 THEN 'test' WHEN \"at\" < 0.4 THEN 'val' ELSE 'train' END AS split FROM z")
 def hash_split(spark, d):
     return sampling.stratified_split(view(spark, d, "samples"), exact=False).select("id", "label", "split")
 
@@ -53,7 +48,7 @@ def split_by_source_integrity(spark, d):
 
 
 BY_SOURCE_SQL = duck("samples").replace("WITH ", "WITH RECURSIVE ", 1) + f"""c AS (SELECT label, source, count(*) AS n FROM samples WHERE label IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, {_hash('source', '42')}, source) AS no, sum(n) OVER (PARTITION BY label) AS total FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, {portable_hash('source', '42')}, source) AS no, sum(n) OVER (PARTITION BY label) AS total FROM c),
 s AS (SELECT *, greatest(1, round_even(total * 0.2, 0)) AS val, greatest(1, round_even(total * 0.2, 0)) AS test FROM o), t AS (SELECT *, greatest(1, total - val - test) AS train FROM s),
 walk AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS no, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS split, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM t UNION ALL
   SELECT label, no, source, split, a + CASE WHEN split = 'train' THEN n ELSE 0 END, b + CASE WHEN split = 'val' THEN n ELSE 0 END, c + CASE WHEN split = 'test' THEN n ELSE 0 END FROM (
@@ -78,14 +73,14 @@ def _poisson(mean: str, u: str) -> str:
 
 
 @query(duck("samples") + f"""c AS (SELECT label, count(*) AS n FROM samples WHERE label IS NOT NULL GROUP BY 1), m AS (SELECT label, 4.0 * (SELECT count(*) FROM samples) / ((SELECT count(*) FROM c) * n) AS mean FROM c),
-u AS (SELECT s.id, s.label, floor(mean) AS whole, mean - floor(mean) AS part, ({_hash('s.id', '42', "'draw'")} % 1099511627776 + 0.5) / 1099511627776.0 AS u FROM samples s JOIN m ON m.label = s.label),
+u AS (SELECT s.id, s.label, floor(mean) AS whole, mean - floor(mean) AS part, ({portable_hash('s.id', '42', "'draw'")} % 1099511627776 + 0.5) / 1099511627776.0 AS u FROM samples s JOIN m ON m.label = s.label),
 t AS (SELECT id, label, CAST(whole AS INTEGER) + {_poisson("CAST(part AS DOUBLE)", "CAST(u AS DOUBLE)")} AS times FROM u) SELECT id, label, CAST(unnest(range(1, times + 1)) AS INTEGER) AS draw FROM t WHERE times > 0""")
 def balanced_resample(spark, d):
     s = view(spark, d, "samples")
     return sampling.balanced_resample(s, 4 * s.count()).select("id", "label", "draw")
 
 
-@query(duck("samples") + f"""h AS (SELECT id, label, {_hash('id', '42')} AS h FROM samples), p AS (SELECT *, row_number() OVER (ORDER BY label, h % 256, id) - 1 AS place FROM h),
+@query(duck("samples") + f"""h AS (SELECT id, label, {portable_hash('id', '42')} AS h FROM samples), p AS (SELECT *, row_number() OVER (ORDER BY label, h % 256, id) - 1 AS place FROM h),
 r AS (SELECT label, count(*) AS n, min(place) AS first, (SELECT count(*) FROM h) AS whole FROM p GROUP BY 1),
 d AS (SELECT h.id, h.label, CASE WHEN whole = n THEN h % n WHEN h % (whole - n) < first THEN h % (whole - n) ELSE h % (whole - n) + n END AS place FROM h JOIN r ON r.label = h.label)
 SELECT d.id, d.label, p.id AS negative_id, p.label AS negative_label FROM d JOIN p ON p.place = d.place""")
@@ -178,7 +173,7 @@ def alert_rate(spark, d):
 
 
 def _draw(salt: str) -> str:
-    return f"""(({_hash("src_ip || '|' || segment", "i - 1", f"'{salt}'", "42")} % 1099511627776 + 0.5) / 1099511627776.0)"""
+    return f"""(({portable_hash("src_ip || '|' || segment", "i - 1", f"'{salt}'", "42")} % 1099511627776 + 0.5) / 1099511627776.0)"""
 
 
 @query(duck("packets") + FLOWS_SQL + f""", t AS (SELECT f, src_ip, src_port, dst_ip, segment, least(greatest(offsets_us[i] / 1000000.0, 0.0), 10.0) AS t, i, {_draw("r")} AS r, {_draw("a")} AS a FROM (SELECT *, unnest(range(1, least(len(sizes), 30) + 1)) AS i FROM (SELECT *, row_number() OVER () AS f FROM flow)) x)

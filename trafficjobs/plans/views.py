@@ -91,3 +91,8 @@ def duck(*names: str) -> str:
             text = text.replace(f"{{{token}}}", value)
         texts.append(f"{name} AS ({text})")
     return "WITH " + ",\n".join(texts) + ",\n"
+
+
+def portable_hash(*parts: str) -> str:
+    """sampling.portable_hash in DuckDB."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
