@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = nodes.select("node", F.posexplode(F.concat(F.coalesce("bands", none), F.coalesce("wide", none))).alias("band", "key")).where("key <> -1")
     banded = banded.select("node", "band", F.xxhash64("band", "key").alias("k"))
     buckets = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "k")).alias("centre")).where("n > 1")
-    spots = materialize(banded.join(buckets, "k"), "spots")
+    spots = materialize(banded.join(small(materialize(buckets, "buckets")), "k"), "spots")
 
     signs = lambda k, as_: nodes.select(F.col("node").alias(k), F.col("bands").alias(f"bands_{as_}"), F.col("wide").alias(f"wide_{as_}"))
     texts = _Texts(docs, nodes)
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = placed.join(labels.select(F.col("node").alias("centre"), F.col("label").alias("main")), "centre", "left").withColumn("main", F.coalesce("main", "centre"))
     placed = materialize(placed, "placed")
     apart = placed.where("label <> main").groupBy("k").agg(F.count(F.lit(1)).alias("strays"))
-    open_ = materialize(placed.join(apart, "k").withColumn("parts", F.ceil(F.col("strays") * F.col("n") / PAIRS).cast("int")), "open")
+    open_ = materialize(placed.join(small(materialize(apart, "apart")), "k").withColumn("parts", F.ceil(F.col("strays") * F.col("n") / PAIRS).cast("int")), "open")
     fine = texts.of(open_.select("node"), _fine, "fine")
     told = open_.join(signs("node", "x"), "node").join(fine, "node")
     # the strays of a bucket with many pairs are dealt to parts, each of which meets the whole bucket
