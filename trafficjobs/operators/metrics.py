@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficjobs.operators.correlate import CASE_STATES
+from trafficjobs.session import materialize, small
 
 
 def split_stats(samples: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def split_stats(samples: DataFrame) -> DataFrame:
 def class_weights(samples: DataFrame) -> DataFrame:
     """samples with weight, 1 over the number of rows of the label."""
     counts = samples.groupBy("label").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return samples.join(F.broadcast(counts), "label")  # a row for each label
+    return samples.join(small(materialize(counts, "label-counts")), "label")
 
 
 def confusion(scored: DataFrame, truth: str = "label", guess: str = "predicted") -> DataFrame:

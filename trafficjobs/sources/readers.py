@@ -63,12 +63,26 @@ def ids_events(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path).withColumn("r", F.from_json("raw", schema)).select("r.*", "raw")
 
 
+def _documents(spark: SparkSession, path: str) -> list[str]:
+    """Files that are one JSON document: their first line with text begins an object or list, but is no object by itself."""
+    lines = _lines(spark, path).where(F.trim("value") != "").select("_path", "value", F.monotonically_increasing_id().alias("no"))
+    heads = lines.groupBy("_path").agg(F.min_by("value", "no").alias("head"))
+    object_ = F.ltrim("head").startswith("{") & F.try_parse_json("head").isNotNull()
+    return [r._path for r in heads.where(~object_ & F.regexp_like("head", F.lit(r"^\s*[\[{]"))).select("_path").collect()]
+
+
 def alert_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Objects (raw) of files that are one JSON document or JSON lines, unwrapped from alerts, events, items or data; and one row with the number of invalid lines."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_name").alias("source"))
-    # a first line that is an object by itself means lines; parsing alone would take it for the document
-    whole = ~F.regexp_like(F.ltrim("value"), F.lit(r"^\{[^\n]*\}[ \t\r]*(\n|$)")) & F.try_parse_json("value").isNotNull()
-    lines = files.select("source", F.explode(F.when(whole, F.array("value")).otherwise(F.split("value", "\n"))).alias("raw")).where(F.trim("raw") != "")
+    """Objects (raw) of files that are one JSON document or JSON lines, unwrapped from alerts, events, items or data; and one row with the number of invalid lines.
+
+    Lines are read in splits. A file whose first line begins an object or list that it does not end is read as a whole; if it
+    is no JSON document then, its lines count.
+    """
+    documents = _documents(spark, path)
+    lines = _lines(spark, path).where(F.trim("value") != "").select("_path", "source", F.col("value").alias("raw"))
+    if documents:
+        whole = spark.read.text(documents, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source"), F.col("value").alias("raw"))
+        whole = materialize(whole.where(F.try_parse_json("raw").isNotNull()), "documents")
+        lines = lines.join(small(whole.select("_path")), "_path", "left_anti").unionByName(whole)
     lines = lines.withColumn("ok", F.try_parse_json("raw").isNotNull())
     inner = F.coalesce(*(F.from_json(F.get_json_object("raw", f"$.{k}"), "array<string>") for k in WRAPPERS), F.when(F.ltrim("raw").startswith("["), F.from_json("raw", "array<string>")), F.array("raw"))
     objects = lines.where("ok").select(F.explode(inner).alias("raw"), "source").where(F.ltrim("raw").startswith("{"))

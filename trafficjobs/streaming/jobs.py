@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -170,8 +171,8 @@ def keep_status(path: str) -> Callable[[DataFrame, int], None]:
         try:
             held = spark.read.parquet(f"{path}/{number - 1}").select(*batch.columns)
             batch = batch.unionByName(held)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch has no table yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
         latest_status(batch).write.mode("overwrite").parquet(f"{path}/{number}")
 
@@ -186,8 +187,8 @@ def sync_cases(path: str) -> Callable[[DataFrame, int], None]:
         schema = "alert_key string, start_us long, alert_id string, status string"
         try:
             cases = spark.read.schema(schema).parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             cases = spark.createDataFrame([], schema)
         created, _ = new_cases(batch.select("alert_key", "start_us", "alert_id"), cases, ["start_us", "alert_id"])
