@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from trafficjobs import session
 from trafficjobs.functions import scoring
 from trafficjobs.operators import cases, correlate, events, retrieval, sampling, search
 
@@ -136,3 +137,29 @@ def test_central_alert_counts(spark):
     df = spark.createDataFrame(rows, "schema_version string, event_type string, sensor_id string, event_id string, t int")
     found, counts = search.central_alerts(df, ["s1"], ["t"])
     assert [(r.event_id, r.t) for r in found.collect()] == [("e1", 1)] and tuple(counts.first()) == (1, 4, 1)
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    session.drop_tables(spark)
+    kept = session.materialize(spark.range(5), "five")
+    assert kept.count() == 5 and session.drop_tables(spark) == 1 and session.drop_tables(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.scratch(Session(), "x")

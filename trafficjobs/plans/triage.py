@@ -268,14 +268,14 @@ def compact_events(spark, d):
 
 
 def report_of_sensors(spark, d):
-    a = view(spark, d, "alerts").where("prob >= 0.9").withColumn("risk", risk_level(F.col("prob")))
+    a = view(spark, d, "alerts").withColumn("risk", risk_level(F.col("prob")))
     c = case_ops.compact_events(a, ("sensor_id",)).join(a.select("alert_id", "risk"), "alert_id")
     return case_ops.rule_report(c.withColumnRenamed("sensor_id", "run_id"))
 
 
-REPORT_SQL = duck("alerts") + r"""z AS (SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY prob DESC, alert_id) AS rank, round(prob, 4) AS p, src_ip || ':' || src_port AS src, dst_ip || ':' || dst_port AS dst, alert_id FROM alerts WHERE prob >= 0.9),
-b AS (SELECT sensor_id AS run_id, count(*) AS n, max(p) AS top, string_agg(printf(E'### Event %d: %s -> %s\n\n- Risk: high\n- Probability: %.4f\n- Alert: %s', rank, src, dst, p, alert_id), E'\n\n' ORDER BY rank) FILTER (rank <= 50) AS blocks FROM z GROUP BY 1)
-SELECT run_id, printf(E'# Traffic triage report\n\n%d candidates, %d of high risk, highest probability %.4f.\n\n## Candidates\n\n', n, n, top) || blocks || E'\n\n## Knowledge\n\n' ||
+REPORT_SQL = duck("alerts") + r"""z AS (SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY prob DESC, alert_id) AS rank, round(prob, 4) AS p, src_ip || ':' || src_port AS src, dst_ip || ':' || dst_port AS dst, alert_id, CASE WHEN prob >= 0.9 THEN 'high' WHEN prob >= 0.7 THEN 'medium' WHEN prob >= 0.5 THEN 'low' ELSE 'informational' END AS risk FROM alerts),
+b AS (SELECT sensor_id AS run_id, count(*) AS n, count(*) FILTER (risk = 'high') AS n_high, max(p) AS top, string_agg(printf(E'### Event %d: %s -> %s\n\n- Risk: %s\n- Probability: %.4f\n- Alert: %s', rank, src, dst, risk, p, alert_id), E'\n\n' ORDER BY rank) FILTER (rank <= 50) AS blocks FROM z GROUP BY 1)
+SELECT run_id, printf(E'# Traffic triage report\n\n%d candidates, %d of high risk, highest probability %.4f.\n\n## Candidates\n\n', n, n_high, top) || blocks || E'\n\n## Knowledge\n\n' ||
 E'\n\n## Actions\n\n- Review neighbouring connections of both hosts in the time window.\n- Check who owns the destination.\n\n## Limits\n\nA probability is a lead, no verdict; 误报 need manual review.\n' AS markdown FROM b"""
 
 

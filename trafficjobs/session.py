@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
 def build(app: str = "trafficjobs", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution and Arrow on. Keyword names use two underscores for dots: spark__sql__shuffle__partitions="8"."""
     builder = SparkSession.builder.appName(app)
@@ -39,10 +42,20 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back. It survives the loss of executors."""
     path = scratch(df.sparkSession, label)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that materialize has written in this process, and their number. For when what reads them has been written itself."""
+    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df with a broadcast hint if it was counted to have at most that many rows, else df as it is. Give it a materialized df."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
