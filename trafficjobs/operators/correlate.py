@@ -24,12 +24,11 @@ def interval_join(alerts: DataFrame, logs: DataFrame, margin_us: int, most: int
     window = window.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width)))).withColumnRenamed("src_ip", "_ip")
     rows = logs.withColumn("_bucket", F.floor(F.col("ts_us") / width)).withColumnRenamed("ip", "_ip")
     pairs = window.join(rows, ["_ip", "_bucket"]).where(F.col("ts_us").between(F.col("_from"), F.col("_to")))
-    pairs = pairs.withColumnRenamed("_ip", "src_ip").drop("_from", "_to")
+    pairs = pairs.withColumnRenamed("_ip", "src_ip").drop("_bucket", "_from", "_to")
     if most is not None:
-        # the first of each bucket hold the first of all, so a busy host's buckets are cut before they meet
-        for part in (("_bucket",), ()):
-            pairs = pairs.withColumn("_no", F.row_number().over(Window.partitionBy(alert_id, *part).orderBy(*order))).where(F.col("_no") <= most).drop("_no")
-    return pairs.drop("_bucket")
+        # Spark limits each alert's rows in the tasks of the join already, before they are shuffled
+        pairs = pairs.withColumn("_no", F.row_number().over(Window.partitionBy(alert_id).orderBy(*order))).where(F.col("_no") <= most).drop("_no")
+    return pairs
 
 
 def connections_by_ip(conn: DataFrame) -> DataFrame:
