@@ -139,9 +139,12 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
     if not found:
         return None
     idf = np.log((1 + found[-1]) / (1 + np.array([found.get(g, 0) for g in range(DIMENSIONS)]))) + 1
-    # the rows of the smallest hashes; texts follow only for them
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows).select("lang", "doc_id").distinct()
+    # the rows of the smallest hashes, of a share that gives somewhat more than the bound; texts follow only for them
+    ranks = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-sizes")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = known.select("lang", "doc_id", spot.alias("spot")).join(small(ranks), "lang").where(F.col("spot") <= (1.3 * rows + 20) / F.col("n"))
+    first = Window.partitionBy("lang").orderBy("spot", "doc_id")
+    chosen = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows).select("lang", "doc_id").distinct()
     sample = known.join(small(materialize(chosen, "lang-rows")), ["lang", "doc_id"], "left_semi").select("lang", "text")
     sample = materialize(in_arrow(sample, _counted, "lang string, counts binary").distinct(), "lang-sample")
     model = Model(idf, [], np.zeros((0, DIMENSIONS)), np.zeros(0))
@@ -153,7 +156,6 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "least": bound, "at": range(len(centres))})
 
     centres = sample.groupBy("lang").applyInPandas(centred, "lang string, centre binary, least double, at int")
-    ranks = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     found = centres.join(ranks, "lang").orderBy(F.desc("n"), "lang", "at").collect()
     if not found:
         return None
