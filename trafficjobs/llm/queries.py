@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_: each applies its operator with production parameters to the whole intended table."""
+"""The queries op1_ to op13_: each applies its operator with production parameters to the whole intended table."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficjobs.llm import bpe, chat, decontaminate, language, near_dedup, pii, sharding, token_counts, topk, toxicity
+from trafficjobs.llm import bpe, chat, decontaminate, language, near_dedup, packing, pii, sharding, token_counts, topk, toxicity
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,10 +72,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_decontamination, op3_token_counts, op4_language_id, op5_chat_formatting,
-        op6_near_duplicates, op7_bpe, op8_sharding, op9_exact_top_k, op10_pii,
+        op6_near_duplicates, op7_bpe, op8_sharding, op9_exact_top_k, op10_pii, op11_packing,
     ]
     return {f.__name__: f for f in found}
 
