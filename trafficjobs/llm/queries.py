@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficjobs.llm import bpe, chat, decontaminate, language, near_dedup, negatives, packing, pii, sharding, token_counts, topk, toxicity
+from trafficjobs.llm import bpe, chat, decontaminate, language, near_dedup, negatives, packing, pii, prefix_trie, sharding, token_counts, topk, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -77,6 +77,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.mislabelled(negatives.usable(_table(spark, sf_dir, "embeddings"))))
 
@@ -84,7 +88,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_decontamination, op3_token_counts, op4_language_id, op5_chat_formatting,
-        op6_near_duplicates, op7_bpe, op8_sharding, op9_exact_top_k, op10_pii, op11_packing, op13_hard_negatives,
+        op6_near_duplicates, op7_bpe, op8_sharding, op9_exact_top_k, op10_pii, op11_packing, op12_prefix_trie, op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
@@ -93,5 +97,5 @@ def oracle_sql() -> dict[str, str]:
     """SQL where it can express the result; the other operators have brute-force tests in tests/llm."""
     return {
         "op2_decontamination": decontaminate.FIND_SQL, "op5_chat_formatting": chat.SUMMARY_SQL,
-        "op6_near_duplicates": near_dedup.NEAR_SQL, "op9_exact_top_k": topk.TOP_K_SQL, "op13_hard_negatives": negatives.MINE_SQL,
+        "op6_near_duplicates": near_dedup.NEAR_SQL, "op9_exact_top_k": topk.TOP_K_SQL, "op12_prefix_trie": prefix_trie.TRIE_SQL, "op13_hard_negatives": negatives.MINE_SQL,
     }
