@@ -13,10 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -30,8 +30,8 @@ from trafficjobs.llm.bpe import byte_alphabet
 from trafficjobs.llm.common import fresh, in_arrow, materialize, named, small
 
 SIZE, END = 4096, 1
-#: Words and pre-tokens that a worker's cache may hold, bytes of text encoded at once, and pieces numbered in one task.
-CACHE, PART, NUMBERED = 300_000, 1_000_000, 200_000
+#: Words, and pre-tokens, that a generation of a worker's cache may hold, bytes of text encoded at once, and pieces numbered in one task.
+CACHE, PART, NUMBERED = 500_000, 1_000_000, 200_000
 
 # The normalizer and pre-token pattern of the file whose words can be encoded one by one.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -42,6 +42,26 @@ _SPACE = re.compile(rb"[ \t-\r]")
 _ALONE = re.compile(r"[\x00-\u012f\u0131-\u02ff\u0400-\u0482\u048a-\u052f]*")
 
 
+class Known(dict):
+    """What learn gives for a key, kept for two generations of at most about CACHE keys each."""
+
+    def __init__(self, learn: Callable):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class Words:
     """A tokenizer file; a text's ids as packed little-endian unsigned 32-bit integers.
 
@@ -67,44 +87,37 @@ class Words:
         )
         self.special = [t["content"] for t in parts["added_tokens"]]
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.pattern = regex.compile(PATTERN)
-        self.words: dict[bytes, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.pattern, self.tokenize = regex.compile(PATTERN), self.library.model.tokenize
+        self.words, self.tokens = Known(self._word), Known(self._token)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _token(self, token: str) -> bytes:
-        found = self.tokens.get(token)
-        if found is None:
-            spelled = token if token.isascii() and token.isprintable() else "".join(self.letters[b] for b in token.encode())
-            found = self.tokens[token] = np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words without ASCII white space: simple ones by their pre-tokens, the others by the library."""
-        other = []
-        for word in words:
-            text = word.decode()
-            if not _ALONE.fullmatch(text) or any(s in text for s in self.special):
-                other.append(word)
-            else:
-                self.words[word] = b"".join(map(self._token, self.pattern.findall(text.lower())))
-        self.words.update(zip(other, self._whole([w.decode() for w in other])))
+        spelled = token if token.isascii() and token.isprintable() else "".join(self.letters[b] for b in token.encode())
+        ids = [t.id for t in self.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        """A word without ASCII white space: a simple one by its pre-tokens, another by the library."""
+        letters = word.rstrip(b".,;:!?")
+        if letters.isalpha():  # ASCII letters, then a mark or several
+            ids = self.tokens[letters.lower().decode()]
+            return ids if len(letters) == len(word) else ids + self.tokens[word[len(letters) :].decode()]
+        text = word.decode()
+        if not _ALONE.fullmatch(text) or any(s in text for s in self.special):
+            return self._whole([text])[0]
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(text.lower())))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of some UTF-8 texts."""
         if not self.by_word:
             return self._whole([t.decode() for t in texts])
-        split = [t.split() for t in texts]
-        fresh_words = set(chain.from_iterable(split)).difference(self.words)
-        if fresh_words:
-            if len(self.words) + len(self.tokens) > CACHE:
-                self.words.clear()
-                self.tokens.clear()
-                fresh_words = set(chain.from_iterable(split))
-            self.learn(fresh_words)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        of = self.words.__getitem__
+        out = [b"".join(map(of, t.split())) for t in texts]
+        self.words.trim()
+        self.tokens.trim()
+        return out
 
     def encode_long(self, text: bytes) -> bytes:
         """The ids of one text, about PART bytes at a time."""
