@@ -143,16 +143,50 @@ def test_assembly_is_the_walk_of_each_key_under_any_partitioning(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_one_busy_key_goes_to_many_tasks(spark):
-    rows = [(i, (i // 5) * 40 * US + i, *C, *S, "tcp", 60, 16) for i in range(2000)]
-    frame = spark.createDataFrame(rows, "i int, ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, ip_length int, tcp_flags int")
-    got = flows.assemble_flows(frame, Limits(5, 2, 30 * US, 120 * US), ("i",)).withColumn("task", F.spark_partition_id())
+SCHEMA = "i int, ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, ip_length int, tcp_flags int"
+
+
+@pytest.mark.parametrize("silent", [True, False])
+def test_one_busy_key_goes_to_many_tasks(spark, silent):
+    """Also where it is never silent: closing packets let each slice of time begin by itself."""
+    step = 40 * US if silent else 10 * US
+    rows = [(i, (i // 5) * step + i, *C, *S, "tcp", 60, 17 if not silent and i % 5 == 4 else 16) for i in range(2000)]
+    limits = Limits(20 if not silent else 5, 2, 30 * US, 120 * US)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert flows.assemble_flows(frame, limits, ("i",)).count() == 400
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        r = got.agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).first()
+        r = flows.assemble_slices(frame, limits, ("i",)).withColumn("task", F.spark_partition_id()).where("kind < 2").agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks")).first()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert r.n == 400 and r.tasks >= 4
+    assert r.n > 380 and r.tasks >= 4
+
+
+def test_segments_over_slices_of_time(spark):
+    """Numbers of segments of keys that are silent, never silent, or quiet at edges of slices, with nulls; with and without a shuffle of carried rows."""
+    rng, rows = random.Random(11), []
+    width = flows.SLICE * 30 * US
+    for key in range(6):
+        t = -3 * width + rng.randint(0, width)
+        for _ in range(500):
+            t += rng.choice([1, US, 29 * US + 999_999, 30 * US, 31 * US] if key % 3 == 0 else [US, 20 * US] if key % 3 == 1 else [US, width, width - 30 * US])
+            rows.append((len(rows), t - t % width if rng.random() < 0.05 else t, None if key == 4 else f"10.0.0.{key}", 5, "9.9.9.9", 443, "tcp", 60, 16))
+    rows += [(len(rows) + k, None, *C, *S, "tcp", 60, 2) for k in range(2)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want, last = {}, {}
+    for i, t, ip, *_ in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])):
+        if t is not None:
+            held = last.get(ip)
+            last[ip] = (t, held[1] + (t - held[0] >= 30 * US) if held else 0)
+            want[i] = (ip, last[ip][1], t)
+    got = flows.idle_segments(flows.with_key(frame))
+    assert {r.i: r.segment for r in got.collect()} == {i: s for i, (_, s, _) in want.items()} and got.columns == [*flows.with_key(frame).columns, "segment"]
+    runs = {(r.lo_ip, r.segment): (r.packets, r.first_us, r.last_us, [p.i for p in r.ps]) for r in flows.idle_runs(flows.with_key(frame), 7, ("i",)).collect()}
+    parts = {}
+    for i, (ip, s, t) in want.items():
+        parts.setdefault((ip and min(ip, "9.9.9.9"), s), []).append((t, i))
+    assert runs == {k: (len(v), min(v)[0], max(v)[0], [i for _, i in sorted(v)[:7]]) for k, v in parts.items()}
+    assert flows.idle_segments(flows.with_key(frame.limit(0))).count() == 0 and flows.assemble_flows(frame.limit(0)).count() == 0
 
 
 def test_encoding(spark):

@@ -6,6 +6,7 @@ names further columns that break ties of ts_us.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from trafficjobs.operators._flow_kernel import ACK, CLOSING, SYN, Packets, Rest
+from trafficjobs.session import materialize, small
 
 FLOW_SCHEMA = (
     "src_ip string, src_port int, dst_ip string, dst_port int, protocol string, started_us long, ended_us long, "
@@ -60,41 +62,75 @@ def with_key(packets: DataFrame) -> DataFrame:
 KEY = ("lo_ip", "lo_port", "hi_ip", "hi_port", "proto")
 
 
-def _with_segments(keyed: DataFrame, idle_us: int) -> DataFrame:
-    """Adds segment, and final where it is the key's last.
+#: Idle timeouts in a slice of time.
+SLICE = 20
 
-    Time is cut into buckets of idle_us, in which no silence fits. Each key's buckets are aggregated first, and only they are
-    put in order; packets take their bucket's segment by a join. So a busy key is no single task.
+
+def _sliced(keyed: DataFrame, idle_us: int) -> DataFrame:
+    """Adds slice, the begin of a packet's slice of time. A packet that a later slice may go on from is in that one too, as halo.
+
+    So each slice of a key tells by itself where silences are, and the slices of a busy key are many tasks. Packets without a
+    time are left out.
     """
-    bucket = F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(idle_us))
-    dealt = keyed.withColumn("_bucket", bucket)
-    met = dealt.groupBy(*KEY, "_bucket").agg(F.min("ts_us").alias("_first"), F.max("ts_us").alias("_last"))
-    w = Window.partitionBy(*KEY).orderBy("_bucket")
-    met = met.withColumn("_new", F.when(F.col("_first") - F.lag("_last").over(w) >= idle_us, 1).otherwise(0))
-    met = met.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    met = met.withColumn("final", F.col("segment") == F.max("segment").over(Window.partitionBy(*KEY)))
-    return dealt.join(met.select(*KEY, "_bucket", "segment", "final"), [*KEY, "_bucket"]).drop("_bucket")
+    inside = F.pmod(F.col("ts_us"), F.lit(idle_us * SLICE))
+    own = F.col("ts_us") - inside
+    both = F.when(inside > idle_us * (SLICE - 1), F.array(own, own + idle_us * SLICE)).otherwise(F.array(own))
+    return keyed.where("ts_us is not null").withColumn("slice", F.explode(both))
+
+
+_HALO = "slice > ts_us"
+
+
+def _begun(keyed: DataFrame, idle_us: int, order: Sequence[str]) -> DataFrame:
+    """Sliced packets without the halo, with begins (a silence or nothing stands before the packet) and run, how many of its slice have begun by then."""
+    w = Window.partitionBy(*KEY, "slice").orderBy("ts_us", *order)
+    rows = _sliced(keyed, idle_us).withColumn("begins", F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) >= idle_us, F.lit(True)))
+    return rows.withColumn("run", F.count_if(F.col("begins") & ~F.expr(_HALO)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~F.expr(_HALO))
 
 
 def idle_segments(keyed: DataFrame, idle_us: int = 30_000_000) -> DataFrame:
-    """Adds segment: it grows by one where a key was silent for idle_us or longer. Packets without a time have none and are left out."""
-    return _with_segments(keyed, idle_us).drop("final")
+    """Adds segment: it grows by one where a key was silent for idle_us or longer. Packets without a time have none and are left out.
+
+    A scan in segments: every slice of time of a key is numbered by itself and written, and what the slices before it have
+    begun is added, one small row for each slice of a key.
+    """
+    local = materialize(_begun(keyed, idle_us, ()), "segments")
+    slices = local.groupBy(*KEY, "slice").agg(F.count_if("begins").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*KEY).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = materialize(slices.select(*(F.col(c).alias(f"_{c}") for c in (*KEY, "slice")), before.alias("before")).where("before is not null"), "carried")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*KEY, "slice")]
+    out = local.join(small(carried), on, "left").withColumn("segment", F.coalesce("before", F.lit(0)) + F.col("run") - 1)
+    return out.select(*keyed.columns, "segment")
+
+
+def idle_runs(keyed: DataFrame, n: int = 20, order: Sequence[str] = (), idle_us: int = 30_000_000) -> DataFrame:
+    """One row for each segment of a key: segment, packets, first_us, last_us, and ps, its first n packets in order.
+
+    Packets are shuffled once, by key and slice of time; only rows of the runs in a slice come together by key, where runs
+    that go on from the slice before are joined.
+    """
+    rest = [c for c in keyed.columns if c not in (*KEY, "ts_us", *order)]
+    rows = _begun(keyed, idle_us, order)
+    position = F.row_number().over(Window.partitionBy(*KEY, "slice", "run").orderBy("ts_us", *order))
+    rows = rows.withColumn("p", F.when(position <= n, F.struct("ts_us", *order, *rest)))
+    runs = rows.groupBy(*KEY, "slice", "run").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.bool_or("begins").alias("begins"), F.sort_array(F.collect_list("p")).alias("ps"))
+    number = F.sum(F.col("begins").cast("long")).over(Window.partitionBy(*KEY).orderBy("first_us").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    runs = runs.withColumn("segment", number).groupBy(*KEY, "segment").agg(F.sum("packets").alias("packets"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sort_array(F.collect_list(F.struct("first_us", "ps"))).alias("parts"))
+    return runs.withColumn("ps", F.slice(F.flatten("parts.ps"), 1, n)).drop("parts")
 
 
-def first_packets(segmented: DataFrame, n: int = 20, order: Sequence[str] = ()) -> DataFrame:
+def first_packets(keyed: DataFrame, n: int = 20, order: Sequence[str] = (), idle_us: int = 30_000_000) -> DataFrame:
     """The first n packets of each segment, numbered from 1 in the column position."""
-    w = Window.partitionBy(*KEY, "segment").orderBy("ts_us", *order)
-    return segmented.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+    found = idle_runs(keyed, n, order, idle_us).select(*KEY, "segment", F.posexplode("ps").alias("position", "p"))
+    return found.select(*KEY, "segment", (F.col("position") + 1).alias("position"), "p.*")
 
 
-def segment_sequences(segmented: DataFrame, n: int = 20, min_packets: int = 3, order: Sequence[str] = ()) -> DataFrame:
+def segment_sequences(keyed: DataFrame, n: int = 20, min_packets: int = 3, order: Sequence[str] = (), idle_us: int = 30_000_000) -> DataFrame:
     """Idle-only flows in built-ins: one row for each segment with the signed sizes and offsets of its first n packets.
 
     The initiator is the sender of the first packet, or its receiver if that is a SYN with ACK.
     """
-    firsts = first_packets(segmented, n, order)
-    packet = F.struct("position", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "ip_length", "tcp_flags")
-    flows = firsts.groupBy(*KEY, "segment").agg(F.sort_array(F.collect_list(packet)).alias("ps")).where(F.size("ps") >= min_packets)
+    flows = idle_runs(keyed.select(*KEY, "src_ip", "src_port", "dst_ip", "dst_port", "ts_us", "ip_length", "tcp_flags", *order), n, order, idle_us).where(F.size("ps") >= min_packets)
     first = F.col("ps")[0]
     flip = (first["tcp_flags"].bitwiseAND(F.lit(SYN)) != 0) & (first["tcp_flags"].bitwiseAND(F.lit(ACK)) != 0)
     out = flows.withColumns({
@@ -109,14 +145,14 @@ def segment_sequences(segmented: DataFrame, n: int = 20, min_packets: int = 3, o
     )
 
 
-GROUP = ("lo_ip", "lo_port", "hi_ip", "hi_port", "segment")
+ENDS = ("lo_ip", "lo_port", "hi_ip", "hi_port")
 
 
 def flow_batch(batch: pa.RecordBatch | pa.Table, packets: Packets, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
     """The flows as a batch of FLOW_SCHEMA; batch has the endpoints of each packet's key."""
     c = packets.columns(found)
     lo, first = pa.array(c["begun_by_lo"].astype(bool)), pa.array(c["first"])
-    end = {k: batch.column(k).take(first) for k in GROUP[:4]}
+    end = {k: batch.column(k).take(first) for k in ENDS}
     end = {k: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for k, v in end.items()}
     lists = [pa.ListArray.from_arrays(pa.array(c["ends"].astype(np.int32)), pa.array(c[k].astype(kind))) for k, kind in (("sizes", np.int32), ("offsets_us", np.int64))]
     return pa.RecordBatch.from_arrays([
@@ -125,53 +161,150 @@ def flow_batch(batch: pa.RecordBatch | pa.Table, packets: Packets, found: list[t
     ], names=[f.split()[0] for f in FLOW_SCHEMA.split(", ")])
 
 
-def _assembled(limits: Limits, end_reason: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last segment that later batches may go on with
-        rest, met = Rest(), 0  # what it left open, and how many of the held rows have been dealt with
-
-        def step(table: pa.Table, done: bool) -> pa.RecordBatch:
-            nonlocal held, rest, met
-            n = len(table)
-            number = lambda k: table.column(k).to_numpy()
-            packets = Packets(number("ts_us"), number("by_lo"), number("ip_length").astype(np.int64), number("tcp_flags").astype(np.int64), number("own"), limits)
-            other = np.zeros(n - 1, dtype=bool)
-            for k in GROUP:
-                column = table.column(k).combine_chunks()
-                other |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-            starts = np.concatenate(([0], np.flatnonzero(other) + 1)).tolist()
-            final, found = table.column("final"), []
-            for k, (at, end) in enumerate(zip(starts, [*starts[1:], n])):
-                own, left = packets.cut(at + (met if k == 0 else 0), end, rest if k == 0 else Rest())
-                found += own
-                if left.first is not None and (end < n or done):
-                    found.append((left.first, end, end_reason if final[end - 1].as_py() else packets.due(packets.times[left.first], packets.times[end - 1])[1]))
-            out = flow_batch(table, packets, found)
-            at = n - 1 if left.first is None else left.first
-            held, rest, met = table.slice(at).to_batches(), Rest(since=left.since), int(left.first is None)
-            return out
+#: Rows that a task of assembly gives: a flow, a flow that was open at the last packet, a packet for the next pass, a key's last time in a slice.
+FLOW, OPEN, PACKET, LAST = range(4)
+_FLOW_FIELDS = list(zip((f.split()[0] for f in FLOW_SCHEMA.split(", ")), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string())))
+
+
+class _Assembly:
+    """Ordered Arrow batches to flows. With a width the rows are sliced and have a halo, else they are what the slices left.
+
+    A connection starts anew after a closing packet and after a silence. So a slice cuts flows by itself from its first such
+    place on; what stands before it, if the halo tells that the connection goes on, and what is open near the slice's end
+    are left to the next pass, which reads only that. Of the full flow whose tail goes on only when it began is left.
+    """
 
+    def __init__(self, limits: Limits, packet: list[str], width: int | None):
+        self.limits, self.packet, self.width = limits, packet, width
+        self.held: pa.Table | None = None  # rows of the last group that later batches may go on with
+        self._fresh()
+        self.met = 0  # how many of the held rows have been dealt with
+
+    def _fresh(self) -> None:
+        self.rest, self.before, self.skip = Rest(), None, None if self.width else False
+
+    def _rows(self, kind: int, n: int, given: dict, kinds: pa.Schema) -> pa.RecordBatch:
+        fields = [*_FLOW_FIELDS, *((c, kinds.field(c).type) for c in self.packet), ("since", pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *(given[c] if c in given else pa.nulls(n, t) for c, t in fields)], names=["kind", *(c for c, _ in fields)])
+
+    def _group(self, p: Packets, at: int, end: int, slice_us: int, halo: np.ndarray, since: dict[int, int], marks: list[int], ended: bool) -> None:
+        """One slice of a key, or one key, from the row at on that has not been dealt with."""
+        near = self.width is not None and p.times[end - 1] > slice_us + self.width - self.limits.idle_us
+        carried = self.skip is not None and self.met  # the row before is of this group
+        if self.skip is None:
+            own = at + int(np.searchsorted(~halo[at:end], True))
+            if own > at:
+                self.before = (p.times[own - 1], bool(p.flags[own - 1] & CLOSING))
+            if own == end:
+                return
+            self.skip, at = self.before is not None and p.times[own] - self.before[0] < self.limits.idle_us and not self.before[1], own
+        if self.skip:
+            closed = p._next(p.closing, at, end)
+            stop = min(p._next(p.silence, at + (not carried), end), closed + 1, end)
+            self.left += [(k, None) for k in range(at, stop)]
+            self.skip, at = stop == end and closed == end, stop
+        if not self.skip:
+            for k in marks[bisect_left(marks, at) : bisect_left(marks, end)]:
+                found, left = p.cut(at, k, self.rest)
+                self.found += found
+                if left.first is not None:
+                    self.found.append((left.first, k, p.due(p.times[left.first], p.times[k - 1])[1]))
+                self.rest, at = Rest(since=since[k]), k + 1
+            found, self.rest = p.cut(at, end, self.rest)
+            self.found += found
+        if ended:
+            self.last.append(end - 1)
+            if self.rest.first is not None:
+                if near:
+                    self.left += [(k, None) for k in range(self.rest.first, end)]
+                else:
+                    self.open.append((self.rest.first, end, p.due(p.times[self.rest.first], p.times[end - 1])[1]))
+            elif self.rest.since is not None and near:
+                self.left.append((end - 1, self.rest.since))
+
+    def step(self, table: pa.Table, done: bool) -> Iterator[pa.RecordBatch]:
+        n, self.found, self.open, self.left, self.last = len(table), [], [], [], []
+        number = lambda k: table.column(k).to_numpy()
+        times, slices = number("ts_us"), number("slice")
+        packets = Packets(times, number("by_lo"), number("ip_length").astype(np.int64), number("tcp_flags").astype(np.int64), number("own"), self.limits)
+        halo, marked = slices > times if self.width else np.zeros(n, dtype=bool), table.column("since").combine_chunks()
+        marks = np.flatnonzero(marked.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        since = {k: marked[k].as_py() for k in marks}
+        other = slices[1:] != slices[:-1]
+        for k in ENDS:
+            column = table.column(k).combine_chunks()
+            same = pc.equal(column[1:], column[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+            none = column.is_null().to_numpy(zero_copy_only=False)
+            other |= ~(same | (none[1:] & none[:-1]))
+        starts = np.concatenate(([0], np.flatnonzero(other) + 1)).tolist()
+        for k, (at, end) in enumerate(zip(starts, [*starts[1:], n])):
+            if k or self.held is None:
+                self._fresh()
+                self.met = 0
+            ended = end < n or done
+            if at + self.met < end or (ended and self.skip is not None):
+                self._group(packets, at + self.met, end, int(slices[at]), halo, since, marks, ended)
+        first = self.rest.first
+        self.held, self.rest, self.met = table.slice(n - 1 if first is None else first), Rest(since=self.rest.since), int(first is None)
+        for kind, flows in ((FLOW, self.found), (OPEN, self.open)):
+            if flows:
+                batch = flow_batch(table, packets, flows)
+                yield self._rows(kind, len(batch), dict(zip(batch.schema.names, batch.columns)), table.schema)
+        if self.left:
+            rows = table.take(pa.array([k for k, _ in self.left])).combine_chunks()
+            yield self._rows(PACKET, len(rows), {c: rows.column(c).combine_chunks() for c in rows.schema.names if c not in ("since", "slice")} | {"since": pa.array([x for _, x in self.left], pa.int64())}, table.schema)
+        if self.last and self.width:
+            rows = table.take(pa.array(self.last))
+            yield self._rows(LAST, len(rows), {c: rows.column(c).combine_chunks() for c in ENDS} | {"ended_us": rows.column("ts_us").combine_chunks()}, table.schema)
+
+
+def _assembled(rows: DataFrame, limits: Limits, schema, width: int | None) -> DataFrame:
+    packet = [c for c in rows.columns if c not in ("slice", "since")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Assembly(limits, packet, width)
         for batch in batches:
             if len(batch):
-                yield step(pa.Table.from_batches([*held, batch]), False)
-        if held:
-            yield step(pa.Table.from_batches(held), True)
+                batch = pa.Table.from_batches([batch])
+                yield from own.step(batch if own.held is None else pa.concat_tables([own.held, batch]), False)
+        if own.held is not None:
+            yield from own.step(own.held, True)
+
+    return rows.mapInArrow(run, schema)
 
-    return run
+
+def assemble_slices(packets: DataFrame, limits: Limits = Limits(), order: Sequence[str] = ()) -> DataFrame:
+    """The first pass of assemble_flows: rows of the kinds FLOW, OPEN, PACKET and LAST. Packets are shuffled once, by key and slice of time."""
+    by_lo = F.col("src_ip").eqNullSafe(F.col("lo_ip")) & F.col("src_port").eqNullSafe(F.col("lo_port"))
+    own = F.col("lo_ip").eqNullSafe(F.col("hi_ip")) & F.col("lo_port").eqNullSafe(F.col("hi_port"))
+    keyed = with_key(tcp_only(packets)).select(*ENDS, by_lo.alias("by_lo"), own.alias("own"), "ts_us", "ip_length", "tcp_flags", *order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    sliced = _sliced(keyed, limits.idle_us).select(*keyed.columns, "slice", F.lit(None).cast("long").alias("since"))
+    sliced = sliced.repartition(*ENDS, "slice").sortWithinPartitions(*ENDS, "slice", "ts_us", *order)
+    return _assembled(sliced, limits, f"kind int, {FLOW_SCHEMA}, {kinds}, since long", limits.idle_us * SLICE)
 
 
 def assemble_flows(packets: DataFrame, limits: Limits = Limits(), order: Sequence[str] = (), end_reason: str = "replay_end") -> DataFrame:
-    """Complete flows of TCP packets. Silences part a key's packets first, so that its segments go to different tasks; each
-    task cuts ordered Arrow batches into flows. A key that is never silent is one segment and one task.
+    """Complete flows of TCP packets.
 
     A flow ends by max_packets, tcp_close, idle_timeout, active_timeout or at the end of the data; flows of fewer than
-    min_packets are dropped. Of two deadlines that have passed the earlier counts, idle in a tie.
+    min_packets are dropped. Of two deadlines that have passed the earlier counts, idle in a tie. Packets without a time are
+    left out, a null address or port is a value of its own.
+
+    The slices of a busy key are many tasks; what goes over an edge of slices is assembled in a second pass by key. Only a key
+    that is neither silent nor closed over many slices passes there as a whole.
     """
-    by_lo = (F.col("src_ip") == F.col("lo_ip")) & (F.col("src_port") == F.col("lo_port"))
-    own = (F.col("lo_ip") == F.col("hi_ip")) & (F.col("lo_port") == F.col("hi_port"))
-    keyed = with_key(tcp_only(packets)).select(*KEY, by_lo.alias("by_lo"), own.alias("own"), "ts_us", "ip_length", "tcp_flags", *order)
-    segments = _with_segments(keyed, limits.idle_us).select(*GROUP, "final", "by_lo", "own", "ts_us", "ip_length", "tcp_flags", *order)
-    return segments.repartition(*GROUP).sortWithinPartitions(*GROUP, "ts_us", *order).mapInArrow(_assembled(limits, end_reason), FLOW_SCHEMA)
+    names = [name for name, _ in _FLOW_FIELDS]
+    first = materialize(assemble_slices(packets, limits, order), "assembled")
+    kind = F.col("kind")
+    packet = first.columns[first.columns.index("lo_ip") : -1]
+    rest = first.where(kind == PACKET).select(*packet, F.lit(0).cast("long").alias("slice"), "since").repartition(*ENDS).sortWithinPartitions(*ENDS, "ts_us", *order)
+    late = _assembled(rest, limits, first.schema, None).unionByName(first.where(kind == OPEN)).select("kind", *names)
+    # what is open at the last packet of its key ends with the data
+    ends = first.where(kind == LAST).groupBy(*(F.col(c).alias(f"_{c}") for c in ENDS)).agg(F.max("ended_us").alias("last_us"))
+    late = with_key(late).join(ends, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ENDS], "left")
+    reason = F.when((kind == OPEN) & (F.col("ended_us") == F.col("last_us")), F.lit(end_reason)).otherwise(F.col("close_reason"))
+    return first.where(kind == FLOW).select(*names).unionByName(late.withColumn("close_reason", reason).select(*names))
 
 
 def summarize(flows: DataFrame) -> DataFrame:

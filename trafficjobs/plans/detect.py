@@ -32,7 +32,7 @@ def _packets(spark, d):
 
 
 def _segments(spark, d):
-    return flows.segment_sequences(flows.idle_segments(flows.with_key(_packets(spark, d))), order=ORDER)
+    return flows.segment_sequences(flows.with_key(_packets(spark, d)), order=ORDER)
 
 
 def closed_form_score(df):
@@ -48,13 +48,18 @@ def flow_keys(spark, d):
 
 @query(duck("packets") + KEYED_SQL + " SELECT lo_ip, lo_port, hi_ip, hi_port, segment, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM s GROUP BY ALL")
 def idle_sessions(spark, d):
-    s = flows.idle_segments(flows.with_key(_packets(spark, d)))
-    return s.groupBy("lo_ip", "lo_port", "hi_ip", "hi_port", "segment").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    return flows.idle_runs(flows.with_key(_packets(spark, d)), 0).select("lo_ip", "lo_port", "hi_ip", "hi_port", "segment", "packets", "first_us", "last_us")
+
+
+@query(duck("packets") + KEYED_SQL + " SELECT event_id, i, segment, ts_us FROM s")
+def packet_segments(spark, d):
+    """Gap detection: every packet with the number of its segment."""
+    return flows.idle_segments(flows.with_key(_packets(spark, d))).select("event_id", "i", "segment", "ts_us")
 
 
 @query(duck("packets") + KEYED_SQL + " SELECT event_id, i, segment, position FROM n WHERE position <= 20")
 def first_packets(spark, d):
-    return flows.first_packets(flows.idle_segments(flows.with_key(_packets(spark, d))), 20, ORDER).select("event_id", "i", "segment", "position")
+    return flows.first_packets(flows.with_key(_packets(spark, d)), 20, ORDER).select("event_id", "i", "segment", "position")
 
 
 @query(duck("packets") + FLOWS_SQL + " SELECT src_ip, src_port, dst_ip, dst_port, segment, started_us, ended_us, array_to_string(sizes, ',') AS sizes, array_to_string(offsets_us, ',') AS offsets FROM flow")

@@ -20,7 +20,7 @@ def _written(lines, label: str) -> str:
 
 
 def _flows(spark, d):
-    segments = flows.segment_sequences(flows.idle_segments(flows.with_key(view(spark, d, "packets"))), order=ORDER)
+    segments = flows.segment_sequences(flows.with_key(view(spark, d, "packets")), order=ORDER)
     return segments.withColumn("times", F.transform("offsets_us", lambda x: x / F.lit(1_000_000.0)))
 
 

@@ -179,6 +179,6 @@ def _draw(salt: str) -> str:
 @query(duck("packets") + FLOWS_SQL + f""", t AS (SELECT f, src_ip, src_port, dst_ip, segment, least(greatest(offsets_us[i] / 1000000.0, 0.0), 10.0) AS t, i, {_draw("r")} AS r, {_draw("a")} AS a FROM (SELECT *, unnest(range(1, least(len(sizes), 30) + 1)) AS i FROM (SELECT *, row_number() OVER () AS f FROM flow)) x)
 SELECT src_ip, src_port, dst_ip, segment, CAST(count(*) AS INTEGER) AS n, round(sum(least(greatest(t + sqrt(-2 * ln(r)) * cos(2 * pi() * a) * 0.005, 0.0), 10.0)), 4) AS time_sum FROM t GROUP BY f, src_ip, src_port, dst_ip, segment""")
 def augmented_samples(spark, d):
-    segments = flows.segment_sequences(flows.idle_segments(flows.with_key(view(spark, d, "packets"))), order=("event_id", "i"))
+    segments = flows.segment_sequences(flows.with_key(view(spark, d, "packets")), order=("event_id", "i"))
     encoded = features.encode(segments, 30)
     return encoded.select("src_ip", "src_port", "dst_ip", "segment", F.size("encoded.sizes").alias("n"), F.round(F.aggregate(features.augment(F.col("encoded"), F.concat_ws("|", "src_ip", "segment"))["times"], F.lit(0.0), lambda a, x: a + x), 4).alias("time_sum"))
