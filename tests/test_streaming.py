@@ -47,6 +47,17 @@ def test_flow_stream_equals_batch(spark, tmp_path, rocks):
     packets.unpersist()
 
 
+def test_sensor_transitions(spark, tmp_path, rocks):
+    """First sign, exact limit, silence inside a batch and over batches, a late and a repeated sign, one without a sensor."""
+    us = 1_000_000
+    schema = "sensor_id string, observed_us long"
+    frames = [[("a", 0), ("a", 45 * us), ("a", 45 * us), ("b", 0), ("b", 46 * us), (None, 5)], [("a", 100 * us), ("b", 60 * us), ("b", 46 * us), ("b", None)], [("c", 400 * us), ("b", 1 * us)], [("a", 410 * us), ("c", 401 * us)]]
+    got = two_runs([spark.createDataFrame([(s, None if t is None else t + 1000 * us) for s, t in f], schema) for f in frames], tmp_path, jobs.sensor_transitions, spark.createDataFrame([], schema).schema)
+    want = [("a", "healthy", 0), ("a", "stale", 90), ("a", "healthy", 100), ("a", "stale", 145), ("a", "healthy", 410), ("b", "healthy", 0), ("b", "stale", 45), ("b", "healthy", 46), ("b", "stale", 105), ("c", "healthy", 400)]
+    found = sorted((r.sensor_id, r.state, r.at_us // us - 1000) for r in got.collect())
+    assert found == sorted(want), found
+
+
 def test_distinct_events_and_windows(spark, tmp_path):
     alerts = view(spark, SF, "alerts").where("event_id < 200")
     got = two_runs([alerts, alerts], tmp_path, lambda s: jobs.distinct_events(s, id_="alert_id", delay="40 days"), alerts.schema)
@@ -61,6 +72,8 @@ def test_status_and_case_sync(spark, tmp_path):
     got = {(r.sensor_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "status/1")).collect()}
     want = {(r.sensor_id, r.e) for r in beats.groupBy("sensor_id").agg(F.max_by("event_id", F.struct("observed_us", "event_id")).alias("e")).collect()}
     assert got == want
+    write(beats.where("event_id % 2 = 1"), 1)  # a batch that is repeated after a failure
+    assert {(r.sensor_id, r.event_id) for r in jobs.newest_status(spark, str(tmp_path / "status")).collect()} == want and jobs.newest_status(spark, str(tmp_path / "none")) is None
     alerts = spark.createDataFrame([("k1", 1, "a"), ("k1", 2, "b"), ("k2", 3, "c"), (None, 4, "d")], "alert_key string, start_us long, alert_id string")
     sync = jobs.sync_cases(str(tmp_path / "cases"))
     sync(alerts, 0)

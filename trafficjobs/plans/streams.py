@@ -32,17 +32,46 @@ def _each_batch(stream: DataFrame, write, path: str) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-@query(ASSEMBLED_SQL + " SELECT src_ip, src_port, dst_ip, dst_port, started_us, ended_us, array_to_string(sizes, ',') AS sizes, array_to_string(offsets_us, ',') AS offsets FROM flow")
-def flow_stream(spark, d):
-    held, path = spark.conf.get(PROVIDER), scratch(spark, "flows")
+def _in_parts(rows: DataFrame, time: str, label: str, late=None) -> str:
+    """A folder with the rows in three parts by time; late ones of the first part stand in the last."""
+    path, n = scratch(rows.sparkSession, label), 3
+    z = rows.agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))  # one row
+    part = F.least(F.lit(n - 1), F.floor((F.col(time) - F.col("_lo")) * n / (F.col("_hi") - F.col("_lo") + 1)))
+    part = part if late is None else F.when((part == 0) & late, F.lit(n - 1)).otherwise(part)
+    rows.join(F.broadcast(z)).withColumn("part", part).drop("_lo", "_hi").write.partitionBy("part").parquet(f"{path}/in")
+    return path
+
+
+def _restarted(rows: DataFrame, time: str, label: str, job, late=None) -> tuple[DataFrame, str]:
+    """What the sink of a stream holds that ran to the end of each part and was started again from its checkpoint for the next; and the stream's folder."""
+    spark, held = rows.sparkSession, rows.sparkSession.conf.get(PROVIDER)
+    path = _in_parts(rows, time, label, late)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        out = _ended(jobs.flow_stream(_stream(spark, d, "packets"), order=("event_id", "i")), "flows", path)
-        out = out.unionByName(materialize(jobs.flush_flows(spark, f"{path}/checkpoint"), "flushed"))
+        for k in range(3):
+            out = _ended(job(spark.readStream.schema(rows.schema).parquet(f"{path}/in/part=[{k}]")), label, path)
     finally:
         spark.conf.set(PROVIDER, held)
+    return out, path
+
+
+#: The watermark at the end, in microseconds of whole milliseconds; and the parts that arrive, what comes a part too late being dropped.
+ARRIVED_SQL = """z AS (SELECT min(ts_us) AS lo, max(ts_us) AS hi FROM packets), mark AS (SELECT hi // 1000 * 1000 - 5000000 AS mark FROM z),
+kept AS (SELECT packets.* FROM packets, z WHERE NOT ((ts_us - lo) * 3 // (hi - lo + 1) = 0 AND (event_id + i) % 13 = 5)),
+"""
+_HEAD, _TAIL = ASSEMBLED_SQL.split("k AS (SELECT *,", 1)
+STREAMED_SQL = _HEAD + ARRIVED_SQL + "k AS (SELECT *," + _TAIL.replace("FROM packets)", "FROM kept)", 1)
+
+
+@query(STREAMED_SQL + """ SELECT src_ip, src_port, dst_ip, dst_port, started_us, ended_us, array_to_string(sizes, ',') AS sizes, array_to_string(offsets_us, ',') AS offsets,
+  CASE WHEN close_reason <> 'replay_end' THEN close_reason WHEN least(ended_us + 30000000, started_us + 120000000) > mark THEN 'shutdown' WHEN ended_us + 30000000 <= started_us + 120000000 THEN 'idle_timeout' ELSE 'active_timeout' END AS close_reason FROM flow, mark""")
+def flow_stream(spark, d):
+    """Three runs over one checkpoint, then what is open is flushed. A thirteenth of the first run's packets comes with the third, too late."""
+    late = (F.col("event_id") + F.col("i")) % 13 == 5
+    out, path = _restarted(view(spark, d, "packets"), "ts_us", "flows", lambda s: jobs.flow_stream(s, order=("event_id", "i")), late)
+    out = out.unionByName(materialize(jobs.flush_flows(spark, f"{path}/checkpoint"), "flushed"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return out.select("src_ip", "src_port", "dst_ip", "dst_port", "started_us", "ended_us", text("sizes").alias("sizes"), text("offsets_us").alias("offsets"))
+    return out.select("src_ip", "src_port", "dst_ip", "dst_port", "started_us", "ended_us", text("sizes").alias("sizes"), text("offsets_us").alias("offsets"), "close_reason")
 
 
 @query(duck("packets") + """z AS (SELECT max(ts_us) AS newest FROM packets), t AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id, i) AS no FROM packets WHERE i = 0)
@@ -74,9 +103,21 @@ def evidence_stream(spark, d):
 
 @query(duck("beats") + "r AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY observed_us DESC, event_id DESC) AS no FROM beats) SELECT sensor_id, event_id, observed_us FROM r WHERE no = 1")
 def sensor_status_stream(spark, d):
-    path = scratch(spark, "status")
-    _each_batch(_stream(spark, d, "beats"), jobs.keep_status(f"{path}/table"), path)
-    return spark.read.parquet(f"{path}/table/0").select("sensor_id", "event_id", "observed_us")
+    """The newest table after three batches."""
+    beats = view(spark, d, "beats")
+    path = _in_parts(beats, "observed_us", "status")
+    for k in range(3):
+        _each_batch(spark.readStream.schema(beats.schema).parquet(f"{path}/in/part=[{k}]"), jobs.keep_status(f"{path}/table"), path)
+    return jobs.newest_status(spark, f"{path}/table").select("sensor_id", "event_id", "observed_us")
+
+
+@query(duck("beats") + """g AS (SELECT sensor_id, observed_us AS at_us, lag(observed_us) OVER w AS before, lead(observed_us) OVER w AS after FROM (SELECT DISTINCT sensor_id, observed_us FROM beats) b WINDOW w AS (PARTITION BY sensor_id ORDER BY observed_us)),
+m AS (SELECT max(observed_us) // 1000 * 1000 - 5000000 AS mark FROM beats)
+SELECT sensor_id, 'healthy' AS state, at_us FROM g WHERE before IS NULL OR at_us - before > 45000000
+UNION ALL SELECT sensor_id, 'stale' AS state, at_us + 45000000 AS at_us FROM g, m WHERE after - at_us > 45000000 OR (after IS NULL AND at_us + 45000001 <= mark)""")
+def sensor_transition_stream(spark, d):
+    """Sensors that turn stale or healthy, over three runs of a stream."""
+    return _restarted(view(spark, d, "beats"), "observed_us", "transitions", jobs.sensor_transitions)[0]
 
 
 @query(duck("alerts") + "z AS (SELECT 'k' || (event_id % 300) AS alert_key, min(start_us) AS start_us FROM alerts GROUP BY 1) SELECT * FROM z")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,7 +17,8 @@ from trafficjobs.operators.correlate import new_cases
 from trafficjobs.operators.flows import FLOW_SCHEMA, KEY, Limits, flow_batch, tcp_only, with_key
 from trafficjobs.sources.sinks import latest_status
 
-_COLUMNS = ["ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "ip_length", "tcp_flags"]
+PACKET = "ts_us long, by_lo boolean, ip_length int, tcp_flags int"
+_FLOW, _STATE = Row(*(f.split()[0] for f in FLOW_SCHEMA.split(", "))), Row("sensor_id", "state", "at_us")
 
 
 def with_event_time(rows: DataFrame, column: str = "ts_us", delay: str = "5 seconds") -> DataFrame:
@@ -27,28 +27,32 @@ def with_event_time(rows: DataFrame, column: str = "ts_us", delay: str = "5 seco
 
 
 class OpenFlow:
-    """The state of one key between batches: the packets of its open flow, or the last packet and where a full flow's tail began."""
+    """What one key has open: the packets (ts_us, by_lo, ip_length, tcp_flags) of its flow, or the last packet and where a full flow's tail began."""
 
-    def __init__(self, limits: Limits, key: tuple, text: str | None = None):
+    def __init__(self, limits: Limits, key: tuple, saved: tuple[list, int | None] | None = None):
         self.limits, self.key = limits, key
-        held = json.loads(text) if text else {}
-        self.rows, self.since, self.open = held.get("rows", []), held.get("since"), held.get("open", False)
+        self.rows, self.since = saved or ([], None)
+        self.open = bool(self.rows) and self.since is None
 
-    def saved(self) -> str | None:
-        return json.dumps({"rows": self.rows, "since": self.since, "open": self.open}) if self.open or self.since is not None else None
+    def saved(self) -> tuple[list, int | None] | None:
+        return (self.rows, self.since) if self.open or self.since is not None else None
 
     def _packets(self, rows: list) -> Packets:
         ts, lo, length, flags = (np.array([r[k] for r in rows], dtype=kind) for k, kind in enumerate((np.int64, bool, np.int64, np.int64)))
         return Packets(ts, lo, length, flags, np.full(len(rows), self.key[:2] == self.key[2:4]), self.limits)
 
-    def _out(self, packets: Packets, found: list) -> pd.DataFrame:
-        ends = dict(zip(KEY[:4], self.key))
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32())
-        table = pa.RecordBatch.from_arrays([pa.array([v] * len(packets.ts), kind) for v, kind in zip(ends.values(), kinds)], names=list(ends))
-        return flow_batch(table, packets, found).to_pandas()
-
-    def add(self, rows: list) -> pd.DataFrame:
-        """Flows that ended, after ordered rows of (ts_us, by_lo, ip_length, tcp_flags)."""
+    def _out(self, packets: Packets, found: list) -> list[tuple]:
+        """Rows of FLOW_SCHEMA."""
+        if not found:
+            return []
+        c = packets.columns(found)
+        sizes, offsets, ends = c["sizes"].tolist(), c["offsets_us"].tolist(), c["ends"].tolist()
+        lo, hi = tuple(self.key[:2]), tuple(self.key[2:4])
+        rows = zip(c["begun_by_lo"].tolist(), c["started_us"].tolist(), c["ended_us"].tolist(), ends, ends[1:], c["close_reason"])
+        return [(*((*lo, *hi) if by_lo else (*hi, *lo)), "tcp", start, end, sizes[a:b], offsets[a:b], why) for by_lo, start, end, a, b, why in rows]
+
+    def add(self, rows: list) -> list[tuple]:
+        """Flows that ended, after ordered packets."""
         met = 0 if self.open else len(self.rows)
         # late packets take their place among those of the open flow
         rows = self.rows + rows if met else sorted(self.rows + rows, key=lambda r: r[0])
@@ -64,53 +68,57 @@ class OpenFlow:
             return Packets.due(self, self.rows[0][0] if self.open else self.since, self.rows[-1][0])
         return None
 
-    def end(self, reason: str) -> pd.DataFrame:
+    def end(self, reason: str) -> list[tuple]:
         """The open flow, if there is one."""
-        packets = self._packets(self.rows)
-        out = self._out(packets, [(0, len(self.rows), reason)] if self.open else [])
+        out = self._out(self._packets(self.rows), [(0, len(self.rows), reason)]) if self.open else []
         self.rows, self.since, self.open = [], None, False
         return out
 
 
 class FlowProcessor(StatefulProcessor):
-    """The batch job's cut with what it leaves kept for each key; an event-time timer closes flows that go silent."""
+    """The batch job's cut with what it leaves kept for each key; an event-time timer closes flows that go silent.
+
+    A key's state is one typed value: the packets of its open flow, fewer than a flow may have, or where a full flow's tail
+    began, and the time that its timer is set to. It is read once and written once for a batch; the timer is set anew only
+    where the deadline moves.
+    """
 
     def __init__(self, limits: Limits, order: tuple[str, ...]):
         self.limits, self.order = limits, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", "saved string")
-
-    def _open(self, key: tuple) -> OpenFlow:
-        return OpenFlow(self.limits, key, self.state.get()[0] if self.state.exists() else None)
-
-    def _keep(self, held: OpenFlow) -> None:
-        for timer in list(self.handle.listTimers()):
+        self.state = handle.getValueState("open", f"packets array<struct<{PACKET}>>, since long, timer long")
+
+    def _open(self, key: tuple) -> tuple[OpenFlow, int | None]:
+        packets, since, timer = self.state.get() or ([], None, None)
+        return OpenFlow(self.limits, key, ([tuple(p) for p in packets], since)), timer
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, timer = self._open(tuple(key))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        part = sorted((p for r in rows for p in zip(*(r[c] for c in ("ts_us", *self.order, "by_lo", "ip_length", "tcp_flags"))) if p[0] > passed), key=lambda p: p[:-3])
+        if not part:
+            return
+        out = held.add([(p[0], *p[-3:]) for p in part])
+        due = held.due()
+        ms = due and -(-due[0] // 1000)
+        if timer is not None and ms != timer:
             self.handle.deleteTimer(timer)
-        if held.due() is None:
+        if ms is not None:
+            self.state.update((held.rows, held.since, ms))
+            if ms != timer:
+                self.handle.registerTimer(ms)
+        elif timer is not None:
             self.state.clear()
-        else:
-            self.state.update((held.saved(),))
-            self.handle.registerTimer(-(-held.due()[0] // 1000))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._open(key)
-        part = pd.concat(list(rows)).sort_values(["ts_us", *self.order])
-        lo = (part["src_ip"] == key[0]) & (part["src_port"] == key[1])
-        out = held.add(list(zip(part["ts_us"].tolist(), lo.tolist(), part["ip_length"].tolist(), part["tcp_flags"].tolist())))
-        self._keep(held)
-        if len(out):
-            yield out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self._open(key)
-        due = held.due()
-        if due and due[0] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            out = held.end(due[1])
-            self._keep(held)
-            if len(out):
-                yield out
+        yield from (_FLOW(*f) for f in out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, timer = self._open(tuple(key))
+        if timer is not None and timer <= expiredTimerInfo.getExpiryTimeInMs():
+            out = held.end(held.due()[1])
+            self.state.clear()
+            yield from (_FLOW(*f) for f in out)
 
     def close(self) -> None:
         pass
@@ -118,21 +126,87 @@ class FlowProcessor(StatefulProcessor):
 
 def flush_flows(spark: SparkSession, checkpoint: str, limits: Limits = Limits(), reason: str = "shutdown") -> DataFrame:
     """The flows that a stopped flow_stream has left open in its state, ended for that reason. checkpoint is its checkpoint folder."""
-    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
-    held = state.select(*(F.col(f"key.{k}").alias(k) for k in KEY), F.col("value.saved").alias("saved"))
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint).where("value.since is null")
+    held = state.select(*(F.col(f"key.{k}").alias(k) for k in KEY[:4]), *(F.col(f"value.packets.{f.split()[0]}") for f in PACKET.split(", ")))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                yield OpenFlow(limits, tuple(row)[: len(KEY)], row.saved).end(reason)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                counts = np.array(pc.list_value_length(batch.column(4)))
+                of, ends = np.repeat(np.arange(len(batch)), counts), np.cumsum(counts)
+                ts, lo, length, flags = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(4, 8))
+                keys = pa.Table.from_batches([batch.select(list(KEY[:4]))]).take(pa.array(of))
+                own = np.array([a == b for a, b in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1))), zip(*(batch.column(k).to_pylist() for k in (2, 3))))])[of]
+                yield flow_batch(keys, Packets(ts, lo, length.astype(np.int64), flags.astype(np.int64), own, limits), [(a, b, reason) for a, b in zip((ends - counts).tolist(), ends.tolist())])
 
-    return held.mapInPandas(run, FLOW_SCHEMA)
+    return held.mapInArrow(run, FLOW_SCHEMA)
+
+
+def _packed(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each key of an Arrow batch with lists of its packets, since rows cost more than what they hold on their way to a state; last_us is the newest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(list(KEY), use_threads=False).aggregate([("ts_us", "max"), *((c, "list") for c in columns)])
+            yield from found.select([*KEY, "ts_us_max", *(f"{c}_list" for c in columns)]).rename_columns([*KEY, "last_us", *columns]).to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    return keyed.select(*KEY, *columns).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in KEY), "last_us long", *(f"`{c}` array<{kinds[c]}>" for c in columns)]))
 
 
 def flow_stream(packets: DataFrame, limits: Limits = Limits(), delay: str = "5 seconds", order: tuple[str, ...] = ()) -> DataFrame:
-    """Flows of a packet stream. Needs the RocksDB state store; packets later than the watermark are dropped."""
-    keyed = with_event_time(with_key(tcp_only(packets)), delay=delay).select("ts", *KEY, *_COLUMNS, *order)
-    return keyed.groupBy(*KEY).transformWithStateInPandas(FlowProcessor(limits, order), FLOW_SCHEMA, "append", "eventTime")
+    """Flows of a packet stream. Needs the RocksDB state store; packets at the watermark or before it, and those without a time, are dropped."""
+    by_lo = F.col("src_ip").eqNullSafe(F.col("lo_ip")) & F.col("src_port").eqNullSafe(F.col("lo_port"))
+    keyed = with_key(tcp_only(packets)).where("ts_us is not null").withColumn("by_lo", by_lo)
+    packed = with_event_time(_packed(keyed, ["ts_us", *order, "by_lo", "ip_length", "tcp_flags"]), "last_us", delay)
+    return packed.groupBy(*KEY).transformWithState(FlowProcessor(limits, order), FLOW_SCHEMA, "append", "eventTime")
+
+
+class SensorProcessor(StatefulProcessor):
+    """Transitions of a sensor: healthy at its first sign of life, stale when a limit passes without one, healthy again at the next."""
+
+    def __init__(self, sensor: str, time: str, limit_us: int):
+        self.sensor, self.time, self.limit_us = sensor, time, limit_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("sensor", "last long, timer long")  # no timer: stale
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, timer = self.state.get() if self.state.exists() else (None, None)
+        stale, out = last is not None and timer is None, []
+        for t in sorted(r[self.time] for r in rows):
+            if last is not None and t <= last:
+                continue
+            if last is not None and t - last > self.limit_us and not stale:
+                out.append(("stale", last + self.limit_us))
+                stale = True
+            if last is None or stale:
+                out.append(("healthy", t))
+            last, stale = t, False
+        due = -(-(last + self.limit_us + 1) // 1000)
+        if not stale and due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.state.update((last, timer))
+        yield from (_STATE(key[0], *x) for x in out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, timer = self.state.get()
+        if timer == expiredTimerInfo.getExpiryTimeInMs():
+            self.state.update((last, None))
+            yield _STATE(key[0], "stale", last + self.limit_us)
+
+    def close(self) -> None:
+        pass
+
+
+def sensor_transitions(beats: DataFrame, sensor: str = "sensor_id", time: str = "observed_us", limit_s: int = 45, delay: str = "5 seconds") -> DataFrame:
+    """sensor_id, state, at_us: where sensors turn healthy or stale, once each. Needs the RocksDB state store; a sign of life without a time or a sensor is dropped."""
+    known = with_event_time(beats.where(F.col(time).isNotNull() & F.col(sensor).isNotNull()), time, delay).select("ts", F.col(sensor).cast("string").alias("sensor_id"), F.col(time).cast("long").alias("at_us"))
+    return known.groupBy("sensor_id").transformWithState(SensorProcessor("sensor_id", "at_us", limit_s * 1_000_000), "sensor_id string, state string, at_us long", "append", "eventTime")
 
 
 def idle_windows(packets: DataFrame, delay: str = "5 seconds", idle_us: int = 30_000_000) -> DataFrame:
@@ -164,21 +238,31 @@ def evidence_stream(alerts: DataFrame, conn: DataFrame, margin_s: int = 30, dela
 
 
 def keep_status(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a table of one newest row for each sensor, rewritten beside the old one and then switched by name of the batch."""
+    """For foreachBatch: a table of one newest row for each sensor, written beside the old one; then its number is added to those that are whole. A repeated batch gives the same table."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            held = spark.read.parquet(f"{path}/{number - 1}").select(*batch.columns)
-            batch = batch.unionByName(held)
-        except AnalysisException as e:  # the first batch has no table yet
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        held = newest_status(spark, path, number)
+        if held is not None:
+            batch = batch.unionByName(held.select(*batch.columns))
         latest_status(batch).write.mode("overwrite").parquet(f"{path}/{number}")
+        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").parquet(f"{path}/whole")
 
     return write
 
 
+def newest_status(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest whole table that keep_status has written there, of the batches before a number if one is given; None if there is none."""
+    try:
+        whole = spark.read.schema("number long").parquet(f"{path}/whole")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    number = (whole if before is None else whole.where(F.col("number") < before)).agg(F.max("number")).first()[0]
+    return None if number is None else spark.read.parquet(f"{path}/{number}")
+
+
 def sync_cases(path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over alerts (alert_key, start_us, alert_id): append a case for each new key. A repeated batch adds nothing."""
 
