@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficjobs.operators.correlate import CASE_STATES
+from trafficjobs.operators.sketches import quantiles
 from trafficjobs.session import materialize, small
 
 
@@ -68,11 +69,12 @@ def capture_loss(beats: DataFrame, per: Sequence[str] = ("sensor_id",)) -> DataF
 
 def triage_quality(cases: DataFrame) -> DataFrame:
     """One row over cases (status, disposition, created_us, closed_us): closed, escalated and false-positive shares, mean and median time to close in seconds."""
-    took = (F.col("closed_us") - F.col("created_us")) / 1_000_000
+    took = F.col("closed_us") - F.col("created_us")
+    (median,) = quantiles(cases.select(took.alias("took")), "took", [0.5])
     closed = F.count_if(F.col("status") == "closed")
     return cases.agg(
         F.count(F.lit(1)).alias("n_cases"), closed.alias("n_closed"), F.try_divide(F.count_if(F.col("status") == "escalated"), F.count(F.lit(1))).alias("escalation_rate"),
-        F.try_divide(F.count_if((F.col("status") == "closed") & (F.col("disposition") == "false_positive")), closed).alias("false_positive_rate"), F.avg(took).alias("mean_s"), F.percentile(took, 0.5).alias("median_s"),
+        F.try_divide(F.count_if((F.col("status") == "closed") & (F.col("disposition") == "false_positive")), closed).alias("false_positive_rate"), F.avg(took / 1_000_000).alias("mean_s"), (F.lit(median).cast("double") / 1_000_000).alias("median_s"),
     )
 
 
@@ -82,7 +84,8 @@ def verdicts_by_score(scored: DataFrame, buckets: int = 10, score: str = "prob")
 
 def latency_p95(delays: DataFrame, delay: str = "delay_us", least: int = 100, bound_us: int = 60_000_000) -> DataFrame:
     """One row: samples, 95th percentile, and whether there are enough and it holds the bound."""
-    out = delays.agg(F.count(delay).alias("samples"), F.percentile(delay, 0.95).alias("p95_us"))
+    (p95,) = quantiles(delays, delay, [0.95])
+    out = delays.agg(F.count(delay).alias("samples")).withColumn("p95_us", F.lit(p95).cast("double"))
     return out.withColumn("accepted", (F.col("samples") >= least) & (F.col("p95_us") <= bound_us))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from trafficjobs.functions.scoring import risk_level
 from trafficjobs.operators import cases as case_ops
-from trafficjobs.operators import correlate, metrics, retrieval, search
+from trafficjobs.operators import correlate, metrics, retrieval, search, sketches, vector_index
 from trafficjobs.plans.catalog import query
 from trafficjobs.plans.views import duck, view
+from trafficjobs.session import scratch
 
 TERMS = r"[\p{L}\p{N}_]+"
 
@@ -341,6 +345,18 @@ def hash_embeddings(spark, d):
     return raw.select("item_id", F.transform(retrieval.l2_normalize(F.col("raw")), lambda x: F.round(x, 6)).alias("vector"))
 
 
+@query(r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_:.@/-]+|[一-鿿]')) AS w FROM benchmark),
+h AS (SELECT item_id, md5(w) AS m FROM t),
+p AS (SELECT item_id, CAST('0x' || m[7:8] || m[5:6] || m[3:4] || m[1:2] AS BIGINT) % 384 AS place, CASE WHEN CAST('0x' || m[9:10] AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM h),
+s AS (SELECT item_id, place, CAST(sum(sign) AS BIGINT) AS v FROM p GROUP BY 1, 2)
+SELECT b.item_id, coalesce(string_agg(place || ':' || v, ',' ORDER BY place), '') AS places FROM benchmark b LEFT JOIN s ON s.item_id = b.item_id AND v <> 0 GROUP BY 1""")
+def hash_embeddings_md5(spark, d):
+    """The hashed embedding with a digest that DuckDB has too; the places that are not zero."""
+    kb = view(spark, d, "benchmark").select("item_id", retrieval.hash_embed(F.col("text"), partial(retrieval.embed_batch, digest=retrieval.md5)).alias("v"))
+    kb = kb.select("item_id", F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.cast("long").alias("x"))), lambda p: p["x"] != 0).alias("p"))
+    return kb.select("item_id", F.array_join(F.transform("p", lambda p: F.concat_ws(":", p["i"].cast("string"), p["x"].cast("string"))), ",").alias("places"))
+
+
 @query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])) AS norm FROM embeddings)
 SELECT vec_id, array_to_string([CAST(round(CAST(CAST(CAST(x AS DOUBLE) / greatest(norm, 1e-12) AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) FOR x IN embedding], ',') AS thousandths FROM n""")
 def l2_normalize(spark, d):
@@ -355,6 +371,47 @@ def top_similar(spark, d):
     return retrieval.top_similar(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("vector")), exclude_own=True)
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS rank FROM s) SELECT query_id, CAST(rank AS INT) AS rank, base_id, score FROM r WHERE rank <= 4""")
+def index_search(spark, d):
+    """top_similar over an index that is written first."""
+    v, path = view(spark, d, "embeddings"), scratch(spark, "vector-index")
+    vector_index.write(v.select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("vector")), path)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(spark, asked, path, exclude_own=True).drop("n_clusters")
+
+
+@query(duck("beats") + "z AS (SELECT sensor_id, count(received) AS n FROM beats GROUP BY 1) SELECT sensor_id, n, true AS within FROM z")
+def latency_sketches(spark, d):
+    """Sketches by sensor and hour in two batches, merged; whether the rank of each quantile is within the stated error."""
+    b, path = view(spark, d, "beats"), scratch(spark, "sketches")
+    for part in (0, 1):
+        sketches.quantile_sketches(b.where(F.col("event_id") % 2 == part), "received", "observed_us").write.mode("append").parquet(path)
+    shares = (0.5, 0.95)
+    est = sketches.sketched_quantiles(spark.read.parquet(path), shares)
+    near = [F.least(F.abs(F.col(f"below{k}") / F.col("n") - s), F.abs(F.col(f"upto{k}") / F.col("n") - s)) <= sketches.RANK_ERROR for k, s in enumerate(shares)]
+    between = [(F.col(f"below{k}") / F.col("n") <= s) & (F.col(f"upto{k}") / F.col("n") >= s) for k, s in enumerate(shares)]
+    counts = [c for k in range(2) for c in (F.count_if(F.col("received") < F.col(f"q{k}")).alias(f"below{k}"), F.count_if(F.col("received") <= F.col(f"q{k}")).alias(f"upto{k}"))]
+    met = b.join(F.broadcast(est), "sensor_id").groupBy("sensor_id", "n").agg(*counts)  # est: a row for each sensor
+    return met.select("sensor_id", "n", ((near[0] | between[0]) & (near[1] | between[1])).alias("within"))
+
+
+@query(duck("alerts") + """z AS (SELECT DISTINCT start_us // 86400000000 AS day, src_ip FROM alerts)
+SELECT a.day, count(*) AS n, count(b.src_ip) AS n_again, true AS within FROM z a LEFT JOIN z b ON b.src_ip = a.src_ip AND b.day = a.day - 1 GROUP BY 1""")
+def sources_met_again(spark, d):
+    """Distinct sources of alerts by day and those of the day before met again, exact, and whether the stored sketches give both within the stated error."""
+    a, path = view(spark, d, "alerts").withColumn("day", F.expr("start_us div 86400000000")), scratch(spark, "distinct")
+    for part in (0, 1):
+        sketches.distinct_sketches(a.where(F.col("event_id") % 2 == part), "src_ip", ["day"]).write.mode("append").parquet(path)
+    est = sketches.met_again(spark.read.parquet(path), "day").select("day", F.col("n").alias("about"), F.col("n_again").alias("about_again"))
+    z = a.select("day", "src_ip").distinct()
+    exact = z.join(z.select((F.col("day") + 1).alias("day"), "src_ip", F.lit(1).alias("again")), ["day", "src_ip"], "left").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count("again").alias("n_again"))
+    both = exact.join(est, "day")
+    before = F.coalesce(F.lag("n").over(Window.orderBy("day")), F.lit(0))  # a row for each day
+    within = (F.abs(F.col("about") - F.col("n")) <= sketches.DISTINCT_ERROR * F.col("n")) & (F.abs(F.col("about_again") - F.col("n_again")) <= sketches.DISTINCT_ERROR * (F.col("n") + before))
+    return both.select("day", "n", "n_again", within.alias("within"))
+
+
 @query("WITH asked AS (SELECT doc_id AS qid, text FROM documents WHERE doc_id % 100 = 0), known AS (SELECT item_id AS id, text FROM benchmark),\n" + _tfidf_sql("asked", "known", 4) + " SELECT * FROM answers")
 def tfidf_top(spark, d):
     q = view(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
