@@ -69,3 +69,22 @@ def test_index_search_equals_all_pairs_and_reads_few_clusters(spark, tmp_path, m
     none = str(tmp_path / "none")
     vector_index.write(base.limit(0), none)
     assert vector_index.search(spark, asked, none).count() == 0
+
+
+def test_tfidf_search_equals_the_full_join_and_scores_few_rows(spark):
+    """Stop words in every row, rare words in few; ties, rows without a word, queries with fewer than k answers."""
+    rng = random.Random(8)
+    stop, rare = ["the", "of", "and", "to", "a"], [f"word{k}" for k in range(1500)]
+    text = lambda k: " ".join(rng.choice(stop) if rng.random() < 0.6 else rare[min(1499, int(rng.expovariate(1 / 250)))] for _ in range(k))
+    kin = [(5000 + 10 * g + v, " ".join([*(f"g{g}x{k}" for k in range(12) if k != v), text(12)])) for g in range(150) for v in range(5)]
+    rows = [(i, text(rng.randint(3, 40))) for i in range(750)] + [(2000, ""), (2001, None), (2002, "!!"), (2003, "the the"), (2004, "of only once zebra"), (2005, "zebra of only once")] + kin
+    base = spark.createDataFrame(rows, "base_id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in rows[:750:50]] + kin[::100] + [(3000, "zebra"), (3001, "unknownword"), (3002, None), (3003, "the"), (3004, text(400))], "query_id long, text string")
+    want = sorted(tuple(r) for r in retrieval.tfidf_top(asked, base).collect())
+    got = retrieval.tfidf_search(asked, base).collect()
+    assert sorted(tuple(r)[:4] for r in got) == want and any(r.query_id == 3000 and r.rank == 2 for r in got)
+    # the relatives of a text bound the rest; without any, as in the random texts, most rows that share a word are scored
+    scored = {r.query_id: r.n_scored for r in got}
+    joined = {q: sum(bool(set(t.split()) & set((x or "").split())) for _, x in rows) for q, t in kin[::100]}
+    assert all(scored[q] < 0.25 * n for q, n in joined.items()), [(q, scored[q], n) for q, n in joined.items()]
+    assert retrieval.tfidf_search(asked.limit(0), base).count() == 0 and retrieval.tfidf_search(asked, base.limit(0)).count() == 0

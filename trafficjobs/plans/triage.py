@@ -419,6 +419,14 @@ def tfidf_top(spark, d):
     return out.withColumn("score", F.round(F.col("score") * 1_000_000).cast("long"))  # in millionths
 
 
+@query("WITH asked AS (SELECT doc_id AS qid, text FROM documents WHERE doc_id % 100 = 0), known AS (SELECT doc_id AS id, text FROM documents),\n" + _tfidf_sql("asked", "known", 4) + " SELECT * FROM answers")
+def tfidf_search(spark, d):
+    """Documents like each hundredth one, itself among them."""
+    docs = view(spark, d, "documents")
+    out = retrieval.tfidf_search(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"), docs.select(F.col("doc_id").alias("base_id"), "text"), 4)
+    return out.withColumn("score", F.round(F.col("score") * 1_000_000).cast("long")).drop("n_scored")
+
+
 @query(duck("alerts") + f"""z AS (SELECT *, CASE WHEN prob >= 0.9 THEN 'high' WHEN prob >= 0.7 THEN 'medium' WHEN prob >= 0.5 THEN 'low' ELSE 'informational' END AS risk FROM alerts)
 SELECT alert_id, 'malware ' || risk || ' port ' || dst_port || ' ' || src_ip || ' ' || dst_ip || ' counts unusual' AS query, '{{"alert_id":"' || alert_id || '","uid":"' || uid || '"}}' AS compact FROM z""")
 def query_texts(spark, d):
