@@ -1,6 +1,7 @@
 """Cases of searches, events, sampling, retrieval and cases that the shared tables don't hold."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,20 @@ def test_levels(spark):
     assert [r[0] for r in df.select(scoring.risk_level(F.col("s"))).collect()] == ["high", "medium", "low", "informational", "unknown", "unknown", "unknown"]
 
 
+def test_windows_of_any_length_take_two_cells(spark):
+    """From an instant to centuries, before the epoch too, ends before starts, nulls; equal to the plain condition."""
+    rng, us = random.Random(4), 1_000_000
+    starts = [rng.randint(-(10**9), 10**9) * us for _ in range(60)]
+    spans = [0, 1, us, 7 * us, 8 * us, 8 * us + 1, 10**5 * us, 10**8 * us, 10**10 * us, -5]
+    alerts = [(f"a{k}", f"h{k % 3}", s, s + spans[k % 10]) for k, s in enumerate(starts)] + [("n1", None, 0, 5), ("n2", "h1", None, 5)]
+    logs = [(f"h{k % 3}", rng.choice(starts) + rng.choice([0, -1, 1, 5 * us, rng.randint(-(10**15), 10**15)]), k) for k in range(600)] + [(None, 3, -1), ("h1", None, -2)]
+    a, b = spark.createDataFrame(alerts, "alert_id string, src_ip string, start_us long, end_us long"), spark.createDataFrame(logs, "ip string, ts_us long, no int")
+    got = sorted((r.alert_id, r.no) for r in correlate.interval_join(a, b, us, None).collect())
+    want = sorted((i, n) for i, h, s, e in alerts for ip, t, n in logs if None not in (h, s, ip, t) and h == ip and s - us <= t <= e + us)
+    assert got == want and len(want) > 500
+    assert correlate.interval_join(a.limit(0), b, us, None).count() == 0
+
+
 def test_skewed_interval_join_is_whole(spark):
     alerts = spark.range(50).select(F.concat(F.lit("a"), "id").alias("alert_id"), F.lit("h").alias("src_ip"), (F.col("id") * 1_000_000).alias("start_us"), (F.col("id") * 1_000_000 + 500_000).alias("end_us"))
     logs = spark.range(500).select(F.lit("h").alias("ip"), (F.col("id") * 100_000).alias("ts_us"))

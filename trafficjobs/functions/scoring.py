@@ -22,11 +22,14 @@ class LogisticScorer:
         self.weights = weights
 
     def score(self, frame: pd.DataFrame) -> np.ndarray:
-        sizes = frame["sizes"]
-        mean = np.array([np.abs(s).mean() if len(s) else 0.0 for s in sizes])
-        n = np.array([float(len(s)) for s in sizes])
-        back = np.array([(np.asarray(s) < 0).mean() if len(s) else 0.0 for s in sizes])
-        span = np.array([float(o[-1]) / 1e6 if len(o) else 0.0 for o in frame["offsets_us"]])
+        n = frame["sizes"].map(len).to_numpy(dtype=np.int64)
+        sizes = np.concatenate([np.zeros(0), *frame["sizes"]])
+        of = np.repeat(np.arange(len(n)), n)
+        mean, back = (np.bincount(of, x, len(n)) / np.maximum(n, 1) for x in (np.abs(sizes), sizes < 0))
+        offsets, ends = np.concatenate([np.zeros(0), *frame["offsets_us"]]), np.cumsum(frame["offsets_us"].map(len).to_numpy(dtype=np.int64))
+        last = np.diff(ends, prepend=0) > 0
+        span = np.zeros(len(n))
+        span[last] = offsets[ends[last] - 1] / 1e6
         w = self.weights
         return 1 / (1 + np.exp(-(w[0] + w[1] * mean + w[2] * n + w[3] * back + w[4] * np.log1p(span))))
 

@@ -13,18 +13,29 @@ CASE_STATES = ("new", "in_review", "escalated", "closed")
 SOURCES = ("siem", "conn", "ids", "snapshots", "knowledge")
 
 
+#: Each level of cells is so many times as wide as the one below; with a second at the least the last is beyond any window.
+FACTOR, MOST_LEVELS = 8, 17
+
+
 def interval_join(alerts: DataFrame, logs: DataFrame, margin_us: int, most: int | None = 50, bucket_us: int | None = None, alert_id: str = "alert_id", order: Sequence[str] = ("ts_us",)) -> DataFrame:
     """Log rows (ip, ts_us, ...) of the alert's src_ip from start_us - margin to end_us + margin, at most `most` for each alert, earliest first.
 
-    Time is cut into buckets of about the window's width. An alert is sent to the buckets its window touches and meets log
-    rows by equal ip and bucket, so a busy host is spread over time and no pair outside the neighbourhood is formed.
+    Time is cut into cells on levels that grow by FACTOR. An alert goes to the lowest level whose cells are no shorter than
+    its window, so to one or two cells however long the window is, and meets log rows by equal ip and cell; log rows go to
+    the levels that alerts use. A busy host is spread over time, and no pair far outside the window is formed. Alerts and log
+    rows without a time or an address meet nothing.
     """
-    width = bucket_us or max(1_000_000, 2 * margin_us)
+    width = bucket_us or max(1_000_000, 4 * margin_us)
+    widths = F.array(*(F.lit(min(width * FACTOR**k, 2**62)) for k in range(MOST_LEVELS)))
+    cell = lambda time, level: F.col(time) - F.pmod(F.col(time), F.element_at(widths, level + 1))
     window = alerts.withColumns({"_from": F.col("start_us") - margin_us, "_to": F.col("end_us") + margin_us})
-    window = window.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width)))).withColumnRenamed("src_ip", "_ip")
-    rows = logs.withColumn("_bucket", F.floor(F.col("ts_us") / width)).withColumnRenamed("ip", "_ip")
-    pairs = window.join(rows, ["_ip", "_bucket"]).where(F.col("ts_us").between(F.col("_from"), F.col("_to")))
-    pairs = pairs.withColumnRenamed("_ip", "src_ip").drop("_bucket", "_from", "_to")
+    window = window.withColumn("_level", F.size(F.filter(widths, lambda w: w < F.col("_to") - F.col("_from"))))
+    levels = [r[0] for r in window.select("_level").distinct().collect()]  # MOST_LEVELS at most
+    window = window.withColumn("_cell", F.explode(F.array_distinct(F.array(cell("_from", F.col("_level")), cell("_to", F.col("_level")))))).withColumnRenamed("src_ip", "_ip")
+    rows = logs.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    rows = rows.withColumn("_cell", cell("ts_us", F.col("_level"))).withColumnRenamed("ip", "_ip")
+    pairs = window.join(rows, ["_ip", "_level", "_cell"]).where(F.col("ts_us").between(F.col("_from"), F.col("_to"))).drop("_level", "_cell", "_from", "_to")
+    pairs = pairs.withColumnRenamed("_ip", "src_ip")
     if most is not None:
         # Spark limits each alert's rows in the tasks of the join already, before they are shuffled
         pairs = pairs.withColumn("_no", F.row_number().over(Window.partitionBy(alert_id).orderBy(*order))).where(F.col("_no") <= most).drop("_no")

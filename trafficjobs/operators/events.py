@@ -68,10 +68,8 @@ def build_snapshots(alerts: DataFrame, margin_us: int = 30_000_000) -> DataFrame
     )
 
 
-def _without(value):
-    if isinstance(value, dict):
-        return {k: _without(v) for k, v in value.items() if k.lower() not in SECRET_KEYS}
-    return [_without(v) for v in value] if isinstance(value, list) else value
+def _public(fields: list[tuple]) -> dict:
+    return {name: value for name, value in fields if name.lower() not in SECRET_KEYS}
 
 
 def redact(json_text: Column) -> Column:
@@ -81,7 +79,7 @@ def redact(json_text: Column) -> Column:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(text):
             try:
-                return json.dumps(_without(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+                return json.dumps(json.loads(text, object_pairs_hook=_public), ensure_ascii=False, separators=(",", ":"))
             except (TypeError, ValueError):
                 return None
 

@@ -139,6 +139,18 @@ def alert_connections_capped(spark, d):
     return correlate.alert_connections(view(spark, d, "alerts"), view(spark, d, "conn"), 5 * DAY, 2).select("alert_id", "conn_uid", "ts_us")
 
 
+_SPANS = (1, 60, 3600, 86_400, 30 * 86_400)
+
+
+@query(duck("alerts", "conn") + f"""w AS (SELECT alert_id, src_ip, start_us, start_us + [{', '.join(map(str, _SPANS))}][event_id % 5 + 1] * CAST(1000000 AS BIGINT) AS end_us FROM alerts)
+SELECT DISTINCT alert_id, c.uid AS conn_uid FROM w JOIN conn c ON (c.orig_h = src_ip OR c.resp_h = src_ip) AND c.ts_us BETWEEN start_us AND end_us""")
+def alert_connections_long(spark, d):
+    """Windows from a second to 30 days in one join."""
+    span = F.element_at(F.array(*map(F.lit, _SPANS)), (F.col("event_id") % 5 + 1).cast("int")).cast("long") * 1_000_000
+    a = view(spark, d, "alerts").select("alert_id", "src_ip", "start_us", (F.col("start_us") + span).alias("end_us"))
+    return correlate.alert_connections(a, view(spark, d, "conn"), 0, None).select("alert_id", "conn_uid").distinct()
+
+
 @query(duck("alerts", "ids") + _near("ids", "(l.src_ip = a.src_ip OR l.dest_ip = a.src_ip)", "l.event_id AS ids_id, l.signature", 12 * HOUR, 50, "l.ts_us, l.event_id"))
 def alert_ids(spark, d):
     return correlate.alert_ids(view(spark, d, "alerts"), view(spark, d, "ids"), 12 * HOUR).select("alert_id", "ids_id", "signature")
