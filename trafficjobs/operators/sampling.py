@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -54,26 +57,36 @@ def stratified_split(samples: DataFrame, test: float = 0.2, val: float = 0.2, id
 def split_by_source(samples: DataFrame, test: float = 0.2, val: float = 0.2, seed: int = 42) -> DataFrame:
     """samples with split, so that a label's source is in one split only.
 
-    The largest three sources go to the splits in turn, each other one to the split that lacks most of its share, by a fold
-    over the label's counts of sources. A label with fewer than three sources is an error. Rows without a label or source go.
+    The largest three sources go to the splits in turn, each other one to the split that lacks most of its share. Each choice
+    hangs on those before, so a label's counts of sources are read by one task; they come sorted and pass one by one beside
+    three sums, so that neither a row nor a task ever holds a label's sources. A label with fewer than three sources is an
+    error. Rows without a label or source go.
     """
-    counts = samples.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), portable_hash(F.col("source"), seed).alias("h"), F.col("source"))))
-    labels = materialize(counts.groupBy("label").agg(ordered.alias("sources"), F.sum("n").alias("total")), "sources")
-    if labels.where(F.size("sources") < 3).take(1):
+    counts = materialize(samples.where("label is not null and source is not null").groupBy("label", "source").agg(F.count(F.lit(1)).alias("n")), "sources")
+    labels = materialize(counts.groupBy("label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sources")), "labels")
+    if labels.where("sources < 3").take(1):
         raise ValueError("a split by source needs three sources of each label")
     share = lambda x: F.greatest(F.lit(1), F.bround(F.col("total") * x)).cast("long")
-    labels = labels.withColumns({"want_val": share(val), "want_test": share(test)}).withColumn("want_train", F.greatest(F.lit(1).cast("long"), F.col("total") - F.col("want_val") - F.col("want_test")))
-
-    def step(acc: Column, s: Column) -> Column:
-        lacking = lambda k: F.struct(((F.col(f"want_{k}") - acc[k]) / F.col(f"want_{k}")).alias("share"), (F.col(f"want_{k}") - acc[k]).alias("rows"), F.lit(k).alias("split"))
-        chosen = F.coalesce(F.get(F.array(*map(F.lit, SPLITS)), F.size(acc["splits"])), F.greatest(*map(lacking, SPLITS))["split"])
-        have = (F.when(chosen == k, acc[k] - s["less"]).otherwise(acc[k]).alias(k) for k in SPLITS)
-        return F.struct(*have, F.concat(acc["splits"], F.array(chosen)).alias("splits"))
-
-    none = F.struct(*(F.lit(0).cast("long").alias(k) for k in SPLITS), F.array().cast("array<string>").alias("splits"))
-    plan = labels.withColumn("splits", F.aggregate("sources", none, step, lambda acc: acc["splits"]))
-    plan = plan.select("label", F.inline(F.arrays_zip(F.col("sources.source").alias("source"), F.col("splits").alias("split"))))
+    labels = labels.select("label", share(val).alias("val"), share(test).alias("test"), "total")
+    labels = labels.withColumn("train", F.greatest(F.lit(1).cast("long"), F.col("total") - F.col("val") - F.col("test"))).drop("total")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, no, have = None, 0, {}
+        for batch in batches:
+            splits = []
+            for label, n, *want in zip(*(batch.column(c).to_pylist() for c in ("label", "n", *SPLITS))):
+                if label != now:
+                    now, no, have = label, 0, dict.fromkeys(SPLITS, 0)
+                chosen = SPLITS[no] if no < 3 else max(((w - have[k]) / w, w - have[k], k) for k, w in zip(SPLITS, want))[2]
+                have[chosen] += n
+                no += 1
+                splits.append(chosen)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("source"), pa.array(splits, pa.string())], names=["label", "source", "split"])
+
+    ordered = counts.join(small(labels), "label").withColumns({"less": -F.col("n"), "h": portable_hash(F.col("source"), seed)})
+    ordered = ordered.repartition("label").sortWithinPartitions("label", "less", "h", "source").select("label", "source", "n", *SPLITS)
+    kinds = {f.name: f.dataType.simpleString() for f in counts.schema}
+    plan = ordered.mapInArrow(deal, f"label {kinds['label']}, source {kinds['source']}, split string")
     return samples.join(small(materialize(plan, "plan")), ["label", "source"])
 
 
