@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trafficjobs.operators import metrics, retrieval, sketches, vector_index
+from trafficjobs.operators import metrics, retrieval, search, sketches, text_index, vector_index
 
 
 def numbers(spark, values):
@@ -88,3 +88,16 @@ def test_tfidf_search_equals_the_full_join_and_scores_few_rows(spark):
     joined = {q: sum(bool(set(t.split()) & set((x or "").split())) for _, x in rows) for q, t in kin[::100]}
     assert all(scored[q] < 0.25 * n for q, n in joined.items()), [(q, scored[q], n) for q, n in joined.items()]
     assert retrieval.tfidf_search(asked.limit(0), base).count() == 0 and retrieval.tfidf_search(asked, base.limit(0)).count() == 0
+
+
+def test_trigram_search_equals_contains_and_looks_at_few_records(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    rows = [(i, "common prefix " + " ".join(rng.sample(words, 6)), "x") for i in range(800)] + [(900, "", "x"), (901, None, "x"), (902, "ab", "x"), (903, "ÄÖÜß Größe", "x"), (903, "ÄÖÜß Größe", "x"), (904, "gra ram am gram", "x"), (905, "diagram", "x")]
+    df, path = spark.createDataFrame(rows, "id long, raw string, gram string"), str(tmp_path / "index")
+    for k in range(2):
+        text_index.write(df.where(F.col("id") % 2 == k), path, "id", "raw")
+    plain = lambda t: sorted(r.id for r in df.where(search.contains_text(F.col("raw"), t)).collect())
+    for text in (words[0].upper(), "größe", "common", "ab", "", "gram", "nowhere at all", words[1] + " " + words[2]):
+        assert sorted(r.id for r in text_index.search(df, path, "id", "raw", text).collect()) == plain(text), text
+    assert text_index.candidates(spark, path, words[0]).count() < 40 and text_index.candidates(spark, path, "ab") is None

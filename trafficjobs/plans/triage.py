@@ -9,7 +9,7 @@ from pyspark.sql import Window
 
 from trafficjobs.functions.scoring import risk_level
 from trafficjobs.operators import cases as case_ops
-from trafficjobs.operators import correlate, metrics, retrieval, search, sketches, vector_index
+from trafficjobs.operators import correlate, metrics, retrieval, search, sketches, text_index, vector_index
 from trafficjobs.plans.catalog import query
 from trafficjobs.plans.views import duck, view
 from trafficjobs.session import scratch
@@ -47,6 +47,15 @@ def any_value_equals(spark, d):
     return view(spark, d, "events").where(search.any_value_equals(search.leaves(F.col("props")), "42")).select("event_id")
 
 
+@query("""SELECT event_id, event_type FROM events WHERE contains(lower(props), '"k": 1')""")
+def contains_indexed(spark, d):
+    """The same over a trigram index that two batches of records have been added to."""
+    rows, path = view(spark, d, "events").select("event_id", "event_type", "props"), scratch(spark, "trigrams")
+    for part in (0, 1):
+        text_index.write(rows.where(F.col("event_id") % 2 == part), path, "event_id", "props")
+    return text_index.search(rows, path, "event_id", "props", '"K": 1').select("event_id", "event_type")
+
+
 @query("""SELECT event_id FROM events WHERE contains(lower(props), '"k": 1')""")
 def contains_text(spark, d):
     return view(spark, d, "events").where(search.contains_text(F.col("props"), '"K": 1')).select("event_id")
