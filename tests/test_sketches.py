@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trafficjobs.operators import metrics, retrieval, search, sketches, text_index, vector_index
+from trafficjobs.operators import id_store, metrics, retrieval, search, sketches, text_index, vector_index
 
 
 def numbers(spark, values):
@@ -101,3 +101,17 @@ def test_trigram_search_equals_contains_and_looks_at_few_records(spark, tmp_path
     for text in (words[0].upper(), "größe", "common", "ab", "", "gram", "nowhere at all", words[1] + " " + words[2]):
         assert sorted(r.id for r in text_index.search(df, path, "id", "raw", text).collect()) == plain(text), text
     assert text_index.candidates(spark, path, words[0]).count() < 40 and text_index.candidates(spark, path, "ab") is None
+
+
+def test_store_of_ids_equals_the_anti_join_and_reads_few_parts(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    ids = lambda xs: spark.createDataFrame([(x, 1) for x in xs], "event_id string, id int")
+    new, parts = id_store.unseen(ids(["a", None]), path)
+    assert new.count() == 2 and parts == []
+    for k in range(3):
+        id_store.add(ids([f"e{i}" for i in range(k, 6000, 3)] + [None, "twice", "twice"]), path)
+    batch = [f"e{i}" for i in range(5997, 6200)] + ["twice", None, None, "", "e5999"]
+    new, parts = id_store.unseen(ids(batch), path)
+    got = sorted((r.event_id or "none" for r in new.collect()))
+    assert got == sorted(x or "none" for x in batch if x is None or x not in {"twice", *(f"e{i}" for i in range(6000))}) and 1 <= len(parts) <= 10
+    assert id_store.unseen(ids([]), path)[0].count() == 0

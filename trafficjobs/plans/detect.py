@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trafficjobs.functions import features, scoring
-from trafficjobs.operators import events, flows, search
+from trafficjobs.operators import events, flows, id_store, search
 from trafficjobs.plans.catalog import query
 from trafficjobs.plans.views import duck, portable_hash, view
+from trafficjobs.session import scratch
 
 ORDER = ("event_id", "i")
 SENSORS = [f"s{i}" for i in range(4)]
@@ -303,6 +304,16 @@ def record_once(spark, d):
     return events.record_once(_twice(a), ["start_us"], "alert_id", a.where("event_id % 3 = 0")).select("alert_id", "start_us")
 
 
+@query(duck("alerts") + "z AS (SELECT 1) SELECT alert_id, start_us FROM alerts WHERE event_id % 3 <> 0")
+def record_once_stored(spark, d):
+    """The same against a store with filters that two batches have been added to."""
+    a, path = view(spark, d, "alerts"), scratch(spark, "ids")
+    for part in (0, 3):
+        id_store.add(a.where(f"event_id % 6 = {part}"), path, "alert_id")
+    fresh, _ = id_store.unseen(_twice(a), path, "alert_id")
+    return events.record_once(fresh, ["start_us"], "alert_id").select("alert_id", "start_us")
+
+
 @query(duck("alerts") + "z AS (SELECT 1) SELECT event_id, created_us FROM (SELECT event_id, start_us AS created_us FROM alerts) WHERE event_id % 4 <> 1")
 def pending_outbox(spark, d):
     a = view(spark, d, "alerts").select("event_id", F.col("start_us").alias("created_us"))
