@@ -154,6 +154,25 @@ def test_central_alert_counts(spark):
     assert [(r.event_id, r.t) for r in found.collect()] == [("e1", 1)] and tuple(counts.first()) == (1, 4, 1)
 
 
+def test_tables_of_a_scope_are_dropped_alone(spark):
+    session.drop_tables(spark)
+    outer = session.materialize(spark.range(3), "outer")
+    with session.tables() as made:
+        inner, stays = session.materialize(spark.range(4), "inner"), session.materialize(spark.range(6), "stays")
+        assert len(made) == 2 and inner.count() == 4
+    assert session.drop_tables(spark, made[:1]) == 1 and outer.count() == 3 and stays.count() == 6
+    assert session.drop_tables(spark) == 2
+
+
+def test_broadcast_bound_is_rows_and_bytes(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(session.small(spark.range(100))) and not hinted(session.small(spark.range(100), rows=99))
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) `a.b`", "sequence(1L, 100L) c", "map('k', named_struct('v', repeat('y', 1000))) d", "cast(null as string) e")
+    # 8 for id, 1,008 for the text, 808 for the array, the map as JSON, 8 for the null
+    assert hinted(session.small(wide, size=300_000)) and not hinted(session.small(wide, size=283_000))
+    assert hinted(session.small(wide.limit(0), size=0))
+
+
 def test_scratch_tables_can_be_dropped(spark):
     session.drop_tables(spark)
     kept = session.materialize(spark.range(5), "five")

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-_written: list[str] = []
+#: Rows of a broadcast table at most, and bytes by the measured width of its values.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Paths that materialize has written: those of the process, inside tables() those of the scope.
+_written: ContextVar[list[str]] = ContextVar("written", default=[])
 
 
 def build(app: str = "trafficjobs", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,20 +48,58 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back. It survives the loss of executors."""
     path = scratch(df.sparkSession, label)
-    _written.append(path)
+    _written.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Delete the tables that materialize has written in this process, and their number. For when what reads them has been written itself."""
-    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths that materialize writes inside, so that those of one result can be dropped alone. What is not dropped counts to the scope around."""
+    own: list[str] = []
+    token = _written.set(own)
+    try:
+        yield own
+    finally:
+        _written.reset(token)
+        _written.get().extend(own)
+
+
+def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete those tables that materialize has written, without paths all of the scope or process; their number.
+
+    For when what reads them has been written itself.
+    """
+    hadoop, known = spark.sparkContext._jsc.hadoopConfiguration(), _written.get()
+    gone = list(known if paths is None else paths)
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
-    return n
+    known[:] = [p for p in known if p not in set(gone)]
+    return len(gone)
+
+
+def _bytes(field: T.StructField) -> Column | int:
+    """Bytes of a value, as a number where its type fixes them."""
+    value, varied = F.col("`" + field.name.replace("`", "``") + "`"), (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        found = F.octet_length(value)
+    elif isinstance(field.dataType, T.ArrayType) and not isinstance(field.dataType.elementType, varied):
+        found = F.size(value) * 8
+    elif isinstance(field.dataType, varied):
+        found = F.octet_length(F.to_json(F.struct(value)))
+    else:
+        return 8
+    return F.coalesce(found, F.lit(0)).cast("long") + 8
+
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it was counted to have at most that many rows and bytes, else df as it is. Give it a materialized df.
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most that many rows, else df as it is. Give it a materialized df."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    Both are summed where the rows are; values whose type fixes their width are counted but not read.
+    """
+    widths = [_bytes(f) for f in df.schema.fields]
+    fixed, varied = sum(w for w in widths if isinstance(w, int)), [w for w in widths if not isinstance(w, int)]
+    total = F.sum(sum(varied[1:], varied[0])) if varied else F.lit(0)
+    n, read = df.agg(F.count(F.lit(1)), total).first()
+    return F.broadcast(df) if n <= rows and n * fixed + (read or 0) <= size else df
