@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trafficjobs.llm import bpe, token_counts
+from trafficjobs.llm import bpe, queries, token_counts
 
 SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -96,6 +96,19 @@ def test_kept_trees_take_later_edits_without_encoding_the_text(spark):
     assert r.n_before == 1000 * len(first[0].leaf_chars)
 
 
+def test_query_applies_a_second_log_to_the_kept_trees(spark):
+    library = Tokenizer.from_file(PATH)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    first = {r.doc_id: apply(r.text or "", [tuple(e) for e in r.edits]) for r in docs.withColumn("edits", token_counts.derived_edits()).collect()}
+    edited = spark.createDataFrame(list(first.items()), docs.schema).withColumn("edits", token_counts.derived_edits(first=3))
+    later = {r.doc_id: apply(r.text, [tuple(e) for e in r.edits]) for r in edited.collect()}
+    rows = queries.op3_token_counts(spark, SF).collect()
+    assert {r.doc_id: (r.n_after, r.n_chars_after) for r in rows} == {i: (size(t), len(t)) for i, t in first.items()}
+    assert {r.doc_id: (r.later_n_after, r.later_n_chars_after) for r in rows} == {i: (size(t), len(t)) for i, t in later.items()}
+    assert all(r.later_n_reencoded <= 3 * min(r.later_n_chars_after + 150, 3 * (token_counts.LEAF + 50)) for r in rows) and later != first
+
+
 def test_edit_log_join(spark):
     docs = spark.createDataFrame([(1, "abc def"), (2, None)], "doc_id long, text string")
     log = spark.createDataFrame([(1, 2, 0, 1, "X"), (1, 1, 3, 0, "-")], "doc_id long, seq long, start long, length long, text string")

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficjobs.session import materialize, small  # noqa: F401  for the operators
+from trafficjobs.session import drop_tables, materialize, small, tables  # noqa: F401  for the operators
 
 #: Code units handled at once inside a task, which bounds its memory.
 CHUNK = 1_000_000
-#: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000.
-ARROW_ROWS = 1_000
+#: Rows of an Arrow batch of texts, where the session does not set it.
+ARROW_ROWS, ARROW_KEY = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _give_back() -> None:
@@ -29,12 +29,16 @@ def _give_back() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow for texts: small batches, and nothing held by the worker after the task. run takes columns by place, not by name."""
+    """mapInArrow for texts: small batches, and nothing held by the worker after the task. run takes columns by place, not by name.
+
+    Spark takes the size of batches from the session when it runs a plan, so a session that has none set gets ARROW_ROWS;
+    a value that was set, Spark's default too, stays.
+    """
     conf = df.sparkSession.conf
     if any("." in c or "`" in c for c in df.columns):  # mapInArrow itself does not quote them
         df = df.toDF(*(f"_{k}" for k in range(len(df.columns))))
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if ARROW_KEY not in conf.getAll:
+        conf.set(ARROW_KEY, str(ARROW_ROWS))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

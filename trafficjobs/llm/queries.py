@@ -33,8 +33,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.count_tokens(docs.withColumn("edits", token_counts.derived_edits()), tokenizer_path())
-    return counted.select("doc_id", "n_before", "n_after", "n_chars_after", "n_reencoded")
+    path, counts = tokenizer_path(), ["n_before", "n_after", "n_chars_after", "n_reencoded"]
+    counted = token_counts.count_tokens(docs.withColumn("edits", token_counts.derived_edits()), path, keep=True)
+    # a second log goes on from the kept trees: what it does not touch is not encoded again
+    kept = counted.withColumnsRenamed({c: f"first_{c}" for c in counts}).withColumn("edits", token_counts.derived_edits(first=3))
+    again = token_counts.count_tokens(kept, path)
+    return again.select("doc_id", *(F.col(f"first_{c}").alias(c) for c in counts), *(F.col(c).alias(f"later_{c}") for c in counts[1:]))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,8 +192,11 @@ def count_tokens(docs: DataFrame, path: str, edits: str = "edits", keep: bool =
     return in_arrow(docs.select(*columns, *(c.alias(n) for c, n in zip(given, inner))), run, schema)
 
 
-def derived_edits(doc_id: str = "doc_id", text: str = "text", n: int = 3) -> Column:
-    """An edit log for a document from its own hash: in turn a deletion, an insertion of an earlier passage, a replacement by a mark."""
+def derived_edits(doc_id: str = "doc_id", text: str = "text", n: int = 3, first: int = 0) -> Column:
+    """An edit log for a document from its own hash: in turn a deletion, an insertion of an earlier passage, a replacement by a mark.
+
+    Edits are numbered from first, so that a later log of the same document edits other places.
+    """
     size = F.coalesce(F.char_length(F.col(text)), F.lit(0)).cast("long")
     at = lambda k, m: F.pmod(F.xxhash64(F.col(doc_id), F.lit(k)), F.greatest(m, F.lit(1).cast("long")))
     passage = lambda k: F.coalesce(F.substr(F.col(text), (at(k + 100, size) + 1).cast("int"), F.lit(30)), F.lit(""))
@@ -203,4 +206,4 @@ def derived_edits(doc_id: str = "doc_id", text: str = "text", n: int = 3) -> Col
         new = [F.lit(""), passage(k), F.lit("[REMOVED]")][k % 3]
         return F.struct(at(k, size + 1).alias("start"), (F.lit(0).cast("long") if k % 3 == 1 else length).alias("length"), new.alias("text"))
 
-    return F.array(*(one(k) for k in range(n)))
+    return F.array(*(one(k) for k in range(first, first + n)))

@@ -292,7 +292,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn from labels (doc_id, toxic) of at most that many rows not held out; texts that repeat count once.
 
-    Without toxic and clean rows the model finds nothing and scores every text alike.
+    Without toxic and clean rows the model finds nothing and scores every text alike. A term needs LEAST_TEXTS toxic texts; a
+    sample with under four times as many cannot show that often what it holds, and there a quarter of them is enough, two at least.
     """
     used = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     used = used.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
