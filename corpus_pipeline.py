@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficjobs.llm import bpe, decontaminate, near_dedup, pii, toxicity
-from trafficjobs.llm.common import fresh, materialize, named
+from trafficjobs.llm.common import drop_tables, fresh, materialize, named, tables
 from trafficjobs.llm.queries import tokenizer_path
 
 
@@ -56,8 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Every stage takes empty tables, extra columns, repeated rows and very long texts as its docstring says."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Every stage takes empty tables, extra columns, repeated rows and very long texts as its docstring says.
+
+    Once a stage is written, the tables that it made on its way and the rows that it read are dropped.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with tables() as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        *inner, written = made
+        drop_tables(spark, inner + read)
+        read = [written]
     return STAGES[-1][1](spark, docs, sf_dir)
