@@ -234,15 +234,52 @@ def test_search_by_bounds_equals_all_products():
         base, queries = rng.integers(-300, 300, size=(n, d)), rng.integers(-300, 300, size=(6, d))
         queries[0] = 0
         ids, query_ids = rng.permutation(n * 2)[:n], np.arange(6)
-        found, read = topk.search(ids, base, query_ids, queries, k)
+        found, read, resolved = topk.search(ids, base, query_ids, queries, k)
         for j in range(6):
             want = sorted((-int(base[i] @ queries[j]), int(ids[i])) for i in range(n) if ids[i] != query_ids[j])[:k]
-            assert found[j] == [(i, -s) for s, i in want] and 0 <= read[j] <= n * d
+            assert found[j] == [(i, -s) for s, i in want] and 0 <= read[j] + resolved[j] <= n * d
         floors = np.array([f[0][1] if f else -1e9 for f in found], dtype=float)
-        again, _ = topk.search(ids, base, query_ids, queries, k, floors)
+        again, _, _ = topk.search(ids, base, query_ids, queries, k, floors)
         assert all([x for x in a if x[1] >= fl] == [x for x in f if x[1] >= fl] for a, f, fl in zip(again, found, floors))
 
 
+def test_search_adds_only_the_entries_that_it_counts(monkeypatch):
+    added, plain = [], topk._added
+
+    def counted(places, parts, n):
+        added.append(places.size)
+        return plain(places, parts, n)
+
+    monkeypatch.setattr(topk, "_added", counted)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-300, 300, size=(8, 24))
+    base = centres[np.arange(800) % 8] + rng.integers(-30, 30, size=(800, 24))
+    for scale in (1, 2**40):  # floats, and whole numbers beyond them
+        added.clear()
+        found, read, resolved = topk.search(np.arange(800), base * scale, np.arange(16), base[:16], 5)
+        assert sum(added) == read.sum() + resolved.sum() and (read + resolved < 800 * 24 * 0.6).all() and (resolved > 0).all()
+        for j in range(16):
+            want = sorted((-int(base[i] @ base[j]) * scale, i) for i in range(800) if i != j)[:5]
+            assert found[j] == [(i, -s) for s, i in want]
+
+
+def test_bounds_hold_the_scores_at_every_depth():
+    rng = np.random.default_rng(6)
+    base, queries = rng.integers(-300, 300, size=(200, 9)).astype(float), rng.integers(-300, 300, size=(5, 9)).astype(float)
+    queries[0, :4] = 0
+    signed, lists, score = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1), topk._Lists(base), np.zeros((5, 200))
+    places = np.tile(np.arange(200), (5, 1))
+    for depth in (1, 7, 90, 199, 200):
+        new = lists.advance(depth)
+        for q, row in enumerate(signed):
+            used = np.flatnonzero(row)
+            score[q] += topk._added(lists.places[used, new], lists.parts[used, new] * row[used][:, None], 200)
+        upper = score + (signed * lists.parts[:, depth - 1]) @ lists.unread
+        lower = lists.lower(places, queries, score)
+        assert (lower <= queries @ base.T).all() and (queries @ base.T <= upper).all()
+    assert (score == queries @ base.T).all()
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]

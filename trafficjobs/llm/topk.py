@@ -1,13 +1,14 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists, block by block.
 
-A block of base vectors has one list for each dimension, sorted by component. A query reads its lists from the top where its
-own component is positive and from the bottom where it is negative, round by round to a greater depth. The component of a
-vector in a list that has not come to it is at most the list's frontier, which gives its upper bound: the product with the
-components clamped to the frontiers. The leading vectors get lower bounds from what was read of them: what is unread is at
-least the list's other end, and at least minus the product of the unread norms. Once the k-th best lower bound, or the k-th
-score that earlier blocks are known to give, leaves few vectors whose upper bound reaches it, reading ends and the scores of
-these are resolved. Queries read in batches, so that a round is one matrix product.
-
+A block of base vectors has one list of (place, component) for each dimension, sorted by component. A query reads its lists
+from the top where its own component is positive and from the bottom where it is negative, round by round to a greater
+depth, and adds what it reads to a partial score for each vector. A component that has not been read is at most the list's
+frontier, which gives an upper bound beside the partial score. The leading vectors get lower bounds: what is unread of them
+is at least the list's other end, and at least minus the product of the unread norms. Once the k-th best lower bound, or
+the k-th score that earlier blocks are known to give, leaves few vectors whose upper bound reaches it, the query stops. The
+scores of these few are resolved by reading on: of the rest of its lists only their entries are added.
+
+Queries come in batches that read to common depths, so that which entries are unread is kept once for all of them.
 The first block of all gives each query a k-th score, with which it comes to the other blocks.
 """
 
@@ -36,39 +37,88 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
     return [(int(i), int(s)) for i, s in zip(ids[order], scores[order])]
 
 
-def _lower(rows: np.ndarray, q: np.ndarray, top: np.ndarray, bottom: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Lower bounds of some vectors for each query: of each component only what lies beyond the frontier of its list is known."""
-    q = q[:, None, :]
-    known = np.where(q > 0, rows >= top, rows <= bottom) | (q == 0)
-    seen = (np.where(known, rows, 0) * q).sum(axis=2)
-    ends = np.where(known, 0, np.where(q > 0, low, high) * q).sum(axis=2)
-    norms = (np.where(known, 0, rows) ** 2).sum(axis=2) * (np.where(known, 0, q) ** 2).sum(axis=2)
-    return np.maximum(seen + ends, seen - np.sqrt(norms.astype(np.float64)) * (1 + 1e-9)) - np.abs(seen) * 1e-12
-
-
-def search(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, floors: np.ndarray | None = None) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
-    """For each query the k best (id, score) of the block but itself, ties to the smaller id, and the entries read of its lists.
+def _added(places: np.ndarray, parts: np.ndarray, n: int) -> np.ndarray:
+    """The sum of parts by place, whole numbers beyond floats too."""
+    if parts.dtype != object:
+        return np.bincount(places.ravel(), weights=parts.ravel(), minlength=n)
+    out = np.zeros(n, dtype=object)
+    np.add.at(out, places.ravel(), parts.ravel())
+    return out
+
+
+class _Lists:
+    """The sorted lists of a block, each once from the top and once from the bottom, and which of their entries are unread."""
+
+    def __init__(self, base: np.ndarray):
+        order = np.argsort(base, axis=0, kind="stable").T
+        sorted_ = np.take_along_axis(base.T, order, axis=1)
+        self.places = np.ascontiguousarray(np.concatenate((order[:, ::-1], order)))
+        self.parts = np.ascontiguousarray(np.concatenate((sorted_[:, ::-1], sorted_)))
+        self.unread = np.ones((2 * base.shape[1], base.shape[0]))
+        self.norms, self.squares = (base * base).sum(axis=1), np.zeros_like(base.T)
+        self.depth = 0
+
+    def advance(self, depth: int) -> slice:
+        """Read all lists on to this depth; the new ranks."""
+        new, d = slice(self.depth, depth), len(self.squares)
+        np.put_along_axis(self.unread, self.places[:, new], 0, axis=1)
+        for side in (slice(0, d), slice(d, 2 * d)):
+            np.put_along_axis(self.squares, self.places[side, new], self.parts[side, new] ** 2, axis=1)
+        self.depth = depth
+        return new
+
+    def lower(self, lead: np.ndarray, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Lower bounds of some places for each query from their partial scores and what its lists have left unread."""
+        d = q.shape[1]
+        side = np.where(q > 0, 0, d) + np.arange(d)
+        open_ = self.unread.T[lead[:, :, None], side[:, None, :]]
+        ends = (open_ @ (q * self.parts[side, -1])[:, :, None])[:, :, 0]
+        asked = (open_ @ (q * q)[:, :, None])[:, :, 0].astype(np.float64)
+        norms = self.norms[lead].astype(np.float64)
+        seen = ((1 - open_) * self.squares.T[lead]).sum(axis=2).astype(np.float64)
+        left = np.maximum(norms - seen, 0) + norms * 1e-12
+        score = score.astype(np.float64)
+        return np.maximum(score + ends.astype(np.float64), score - np.sqrt(left * asked) * (1 + 1e-9)) - np.abs(score) * 1e-12
+
+    def resolve(self, rows: np.ndarray, q: np.ndarray, can: np.ndarray) -> tuple[np.ndarray, int]:
+        """What the rest of a query's lists adds to the places can, and how many entries that takes."""
+        n = self.places.shape[1]
+        wanted = np.zeros(n, dtype=bool)
+        wanted[can] = True
+        hit = np.flatnonzero(wanted[self.places[rows, self.depth :]])
+        of, at = np.divmod(hit, max(1, n - self.depth))
+        at += self.depth
+        return _added(self.places[rows[of], at], self.parts[rows[of], at] * q[of], n)[can], len(hit)
+
+
+def search(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, floors: np.ndarray | None = None) -> tuple[list[list[tuple[int, int]]], np.ndarray, np.ndarray]:
+    """For each query the k best (id, score) of the block but itself, ties to the smaller id; the list entries it added up before it stopped, and those added to resolve scores.
 
     base and queries are integers. What scores less than a query's floor may be left out.
     """
     n, d = base.shape
     biggest = float(np.abs(base).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d
     kind = np.float64 if biggest < 2**52 else object  # whole numbers stay exact
-    base, queries = base.astype(kind), queries.astype(kind)
-    lists = np.sort(base, axis=0)
+    lists, queries = _Lists(base.astype(kind)), queries.astype(kind)
     signed = np.concatenate((np.maximum(queries, 0), np.minimum(queries, 0)), axis=1)
+    used = [np.flatnonzero(row) for row in signed]
+    score = np.zeros((len(queries), n), dtype=kind)
     bound = np.full(len(queries), -np.inf) if floors is None else floors.astype(np.float64)
     found: list = [None] * len(queries)
-    read, leaders = np.zeros(len(queries), dtype=np.int64), min(n, 4 * k + 1)
+    read, resolved, leaders = np.zeros(len(queries), dtype=np.int64), np.zeros(len(queries), dtype=np.int64), min(n, 4 * k + 1)
     active = np.arange(len(queries))
     for share in DEPTHS:
         depth = min(n, max(1, int(np.ceil(share * n))))
-        top, bottom = lists[n - depth], lists[depth - 1]
-        # the upper bounds; at the full depth they are the scores
-        upper = signed[active] @ np.concatenate((np.maximum(base, top), np.minimum(base, bottom)), axis=1).T
+        new = lists.advance(depth)
+        for q in active.tolist():
+            rows = used[q]
+            score[q] += _added(lists.places[rows, new], lists.parts[rows, new] * signed[q, rows][:, None], n)
+            read[q] += len(rows) * (new.stop - new.start)
+        upper = score[active]
         if depth < n:
+            upper = upper + (signed[active] * lists.parts[:, depth - 1]) @ lists.unread
             lead = np.argpartition(-upper, leaders - 1, axis=1)[:, :leaders]
-            lower = _lower(base[lead], queries[active], top, bottom, lists[0], lists[-1])
+            lower = lists.lower(lead, queries[active], np.take_along_axis(score[active], lead, axis=1))
             lower[ids[lead] == query_ids[active][:, None]] = -np.inf
             if leaders >= k:
                 bound[active] = np.maximum(bound[active], np.partition(lower, leaders - k, axis=1)[:, leaders - k])
@@ -79,12 +129,12 @@ def search(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np
                 still.append(q)
                 continue
             can = can[ids[can] != query_ids[q]]
-            read[q] = depth * np.count_nonzero(queries[q])
-            found[q] = _best(ids[can], upper[j, can] if depth == n else base[can] @ queries[q], k)
+            more, resolved[q] = lists.resolve(used[q], signed[q, used[q]], can)
+            found[q] = _best(ids[can], score[q, can] + more, k)
         active = np.array(still, dtype=np.int64)
         if not len(active):
             break
-    return found, read
+    return found, read, resolved
 
 
 def _searched(k: int):
@@ -97,10 +147,10 @@ def _searched(k: int):
                 row = batch.slice(at, 1)
                 ids, query_ids, floors = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 2, 4))
                 base, queries = matrix(row.column(1), len(ids)), matrix(row.column(3), len(query_ids))
-                found, read = search(ids, base, query_ids, queries, k, floors)
-                flat = [(q, i, s, None, None) for q, f in zip(query_ids.tolist(), found) for i, s in f]
-                flat += [(q, None, None, r, base.size) for q, r in zip(query_ids.tolist(), read.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["query_id", "vec_id", "score", "read", "of"])
+                found, read, resolved = search(ids, base, query_ids, queries, k, floors)
+                flat = [(q, i, s, None, None, None) for q, f in zip(query_ids.tolist(), found) for i, s in f]
+                flat += [(q, None, None, r, m, base.size) for q, r, m in zip(query_ids.tolist(), read.tolist(), resolved.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["query_id", "vec_id", "score", "read", "resolved", "of"])
 
     return run
 
@@ -128,7 +178,7 @@ def _scored(vectors: DataFrame, k: int, every: int, scale: int) -> DataFrame:
         left = blocks.select("w", "base_block", F.col("rows.vec_id").alias("ids"), F.col("rows.v").alias("base")).repartition(tasks, "w", "base_block")
         right = asked.select("w", "base_block", F.col("rows.vec_id").alias("query_ids"), F.col("rows.v").alias("queries"), F.col("rows.floor").alias("floors")).repartition(tasks, "w", "base_block")
         pairs = left.join(right, ["w", "base_block"]).select("ids", "base", "query_ids", "queries", "floors")
-        return in_arrow(pairs, _searched(k), "query_id long, vec_id long, score long, read long, of long")
+        return in_arrow(pairs, _searched(k), "query_id long, vec_id long, score long, read long, resolved long, of long")
 
     asked = rows.where(F.col("vec_id") % every == 0)
     none = F.lit(float("-inf"))
@@ -153,9 +203,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
 
 
 def read_shares(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
-    """query_id, read_share: the share of all list entries that each query read before reading ended."""
+    """query_id, read_share, resolved_share: the shares of all list entries that each query added up before it stopped, and to resolve scores."""
     found = _scored(vectors, k, every, scale).where("vec_id is null")
-    return found.groupBy("query_id").agg((F.sum("read") / F.sum("of")).alias("read_share"))
+    return found.groupBy("query_id").agg((F.sum("read") / F.sum("of")).alias("read_share"), (F.sum("resolved") / F.sum("of")).alias("resolved_share"))
 
 
 #: DuckDB SQL of top_k() with its defaults.
