@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trafficjobs.llm import chat, decontaminate, pii, sharding, topk
 
@@ -280,6 +281,24 @@ def test_bounds_hold_the_scores_at_every_depth():
     assert (score == queries @ base.T).all()
 
 
+def test_index_gives_every_print_within_the_radius(spark):
+    rng = random.Random(8)
+    pairs = []
+    for k in range(300):
+        fp, bits = rng.getrandbits(64), rng.sample(range(64), decontaminate.RADIUS if k % 2 else rng.randint(0, decontaminate.RADIUS))
+        pairs.append((k, 7, fp, fp ^ sum(1 << b for b in bits)))
+    # the most that may differ in each block: 4, 4, 4, 4 and 3 bits over, but one bit less in one of them
+    tight, starts = [b for at, n in ((0, 5), (13, 5), (26, 5), (39, 5), (52, 3)) for b in range(at, at + n)], 300
+    pairs.append((starts, 7, 0, sum(1 << b for b in tight)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(k, m, signed(a), signed(b)) for k, m, a, b in pairs], "item_key long, m int, fp long, print long")
+    index = decontaminate.indexed(df.select("item_key", "m", "fp"))
+    assert decontaminate.masks(spark).count() == 4671 and sum(bits for bits, _ in decontaminate.BLOCKS) == 64 and sum(within + 1 for _, within in decontaminate.BLOCKS) == decontaminate.RADIUS + 1
+    probes = df.select(F.col("item_key").alias("probe"), F.posexplode(decontaminate.blocks_of(F.col("print"))).alias("block", "value"))
+    met = index.join(probes, ["block", "value"]).where("probe = item_key").select("item_key").distinct().count()
+    assert met == len(pairs)
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]

@@ -2,9 +2,10 @@
 
 Items and documents become five-word shingles of lower-cased words. A window of a document has as many shingles as an item,
 or all of a shorter document. Windows are fingerprinted by a 64-bit SimHash whose weights are the shingles' counts. Item
-fingerprints are indexed by eight blocks of eight bits, each with all values within two bits: fingerprints at most 23 bits
-apart agree in a block up to two bits, so the index gives every item within RADIUS. Candidates are verified by the exact
-weighted Jaccard similarity of the shingle counts, sum of minima over sum of maxima, of at least 3/4.
+fingerprints are indexed by five blocks, four of 13 bits with all values within four bits and one of 12 bits with all
+within three. Fingerprints that differ more than that in every block differ in at least 4 * 5 + 4 = 24 bits, so the index
+gives every item within RADIUS. Candidates are verified by the exact weighted Jaccard similarity of the shingle counts, sum
+of minima over sum of maxima, of at least 3/4.
 
 Only windows that can reach that are fingerprinted: of w window and m item shingles 3 (m + w) / 7 have to be common, hence
 at least as many places of the window hold a shingle of some item of that size. No window that qualifies is left out.
@@ -12,7 +13,7 @@ at least as many places of the window hold a shingle of some item of that size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficjobs.llm.common import materialize, named, small
@@ -20,8 +21,9 @@ from trafficjobs.llm.common import materialize, named, small
 WORDS = 5
 #: Similarity as a ratio of whole numbers; at it two fingerprints differ in 11 bits on average, with a deviation of 3.
 AT_LEAST = (3, 4)
-RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
-_MASKS = [m for m in range(256) if m.bit_count() <= RADIUS // BLOCKS]
+RADIUS = 23
+#: Bits of each block of a fingerprint, and the bits within which it is indexed; each tolerance and one sum to RADIUS and one.
+BLOCKS = ((13, 4), (13, 4), (13, 4), (13, 4), (12, 3))
 
 
 def shingles(text: Column) -> Column:
@@ -55,15 +57,23 @@ def fingerprint(grams: Column) -> Column:
     return F.element_at(F.transform(F.array(sums), bits), 1)
 
 
-def _block(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, k * BLOCK_BITS).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int")
+def blocks_of(fp: Column) -> Column:
+    """The blocks of a fingerprint, lowest bits first."""
+    starts = [sum(bits for bits, _ in BLOCKS[:k]) for k in range(len(BLOCKS))]
+    return F.array(*(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(2**bits - 1)).cast("int") for at, (bits, _) in zip(starts, BLOCKS)))
+
+
+def masks(spark: SparkSession) -> DataFrame:
+    """block, mask: what two values of a block may differ in. 4,671 rows, whatever the data."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.lit(bits).alias("bits"), F.lit(within).alias("within")) for k, (bits, within) in enumerate(BLOCKS))))
+    rows = spark.range(2 ** max(bits for bits, _ in BLOCKS), numPartitions=1).select(F.col("id").cast("int").alias("mask"), each.alias("b"))
+    return rows.where((F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("b.bits"))) & (F.bit_count("mask") <= F.col("b.within"))).select("b.block", "mask")
 
 
 def indexed(items: DataFrame) -> DataFrame:
-    """item_id, m, fp with block and value: all block values within RADIUS // BLOCKS bits of the item's."""
-    near = F.explode(F.array(*(F.lit(m) for m in _MASKS)))
-    rows = items.select("item_key", "m", "fp", F.posexplode(F.array(*(_block(F.col("fp"), k) for k in range(BLOCKS)))).alias("block", "at"))
-    return rows.select("item_key", "m", "fp", "block", "at", near.alias("mask")).select("item_key", "m", "fp", "block", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
+    """item_key, m, fp with block and value: all values of each block within its tolerance of the item's."""
+    rows = items.select("item_key", "m", "fp", F.posexplode(blocks_of(F.col("fp"))).alias("block", "at")).join(F.broadcast(masks(items.sparkSession)), "block")
+    return rows.select("item_key", "m", "fp", "block", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
 
 
 def common(x: Column, y: Column) -> Column:
@@ -107,7 +117,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     distinct = materialize(windows.withColumn("key", F.xxhash64("window")), "windows")
     prints = distinct.groupBy("key", "m").agg(F.first("window").alias("window"))
     prints = materialize(prints.select("key", "m", "window", fingerprint(F.col("window")).alias("print")), "prints")
-    probes = prints.select("key", "m", "print", F.posexplode(F.array(*(_block(F.col("print"), k) for k in range(BLOCKS)))).alias("block", "value"))
+    probes = prints.select("key", "m", "print", F.posexplode(blocks_of(F.col("print"))).alias("block", "value"))
     near = probes.join(materialize(indexed(items), "index"), ["m", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fp"))) <= RADIUS)
     near = near.select("key", "m", "item_key").distinct()
     both = near.join(prints.select("key", "m", "window"), ["key", "m"]).join(items.select("item_key", "grams"), "item_key")
