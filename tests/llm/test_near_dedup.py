@@ -130,3 +130,16 @@ def test_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, "x"), (2, "a b c d e f", 3, 4, "y"), (3, None, 5, 6, "z")], "doc_id long, text string, `a.b` int, kept int, s1 string")
     out = keep_one(docs)
     assert out.columns == docs.columns and sorted(r.kept for r in out.collect()) == [2, 6]
+
+
+def test_copies_that_no_centre_joins_are_linked_by_pairs(spark):
+    """Near copies of one text that are no near copies of each other: where the text is not the centre, none has a link before the pairs."""
+    rng, words, rows = random.Random(11), [f"w{k}" for k in range(150)], []
+    for c in range(60):
+        copy = list(words)
+        for at in rng.sample(range(5, 145, 6), 4):
+            copy[at] = f"c{c}x{at}"
+        rows.append((c + 1, " ".join(copy)))
+    rows.append((100, " ".join(words)))
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and {r[2] for r in got} == {1}

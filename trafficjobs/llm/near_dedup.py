@@ -279,7 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("last"))
 
     # each set gets its component, then the rows of sets that are not alone get their set's
-    labels = labels.join(small(joined), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    # a node that no centre has joined has no label so far, but may be joined now
+    alone = joined.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("last").alias("label"))
+    labels = labels.join(small(joined), "label", "left").select("node", F.coalesce("last", "label").alias("label")).unionByName(alone)
     told = materialize(nodes.select("node", "doc_id", "rows", *KEY).join(small(materialize(labels, "labelled")), "node", "left"), "told")
     least = materialize(told.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     told = told.join(small(least), "label", "left").where("label is not null or rows > 1").select(*KEY, F.coalesce("least", "doc_id").alias("component_id"))
