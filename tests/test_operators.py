@@ -62,6 +62,41 @@ def test_skewed_interval_join_is_whole(spark):
     assert got == want
 
 
+def _joined_rows(df):
+    """Rows that the joins of a plan have made."""
+    df.collect()
+    stack, total = [df._jdf.queryExecution().executedPlan()], 0
+    while stack:
+        p = stack.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(p.executedPlan())
+        elif "QueryStage" in name:
+            stack.append(p.plan())
+        else:
+            stack += [p.children().apply(k) for k in range(p.children().size())]
+            if "Join" in name:
+                total += p.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_first_rows_of_windows_form_no_other_pairs(spark):
+    """Equal to the plain condition and order, and a busy host's windows meet a row each, not all log rows in them."""
+    rng = random.Random(8)
+    alerts = [(f"a{k // 2}", f"h{k % 3}", (s := rng.randint(-500, 5000)), s + rng.choice([0, 1, 40, 900, -30])) for k in range(200)] + [("n", None, 1, 2), ("m", "h1", None, 3)]
+    logs = [(f"h{k % 4}", rng.randint(-600, 6000), k) for k in range(900)] + [(None, 3, -1), ("h1", None, -2)]
+    a, b = spark.createDataFrame(alerts, "alert_id string, src_ip string, start_us long, end_us long"), spark.createDataFrame(logs, "ip string, ts_us long, no int")
+    for most, bucket in ((1, None), (3, 70), (50, 10**9)):
+        got = sorted((r.alert_id, r.ts_us, r.no) for r in correlate.interval_join(a, b, 10, most, bucket, order=("ts_us", "no")).collect())
+        want = []
+        for i in {r[0] for r in alerts}:
+            want += sorted((i, t, n) for j, h, s, e in alerts for ip, t, n in logs if i == j and None not in (h, s, ip, t) and h == ip and s - 10 <= t <= e + 10)[:most]
+        assert got == sorted(want) and len(got) > 50
+    busy = spark.range(400).select(F.concat(F.lit("a"), "id").alias("alert_id"), F.lit("h").alias("src_ip"), F.col("id").alias("start_us"), (F.col("id") + 10**6).alias("end_us"))
+    out = correlate.interval_join(busy, spark.range(2000).select(F.lit("h").alias("ip"), F.col("id").alias("ts_us"), "id"), 0, 2, order=("ts_us", "id"))
+    assert out.count() == 800 and _joined_rows(out) < 10_000
+
+
 def _samples(spark):
     return spark.range(3000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
 
