@@ -97,6 +97,14 @@ def test_first_rows_of_windows_form_no_other_pairs(spark):
     assert out.count() == 800 and _joined_rows(out) < 10_000
 
 
+def test_decisions_alike_in_time_and_number_give_one_result_in_any_order(spark):
+    c = spark.createDataFrame([(1, "k", "new", 5)], "case_id long, alert_key string, status string, created_us long")
+    alike = [(1, 2, s, "d", o, "r", 9) for s, o in (("closed", "o1"), ("in_review", "o3"), ("escalated", "o2"), ("closed", "o4"))]
+    schema = "case_id long, seq int, status string, disposition string, owner string, reason string, decided_us long"
+    found = {cases.apply_decisions(c, spark.createDataFrame(alike[k:] + alike[:k], schema).coalesce(1))[0].select("status", "owner").first() for k in range(4)}
+    assert found == {("in_review", "o3")}
+
+
 def _samples(spark):
     return spark.range(3000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
 
