@@ -213,7 +213,8 @@ class _Texts:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold."""
-        sets = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")), _sets, "grams")
+        ends = [pairs.select(F.col(k).alias("node")).distinct() for k in "ab"]  # not both ends of every pair: a node is in many
+        sets = self.of(ends[0].union(ends[1]), _sets, "grams")
         left, right = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
         both = pairs.join(right, "b").join(left, "a")
         common, total = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
