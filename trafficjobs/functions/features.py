@@ -60,10 +60,12 @@ def parse_ppi(text: Column) -> Column:
     rows = F.transform(F.regexp_extract_all(F.regexp_replace(text, r"^\s*\[\s*\[", "["), F.lit(r"\[([^\[\]]*)\]")), lambda r: F.transform(F.split(F.trim(r), r"[\s,]+"), lambda x: x.try_cast("double")))
     three = lambda a: F.struct(a[0].alias("times"), a[1].alias("dirs"), a[2].alias("sizes"))
     whole = lambda a: a.isNotNull() & (F.size(a) >= 3) & ~F.exists(a, lambda r: r.isNull() | F.exists(r, lambda x: x.isNull()))
-    fields = [F.coalesce(named[f"{k}s"], named[k]) for k in ("iat", "dir", "size")]
-    from_object = F.struct(*(f.alias(a) for f, a in zip(fields, ("times", "dirs", "sizes"))))
-    known = fields[0].isNotNull() & fields[1].isNotNull() & fields[2].isNotNull()
-    return F.when(F.ltrim(text).startswith("{"), F.when(known, from_object)).when(whole(listed), three(listed)).when(whole(rows), three(rows))
+    field = lambda x, k: F.coalesce(x[f"{k}s"], x[k])
+    from_object = lambda x: F.when(field(x, "iat").isNotNull() & field(x, "dir").isNotNull() & field(x, "size").isNotNull(), F.struct(field(x, "iat").alias("times"), field(x, "dir").alias("dirs"), field(x, "size").alias("sizes")))
+    of_lists = lambda x: F.when(whole(x), three(x))
+    # as the one item of an array a text is parsed once, not for every use of what it holds
+    once = lambda a, read: F.transform(F.array(a), read)[0]
+    return F.when(F.ltrim(text).startswith("{"), once(named, from_object)).otherwise(F.coalesce(once(listed, of_lists), once(rows, of_lists)))
 
 
 def ppi_sample(ppi: Column, max_len: int = MAX_LEN, max_size: int = MAX_SIZE, max_time: float = MAX_TIME) -> Column:
@@ -110,14 +112,19 @@ def _uniform(id_: Column, i: Column, salt: str, seed: int) -> Column:
     return (F.pmod(portable_hash(id_, i, salt, seed), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
-def augment(encoded: Column, id_: Column, seed: int = 42, drop: float = 0.15, deviation: float = 0.005, max_time: float = MAX_TIME) -> Column:
-    """A noisy copy: with probability drop a size and direction become 0; times get normal noise and are clipped. The same row always gives the same copy."""
-    gone = lambda i: _uniform(id_, i, "drop", seed) < drop
+def noisy_times(times: Column, id_: Column, seed: int = 42, deviation: float = 0.005, max_time: float = MAX_TIME) -> Column:
+    """Times with normal noise, clipped."""
     noise = lambda i: F.sqrt(-2 * F.log(_uniform(id_, i, "r", seed))) * F.cos(2 * math.pi * _uniform(id_, i, "a", seed)) * deviation
-    return F.struct(
-        F.transform(encoded["sizes"], lambda x, i: F.when(gone(i), 0).otherwise(x)).alias("sizes"), F.transform(encoded["dirs"], lambda x, i: F.when(gone(i), 0).otherwise(x)).alias("dirs"),
-        F.transform(encoded["times"], lambda x, i: F.least(F.greatest(x + noise(i), F.lit(0.0)), F.lit(max_time))).alias("times"),
-    )
+    return F.transform(times, lambda x, i: F.least(F.greatest(x + noise(i), F.lit(0.0)), F.lit(max_time)))
+
+
+def augment(encoded: Column, id_: Column, seed: int = 42, drop: float = 0.15, deviation: float = 0.005, max_time: float = MAX_TIME) -> Column:
+    """A noisy copy: with probability drop a size and direction become 0; times are noisy_times. The same row always gives the same copy."""
+    gone = F.transform(encoded["sizes"], lambda _, i: _uniform(id_, i, "drop", seed) < drop)
+    kept = lambda values, out: F.zip_with(values, out, lambda x, o: F.when(o, 0).otherwise(x))
+    # as the one item of an array what is drawn is drawn once, for sizes and directions
+    once = lambda out: F.struct(kept(encoded["sizes"], out).alias("sizes"), kept(encoded["dirs"], out).alias("dirs"), noisy_times(encoded["times"], id_, seed, deviation, max_time).alias("times"))
+    return F.transform(F.array(gone), once)[0]
 
 
 def seconds(micros: Column) -> Column:
