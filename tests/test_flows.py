@@ -1,6 +1,7 @@
 """The literal cases of flow assembly, and the automaton against a plain simulation."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from trafficjobs.functions import features
 from trafficjobs.operators import flows
 from trafficjobs.streaming.jobs import OpenFlow
+from trafficjobs.streaming import jobs
 from trafficjobs.operators.flows import Limits
 
 C, S = ("10.0.0.2", 51000), ("203.0.113.10", 443)
@@ -214,3 +216,42 @@ def test_augmented_copies_repeat(spark):
     assert x == y
     zeros = sum(v == 0 for r in x.values() for v in r.sizes)
     assert 0.1 < zeros / 2000 < 0.2 and all(abs(t - 0.5) < 0.05 for r in x.values() for t in r.times)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_parsed_and_draws_are_made_once(spark):
+    texts = spark.createDataFrame([("[[0.0,0.1],[1,-1],[60,52]]",)], "t string")
+    r = texts.select(features.parse_ppi(F.col("t")).alias("r"))
+    assert _plan(r.select("r.times", "r.dirs", "r.sizes")).count("from_json(ArrayType") == 1
+    drawn = spark.createDataFrame([(1, [60] * 5, [0.5] * 5)], "id long, s array<int>, t array<double>").select("id", features.tokens(F.col("s"), F.col("t")).alias("e"))
+    a = drawn.select(features.augment(F.col("e"), F.col("id")).alias("a")).select("a.sizes", "a.dirs", "a.times")
+    assert _plan(a).count("drop") == 1
+
+
+def test_spans_add_packets_up_before_the_shuffle(spark):
+    """Spans of silent, never silent and edge-hugging keys, nulls among them, equal idle_runs; windows of a table come from them."""
+    rng, rows, width = random.Random(12), [], flows.SLICE * 30 * US
+    for key in range(6):
+        t = -3 * width + rng.randint(0, width)
+        for _ in range(400):
+            t += rng.choice([1, US, 29 * US + 999_999, 30 * US, 31 * US] if key % 3 == 0 else [US, 20 * US] if key % 3 == 1 else [US, width, width - 30 * US])
+            rows.append((len(rows), t - t % width if rng.random() < 0.05 else t, None if key == 4 else f"10.0.0.{key}", 5, "9.9.9.9", 443, "tcp", 60, 16))
+    rows += [(len(rows), None, *C, *S, "tcp", 60, 2)] + [(len(rows) + k, k, *C, *S, "tcp", 60, 16) for k in range(20_000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    span = lambda df: sorted((str(r.lo_ip), r.segment, r.packets, r.first_us, r.last_us) for r in df.collect())
+    assert span(flows.idle_spans(flows.with_key(frame))) == span(flows.idle_runs(flows.with_key(frame), 1, ("i",)))
+    windows = jobs.idle_windows(frame)
+    assert sum(r.packets for r in windows.collect()) == len(rows) - 1 and "SessionWindow" not in windows._jdf.queryExecution().executedPlan().toString()
+    assert flows.idle_spans(flows.with_key(frame.limit(0))).count() == 0
+
+
+def test_a_packet_carries_its_sender_not_its_addresses(spark):
+    """One sort for the places in a run, and no address in the lists of packets."""
+    packets = spark.createDataFrame([(k, k, *(C + S if k % 2 else S + C), "tcp", 60 + k, 16) for k in range(5)] + [(9, 99, None, 5, "9.9.9.9", 443, "tcp", 60, 16)] * 3, SCHEMA)
+    out = flows.segment_sequences(flows.with_key(packets), order=("i",))
+    found = {r.src_ip: r for r in out.collect()}
+    assert found[S[0]].sizes == [60, -61, 62, -63, 64] and found[None].sizes == [-60] * 3
+    assert "named_struct(ts_us" in _plan(out) and not re.search(r"named_struct\(ts_us[^)]*src_ip", _plan(out))

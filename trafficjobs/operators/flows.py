@@ -82,10 +82,11 @@ _HALO = "slice > ts_us"
 
 
 def _begun(keyed: DataFrame, idle_us: int, order: Sequence[str]) -> DataFrame:
-    """Sliced packets without the halo, with begins (a silence or nothing stands before the packet) and run, how many of its slice have begun by then."""
+    """Sliced packets without the halo, with begins (a silence or nothing stands before the packet), run, how many of its slice have begun by then, and no, its place in the slice."""
     w = Window.partitionBy(*KEY, "slice").orderBy("ts_us", *order)
     rows = _sliced(keyed, idle_us).withColumn("begins", F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) >= idle_us, F.lit(True)))
-    return rows.withColumn("run", F.count_if(F.col("begins") & ~F.expr(_HALO)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(~F.expr(_HALO))
+    by_then, own = w.rowsBetween(Window.unboundedPreceding, 0), ~F.expr(_HALO)
+    return rows.withColumns({"run": F.count_if(F.col("begins") & own).over(by_then), "no": F.count_if(own).over(by_then)}).where(own)
 
 
 def idle_segments(keyed: DataFrame, idle_us: int = 30_000_000) -> DataFrame:
@@ -111,14 +112,35 @@ def idle_runs(keyed: DataFrame, n: int = 20, order: Sequence[str] = (), idle_us:
     """
     rest = [c for c in keyed.columns if c not in (*KEY, "ts_us", *order)]
     rows = _begun(keyed, idle_us, order)
-    position = F.row_number().over(Window.partitionBy(*KEY, "slice", "run").orderBy("ts_us", *order))
-    rows = rows.withColumn("p", F.when(position <= n, F.struct("ts_us", *order, *rest)))
+    # the order of _begun serves again: a run's places begin with that of its first packet
+    by_then = Window.partitionBy(*KEY, "slice").orderBy("ts_us", *order).rowsBetween(Window.unboundedPreceding, 0)
+    position = F.col("no") - F.coalesce(F.max(F.when(F.col("begins"), F.col("no"))).over(by_then), F.lit(1)) + 1
+    rows = rows.withColumn("position", position).withColumn("p", F.when(F.col("position") <= n, F.struct("ts_us", *order, *rest)))
     runs = rows.groupBy(*KEY, "slice", "run").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.bool_or("begins").alias("begins"), F.sort_array(F.collect_list("p")).alias("ps"))
     number = F.sum(F.col("begins").cast("long")).over(Window.partitionBy(*KEY).orderBy("first_us").rowsBetween(Window.unboundedPreceding, 0)) - 1
     runs = runs.withColumn("segment", number).groupBy(*KEY, "segment").agg(F.sum("packets").alias("packets"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sort_array(F.collect_list(F.struct("first_us", "ps"))).alias("parts"))
     return runs.withColumn("ps", F.slice(F.flatten("parts.ps"), 1, n)).drop("parts")
 
 
+def idle_spans(keyed: DataFrame, idle_us: int = 30_000_000, sums: Sequence[str] = ()) -> DataFrame:
+    """One row for each segment of a key: segment, packets, first_us, last_us and sums of the columns.
+
+    Packets of a key and cell of time, one idle timeout long, are of one segment, so they are added up where they are and only
+    cells are shuffled. Cells are joined in slices of time, then what the slices have by key.
+    """
+    start = lambda width: F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(width))
+    added = [F.sum(c).alias(c) for c in ("packets", *sums)]
+    ends = [F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")]
+    timed = keyed.where("ts_us is not null").withColumns({"slice": start(idle_us * SLICE), "cell": start(idle_us)})
+    spans = timed.groupBy(*KEY, "slice", "cell").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), *(F.sum(c).alias(c) for c in sums))
+    for by in ((*KEY, "slice"), KEY):
+        w = Window.partitionBy(*by).orderBy("first_us")
+        spans = spans.withColumn("fresh", F.coalesce(F.col("first_us") - F.lag("last_us").over(w) >= idle_us, F.lit(True)))
+        spans = spans.withColumn("segment", F.count_if("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+        spans = spans.groupBy(*by, "segment").agg(*added, *ends)
+    return spans
+
+
 def first_packets(keyed: DataFrame, n: int = 20, order: Sequence[str] = (), idle_us: int = 30_000_000) -> DataFrame:
     """The first n packets of each segment, numbered from 1 in the column position."""
     found = idle_runs(keyed, n, order, idle_us).select(*KEY, "segment", F.posexplode("ps").alias("position", "p"))
@@ -130,14 +152,17 @@ def segment_sequences(keyed: DataFrame, n: int = 20, min_packets: int = 3, order
 
     The initiator is the sender of the first packet, or its receiver if that is a SYN with ACK.
     """
-    flows = idle_runs(keyed.select(*KEY, "src_ip", "src_port", "dst_ip", "dst_port", "ts_us", "ip_length", "tcp_flags", *order), n, order, idle_us).where(F.size("ps") >= min_packets)
+    by_lo = F.col("src_ip").eqNullSafe(F.col("lo_ip")) & F.col("src_port").eqNullSafe(F.col("lo_port"))
+    # the key has both endpoints, so a packet carries but which of them sent it
+    flows = idle_runs(keyed.select(*KEY, by_lo.alias("by_lo"), "ts_us", "ip_length", "tcp_flags", *order), n, order, idle_us).where(F.size("ps") >= min_packets)
     first = F.col("ps")[0]
     flip = (first["tcp_flags"].bitwiseAND(F.lit(SYN)) != 0) & (first["tcp_flags"].bitwiseAND(F.lit(ACK)) != 0)
-    out = flows.withColumns({
-        "src_ip": F.when(flip, first["dst_ip"]).otherwise(first["src_ip"]), "src_port": F.when(flip, first["dst_port"]).otherwise(first["src_port"]),
-        "dst_ip": F.when(flip, first["src_ip"]).otherwise(first["dst_ip"]), "dst_port": F.when(flip, first["src_port"]).otherwise(first["dst_port"]),
-    })
-    forward = lambda p: (p["src_ip"] == F.col("src_ip")) & (p["src_port"] == F.col("src_port"))
+    flows = flows.withColumn("lo_began", first["by_lo"] != F.coalesce(flip, F.lit(False)))
+    end = lambda c, by: F.when(by, F.col(f"lo_{c}")).otherwise(F.col(f"hi_{c}")).alias
+    began, other = F.col("lo_began"), ~F.col("lo_began")
+    out = flows.select("*", end("ip", began)("src_ip"), end("port", began)("src_port"), end("ip", other)("dst_ip"), end("port", other)("dst_port"))
+    own = F.col("lo_ip").eqNullSafe(F.col("hi_ip")) & F.col("lo_port").eqNullSafe(F.col("hi_port"))
+    forward = lambda p: F.col("src_ip").isNotNull() & F.col("src_port").isNotNull() & (own | (p["by_lo"] == F.col("lo_began")))
     return out.select(
         "src_ip", "src_port", "dst_ip", "dst_port", F.col("proto").alias("protocol"), "segment", first["ts_us"].alias("started_us"), F.element_at("ps", -1)["ts_us"].alias("ended_us"),
         F.transform("ps", lambda p: F.when(forward(p), p["ip_length"]).otherwise(-p["ip_length"])).alias("sizes"),

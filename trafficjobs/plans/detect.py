@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trafficjobs.functions import features, scoring
 from trafficjobs.operators import events, flows, id_store, search
 from trafficjobs.plans.catalog import query
-from trafficjobs.plans.views import duck, portable_hash, view
+from trafficjobs.plans.views import duck, packets, portable_hash, view
 from trafficjobs.session import scratch
 
 ORDER = ("event_id", "i")
@@ -29,7 +29,7 @@ flow AS (SELECT src_ip, src_port, dst_ip, dst_port, segment, ps[1].ts AS started
 
 
 def _packets(spark, d):
-    return flows.tcp_only(view(spark, d, "packets"))
+    return flows.tcp_only(packets(spark, d))
 
 
 def _segments(spark, d):
@@ -49,7 +49,7 @@ def flow_keys(spark, d):
 
 @query(duck("packets") + KEYED_SQL + " SELECT lo_ip, lo_port, hi_ip, hi_port, segment, count(*) AS packets, min(ts_us) AS first_us, max(ts_us) AS last_us FROM s GROUP BY ALL")
 def idle_sessions(spark, d):
-    return flows.idle_runs(flows.with_key(_packets(spark, d)), 0).select("lo_ip", "lo_port", "hi_ip", "hi_port", "segment", "packets", "first_us", "last_us")
+    return flows.idle_spans(flows.with_key(_packets(spark, d))).select("lo_ip", "lo_port", "hi_ip", "hi_port", "segment", "packets", "first_us", "last_us")
 
 
 @query(duck("packets") + KEYED_SQL + " SELECT event_id, i, segment, ts_us FROM s")
@@ -60,7 +60,7 @@ def packet_segments(spark, d):
 
 @query(duck("packets") + KEYED_SQL + " SELECT event_id, i, segment, position FROM n WHERE position <= 20")
 def first_packets(spark, d):
-    return flows.first_packets(flows.with_key(_packets(spark, d)), 20, ORDER).select("event_id", "i", "segment", "position")
+    return flows.first_packets(flows.with_key(_packets(spark, d)).select(*flows.KEY, "ts_us", *ORDER), 20, ORDER).select("event_id", "i", "segment", "position")
 
 
 @query(duck("packets") + FLOWS_SQL + " SELECT src_ip, src_port, dst_ip, dst_port, segment, started_us, ended_us, array_to_string(sizes, ',') AS sizes, array_to_string(offsets_us, ',') AS offsets FROM flow")

@@ -8,7 +8,7 @@ from trafficjobs.functions import features
 from trafficjobs.operators import flows, metrics, sampling
 from trafficjobs.plans.catalog import query
 from trafficjobs.plans.detect import FLOWS_SQL
-from trafficjobs.plans.views import duck, portable_hash, view
+from trafficjobs.plans.views import duck, packets, portable_hash, view
 from trafficjobs.sources import sinks
 
 
@@ -162,7 +162,7 @@ SELECT first_us, last_us, packets, bytes FROM (SELECT a, b, n, min(ts_us) AS fir
 def session_windows(spark, d):
     from trafficjobs.streaming import jobs
 
-    return jobs.idle_windows(view(spark, d, "packets")).select("first_us", "last_us", "packets", "bytes")
+    return jobs.idle_windows(packets(spark, d)).select("first_us", "last_us", "packets", "bytes")
 
 
 @query(duck("alerts") + """t AS (SELECT src_ip, start_us // 15000000 * 15000000 - o * 15000000 AS w FROM alerts, (SELECT unnest([0, 1, 2, 3]) AS o)) SELECT src_ip, w AS start_us, count(*) AS n FROM t GROUP BY 1, 2""")
@@ -179,6 +179,6 @@ def _draw(salt: str) -> str:
 @query(duck("packets") + FLOWS_SQL + f""", t AS (SELECT f, src_ip, src_port, dst_ip, segment, least(greatest(offsets_us[i] / 1000000.0, 0.0), 10.0) AS t, i, {_draw("r")} AS r, {_draw("a")} AS a FROM (SELECT *, unnest(range(1, least(len(sizes), 30) + 1)) AS i FROM (SELECT *, row_number() OVER () AS f FROM flow)) x)
 SELECT src_ip, src_port, dst_ip, segment, CAST(count(*) AS INTEGER) AS n, round(sum(least(greatest(t + sqrt(-2 * ln(r)) * cos(2 * pi() * a) * 0.005, 0.0), 10.0)), 4) AS time_sum FROM t GROUP BY f, src_ip, src_port, dst_ip, segment""")
 def augmented_samples(spark, d):
-    segments = flows.segment_sequences(flows.with_key(view(spark, d, "packets")), order=("event_id", "i"))
+    segments = flows.segment_sequences(flows.with_key(packets(spark, d)), order=("event_id", "i"))
     encoded = features.encode(segments, 30)
-    return encoded.select("src_ip", "src_port", "dst_ip", "segment", F.size("encoded.sizes").alias("n"), F.round(F.aggregate(features.augment(F.col("encoded"), F.concat_ws("|", "src_ip", "segment"))["times"], F.lit(0.0), lambda a, x: a + x), 4).alias("time_sum"))
+    return encoded.select("src_ip", "src_port", "dst_ip", "segment", F.size("encoded.sizes").alias("n"), F.round(F.aggregate(features.noisy_times(F.col("encoded.times"), F.concat_ws("|", "src_ip", "segment")), F.lit(0.0), lambda a, x: a + x), 4).alias("time_sum"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trafficjobs.operators._flow_kernel import Packets, Rest
 from trafficjobs.operators.correlate import new_cases
-from trafficjobs.operators.flows import FLOW_SCHEMA, KEY, Limits, flow_batch, tcp_only, with_key
+from trafficjobs.operators.flows import FLOW_SCHEMA, KEY, Limits, flow_batch, idle_spans, tcp_only, with_key
 from trafficjobs.sources.sinks import latest_status
 
 PACKET = "ts_us long, by_lo boolean, ip_length int, tcp_flags int"
@@ -210,7 +210,9 @@ def sensor_transitions(beats: DataFrame, sensor: str = "sensor_id", time: str =
 
 
 def idle_windows(packets: DataFrame, delay: str = "5 seconds", idle_us: int = 30_000_000) -> DataFrame:
-    """Session windows of each key. Spark joins events exactly one gap apart, flows end at it, hence the gap is a microsecond less."""
+    """Session windows of each key, of a table by idle_spans. Spark joins events exactly one gap apart, flows end at it, hence the gap is a microsecond less."""
+    if not packets.isStreaming:
+        return idle_spans(with_key(packets).withColumn("bytes", F.col("ip_length")), idle_us, ("bytes",)).select(*KEY, "packets", "bytes", "first_us", "last_us")
     keyed = with_event_time(with_key(packets), delay=delay)
     return keyed.groupBy(*KEY, F.session_window("ts", f"{idle_us - 1} microseconds").alias("w")).agg(F.count(F.lit(1)).alias("packets"), F.sum("ip_length").alias("bytes"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")).drop("w")
 
