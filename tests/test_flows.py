@@ -254,4 +254,4 @@ def test_a_packet_carries_its_sender_not_its_addresses(spark):
     out = flows.segment_sequences(flows.with_key(packets), order=("i",))
     found = {r.src_ip: r for r in out.collect()}
     assert found[S[0]].sizes == [60, -61, 62, -63, 64] and found[None].sizes == [-60] * 3
-    assert "named_struct(ts_us" in _plan(out) and not re.search(r"named_struct\(ts_us[^)]*src_ip", _plan(out))
+    assert "struct(ts_us" in _plan(out) and not re.search(r"struct\(ts_us[^)]*src_ip", _plan(out))
