@@ -1,5 +1,9 @@
 """Streams fed from files, in two runs over one checkpoint, against the batch jobs."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +51,53 @@ def test_flow_stream_equals_batch(spark, tmp_path, rocks):
     packets.unpersist()
 
 
+def test_flow_stream_keeps_groups_of_connections(spark, tmp_path, rocks):
+    """The state is a row for each group, not for each connection; null endpoints, a null in a text that breaks ties, a flow flushed."""
+    rows = []
+    for c in range(60):
+        a, b = ("10.0.0.%d" % c if c % 7 else None, 50000 + c if c % 5 else None), ("203.0.113.9", 443) if c % 11 else ("10.0.0.%d" % c, 50000 + c)
+        for k in range(9):
+            flags = 2 if k == 0 else 17 if k == c % 13 else 16
+            rows.append((1_000_000 * (1 + c + k // 2 * (c % 9)), *(a if k % 3 else b), *(b if k % 3 else a), "TCP", 60 + k, flags, None if k % 4 == 0 else f"n{k}"))
+    packets = spark.createDataFrame(rows, "ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, ip_length int, tcp_flags int, name string").cache()
+    parts = [packets.where("ts_us < 40000000"), packets.where("ts_us >= 40000000")]
+    got = two_runs(parts, tmp_path, lambda s: jobs.flow_stream(s, LIMITS, order=("name",), groups=3), packets.schema)
+    first = spark.read.format("statestore").option("stateVarName", "open").option("batchId", 0).load(str(tmp_path / "ck"))
+    assert first.count() == 3
+    got = got.unionByName(jobs.flush_flows(spark, str(tmp_path / "ck"), LIMITS))
+    key = lambda df: sorted((str(r[:4]), r.started_us, r.ended_us, tuple(r.sizes), tuple(r.offsets_us)) for r in df.collect())
+    assert key(got) == key(flows.assemble_flows(packets, LIMITS, ("name",)))
+    assert {"idle_timeout", "tcp_close", "shutdown"} <= {r[0] for r in got.select("close_reason").distinct().collect()}
+    packets.unpersist()
+
+
+def test_open_flows_equal_one_connection():
+    """Many connections at once against each by itself, over batches with late packets and a mark that passes deadlines."""
+    rng, us = random.Random(10), 1_000_000
+    for limits in (Limits(4, 1, 3 * us, 5 * us), Limits(6, 2, 5 * us, 6 * us)):
+        ends = [("a", k, "b" if k % 3 else "a", k if k % 2 else None) for k in range(12)]
+        held, alone, got, want = jobs.OpenFlows(limits), {}, [], []
+        for batch in range(12):
+            mark, runs = (batch * 4 - 6) * us, []
+            for _ in range(14):
+                runs.append((rng.choice(ends), [((batch * 4 - rng.randrange(9)) * us + rng.randrange(3), rng.random() < 0.5, rng.randrange(50, 60), rng.choice((2, 16, 16, 16, 18, 17))) for _ in range(rng.randrange(1, 5))]))
+            given = [np.array(x) for x in zip(*(p for _, ps in runs for p in ps))]
+            ties = [np.arange(len(given[0]))]
+            table = pa.table(list(zip(*(e for e, _ in runs))), schema=jobs._ENDS)
+            got += held.step(mark, table, np.array([len(ps) for _, ps in runs]), given, ties).to_pylist()
+            held = jobs.OpenFlows(limits, held.saved())
+            for e in ends:
+                w, fresh = jobs.OpenFlow(limits, (*e, "tcp"), alone.get(e)), sorted((p for x, ps in runs if x == e for p in ps if p[0] > mark), key=lambda p: p[0])
+                want += w.add(fresh) if fresh else []
+                if w.due() and -(-w.due()[0] // 1000) * 1000 <= mark:
+                    want += w.end(w.due()[1])
+                alone[e] = w.saved()
+        assert {r["close_reason"] for r in got} >= {"idle_timeout", "active_timeout", "tcp_close", "max_packets"}
+        want += [f for e in ends for f in jobs.OpenFlow(limits, (*e, "tcp"), alone[e]).end("shutdown")]
+        got += held.flush("shutdown").to_pylist()
+        assert sorted(map(str, ((*r.values(),) for r in got))) == sorted(map(str, want))
+
+
 def test_sensor_transitions(spark, tmp_path, rocks):
     """First sign, exact limit, silence inside a batch and over batches, a late and a repeated sign, one without a sensor."""
     us = 1_000_000

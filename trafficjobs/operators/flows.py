@@ -173,10 +173,10 @@ def segment_sequences(keyed: DataFrame, n: int = 20, min_packets: int = 3, order
 ENDS = ("lo_ip", "lo_port", "hi_ip", "hi_port")
 
 
-def flow_batch(batch: pa.RecordBatch | pa.Table, packets: Packets, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
-    """The flows as a batch of FLOW_SCHEMA; batch has the endpoints of each packet's key."""
+def flow_batch(batch: pa.RecordBatch | pa.Table, packets: Packets, found: list[tuple[int, int, str]], of: np.ndarray | None = None) -> pa.RecordBatch:
+    """The flows as a batch of FLOW_SCHEMA; batch has the endpoints of each packet's key, or of keys, and of tells which is a packet's."""
     c = packets.columns(found)
-    lo, first = pa.array(c["begun_by_lo"].astype(bool)), pa.array(c["first"])
+    lo, first = pa.array(c["begun_by_lo"].astype(bool)), pa.array(c["first"] if of is None else of[c["first"]])
     end = {k: batch.column(k).take(first) for k in ENDS}
     end = {k: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for k, v in end.items()}
     lists = [pa.ListArray.from_arrays(pa.array(c["ends"].astype(np.int32)), pa.array(c[k].astype(kind))) for k, kind in (("sizes", np.int32), ("offsets_us", np.int64))]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +14,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trafficjobs.operators._flow_kernel import Packets, Rest
 from trafficjobs.operators.correlate import new_cases
-from trafficjobs.operators.flows import FLOW_SCHEMA, KEY, Limits, flow_batch, idle_spans, tcp_only, with_key
+from trafficjobs.operators.flows import ENDS, FLOW_SCHEMA, KEY, Limits, flow_batch, idle_spans, tcp_only, with_key
 from trafficjobs.sources.sinks import latest_status
 
-PACKET = "ts_us long, by_lo boolean, ip_length int, tcp_flags int"
-_FLOW, _STATE = Row(*(f.split()[0] for f in FLOW_SCHEMA.split(", "))), Row("sensor_id", "state", "at_us")
+#: Groups of connections that a flow stream deals its state to. A task holds a batch's packets of one group.
+GROUPS = 1024
+_HELD = {
+    "lo_ip": "array<string>", "lo_port": "array<int>", "hi_ip": "array<string>", "hi_port": "array<int>", "since": "array<long>", "packets": "array<int>",
+    "ts_us": "array<long>", "by_lo": "array<boolean>", "ip_length": "array<int>", "tcp_flags": "array<int>",
+}
+_ENDS, _KINDS = pa.schema(list(zip(ENDS, (pa.string(), pa.int32(), pa.string(), pa.int32())))), (np.int64, bool, np.int64, np.int64)
+_STATE = Row("sensor_id", "state", "at_us")
 
 
 def with_event_time(rows: DataFrame, column: str = "ts_us", delay: str = "5 seconds") -> DataFrame:
@@ -75,50 +81,116 @@ class OpenFlow:
         return out
 
 
+class OpenFlows:
+    """What OpenFlow is to one connection, for many at once: their endpoints, where full flows' tails began, how many packets each has kept, and these, one connection after the other."""
+
+    def __init__(self, limits: Limits, saved: tuple[list, ...] | None = None):
+        *ends, since, counts, ts, lo, length, flags = saved or [[]] * len(_HELD)
+        self.limits, self.keys, self.since, self.timer = limits, pa.table(ends, schema=_ENDS), since, None
+        self.counts = np.array(counts, dtype=np.int64)
+        self.packets = [np.array(x, dtype=kind) for x, kind in zip((ts, lo, length, flags), _KINDS)]
+
+    def saved(self) -> tuple[list, ...]:
+        return (*(c.to_pylist() for c in self.keys.columns), self.since, self.counts.tolist(), *(x.tolist() for x in self.packets))
+
+    @staticmethod
+    def _ends(keys: pa.Table) -> Iterator[tuple]:
+        return zip(*(c.to_pylist() for c in keys.columns))
+
+    def step(self, mark_us: int, ends: pa.Table | None = None, counts: np.ndarray | None = None, packets: Sequence[np.ndarray] = (), ties: Sequence[np.ndarray] = ()) -> pa.RecordBatch:
+        """Flows that ended, as a batch of FLOW_SCHEMA: by packets that are newer than the mark, and by deadlines up to it.
+
+        ends has a row for each run of packets of one connection, and counts their numbers; ties orders packets of one time. timer is the
+        first deadline then, in milliseconds.
+        """
+        if ends is None:
+            ends, counts, packets = self.keys.schema.empty_table(), np.array([], dtype=np.int64), [x[:0] for x in self.packets]
+        n, held, known = len(self.counts), len(self.packets[0]), {}
+        number = np.array([known.setdefault(k, len(known)) for k in (*self._ends(self.keys), *self._ends(ends))], dtype=np.int64)
+        keys, own = pa.table(list(zip(*known)) or [[]] * len(ENDS), schema=_ENDS), np.array([k[:2] == k[2:] for k in known], dtype=bool)
+        fresh = packets[0] > mark_us
+        of = np.concatenate((np.repeat(number[:n], self.counts), np.repeat(number[n:], counts)[fresh]))
+        ts, lo, length, flags = (np.concatenate((a, b[fresh])) for a, b in zip(self.packets, packets))
+        # late packets take their place among those of an open flow, and follow the last one of a tail
+        tail = np.array([s is not None for s in self.since], dtype=bool)
+        place = np.where(np.pad(np.repeat(tail, self.counts), (0, len(ts) - held)), np.iinfo(np.int64).min, ts)
+        new = np.arange(len(ts)) >= held
+        order = np.lexsort((*(np.concatenate((np.zeros(held, dtype=x.dtype), x[fresh])) for x in reversed(ties)), new, place, of))
+        of, ts, lo, length, flags = (x[order] for x in (of, ts, lo, length, flags))
+        p, found, kept = Packets(ts, lo, length, flags, own[of], self.limits), [], []
+        edges = np.searchsorted(of, np.arange(len(known) + 1)).tolist()
+        for k, (at, end) in enumerate(zip(edges, edges[1:])):
+            if at == end:
+                continue
+            begun = self.since[k] if k < n else None
+            flows, rest = p.cut(at + (begun is not None), end, Rest(since=begun))
+            found += flows
+            if rest.first is None and rest.since is None:
+                continue
+            first = end - 1 if rest.first is None else rest.first
+            due, why = p.due(p.times[first] if rest.since is None else rest.since, p.times[end - 1])
+            ms = -(-due // 1000)
+            if ms * 1000 > mark_us:
+                kept.append((k, first, end, rest.since, ms))
+            elif rest.first is not None:
+                found.append((first, end, why))
+        out = flow_batch(keys, p, found, of)
+        which, first, end = (np.array([x[k] for x in kept], dtype=np.int64) for k in range(3))
+        self.keys, self.since, self.counts = keys.take(pa.array(which)), [x[3] for x in kept], end - first
+        at = np.arange(self.counts.sum()) + np.repeat(first - np.cumsum(self.counts) + self.counts, self.counts)
+        self.packets = [x[at] for x in (ts, lo, length, flags)]
+        self.timer = min((x[4] for x in kept), default=None)
+        return out
+
+    def flush(self, reason: str) -> pa.RecordBatch:
+        """The open flows, ended for that reason."""
+        of, ends = np.repeat(np.arange(len(self.counts)), self.counts), np.cumsum(self.counts)
+        own = np.array([k[:2] == k[2:] for k in self._ends(self.keys)], dtype=bool)
+        p = Packets(*self.packets, own[of], self.limits)
+        return flow_batch(self.keys, p, [(a, b, reason) for a, b, since in zip((ends - self.counts).tolist(), ends.tolist(), self.since) if since is None], of)
+
+
 class FlowProcessor(StatefulProcessor):
-    """The batch job's cut with what it leaves kept for each key; an event-time timer closes flows that go silent.
+    """The batch job's cut with what it leaves kept for each group of connections; an event-time timer closes flows that go silent.
 
-    A key's state is one typed value: the packets of its open flow, fewer than a flow may have, or where a full flow's tail
-    began, and the time that its timer is set to. It is read once and written once for a batch; the timer is set anew only
-    where the deadline moves.
+    A group's state is one typed value: OpenFlows' lists, and the time that its timer is set to, the first deadline of its
+    connections. It is read once and written once for a batch, so calls between Python and the state grow with the groups;
+    the timer is set anew only where that deadline moves.
     """
 
-    def __init__(self, limits: Limits, order: tuple[str, ...]):
-        self.limits, self.order = limits, order
+    def __init__(self, limits: Limits, ties: int):
+        self.limits, self.ties = limits, ties
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", f"packets array<struct<{PACKET}>>, since long, timer long")
-
-    def _open(self, key: tuple) -> tuple[OpenFlow, int | None]:
-        packets, since, timer = self.state.get() or ([], None, None)
-        return OpenFlow(self.limits, key, ([tuple(p) for p in packets], since)), timer
+        self.state = handle.getValueState("open", ", ".join(f"{k} {t}" for k, t in (*_HELD.items(), ("timer", "long"))))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held, timer = self._open(tuple(key))
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        part = sorted((p for r in rows for p in zip(*(r[c] for c in ("ts_us", *self.order, "by_lo", "ip_length", "tcp_flags"))) if p[0] > passed), key=lambda p: p[:-3])
-        if not part:
-            return
-        out = held.add([(p[0], *p[-3:]) for p in part])
-        due = held.due()
-        ms = due and -(-due[0] // 1000)
-        if timer is not None and ms != timer:
+    def _step(self, mark_us: int, *given) -> Iterator[pd.DataFrame]:
+        *saved, timer = self.state.get() or (None,)
+        held = OpenFlows(self.limits, saved or None)
+        out = held.step(mark_us, *given)
+        if given and timer is not None and held.timer != timer:  # one that has expired goes by itself
             self.handle.deleteTimer(timer)
-        if ms is not None:
-            self.state.update((held.rows, held.since, ms))
-            if ms != timer:
-                self.handle.registerTimer(ms)
+        if held.timer is not None:
+            self.state.update((*held.saved(), held.timer))
+            if held.timer != timer:
+                self.handle.registerTimer(held.timer)
         elif timer is not None:
             self.state.clear()
-        yield from (_FLOW(*f) for f in out)
+        if len(out):
+            yield out.to_pandas()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held, timer = self._open(tuple(key))
-        if timer is not None and timer <= expiredTimerInfo.getExpiryTimeInMs():
-            out = held.end(held.due()[1])
-            self.state.clear()
-            yield from (_FLOW(*f) for f in out)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(rows, ignore_index=True)
+        column = [found.iloc[:, k] for k in range(found.shape[1])]
+        ends = pa.Table.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(column[1:5], _ENDS.types)], schema=_ENDS)
+        ts, *ties, lo, length, flags = (np.concatenate(c.to_list()) for c in column[5 : 9 + self.ties])
+        packets = [x.astype(kind, casting="safe") for x, kind in zip((ts, lo, length, flags), _KINDS)]
+        ties = [x if x.dtype.kind in "iu" else pd.factorize(x, sort=True)[0] for x in ties]
+        yield from self._step(timerValues.getCurrentWatermarkInMs() * 1000, ends, np.array([len(x) for x in column[5]]), packets, ties)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step(timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
@@ -126,20 +198,15 @@ class FlowProcessor(StatefulProcessor):
 
 def flush_flows(spark: SparkSession, checkpoint: str, limits: Limits = Limits(), reason: str = "shutdown") -> DataFrame:
     """The flows that a stopped flow_stream has left open in its state, ended for that reason. checkpoint is its checkpoint folder."""
-    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint).where("value.since is null")
-    held = state.select(*(F.col(f"key.{k}").alias(k) for k in KEY[:4]), *(F.col(f"value.packets.{f.split()[0]}") for f in PACKET.split(", ")))
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                counts = np.array(pc.list_value_length(batch.column(4)))
-                of, ends = np.repeat(np.arange(len(batch)), counts), np.cumsum(counts)
-                ts, lo, length, flags = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(4, 8))
-                keys = pa.Table.from_batches([batch.select(list(KEY[:4]))]).take(pa.array(of))
-                own = np.array([a == b for a, b in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1))), zip(*(batch.column(k).to_pylist() for k in (2, 3))))])[of]
-                yield flow_batch(keys, Packets(ts, lo, length.astype(np.int64), flags.astype(np.int64), own, limits), [(a, b, reason) for a, b in zip((ends - counts).tolist(), ends.tolist())])
+            for row in range(len(batch)):  # a group is many connections
+                held = OpenFlows(limits, [batch.column(k)[row].as_py() for k in range(len(_HELD))])
+                yield held.flush(reason)
 
-    return held.mapInArrow(run, FLOW_SCHEMA)
+    return state.select(*(F.col(f"value.{k}") for k in _HELD)).mapInArrow(run, FLOW_SCHEMA)
 
 
 def _packed(keyed: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,19 +214,23 @@ def _packed(keyed: DataFrame, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.Table.from_batches([batch]).group_by(list(KEY), use_threads=False).aggregate([("ts_us", "max"), *((c, "list") for c in columns)])
-            yield from found.select([*KEY, "ts_us_max", *(f"{c}_list" for c in columns)]).rename_columns([*KEY, "last_us", *columns]).to_batches()
+            found = pa.Table.from_batches([batch]).group_by(list(ENDS), use_threads=False).aggregate([("ts_us", "max"), *((c, "list") for c in columns)])
+            yield from found.select([*ENDS, "ts_us_max", *(f"{c}_list" for c in columns)]).rename_columns([*ENDS, "last_us", *columns]).to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
-    return keyed.select(*KEY, *columns).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in KEY), "last_us long", *(f"`{c}` array<{kinds[c]}>" for c in columns)]))
+    return keyed.select(*ENDS, *columns).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in ENDS), "last_us long", *(f"`{c}` array<{kinds[c]}>" for c in columns)]))
+
 
+def flow_stream(packets: DataFrame, limits: Limits = Limits(), delay: str = "5 seconds", order: tuple[str, ...] = (), groups: int = GROUPS) -> DataFrame:
+    """Flows of a packet stream. Needs the RocksDB state store; packets at the watermark or before it, and those without a time, are dropped.
 
-def flow_stream(packets: DataFrame, limits: Limits = Limits(), delay: str = "5 seconds", order: tuple[str, ...] = ()) -> DataFrame:
-    """Flows of a packet stream. Needs the RocksDB state store; packets at the watermark or before it, and those without a time, are dropped."""
+    Connections are dealt to groups by hash, and a group is one state; their number holds for the whole life of a checkpoint.
+    """
     by_lo = F.col("src_ip").eqNullSafe(F.col("lo_ip")) & F.col("src_port").eqNullSafe(F.col("lo_port"))
     keyed = with_key(tcp_only(packets)).where("ts_us is not null").withColumn("by_lo", by_lo)
-    packed = with_event_time(_packed(keyed, ["ts_us", *order, "by_lo", "ip_length", "tcp_flags"]), "last_us", delay)
-    return packed.groupBy(*KEY).transformWithState(FlowProcessor(limits, order), FLOW_SCHEMA, "append", "eventTime")
+    columns = ["ts_us", *order, "by_lo", "ip_length", "tcp_flags"]
+    packed = with_event_time(_packed(keyed, columns), "last_us", delay).select(F.pmod(F.xxhash64(*ENDS), F.lit(groups)).alias("_group"), *ENDS, *columns, "ts")
+    return packed.groupBy("_group").transformWithStateInPandas(FlowProcessor(limits, len(order)), FLOW_SCHEMA, "append", "eventTime")
 
 
 class SensorProcessor(StatefulProcessor):
